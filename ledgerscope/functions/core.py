@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.schemas import MONEY
+from ledgerscope.session import checkpoint_dir
 
 
 def col(c: str | Column) -> Column:
@@ -56,7 +57,11 @@ def global_running_sum(df: DataFrame, order_col: str, value_cols: list[str],
     """
     n = _partitions(df, num_partitions)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    r = df.repartitionByRange(n, order).withColumn("_pid", F.spark_partition_id())
+    # The range bounds are sampled from the input, whose row order after a shuffle is not
+    # fixed; the partitioned frame is read twice (totals, sums), so it is materialised once
+    # in the shared checkpoint folder (reliable, cuts lineage, survives executor loss).
+    checkpoint_dir(df.sparkSession)
+    r = df.repartitionByRange(n, order).withColumn("_pid", F.spark_partition_id()).checkpoint()
     per = r.groupBy("_pid").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = per.select("_pid", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}")

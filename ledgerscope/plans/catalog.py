@@ -279,3 +279,7 @@ def q_severity_map(spark, sf_dir):
     "step_start, step_end, confidence, amount FROM"))
 def q_findings_payload(spark, sf_dir):
     return A.to_payload(A.analyze(L(spark, sf_dir)))
+
+
+# further registrations live next to their operators' families
+from ledgerscope.plans import analytics as _analytics  # noqa: E402,F401
