@@ -283,3 +283,4 @@ def q_findings_payload(spark, sf_dir):
 
 # further registrations live next to their operators' families
 from ledgerscope.plans import analytics as _analytics  # noqa: E402,F401
+from ledgerscope.plans import casework as _casework  # noqa: E402,F401
