@@ -8,8 +8,8 @@ a group:
 * rapid_drain: forward minimum of balance-after from windows over (sender, step) and
   over per-step aggregates, then one bounded band check from the first candidate.
 * round_trip: equi-join on the reversed pair *and* an 11-step time bucket.
-* fan_out / fan_in: offset expansion + hash aggregation (partial aggregation splits
-  hot accounts).
+* fan_out / fan_in: distinct counterparty counts of every window from +1/-1 range deltas
+  and a running sum over per-(account, step) aggregates (no per-window expansion).
 * dormant_activation: ``row_number() <= 3`` (Spark computes a per-task top-3 before the
   shuffle) against an exact median passed as a scalar subquery.
 * balance_inconsistency: one global aggregate.
@@ -57,6 +57,25 @@ def _needs(ledger: DataFrame, *cols: str) -> bool:
 
 
 # --------------------------------------------------------------------------- E1
+def drain_candidates(ledger: DataFrame, remain: float = 0.1) -> DataFrame:
+    """D-4: per sender max balance-before, min balance-after, max amount; senders that
+    can possibly drain (a strict superset of the firing ones)."""
+    stats = ledger.groupBy("sender_id").agg(
+        F.max("sender_balance_before").alias("max_before"),
+        F.min("sender_balance_after").alias("min_after"), F.max("amount").alias("max_amount"))
+    return stats.where((F.col("max_before") > 0)
+                       & (F.col("min_after") < F.lit(remain) * F.col("max_before"))
+                       & (F.col("max_amount") > 0))
+
+
+def fan_candidates(ledger: DataFrame, role: str = "out", min_distinct: int = 5) -> DataFrame:
+    """D-5: accounts with more than ``min_distinct`` distinct counterparties (exact)."""
+    acct, cpty = ("sender_id", "receiver_id") if role == "out" else ("receiver_id", "sender_id")
+    return (ledger.select(F.col(acct).alias("account_id"), F.col(cpty).alias("cpty")).distinct()
+            .groupBy("account_id").agg(F.count(F.lit(1)).alias("n_counterparties"))
+            .where(F.col("n_counterparties") > min_distinct))
+
+
 def rapid_drain(ledger: DataFrame, max_gap: int = 5, remain: float = 0.1,
                 confidence: float = CONFIDENCE["rapid_drain"]) -> DataFrame:
     """First pair (i, j), i <= j in sender order, step_j - step_i <= max_gap, with
@@ -177,15 +196,26 @@ def fan(ledger: DataFrame, role: str = "out", span: int = 10, min_distinct: int
             .where(F.col("count") > min_distinct).select("acct"))
     sub = base.join(cand, "acct", "left_semi")
     per_step = sub.groupBy("acct", "step").agg(F.sum(money("amount")).alias("step_amount"))
-    starts = per_step.select("acct", F.col("step").alias("start"))
-    # Offset expansion: counterparty seen at step t is inside windows starting t-span .. t.
-    seen = sub.select("acct", "step", "cpty").distinct().select(
-        "acct", "cpty", F.explode(F.sequence(F.col("step") - span, F.col("step"))).alias("start"))
-    counts = (seen.join(starts, ["acct", "start"], "left_semi")
-              .groupBy("acct", "start").agg(F.count_distinct("cpty").alias("n"))
-              .where(F.col("n") > min_distinct))
-    first = counts.groupBy("acct").agg(F.min(F.struct("start", "n")).alias("f")).select(
-        "acct", F.col("f.start").alias("start"), F.col("f.n").alias("n"))
+    # Distinct counterparties of the window starting at s, for every s at once: an
+    # occurrence of c at step t (previous occurrence p) is the first one inside the window
+    # exactly for s in [max(t - span, p + 1), t].  Those +1 ranges become +1/-1 deltas,
+    # and the count at s is their running sum over the account's steps.
+    seen = sub.select("acct", "cpty", "step").distinct().withColumn(
+        "prev", F.lag("step").over(Window.partitionBy("acct", "cpty").orderBy("step")))
+    first_in = F.greatest(F.col("step") - span, F.coalesce(F.col("prev") + 1, F.col("step") - span))
+    deltas = seen.select("acct", F.explode(F.array(
+        F.struct(first_in.alias("s"), F.lit(1).alias("d")),
+        F.struct((F.col("step") + 1).alias("s"), F.lit(-1).alias("d")))).alias("x")).select(
+        "acct", "x.s", "x.d")
+    starts = per_step.select("acct", F.col("step").alias("s"), F.lit(0).alias("d"),
+                             F.lit(True).alias("is_start"))
+    at = (deltas.withColumn("is_start", F.lit(False)).unionByName(starts)
+          .groupBy("acct", "s").agg(F.sum("d").alias("d"), F.bool_or("is_start").alias("is_start")))
+    running = Window.partitionBy("acct").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    counts = (at.withColumn("n", F.sum("d").over(running))
+              .where(F.col("is_start") & (F.col("n") > min_distinct)))
+    first = counts.groupBy("acct").agg(F.min(F.struct("s", "n")).alias("f")).select(
+        "acct", F.col("f.s").alias("start"), F.col("f.n").alias("n"))
     window = (first.withColumn("step", F.explode(F.sequence(F.col("start"), F.col("start") + span)))
               .join(per_step, ["acct", "step"])
               .groupBy("acct", "start", "n")
@@ -273,6 +303,6 @@ DETECTORS = {
     "balance_inconsistency": balance_inconsistency,
 }
 
-__all__ = ["rapid_drain", "round_trip", "fan", "fan_out", "fan_in", "dormant_activation",
+__all__ = ["drain_candidates", "fan_candidates", "rapid_drain", "round_trip", "fan", "fan_out", "fan_in", "dormant_activation",
            "balance_inconsistency", "high_velocity", "amount_median", "empty_findings",
            "DETECTORS", "CONFIDENCE", "FINDING_COLUMNS"]

@@ -64,3 +64,12 @@ def order_ledger(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataF
                  F.col("l_partkey").alias("k3"), F.col("l_suppkey").alias("k4"),
                  p.alias("k5")).alias("row_id"),
     )
+
+
+def raw_order_log(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    """The same transactions in the raw log layout (PaySim column names), for ``normalize``."""
+    from ledgerscope.schemas import RENAMES
+    led = order_ledger(spark, sf_dir, dense)
+    cols = [(F.col(name).cast("int") if raw in ("isFraud", "isFlaggedFraud") else F.col(name))
+            .alias(raw) for raw, name in RENAMES.items()]
+    return led.select(*cols, "row_id")
