@@ -422,3 +422,10 @@ def q_report_summary_o(spark, sf_dir):
           "'analyst' AS investigator, 'open' AS status")
 def q_report_cover_o(spark, sf_dir):
     return q_report_cover(spark, sf_dir)
+
+
+@register("betweenness")
+def q_betweenness(spark, sf_dir):
+    from ledgerscope.operators import graph as G
+    led = L(spark, sf_dir)
+    return G.betweenness(G.edges(led), G.vertices(led))

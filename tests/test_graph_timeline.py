@@ -100,3 +100,51 @@ def test_timeline_views_annotations_narrative(spark, ledger):
 def test_self_transfer_one_event(ledger):
     L = ledger([dict(step=1, sender_id="A", receiver_id="A", amount=5.0)])
     assert T.timeline(L).count() == 1
+
+
+def brandes(nodes, edges):
+    from collections import deque
+    succ = {v: [] for v in nodes}
+    for a, b in edges:
+        if a != b:
+            succ[a].append(b)
+    bc = {v: 0.0 for v in nodes}
+    for s in nodes:
+        order, pred = [], {v: [] for v in nodes}
+        sig, dist = {v: 0 for v in nodes}, {v: -1 for v in nodes}
+        sig[s], dist[s] = 1, 0
+        q = deque([s])
+        while q:
+            v = q.popleft()
+            order.append(v)
+            for w in succ[v]:
+                if dist[w] < 0:
+                    q.append(w)
+                    dist[w] = dist[v] + 1
+                if dist[w] == dist[v] + 1:
+                    sig[w] += sig[v]
+                    pred[w].append(v)
+        dl = {v: 0.0 for v in nodes}
+        while order:
+            w = order.pop()
+            for v in pred[w]:
+                dl[v] += sig[v] / sig[w] * (1 + dl[w])
+            if w != s:
+                bc[w] += dl[w]
+    n = len(nodes)
+    return {v: bc[v] / ((n - 1) * (n - 2)) for v in nodes}
+
+
+def test_betweenness_matches_brandes(spark):
+    import random
+    rng = random.Random(5)
+    edges = sorted({(f"N{rng.randrange(10)}", f"N{rng.randrange(10)}") for _ in range(30)})
+    E = spark.createDataFrame(edges, "sender_id string, receiver_id string")
+    nodes = sorted({a for e in edges for a in e})
+    V = spark.createDataFrame([(x,) for x in nodes], "account_id string")
+    got = {r["account_id"]: r["betweenness"] for r in G.betweenness(E, V).collect()}
+    want = brandes(nodes, edges)
+    assert max(abs(got[v] - want[v]) for v in nodes) < 1e-12
+    est = {r["account_id"]: r["betweenness"] for r in G.betweenness(E, V, sources=len(nodes))
+           .collect()}
+    assert max(abs(est[v] - want[v]) for v in nodes) < 1e-12
