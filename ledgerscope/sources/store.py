@@ -8,7 +8,7 @@ Every write is a batch over many cases / files / findings.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.operators.custody import digest_files
@@ -99,8 +99,12 @@ class CaseStore:
         if "amount" not in rows.columns:
             rows = rows.withColumn("amount", F.lit(None).cast("double"))
         rows = rows.select(*[F.col(c).cast(STORED_FINDING_SCHEMA[c].dataType) for c in cols])
-        obs = Observation("findings_sink")
-        rows = rows.observe(obs, F.count(F.lit(1)).alias("n"))
+        # Materialised once: ids are fixed, the count is read from the materialised rows.
+        # (Not an Observation: once used, it makes the session unserializable for
+        # pyspark.ml models that keep a training summary.)
+        checkpoint_dir(self.spark)
+        rows = rows.checkpoint()
+        n = rows.count()
         w = rows.write.partitionBy("case_id")
         if mode == "replace":
             w = w.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -109,7 +113,7 @@ class CaseStore:
         else:
             raise ValueError("mode must be 'append' or 'replace'")
         w.parquet(self.paths["findings"])
-        return int(obs.get["n"])
+        return int(n)
 
     def delete_findings(self, case_id: str) -> None:
         """A7 maintenance: drop one case's findings (its partition)."""
