@@ -100,24 +100,38 @@ def top_accounts(findings: DataFrame, n: int = 5) -> DataFrame:
             .select("case_id", "account_id", "rank"))
 
 
+_OPEN_END = 9223372036854775807
+
+
 def merge_intervals(intervals: DataFrame, keys: list[str], start: str = "step_start",
                     end: str = "step_end") -> DataFrame:
-    """Union of closed step intervals per key (gaps and islands); one row per island."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    prev_end = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = intervals.select(*keys, start, end).withColumn(
-        "_new", F.when(prev_end.isNull() | (F.col(start) > prev_end), 1).otherwise(0))
-    islands = flagged.withColumn("_island", F.sum("_new").over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*keys, "_island").agg(F.min(start).alias(start),
-                                                  F.max(end).alias(end)).drop("_island")
+    """Disjoint pieces covering the union of closed integer step intervals per key.
+
+    Each interval adds +1 at its start and -1 after its end; the deltas are summed per
+    (key, step) first (partial aggregation: a hot key collapses to its distinct steps),
+    and a running sum over those steps marks covered pieces [s, next_s - 1].  An end of
+    2^63 - 1 means open-ended.
+    """
+    iv = intervals.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
+    deltas = iv.select(*keys, F.explode(F.array(
+        F.struct(F.col("_s").alias("at"), F.lit(1).alias("d")),
+        F.when(F.col("_e") < _OPEN_END, F.struct((F.col("_e") + 1).alias("at"),
+                                                 F.lit(-1).alias("d"))))).alias("x"))
+    at = (deltas.where(F.col("x").isNotNull()).select(*keys, "x.at", "x.d")
+          .groupBy(*keys, "at").agg(F.sum("d").alias("d")))
+    w = Window.partitionBy(*keys).orderBy("at")
+    cov = (at.withColumn("cover", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+           .withColumn("next_at", F.lead("at").over(w)))
+    return cov.where(F.col("cover") > 0).select(
+        *keys, F.col("at").alias(start),
+        F.coalesce(F.col("next_at") - 1, F.lit(_OPEN_END)).alias(end))
 
 
 def detection_rate(ledger: DataFrame, findings: DataFrame,
                    exclude: tuple[str, ...] = ("balance_inconsistency",)) -> DataFrame:
     """Share of fraud-labelled rows whose sender or receiver has a finding whose
-    [step_start, step_end] contains the row's step.  Intervals are merged per account
-    first, so each (row, party) meets at most one interval.
+    [step_start, step_end] contains the row's step.  Intervals become disjoint covered
+    pieces per account first, so each (row, party) meets at most one piece.
     """
     iv = (finding_accounts(findings.where(~F.col("finding_type").isin(*exclude)))
           .select("account_id", "step_start", "step_end"))

@@ -5,7 +5,7 @@ All accounts are handled in one job; the single-account form is a filter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.core import money
@@ -147,9 +147,9 @@ def narratives(events: DataFrame, findings: DataFrame, accounts: DataFrame | Non
 
 
 def timeline_json(events: DataFrame) -> DataFrame:
-    """T4: one JSON record per event (the dict form), in timeline order per account."""
+    """T4: one JSON record per event (the dict form); ``(step, row_id, slot)`` is the
+    timeline order of an account's records (no per-account numbering pass)."""
     cols = ["step", "event_type", "amount", "counterparty", "balance_before", "balance_after",
             "annotation", "is_flagged"]
-    w = Window.partitionBy("account_id").orderBy("step", "row_id", "slot")
-    return events.select("account_id", F.row_number().over(w).alias("seq"),
+    return events.select("account_id", "step", "row_id", "slot",
                          F.to_json(F.struct(*cols)).alias("record"))

@@ -153,3 +153,17 @@ def test_report_findings_and_accounts(spark):
     br = {r["finding_type"]: r for r in FD.findings_breakdown(f).collect()}
     assert br["rapid_drain"]["count"] == 120 and br["TOTAL"]["count"] == 121
     assert br["TOTAL"]["ord"] == 3
+
+
+def test_merge_intervals_pieces_are_disjoint_and_cover(spark):
+    big = 9223372036854775807
+    rows = [("A", 1, 5), ("A", 3, 8), ("A", 10, 10), ("A", 11, 12), ("A", 20, big),
+            ("A", 25, 30), ("B", 4, 4), ("B", 4, 4)]
+    iv = spark.createDataFrame(rows, "account_id string, step_start long, step_end long")
+    pieces = sorted((r[0], r[1], r[2]) for r in FD.merge_intervals(iv, ["account_id"]).collect())
+    for acc in ("A", "B"):
+        ps = [(s, e) for a, s, e in pieces if a == acc]
+        assert all(ps[i][1] < ps[i + 1][0] for i in range(len(ps) - 1))  # disjoint
+        for step in list(range(0, 40)) + [big - 1]:
+            covered = any(a == acc and s <= step <= e for a, s, e in rows)
+            assert covered == any(s <= step <= e for s, e in ps), (acc, step)
