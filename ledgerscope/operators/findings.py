@@ -59,7 +59,7 @@ def findings_breakdown(findings: DataFrame) -> DataFrame:
         "count",
         F.when(F.col("is_total") == 1, F.lit(None).cast("double")).otherwise(F.col("avg_confidence"))
         .alias("avg_confidence"),
-        F.row_number().over(w).alias("ord"))
+        F.row_number().over(w).cast("long").alias("ord"))
 
 
 def _sort_key(findings: DataFrame) -> DataFrame:
@@ -82,7 +82,8 @@ def top_findings(findings: DataFrame, n: int = 100) -> DataFrame:
     total = findings.groupBy("case_id").agg(F.count(F.lit(1)).alias("total"))
     w = Window.partitionBy("case_id").orderBy(*_top_order())
     # a filter on the rank itself becomes a per-task top-n before the shuffle
-    top = k.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    top = (k.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+           .withColumn("rank", F.col("rank").cast("long")))
     return top.join(total, "case_id").drop("sev_rank")
 
 
@@ -97,7 +98,7 @@ def top_accounts(findings: DataFrame, n: int = 5) -> DataFrame:
              F.col("account_id"), F.col("k.neg_start").desc()]
     w = Window.partitionBy("case_id").orderBy(*order)
     return (best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-            .select("case_id", "account_id", "rank"))
+            .select("case_id", "account_id", F.col("rank").cast("long").alias("rank")))
 
 
 _OPEN_END = 9223372036854775807
