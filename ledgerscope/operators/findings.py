@@ -14,6 +14,11 @@ from ledgerscope.functions.core import severity_rank
 DATASET = "DATASET"
 
 
+def parse_account_ids(findings: DataFrame, col: str = "account_ids") -> DataFrame:
+    """findings imported with ``account_ids`` as JSON text become ``array<string>``."""
+    return findings.withColumn(col, F.from_json(F.col(col), "array<string>"))
+
+
 def case_findings(findings: DataFrame, case_id: str) -> DataFrame:
     """One case's findings (partition-pruned when the store is partitioned by case)."""
     return findings.where(F.col("case_id") == case_id)

@@ -90,7 +90,8 @@ def report_evidence(items: DataFrame) -> DataFrame:
         F.coalesce("filename", "label", F.lit("N/A")).alias("filename"),
         F.when(F.length(sha) > 16, F.concat(F.substring(sha, 1, 16), F.lit("..."))).otherwise(sha)
         .alias("sha256_trunc"),
-        F.coalesce("acquired_at", F.lit("N/A")).alias("acquired_at"))
+        F.coalesce("acquired_at", F.lit("N/A")).alias("acquired_at"),
+        F.round(F.col("file_size") / F.lit(1048576.0), 2).alias("size_mb"))
 
 
 # Order of manifest keys and item keys in the custody appendix (fixed values).
@@ -121,6 +122,12 @@ def report_signature_rows(manifests: DataFrame, key: str) -> DataFrame:
     return report_signature(manifests, key)
 
 
+def write_report(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
+    """One table per report section under ``path/<section>``."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/{name}")
+
+
 def report_tables(ledger, findings, cases, manifests, items, key: str) -> dict[str, DataFrame]:
     """All report sections as DataFrames."""
     return {
@@ -136,4 +143,4 @@ def report_tables(ledger, findings, cases, manifests, items, key: str) -> dict[s
 
 __all__ = ["report_cover", "report_findings", "report_timelines", "report_summary",
            "report_evidence", "report_custody", "report_signature_rows", "report_tables",
-           "account_timelines"]
+           "account_timelines", "write_report"]

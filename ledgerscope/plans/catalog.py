@@ -32,8 +32,8 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def L(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
-    return order_ledger(spark, sf_dir, dense)
+def L(spark: SparkSession, sf_dir: str, dense: bool = False, steps=None) -> DataFrame:
+    return order_ledger(spark, sf_dir, dense, steps)
 
 
 LEDGER_OUT = ["step", "tx_type", "amount", "sender_id", "sender_balance_before",
@@ -158,7 +158,7 @@ def q_filter_account(spark, sf_dir):
 @register("filter_timerange", with_ledger(
     f"SELECT {_LCOLS} FROM ledger WHERE step BETWEEN 100 AND 200"))
 def q_filter_timerange(spark, sf_dir):
-    return LO.filter_steps(L(spark, sf_dir), 100, 200).select(*LEDGER_OUT)
+    return LO.filter_steps(L(spark, sf_dir, steps=(100, 200)), 100, 200).select(*LEDGER_OUT)
 
 
 @register("ledger_head", with_ledger(

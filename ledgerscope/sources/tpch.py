@@ -27,10 +27,18 @@ from pyspark.sql import functions as F
 EPOCH = "1995-01-01"
 
 
-def order_ledger(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+def order_ledger(spark: SparkSession, sf_dir: str, dense: bool = False,
+                 steps: tuple[int, int] | None = None) -> DataFrame:
+    """``steps=(lo, hi)`` restricts to that inclusive step range as a ship-date range on
+    ``lineitem`` itself, so the scan skips row groups (the step is computed, so a filter
+    on it alone cannot be pushed)."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    if steps is not None:
+        epoch = F.lit(EPOCH).cast("date")
+        li = li.where((F.col("l_shipdate") >= F.date_add(epoch, steps[0]).cast("timestamp"))
+                      & (F.col("l_shipdate") < F.date_add(epoch, steps[1] + 1).cast("timestamp")))
     od = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     j = li.join(od, li.l_orderkey == od.o_orderkey, "inner")
 
