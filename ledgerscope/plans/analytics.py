@@ -367,11 +367,11 @@ curve AS (
 
 
 def _scored(spark, sf_dir):
+    # both deterministic "models" from one pass over the features
     f = FE.labelled_features(L(spark, sf_dir))
-    a = f.select(F.lit("balance_change_ratio").alias("model"),
-                 F.col("balance_change_ratio").alias("score"), "label")
-    b = f.select(F.lit("hour_of_day").alias("model"), F.col("hour_of_day").alias("score"), "label")
-    return a.unionByName(b)
+    models = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score"))
+                       for m in ("balance_change_ratio", "hour_of_day")])
+    return f.select("label", F.explode(models).alias("m")).select("m.model", "m.score", "label")
 
 
 @register("pr_curve", with_ledger("""

@@ -117,3 +117,19 @@ def test_rank_accounts(spark):
     r = ML.rank_accounts(df, top=2).collect()
     assert [(x["account_id"], x["max_fraud_probability"], x["tx_count"]) for x in r] == \
         [("A", 0.9, 2), ("B", 0.9, 2)]
+
+
+def test_hot_sender_median_path_equals_window_path(ledger):
+    rng = random.Random(11)
+    rows = []
+    for i in range(400):
+        s = "HOT" if i % 3 else f"c{i % 7}"
+        amt = None if i % 37 == 0 else float(rng.choice([1, 2, 2, 3, 5, 8, 13, 100]))
+        rows.append(dict(step=rng.randrange(40), sender_id=s, receiver_id=f"r{i % 5}", amount=amt,
+                         sender_balance_before=10.0, sender_balance_after=5.0))
+    L = ledger(rows, partitions=3)
+    cold = {r["row_id"]: r["amount_vs_sender_median"]
+            for r in FE.features(L, hot_rows=10_000).collect()}
+    hot = {r["row_id"]: r["amount_vs_sender_median"] for r in FE.features(L, hot_rows=10).collect()}
+    assert cold.keys() == hot.keys()
+    assert all((cold[k] is None and hot[k] is None) or cold[k] == hot[k] for k in cold)
