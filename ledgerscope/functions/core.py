@@ -73,24 +73,37 @@ def global_running_sum(df: DataFrame, order_col: str, value_cols: list[str],
     return out.drop("_pid", *[f"_o_{v}" for v in value_cols])
 
 
-def exact_median(df: DataFrame, value: str, num_partitions: int | None = None) -> DataFrame:
-    """One row, column ``median``: the interpolating median of non-NULL ``value``.
-
-    Even counts average the two middle values; no values gives NULL.
+def exact_median(df: DataFrame, value: str, num_partitions: int | None = None,
+                 by: tuple[str, ...] = ()) -> DataFrame:
+    """Column ``median``: the interpolating median of non-NULL ``value`` (one row, or one row
+    per ``by`` group).  Even counts average the two middle values; no values gives NULL.
     """
-    vc = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(
+    by = list(by)
+    vc = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(
         F.count(F.lit(1)).alias("c"))
-    ranked = global_running_sum(vc, "v", ["c"], num_partitions=num_partitions)
-    n = vc.agg(F.sum("c")).scalar()
-    k1 = F.floor((n + 1) / 2)
-    k2 = F.floor(n / 2) + 1
+    if not by:
+        ranked = global_running_sum(vc, "v", ["c"], num_partitions=num_partitions)
+        n = vc.agg(F.sum("c")).scalar()
+        k1, k2 = F.floor((n + 1) / 2), F.floor(n / 2) + 1
+    else:
+        # one global order over (group, value); the running count restarts per group by
+        # subtracting the totals of the earlier groups (one row per group)
+        ranked = global_running_sum(vc.withColumn("_k", F.struct(*by, "v")), "_k", ["c"],
+                                    num_partitions=num_partitions).drop("_k")
+        tot = vc.groupBy(*by).agg(F.sum("c").alias("_n"))
+        before = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+        tot = tot.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        ranked = ranked.join(tot, by).withColumn("cum_c", F.col("cum_c") - F.col("_off"))
+        n = F.col("_n")
+        k1, k2 = F.floor((n + 1) / 2), F.floor(n / 2) + 1
 
     def covers(k: Column) -> Column:
         return ((F.col("cum_c") - F.col("c")) < k) & (k <= F.col("cum_c"))
 
     picked = ranked.where(covers(k1) | covers(k2))
-    return picked.agg(((F.max(F.when(covers(k1), F.col("v"))) + F.max(F.when(covers(k2), F.col("v"))))
-                       / F.lit(2.0)).alias("median"))
+    med = ((F.max(F.when(covers(k1), F.col("v"))) + F.max(F.when(covers(k2), F.col("v"))))
+           / F.lit(2.0)).alias("median")
+    return picked.groupBy(*by).agg(med) if by else picked.agg(med)
 
 
 def canonical_json(df: DataFrame, cols: list[str] | None = None) -> Column:

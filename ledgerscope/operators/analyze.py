@@ -16,7 +16,8 @@ _REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = dict(D.DETECTORS)
 
 
 def register_detector(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
-    """Add a detector: a function ledger -> findings with ``FINDING_COLUMNS``."""
+    """Add a detector: a function ledger -> findings with ``FINDING_COLUMNS`` (it must accept
+    ``by=`` to take part in multi-case analysis)."""
     _REGISTRY[name] = fn
 
 
@@ -25,19 +26,21 @@ def detectors() -> list[str]:
 
 
 def analyze(ledger: DataFrame, detectors: list[str] | None = None,
-            account: str | None = None) -> DataFrame:
+            account: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """All detectors in registry order, as one DataFrame with ``detector_seq``.
 
     ``account`` (B4) restricts the *input* first, so medians and candidate sets see only
-    that account's rows, as the reference does.
+    that account's rows, as the reference does.  ``by`` (e.g. ``("case_id",)``) analyses
+    every case of a multi-case ledger in the same job, each as its own ledger.
     """
     if account is not None:
         ledger = filter_account(ledger, account)
     names = detectors or list(_REGISTRY)
     out = None
     for seq, name in enumerate(names):
-        part = _REGISTRY[name](ledger).select(*FINDING_COLUMNS).withColumn(
-            "detector_seq", F.lit(seq))
+        fn = _REGISTRY[name]
+        found = fn(ledger, by=tuple(by)) if by else fn(ledger)
+        part = found.select(*by, *FINDING_COLUMNS).withColumn("detector_seq", F.lit(seq))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -56,6 +56,14 @@ def _needs(ledger: DataFrame, *cols: str) -> bool:
     return all(c in ledger.columns for c in cols)
 
 
+def _empty(ledger: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    out = empty_findings(ledger.sparkSession)
+    for c in reversed(by):
+        dtype = ledger.schema[c].dataType if c in ledger.columns else "string"
+        out = out.select(F.lit(None).cast(dtype).alias(c), *out.columns)
+    return out
+
+
 # --------------------------------------------------------------------------- E1
 def drain_candidates(ledger: DataFrame, remain: float = 0.1) -> DataFrame:
     """D-4: per sender max balance-before, min balance-after, max amount; senders that
@@ -77,97 +85,99 @@ def fan_candidates(ledger: DataFrame, role: str = "out", min_distinct: int = 5)
 
 
 def rapid_drain(ledger: DataFrame, max_gap: int = 5, remain: float = 0.1,
-                confidence: float = CONFIDENCE["rapid_drain"]) -> DataFrame:
+                confidence: float = CONFIDENCE["rapid_drain"], by: tuple[str, ...] = ()
+                ) -> DataFrame:
     """First pair (i, j), i <= j in sender order, step_j - step_i <= max_gap, with
     before_i > 0, after_j < remain * before_i and sum(amount[i..j]) > 0; at most one
-    finding per sender (amount = that sum).
+    finding per sender (amount = that sum).  ``by`` (e.g. ``("case_id",)``) analyses
+    many ledgers at once: every key below is prefixed with it.
     """
     need = ("sender_id", "step", "row_id", "amount", "sender_balance_before", "sender_balance_after")
-    if not _needs(ledger, *need):
-        return empty_findings(ledger.sparkSession)
+    if not _needs(ledger, *need, *by):
+        return _empty(ledger, by)
+    k = [*by, "sender_id"]
     rows = ledger.select(
-        "sender_id", "step", "row_id", "amount",
+        *k, "step", "row_id", "amount",
         F.col("sender_balance_before").alias("b"), F.col("sender_balance_after").alias("a"))
 
     # D-4 pre-filter (a strict superset of firing senders) + the sign facts of each sender.
-    stats = rows.groupBy("sender_id").agg(
+    stats = rows.groupBy(*k).agg(
         F.max("b").alias("max_b"), F.min("a").alias("min_a"),
         F.max("amount").alias("max_amt"), F.min("amount").alias("min_amt"))
     cand = stats.where((F.col("max_b") > 0) & (F.col("min_a") < F.lit(remain) * F.col("max_b"))
                        & (F.col("max_amt") > 0)).select(
-        "sender_id", (F.coalesce(F.col("min_amt"), F.lit(0.0)) >= 0).alias("nonneg"))
-    r = rows.join(cand, "sender_id")
+        *k, (F.coalesce(F.col("min_amt"), F.lit(0.0)) >= 0).alias("nonneg"))
+    r = rows.join(cand, k)
 
     # Forward minimum of balance-after over j in [i, last row with step <= step_i + gap]:
     # (A) rows of the same step at or after i, (B) all rows of the next `gap` steps.
-    same_step = Window.partitionBy("sender_id", "step").orderBy("row_id").rowsBetween(
+    same_step = Window.partitionBy(*k, "step").orderBy("row_id").rowsBetween(
         0, Window.unboundedFollowing)
-    per_step = r.groupBy("sender_id", "step").agg(F.min("a").alias("step_min_a"))
-    later = Window.partitionBy("sender_id").orderBy("step").rangeBetween(1, max_gap)
-    later_min = per_step.select("sender_id", "step",
-                                F.min("step_min_a").over(later).alias("later_min_a"))
+    per_step = r.groupBy(*k, "step").agg(F.min("a").alias("step_min_a"))
+    later = Window.partitionBy(*k).orderBy("step").rangeBetween(1, max_gap)
+    later_min = per_step.select(*k, "step", F.min("step_min_a").over(later).alias("later_min_a"))
     fwd = (r.withColumn("same_min_a", F.min("a").over(same_step))
-           .join(later_min, ["sender_id", "step"])
+           .join(later_min, [*k, "step"])
            .withColumn("fwd_min_a", F.least("same_min_a", "later_min_a")))
     # Necessary condition for row i to start a firing pair.
     necessary = fwd.where((F.col("b") > 0) & (F.col("fwd_min_a") < F.lit(remain) * F.col("b")))
     # With no negative amount in the sender and amount_i > 0 every later sum is > 0,
     # so the necessary condition is exact ("sure" rows).
     sure = F.col("nonneg") & (F.col("amount") > 0)
-    first_sure = necessary.where(sure).groupBy("sender_id").agg(
+    first_sure = necessary.where(sure).groupBy(*k).agg(
         F.min(F.struct("step", "row_id")).alias("fs"))
     # Rows where the sum test can fail need the band check; only those before the first
     # sure row of their sender can change the answer.
-    unsure = (necessary.where(~sure).join(first_sure, "sender_id", "left")
+    unsure = (necessary.where(~sure).join(first_sure, k, "left")
               .where(F.col("fs").isNull() | (F.struct("step", "row_id") < F.col("fs")))
-              .select("sender_id", "step", "row_id", "b"))
-    sure_rows = (necessary.join(first_sure, "sender_id")
+              .select(*k, "step", "row_id", "b"))
+    sure_rows = (necessary.join(first_sure, k)
                  .where(F.struct("step", "row_id") == F.col("fs"))
-                 .select("sender_id", "step", "row_id", "b"))
+                 .select(*k, "step", "row_id", "b"))
     starts = sure_rows.unionByName(unsure).select(
-        "sender_id", F.col("step").alias("i_step"), F.col("row_id").alias("i_rid"),
-        F.col("b").alias("i_b"))
+        *k, F.col("step").alias("i_step"), F.col("row_id").alias("i_rid"), F.col("b").alias("i_b"))
 
     # Band check: each start i meets the sender's rows of steps i_step .. i_step + gap.
     band = (starts.withColumn("step", F.explode(F.sequence(F.col("i_step"),
                                                            F.col("i_step") + max_gap)))
-            .join(r.select("sender_id", "step", "row_id", "amount", "a"), ["sender_id", "step"])
+            .join(r.select(*k, "step", "row_id", "amount", "a"), [*k, "step"])
             .where(F.struct("step", "row_id") >= F.struct("i_step", "i_rid")))
-    run = Window.partitionBy("sender_id", "i_step", "i_rid").orderBy("step", "row_id").rowsBetween(
+    run = Window.partitionBy(*k, "i_step", "i_rid").orderBy("step", "row_id").rowsBetween(
         Window.unboundedPreceding, 0)
     fired = (band.withColumn("s", F.sum(F.coalesce(money("amount"), F.lit(0).cast("decimal(38,6)")))
                              .over(run))
              .where((F.col("a") < F.lit(remain) * F.col("i_b")) & (F.col("s") > 0)))
-    first = fired.groupBy("sender_id").agg(
+    first = fired.groupBy(*k).agg(
         F.min(F.struct("i_step", "i_rid", "step", "row_id", "s")).alias("f"))
-    return first.select(*_finding("rapid_drain", F.col("sender_id"), F.col("f.i_step"),
-                                  F.col("f.step"), F.col("f.s"), confidence,
-                                  F.lit("Rapid drain detected")))
+    return first.select(*by, *_finding("rapid_drain", F.col("sender_id"), F.col("f.i_step"),
+                                       F.col("f.step"), F.col("f.s"), confidence,
+                                       F.lit("Rapid drain detected")))
 
 
 # --------------------------------------------------------------------------- E2
 def round_trip(ledger: DataFrame, max_gap: int = 10, tolerance: float = 0.05,
-               confidence: float = CONFIDENCE["round_trip"]) -> DataFrame:
+               confidence: float = CONFIDENCE["round_trip"], by: tuple[str, ...] = ()
+               ) -> DataFrame:
     """Every row pair A->B then B->A with 0 <= step2 - step1 <= max_gap, amount1 > 0 and
     |a1 - a2| / a1 <= tolerance; one finding per pair (account A, amount a1).
     """
-    if not _needs(ledger, "sender_id", "receiver_id", "step", "amount"):
-        return empty_findings(ledger.sparkSession)
+    if not _needs(ledger, "sender_id", "receiver_id", "step", "amount", *by):
+        return _empty(ledger, by)
     width = max_gap + 1
     leg1 = ledger.where(F.col("amount") > 0).select(
-        F.col("sender_id").alias("a"), F.col("receiver_id").alias("b"),
+        *by, F.col("sender_id").alias("a"), F.col("receiver_id").alias("b"),
         F.col("step").alias("step1"), F.col("amount").alias("amount1"),
         F.explode(F.array(F.floor(F.col("step") / width), F.floor(F.col("step") / width) + 1))
         .alias("bucket"))
     leg2 = ledger.select(
-        F.col("receiver_id").alias("a"), F.col("sender_id").alias("b"),
+        *by, F.col("receiver_id").alias("a"), F.col("sender_id").alias("b"),
         F.col("step").alias("step2"), F.col("amount").alias("amount2"),
         F.floor(F.col("step") / width).alias("bucket"))
-    pairs = leg1.join(leg2, ["a", "b", "bucket"]).where(
+    pairs = leg1.join(leg2, [*by, "a", "b", "bucket"]).where(
         (F.col("step2") >= F.col("step1")) & (F.col("step2") - F.col("step1") <= max_gap)
         & (F.try_divide(F.abs(F.col("amount1") - F.col("amount2")), F.col("amount1"))
            <= F.lit(tolerance)))
-    return pairs.select(*_finding(
+    return pairs.select(*by, *_finding(
         "round_trip", F.col("a"), F.col("step1"), F.col("step2"), F.col("amount1"), confidence,
         F.concat(F.lit("Round trip: "), F.col("a"), F.lit(" -> "), F.col("b"), F.lit(" -> "),
                  F.col("a"))))
@@ -175,7 +185,7 @@ def round_trip(ledger: DataFrame, max_gap: int = 10, tolerance: float = 0.05,
 
 # ---------------------------------------------------------------------- E3 / E4
 def fan(ledger: DataFrame, role: str = "out", span: int = 10, min_distinct: int = 5,
-        confidence: float | None = None) -> DataFrame:
+        confidence: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """E3 (role='out') / E4 (role='in'): the first start step s of the account's rows whose
     window [s, s + span] holds more than ``min_distinct`` distinct counterparties;
     step_end = last step in the window, amount = window total; one finding per account.
@@ -188,88 +198,98 @@ def fan(ledger: DataFrame, role: str = "out", span: int = 10, min_distinct: int
         raise ValueError("role must be 'out' or 'in'")
     if confidence is None:
         confidence = CONFIDENCE[pattern]
-    if not _needs(ledger, acct, cpty, "step", "amount"):
-        return empty_findings(ledger.sparkSession)
-    base = ledger.select(F.col(acct).alias("acct"), F.col(cpty).alias("cpty"), "step", "amount")
+    if not _needs(ledger, acct, cpty, "step", "amount", *by):
+        return _empty(ledger, by)
+    k = [*by, "acct"]
+    base = ledger.select(*by, F.col(acct).alias("acct"), F.col(cpty).alias("cpty"), "step",
+                         "amount")
     # An account needs more than min_distinct counterparties overall.
-    cand = (base.select("acct", "cpty").distinct().groupBy("acct").count()
-            .where(F.col("count") > min_distinct).select("acct"))
-    sub = base.join(cand, "acct", "left_semi")
-    per_step = sub.groupBy("acct", "step").agg(F.sum(money("amount")).alias("step_amount"))
+    cand = (base.select(*k, "cpty").distinct().groupBy(*k).count()
+            .where(F.col("count") > min_distinct).select(*k))
+    sub = base.join(cand, k, "left_semi")
+    per_step = sub.groupBy(*k, "step").agg(F.sum(money("amount")).alias("step_amount"))
     # Distinct counterparties of the window starting at s, for every s at once: an
     # occurrence of c at step t (previous occurrence p) is the first one inside the window
     # exactly for s in [max(t - span, p + 1), t].  Those +1 ranges become +1/-1 deltas,
     # and the count at s is their running sum over the account's steps.
-    seen = sub.select("acct", "cpty", "step").distinct().withColumn(
-        "prev", F.lag("step").over(Window.partitionBy("acct", "cpty").orderBy("step")))
+    seen = sub.select(*k, "cpty", "step").distinct().withColumn(
+        "prev", F.lag("step").over(Window.partitionBy(*k, "cpty").orderBy("step")))
     first_in = F.greatest(F.col("step") - span, F.coalesce(F.col("prev") + 1, F.col("step") - span))
-    deltas = seen.select("acct", F.explode(F.array(
+    deltas = seen.select(*k, F.explode(F.array(
         F.struct(first_in.alias("s"), F.lit(1).alias("d")),
         F.struct((F.col("step") + 1).alias("s"), F.lit(-1).alias("d")))).alias("x")).select(
-        "acct", "x.s", "x.d")
-    starts = per_step.select("acct", F.col("step").alias("s"), F.lit(0).alias("d"),
+        *k, "x.s", "x.d")
+    starts = per_step.select(*k, F.col("step").alias("s"), F.lit(0).alias("d"),
                              F.lit(True).alias("is_start"))
     at = (deltas.withColumn("is_start", F.lit(False)).unionByName(starts)
-          .groupBy("acct", "s").agg(F.sum("d").alias("d"), F.bool_or("is_start").alias("is_start")))
-    running = Window.partitionBy("acct").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+          .groupBy(*k, "s").agg(F.sum("d").alias("d"), F.bool_or("is_start").alias("is_start")))
+    running = Window.partitionBy(*k).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
     counts = (at.withColumn("n", F.sum("d").over(running))
               .where(F.col("is_start") & (F.col("n") > min_distinct)))
-    first = counts.groupBy("acct").agg(F.min(F.struct("s", "n")).alias("f")).select(
-        "acct", F.col("f.s").alias("start"), F.col("f.n").alias("n"))
+    first = counts.groupBy(*k).agg(F.min(F.struct("s", "n")).alias("f")).select(
+        *k, F.col("f.s").alias("start"), F.col("f.n").alias("n"))
     window = (first.withColumn("step", F.explode(F.sequence(F.col("start"), F.col("start") + span)))
-              .join(per_step, ["acct", "step"])
-              .groupBy("acct", "start", "n")
+              .join(per_step, [*k, "step"])
+              .groupBy(*k, "start", "n")
               .agg(F.max("step").alias("step_end"), F.sum("step_amount").alias("amount")))
-    return window.select(*_finding(
+    return window.select(*by, *_finding(
         pattern, F.col("acct"), F.col("start"), F.col("step_end"), F.col("amount"), confidence,
         F.format_string(f"Fan {role} {verb} %d {noun}", F.col("n"))))
 
 
 def fan_out(ledger: DataFrame, span: int = 10, min_distinct: int = 5,
-            confidence: float = CONFIDENCE["fan_out"]) -> DataFrame:
-    return fan(ledger, "out", span, min_distinct, confidence)
+            confidence: float = CONFIDENCE["fan_out"], by: tuple[str, ...] = ()) -> DataFrame:
+    return fan(ledger, "out", span, min_distinct, confidence, by)
 
 
 def fan_in(ledger: DataFrame, span: int = 10, min_distinct: int = 5,
-           confidence: float = CONFIDENCE["fan_in"]) -> DataFrame:
-    return fan(ledger, "in", span, min_distinct, confidence)
+           confidence: float = CONFIDENCE["fan_in"], by: tuple[str, ...] = ()) -> DataFrame:
+    return fan(ledger, "in", span, min_distinct, confidence, by)
 
 
 # --------------------------------------------------------------------------- E5
-def amount_median(ledger: DataFrame) -> DataFrame:
-    """D-6: exact median of all amounts (one row, column ``median``)."""
-    return exact_median(ledger, "amount")
+def amount_median(ledger: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """D-6: exact median of all amounts (column ``median``; one row per ``by`` group)."""
+    return exact_median(ledger, "amount", by=by)
 
 
 def dormant_activation(ledger: DataFrame, max_prior: int = 3, median_factor: float = 2.0,
-                       confidence: float = CONFIDENCE["dormant_activation"]) -> DataFrame:
+                       confidence: float = CONFIDENCE["dormant_activation"],
+                       by: tuple[str, ...] = ()) -> DataFrame:
     """E5: the sender had fewer than ``max_prior`` earlier participations (either role; rows
     by step, sender before receiver) and amount > median_factor * median(all amounts).
     """
-    if not _needs(ledger, "sender_id", "receiver_id", "amount", "step", "row_id"):
-        return empty_findings(ledger.sparkSession)
-    threshold = F.lit(float(median_factor)) * amount_median(ledger).scalar()
-    parts = participations(ledger)
-    w = Window.partitionBy("account_id").orderBy("step", "row_id", "slot")
+    if not _needs(ledger, "sender_id", "receiver_id", "amount", "step", "row_id", *by):
+        return _empty(ledger, by)
+    parts = participations(ledger, extra=list(by))
+    w = Window.partitionBy(*by, "account_id").orderBy("step", "row_id", "slot")
     # Filtering on the rank itself lets Spark keep a per-task top-k before the shuffle.
     early = parts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_prior)
-    hits = early.where((F.col("slot") == 0) & (F.col("amount") > threshold))
-    return hits.select(*_finding("dormant_activation", F.col("account_id"), F.col("step"),
-                                 F.col("step"), F.col("amount"), confidence,
-                                 F.lit("Dormant account activation")))
+    early = early.where(F.col("slot") == 0)
+    if by:
+        # one median per ledger: a table with one row per group
+        early = early.join(amount_median(ledger, by), list(by))
+        threshold = F.lit(float(median_factor)) * F.col("median")
+    else:
+        threshold = F.lit(float(median_factor)) * amount_median(ledger).scalar()
+    hits = early.where(F.col("amount") > threshold)
+    return hits.select(*by, *_finding("dormant_activation", F.col("account_id"), F.col("step"),
+                                      F.col("step"), F.col("amount"), confidence,
+                                      F.lit("Dormant account activation")))
 
 
 # --------------------------------------------------------------------------- E6
 def balance_inconsistency(ledger: DataFrame, tolerance: float = 0.01,
-                          confidence: float = CONFIDENCE["balance_inconsistency"]) -> DataFrame:
-    """One dataset-level finding (account DATASET) when any sender side fails
+                          confidence: float = CONFIDENCE["balance_inconsistency"],
+                          by: tuple[str, ...] = ()) -> DataFrame:
+    """One dataset-level finding (account DATASET) per ledger when any sender side fails
     |before - after - amount| <= tolerance; nothing when all rows reconcile.
     """
-    if not _needs(ledger, "sender_balance_before", "sender_balance_after", "amount", "step"):
-        return empty_findings(ledger.sparkSession)
+    if not _needs(ledger, "sender_balance_before", "sender_balance_after", "amount", "step", *by):
+        return _empty(ledger, by)
     bad = F.abs(F.col("sender_balance_before") - F.col("sender_balance_after")
                 - F.col("amount")) > tolerance
-    agg = ledger.agg(
+    agg = ledger.groupBy(*by).agg(
         F.count_if(bad).alias("n_bad"), F.count(F.lit(1)).alias("n"),
         F.min(F.when(bad, F.col("step"))).alias("s0"), F.max(F.when(bad, F.col("step"))).alias("s1"),
         F.sum(F.when(bad, money("amount"))).alias("amt"),
@@ -278,20 +298,21 @@ def balance_inconsistency(ledger: DataFrame, tolerance: float = 0.01,
         "%d of %d transactions (%.1f%%) fail balance reconciliation - "
         "evidence-level data integrity flag",
         F.col("n_bad"), F.col("n"), F.col("n_bad") * 100.0 / F.col("n"))
-    return agg.select(*_finding("balance_inconsistency", F.lit("DATASET"), F.col("s0"), F.col("s1"),
-                                F.col("amt"), confidence, desc))
+    return agg.select(*by, *_finding("balance_inconsistency", F.lit("DATASET"), F.col("s0"),
+                                     F.col("s1"), F.col("amt"), confidence, desc))
 
 
 # --------------------------------------------------------------------------- E8
-def high_velocity(ledger: DataFrame, window: int = 10, threshold: int = 8) -> DataFrame:
+def high_velocity(ledger: DataFrame, window: int = 10, threshold: int = 8,
+                  by: tuple[str, ...] = ()) -> DataFrame:
     """Accounts (either role) with more than ``threshold`` participations inside some
     span of ``window`` consecutive steps (step_r - step_l < window).  Column ``account_id``.
     """
-    p = participations(ledger)
-    per_step = p.groupBy("account_id", "step").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("account_id").orderBy("step").rangeBetween(-(window - 1), 0)
+    p = participations(ledger, extra=list(by))
+    per_step = p.groupBy(*by, "account_id", "step").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*by, "account_id").orderBy("step").rangeBetween(-(window - 1), 0)
     return (per_step.withColumn("in_window", F.sum("c").over(w))
-            .where(F.col("in_window") > threshold).select("account_id").distinct())
+            .where(F.col("in_window") > threshold).select(*by, "account_id").distinct())
 
 
 DETECTORS = {

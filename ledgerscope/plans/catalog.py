@@ -284,3 +284,19 @@ def q_findings_payload(spark, sf_dir):
 # further registrations live next to their operators' families
 from ledgerscope.plans import analytics as _analytics  # noqa: E402,F401
 from ledgerscope.plans import casework as _casework  # noqa: E402,F401
+
+# ------------------------------------------------------------------ many ledgers in one job
+_TYPES = ["CASH_IN", "CASH_OUT", "DEBIT", "PAYMENT", "TRANSFER"]
+
+
+def _analyze_cases_sql() -> str:
+    parts = [f"SELECT '{t}' AS case_id, * FROM ({analyze_sql(where=f'tx_type = {chr(39)}{t}{chr(39)}')})"
+             for t in _TYPES]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("analyze_cases", _analyze_cases_sql())
+def q_analyze_cases(spark, sf_dir):
+    """Every transaction type as its own case, all analysed in one job (``by``)."""
+    led = L(spark, sf_dir).withColumn("case_id", F.col("tx_type"))
+    return A.analyze(led, by=("case_id",)).drop("detector_seq")

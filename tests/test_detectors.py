@@ -149,18 +149,18 @@ def random_rows(seed, n=160, accounts=6, steps=30, negative=False):
     rows = []
     for i in range(n):
         s = f"A{rng.randrange(accounts)}"
-        r = f"A{rng.randrange(accounts)}"
+        r = f"A{rng.randrange(accounts)}"  # self transfers included
         amt = float(rng.choice([0, 5, 10, 10, 20, 50, 100, 101, 98]))
         if negative and rng.random() < 0.2:
             amt = -amt
-        before = float(rng.choice([0, 100, 200, 1000]))
-        after = float(rng.choice([0, 5, 50, 150, 900]))
+        before = rng.choice([0.0, 100.0, 200.0, 1000.0, None])
+        after = rng.choice([0.0, 5.0, 50.0, 150.0, 900.0, None])
         rows.append(dict(step=rng.randrange(steps), sender_id=s, receiver_id=r, amount=amt,
                          sender_balance_before=before, sender_balance_after=after, row_id=i))
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
 @pytest.mark.parametrize("negative", [False, True])
 def test_detectors_match_row_loops(ledger, seed, negative):
     rows = random_rows(seed, negative=negative)
@@ -190,3 +190,24 @@ def test_partitioning_does_not_change_findings(ledger):
     a = sorted(map(tuple, analyze(ledger(rows, partitions=1)).collect()))
     b = sorted(map(tuple, analyze(ledger(shuffled, partitions=7)).collect()))
     assert a == b and len(a) > 0
+
+
+def test_multi_case_analyze_equals_per_case(spark, ledger):
+    from pyspark.sql import functions as F
+    rows = []
+    for c, seed in (("c1", 1), ("c2", 2), ("c3", 3)):
+        for r in random_rows(seed, n=120):
+            r = dict(r)
+            r["row_id"] = r["row_id"] + {"c1": 0, "c2": 1000, "c3": 2000}[c]
+            r["tx_type"] = c  # carries the case through the fixture schema
+            rows.append(r)
+    L = ledger(rows, partitions=4).withColumnRenamed("tx_type", "case_id")
+    together = sorted(map(tuple, analyze(L, by=("case_id",)).collect()))
+    apart = []
+    for c in ("c1", "c2", "c3"):
+        one = analyze(L.where(F.col("case_id") == c)).select(F.lit(c).alias("case_id"), "*")
+        apart += list(map(tuple, one.collect()))
+    assert together == sorted(apart) and len(together) > 10
+    meds = {r["case_id"]: r["median"] for r in D.amount_median(L, by=("case_id",)).collect()}
+    for c in ("c1", "c2", "c3"):
+        assert meds[c] == D.amount_median(L.where(F.col("case_id") == c)).collect()[0]["median"]
