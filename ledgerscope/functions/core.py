@@ -83,14 +83,14 @@ def exact_median(df: DataFrame, value: str, num_partitions: int | None = None,
         F.count(F.lit(1)).alias("c"))
     if not by:
         ranked = global_running_sum(vc, "v", ["c"], num_partitions=num_partitions)
-        n = vc.agg(F.sum("c")).scalar()
+        n = ranked.agg(F.sum("c")).scalar()  # from the materialised frame: one input pass
         k1, k2 = F.floor((n + 1) / 2), F.floor(n / 2) + 1
     else:
         # one global order over (group, value); the running count restarts per group by
         # subtracting the totals of the earlier groups (one row per group)
         ranked = global_running_sum(vc.withColumn("_k", F.struct(*by, "v")), "_k", ["c"],
                                     num_partitions=num_partitions).drop("_k")
-        tot = vc.groupBy(*by).agg(F.sum("c").alias("_n"))
+        tot = ranked.groupBy(*by).agg(F.sum("c").alias("_n"))
         before = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
         tot = tot.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         ranked = ranked.join(tot, by).withColumn("cum_c", F.col("cum_c") - F.col("_off"))

@@ -129,7 +129,7 @@ def digest_table(df: DataFrame, order_by: list[str], cols: list[str] | None = No
     l2 = _tree_level(l1, "i", "d", fanout)
     root = l2.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct("i", "d"))), lambda x: x["d"]), ""), 256).alias("sha256"))
-    n = df.agg(F.count(F.lit(1))).scalar()
+    n = ranked.agg(F.count(F.lit(1))).scalar()  # from the materialised frame
     return root.select(F.lit(label).cast("string").alias("label"), n.alias("n_rows"), "sha256")
 
 
