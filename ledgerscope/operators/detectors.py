@@ -126,16 +126,14 @@ def rapid_drain(ledger: DataFrame, max_gap: int = 5, remain: float = 0.1,
     sure = F.col("nonneg") & (F.col("amount") > 0)
     first_sure = necessary.where(sure).groupBy(*k).agg(
         F.min(F.struct("step", "row_id")).alias("fs"))
-    # Rows where the sum test can fail need the band check; only those before the first
-    # sure row of their sender can change the answer.
-    unsure = (necessary.where(~sure).join(first_sure, k, "left")
-              .where(F.col("fs").isNull() | (F.struct("step", "row_id") < F.col("fs")))
-              .select(*k, "step", "row_id", "b"))
-    sure_rows = (necessary.join(first_sure, k)
-                 .where(F.struct("step", "row_id") == F.col("fs"))
-                 .select(*k, "step", "row_id", "b"))
-    starts = sure_rows.unionByName(unsure).select(
-        *k, F.col("step").alias("i_step"), F.col("row_id").alias("i_rid"), F.col("b").alias("i_b"))
+    # Start rows: the first sure row of each sender, plus the rows where the sum test can
+    # fail that come before it (only those can change the answer); one join.
+    pos = F.struct("step", "row_id")
+    starts = (necessary.join(first_sure, k, "left")
+              .where(F.when(sure, pos == F.col("fs"))
+                     .otherwise(F.col("fs").isNull() | (pos < F.col("fs"))))
+              .select(*k, F.col("step").alias("i_step"), F.col("row_id").alias("i_rid"),
+                      F.col("b").alias("i_b")))
 
     # Band check: each start i meets the sender's rows of steps i_step .. i_step + gap.
     band = (starts.withColumn("step", F.explode(F.sequence(F.col("i_step"),
