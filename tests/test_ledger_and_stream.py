@@ -74,3 +74,29 @@ def test_streaming_ingest_once(spark):
     got = read_ingested(spark, dst)
     assert got.count() == 50
     assert set(got.columns) >= {"step", "sender_id", "row_id", "is_fraud"}
+
+
+def test_streaming_ingest_restart_is_exactly_once(spark):
+    src = tempfile.mkdtemp(prefix="ls-src-")
+    dst = tempfile.mkdtemp(prefix="ls-dst-") + "/ledger"
+    ckpt = tempfile.mkdtemp(prefix="ls-ck-") + "/c"
+    write_csv(src, "a.csv", 20)
+    ingest(spark, src, dst, checkpoint=ckpt).awaitTermination(120)
+    ingest(spark, src, dst, checkpoint=ckpt).awaitTermination(120)  # nothing new
+    assert read_ingested(spark, dst).count() == 20
+    write_csv(src, "b.csv", 30)
+    ingest(spark, src, dst, checkpoint=ckpt).awaitTermination(120)
+    assert read_ingested(spark, dst).count() == 50
+
+
+def test_parquet_raw_log(spark):
+    d = tempfile.mkdtemp(prefix="ls-csv-")
+    path = write_csv(d, "log.csv")
+    from ledgerscope.sources.ledger import read_raw
+    pq = tempfile.mkdtemp(prefix="ls-pq-") + "/raw"
+    read_raw(spark, path).drop("row_id").write.parquet(pq)
+    a = sorted(map(tuple, read_ledger(spark, path).drop("row_id").collect()))
+    b = sorted(map(tuple, read_ledger(spark, pq, fmt="parquet").drop("row_id").collect()))
+    assert a == b and len(a) == 50
+    head = [r["amount"] for r in ledger_head(read_ledger(spark, pq, fmt="parquet"), 2).collect()]
+    assert head == [100.0, 101.0]
