@@ -111,8 +111,11 @@ def rapid_drain(ledger: DataFrame, max_gap: int = 5, remain: float = 0.1,
 
     # Forward minimum of balance-after over j in [i, last row with step <= step_i + gap]:
     # (A) rows of the same step at or after i, (B) all rows of the next `gap` steps.
-    same_step = Window.partitionBy(*k, "step").orderBy("row_id").rowsBetween(
-        0, Window.unboundedFollowing)
+    # (a suffix minimum, written as a growing frame over descending row_id: Spark updates
+    # growing frames incrementally, while an unbounded-following frame is re-aggregated
+    # for every row)
+    same_step = Window.partitionBy(*k, "step").orderBy(F.col("row_id").desc()).rowsBetween(
+        Window.unboundedPreceding, 0)
     per_step = r.groupBy(*k, "step").agg(F.min("a").alias("step_min_a"))
     later = Window.partitionBy(*k).orderBy("step").rangeBetween(1, max_gap)
     later_min = per_step.select(*k, "step", F.min("step_min_a").over(later).alias("later_min_a"))
