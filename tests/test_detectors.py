@@ -211,3 +211,34 @@ def test_multi_case_analyze_equals_per_case(spark, ledger):
     meds = {r["case_id"]: r["median"] for r in D.amount_median(L, by=("case_id",)).collect()}
     for c in ("c1", "c2", "c3"):
         assert meds[c] == D.amount_median(L.where(F.col("case_id") == c)).collect()[0]["median"]
+
+
+def test_hot_account_holding_a_third_of_rows(ledger):
+    from ledgerscope.operators import features as FE
+    rng = random.Random(99)
+    rows = []
+    for i in range(1500):
+        hot = i % 3 == 0
+        s = "HOT" if hot else f"A{rng.randrange(40)}"
+        r = f"A{rng.randrange(40)}" if hot or rng.random() < 0.5 else "HOT"
+        amt = float(rng.choice([5, 10, 20, 50, 100, 101, 98]))
+        rows.append(dict(step=rng.randrange(200), sender_id=s, receiver_id=r, amount=amt,
+                         sender_balance_before=float(rng.choice([100, 200, 1000])),
+                         sender_balance_after=float(rng.choice([5, 50, 150, 900])), row_id=i))
+    L = ledger(rows, partitions=6)
+    got = sorted((r["account_id"], r["step_start"], r["step_end"], r["amount"])
+                 for r in D.rapid_drain(L).collect())
+    assert got == naive.rapid_drain(rows)
+    got = sorted((r["account_id"], r["step_start"], r["step_end"], r["amount"])
+                 for r in D.round_trip(L).collect())
+    assert got == naive.round_trip(rows)
+    for role in ("out", "in"):
+        got = sorted((r["account_id"], r["step_start"], r["step_end"], r["amount"],
+                      int(r["description"].split()[3])) for r in D.fan(L, role).collect())
+        assert got == naive.fan(rows, role)
+    got = sorted((r["account_id"], r["step_start"], r["amount"])
+                 for r in D.dormant_activation(L).collect())
+    assert got == naive.dormant(rows)
+    a = {r["row_id"]: r["amount_vs_sender_median"] for r in FE.features(L, hot_rows=100).collect()}
+    b = {r["row_id"]: r["amount_vs_sender_median"] for r in FE.features(L, hot_rows=10**6).collect()}
+    assert a == b
