@@ -429,3 +429,8 @@ def q_betweenness(spark, sf_dir):
     from ledgerscope.operators import graph as G
     led = L(spark, sf_dir)
     return G.betweenness(G.edges(led), G.vertices(led))
+
+
+@register("eval_all")
+def q_eval_all(spark, sf_dir):
+    return ML.evaluate_all(L(spark, sf_dir), scratch(spark, "models"), max_iter=200)
