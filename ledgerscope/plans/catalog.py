@@ -300,3 +300,4 @@ def q_analyze_cases(spark, sf_dir):
     """Every transaction type as its own case, all analysed in one job (``by``)."""
     led = L(spark, sf_dir).withColumn("case_id", F.col("tx_type"))
     return A.analyze(led, by=("case_id",)).drop("detector_seq")
+from ledgerscope.plans import sql_surface as _sql_surface  # noqa: E402,F401
