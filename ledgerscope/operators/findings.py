@@ -133,6 +133,31 @@ def merge_intervals(intervals: DataFrame, keys: list[str], start: str = "step_st
         F.coalesce(F.col("next_at") - 1, F.lit(_OPEN_END)).alias(end))
 
 
+def interval_join(points: DataFrame, pieces: DataFrame, keys: list[str], step: str = "step",
+                  start: str = "step_start", end: str = "step_end", how: str = "inner",
+                  width: int = 16) -> DataFrame:
+    """Join each point to the disjoint piece (``merge_intervals``) of its key that holds
+    its step.  Equi-join on (keys, step // width): a piece is listed under every bucket it
+    covers (clamped to the points' step range), and since pieces are disjoint at most
+    ``width`` of them meet a bucket, so a hot key never compares all its points with all
+    its pieces.  A point meets at most one piece: the row count never grows.
+    """
+    rng = points.agg(F.struct(F.min(step).alias("lo"), F.max(step).alias("hi"))).scalar()
+    lo_all, hi_all = rng["lo"], rng["hi"]  # one scalar subquery, evaluated once
+    p = pieces.select(*keys, F.col(start).alias("_ps"), F.col(end).alias("_pe"))
+    p = (p.withColumn("_lo", F.greatest("_ps", lo_all)).withColumn("_hi", F.least("_pe", hi_all))
+         .where(F.col("_lo") <= F.col("_hi"))
+         .withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / width),
+                                                F.floor(F.col("_hi") / width))))
+         .drop("_lo", "_hi"))
+    pts = points.withColumn("_b", F.floor(F.col(step) / width))
+    cond = [pts[k] == p[k] for k in keys] + [pts["_b"] == p["_b"],
+                                               pts[step].between(p["_ps"], p["_pe"])]
+    joined = pts.join(p, cond, how)
+    return joined.select(*[pts[c] for c in points.columns],
+                         p["_ps"].alias(start), p["_pe"].alias(end))
+
+
 def detection_rate(ledger: DataFrame, findings: DataFrame,
                    exclude: tuple[str, ...] = ("balance_inconsistency",)) -> DataFrame:
     """Share of fraud-labelled rows whose sender or receiver has a finding whose
@@ -145,8 +170,7 @@ def detection_rate(ledger: DataFrame, findings: DataFrame,
     fraud = ledger.where(F.col("is_fraud")).select("row_id", "step", "sender_id", "receiver_id")
     parties = fraud.select("row_id", "step", F.explode(F.array_distinct(
         F.array("sender_id", "receiver_id"))).alias("account_id"))
-    hit = parties.join(islands, ["account_id"]).where(
-        F.col("step").between(F.col("step_start"), F.col("step_end")))
+    hit = interval_join(parties, islands, ["account_id"])
     hits = hit.select("row_id").distinct().agg(F.count(F.lit(1))).scalar()
     return fraud.agg(F.count(F.lit(1)).alias("fraud_rows")).select(
         "fraud_rows", hits.alias("hits"),

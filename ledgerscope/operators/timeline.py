@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.core import money
-from ledgerscope.operators.findings import merge_intervals
+from ledgerscope.operators.findings import interval_join, merge_intervals
 
 # Annotation labels and narrative sentences (fixed values).
 LABEL_DRAIN = "[RAPID DRAIN]"
@@ -90,11 +90,10 @@ def annotate(events: DataFrame, findings: DataFrame) -> DataFrame:
     fr = _finding_rows(findings)
     out = events
     for name, pattern in (("_drain", "rapid_drain"), ("_dormant", "dormant_activation")):
-        isl = merge_intervals(fr.where(F.col("pattern") == pattern), ["account_id"]).select(
-            F.col("account_id").alias(f"{name}_acct"), F.col("step_start").alias(f"{name}_s"),
-            F.col("step_end").alias(f"{name}_e"))
-        out = out.join(isl, (F.col("account_id") == F.col(f"{name}_acct"))
-                       & F.col("step").between(F.col(f"{name}_s"), F.col(f"{name}_e")), "left")
+        isl = merge_intervals(fr.where(F.col("pattern") == pattern), ["account_id"])
+        out = (interval_join(out, isl, ["account_id"], how="left")
+               .withColumn(f"{name}_acct", F.when(F.col("step_start").isNotNull(), F.lit(True)))
+               .drop("step_start", "step_end"))
     drained = F.col("balance_after") < F.lit(0.01) * F.col("balance_before")
     flagged = F.col("event_type").contains("TRANSFER") & F.col("is_flagged")
     labels = F.array(

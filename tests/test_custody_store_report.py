@@ -167,3 +167,22 @@ def test_merge_intervals_pieces_are_disjoint_and_cover(spark):
         for step in list(range(0, 40)) + [big - 1]:
             covered = any(a == acc and s <= step <= e for a, s, e in rows)
             assert covered == any(s <= step <= e for s, e in ps), (acc, step)
+
+
+def test_interval_join_matches_brute_force(spark):
+    import random
+    rng = random.Random(4)
+    big = 9223372036854775807
+    iv = [("H", s, s + rng.randrange(0, 6)) for s in range(0, 300, 7)] + [("H", 400, big),
+                                                                         ("K", 5, 9)]
+    pts = [(i, "H" if i % 4 else "K", rng.randrange(0, 500)) for i in range(400)]
+    pts.append((999, "H", None))
+    pieces = FD.merge_intervals(spark.createDataFrame(
+        iv, "account_id string, step_start long, step_end long"), ["account_id"])
+    P = spark.createDataFrame(pts, "id long, account_id string, step long")
+    got = {r["id"]: r["step_start"] is not None
+           for r in FD.interval_join(P, pieces, ["account_id"], how="left").collect()}
+    assert len(got) == len(pts)  # left join, no duplication
+    for i, a, st in pts:
+        want = st is not None and any(k == a and s <= st <= e for k, s, e in iv)
+        assert got[i] == want, (i, a, st)
