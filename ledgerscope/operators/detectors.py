@@ -7,7 +7,8 @@ a group:
 
 * rapid_drain: forward minimum of balance-after from windows over (sender, step) and
   over per-step aggregates, then one bounded band check from the first candidate.
-* round_trip: equi-join on the reversed pair *and* an 11-step time bucket.
+* round_trip: equi-join on the reversed pair, an 11-step time bucket and a log-scale amount
+  bucket, so a hot pair only compares rows of similar time and amount.
 * fan_out / fan_in: distinct counterparty counts of every window from +1/-1 range deltas
   and a running sum over per-(account, step) aggregates (no per-window expansion).
 * dormant_activation: ``row_number() <= 3`` (Spark computes a per-task top-3 before the
@@ -18,6 +19,8 @@ a group:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,7 +177,22 @@ def round_trip(ledger: DataFrame, max_gap: int = 10, tolerance: float = 0.05,
         *by, F.col("receiver_id").alias("a"), F.col("sender_id").alias("b"),
         F.col("step").alias("step2"), F.col("amount").alias("amount2"),
         F.floor(F.col("step") / width).alias("bucket"))
-    pairs = leg1.join(leg2, [*by, "a", "b", "bucket"]).where(
+    keys = [*by, "a", "b", "bucket"]
+    if 0 < tolerance < 0.5:
+        # Amount buckets on a log scale: a matching amount2 lies in
+        # [amount1 * (1 - tol), amount1 * (1 + tol)], so leg 1 is listed under every bucket
+        # that range can reach (one spare bucket each side against rounding) and leg 2
+        # under its own.  A hot pair then compares only rows of similar amount; the exact
+        # test below still decides.
+        w = math.log1p(tolerance)
+        lo = F.floor(F.ln(F.col("amount1") * (1 - tolerance)) / w) - 1
+        hi = F.floor(F.ln(F.col("amount1") * (1 + tolerance)) / w) + 1
+        leg1 = leg1.withColumn("abucket", F.explode(F.sequence(lo, hi)))
+        # amount2 <= 0 can never be within tol < 1 of a positive amount1
+        leg2 = leg2.where(F.col("amount2") > 0).withColumn(
+            "abucket", F.floor(F.ln(F.col("amount2")) / w))
+        keys.append("abucket")
+    pairs = leg1.join(leg2, keys).where(
         (F.col("step2") >= F.col("step1")) & (F.col("step2") - F.col("step1") <= max_gap)
         & (F.try_divide(F.abs(F.col("amount1") - F.col("amount2")), F.col("amount1"))
            <= F.lit(tolerance)))

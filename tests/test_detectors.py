@@ -242,3 +242,15 @@ def test_hot_account_holding_a_third_of_rows(ledger):
     a = {r["row_id"]: r["amount_vs_sender_median"] for r in FE.features(L, hot_rows=100).collect()}
     b = {r["row_id"]: r["amount_vs_sender_median"] for r in FE.features(L, hot_rows=10**6).collect()}
     assert a == b
+
+
+def test_round_trip_amount_buckets_keep_tolerance_edges(ledger):
+    rows, want = [], 0
+    for i, a1 in enumerate([0.001, 1.0, 100.0, 12345.67, 1e9]):
+        for j, a2 in enumerate([a1 * 0.95, a1 * 1.05, a1 * 0.9499, a1 * 1.0501, a1]):
+            s, r = f"S{i}_{j}", f"R{i}_{j}"
+            rows.append(dict(step=1, sender_id=s, receiver_id=r, amount=a1))
+            rows.append(dict(step=3, sender_id=r, receiver_id=s, amount=a2))
+            want += abs(a1 - a2) / a1 <= 0.05
+    got = D.round_trip(ledger(rows)).count()
+    assert got == want == len(naive.round_trip(rows))
