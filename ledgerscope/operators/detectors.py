@@ -181,12 +181,12 @@ def round_trip(ledger: DataFrame, max_gap: int = 10, tolerance: float = 0.05,
     if 0 < tolerance < 0.5:
         # Amount buckets on a log scale: a matching amount2 lies in
         # [amount1 * (1 - tol), amount1 * (1 + tol)], so leg 1 is listed under every bucket
-        # that range can reach (one spare bucket each side against rounding) and leg 2
-        # under its own.  A hot pair then compares only rows of similar amount; the exact
-        # test below still decides.
-        w = math.log1p(tolerance)
-        lo = F.floor(F.ln(F.col("amount1") * (1 - tolerance)) / w) - 1
-        hi = F.floor(F.ln(F.col("amount1") * (1 + tolerance)) / w) + 1
+        # that range can reach (a 1e-9 margin in log space covers rounding; buckets are four
+        # tolerances wide, so that is at most two) and leg 2 under its own.  A hot pair then
+        # compares only rows of similar amount; the exact test below still decides.
+        w = 4 * math.log1p(tolerance)
+        lo = F.floor((F.ln(F.col("amount1") * (1 - tolerance)) - 1e-9) / w)
+        hi = F.floor((F.ln(F.col("amount1") * (1 + tolerance)) + 1e-9) / w)
         leg1 = leg1.withColumn("abucket", F.explode(F.sequence(lo, hi)))
         # amount2 <= 0 can never be within tol < 1 of a positive amount1
         leg2 = leg2.where(F.col("amount2") > 0).withColumn(
