@@ -122,8 +122,3 @@ def hmac_sha256(message: Column, key: str) -> Column:
     opad = bytes(b ^ 0x5C for b in kb)
     inner = F.unhex(F.sha2(F.concat(F.lit(ipad), F.encode(message, "UTF-8")), 256))
     return F.sha2(F.concat(F.lit(opad), inner), 256)
-
-
-def explode_range(start: Column, stop_inclusive: Column) -> Column:
-    """Explode one row into the integers ``start .. stop`` (bounded, small spans only)."""
-    return F.explode(F.sequence(start, stop_inclusive))

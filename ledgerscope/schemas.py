@@ -32,6 +32,7 @@ RENAMES = {
     "isFlaggedFraud": "is_flagged",
 }
 
+# Ledger column names in order (fixed values).
 LEDGER_COLUMNS = [
     "step", "tx_type", "amount", "sender_id", "sender_balance_before", "sender_balance_after",
     "receiver_id", "receiver_balance_before", "receiver_balance_after", "is_fraud", "is_flagged",
@@ -88,6 +89,7 @@ EVIDENCE_SCHEMA = T.StructType([
 EVENT_COLUMNS = ["account_id", "step", "event_type", "amount", "counterparty", "balance_before",
                  "balance_after", "annotation", "is_flagged"]
 
+# Feature names in model-input order (fixed values).
 FEATURE_COLUMNS = [
     "amount",
     "tx_type_CASH_IN",
