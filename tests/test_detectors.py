@@ -254,3 +254,31 @@ def test_round_trip_amount_buckets_keep_tolerance_edges(ledger):
             want += abs(a1 - a2) / a1 <= 0.05
     got = D.round_trip(ledger(rows)).count()
     assert got == want == len(naive.round_trip(rows))
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_row = st.fixed_dictionaries({
+    "step": st.integers(0, 12),
+    "sender_id": st.sampled_from(["A", "B", "C"]),
+    "receiver_id": st.sampled_from(["A", "B", "C", "D", "E", "F", "G"]),
+    "amount": st.sampled_from([-5.0, 0.0, 1.0, 10.0, 10.5, 100.0]),
+    "sender_balance_before": st.sampled_from([None, 0.0, 10.0, 100.0, 1000.0]),
+    "sender_balance_after": st.sampled_from([None, 0.0, 0.5, 5.0, 90.0]),
+})
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(_row, min_size=1, max_size=40))
+def test_property_drain_and_fan_match_row_loops(spark, rows):
+    from conftest import make_ledger
+    rows = [dict(r, row_id=i) for i, r in enumerate(rows)]
+    L = make_ledger(spark, rows, partitions=2)
+    got = sorted((r["account_id"], r["step_start"], r["step_end"], r["amount"])
+                 for r in D.rapid_drain(L).collect())
+    assert got == naive.rapid_drain(rows)
+    got = sorted((r["account_id"], r["step_start"], r["step_end"], r["amount"],
+                  int(r["description"].split()[3])) for r in D.fan(L, "out", min_distinct=2)
+                 .collect())
+    assert got == naive.fan(rows, "out", k=2)
