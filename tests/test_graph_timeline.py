@@ -148,3 +148,13 @@ def test_betweenness_matches_brandes(spark):
     est = {r["account_id"]: r["betweenness"] for r in G.betweenness(E, V, sources=len(nodes))
            .collect()}
     assert max(abs(est[v] - want[v]) for v in nodes) < 1e-12
+
+
+def test_ego_unknown_seed(spark, ledger):
+    import pytest
+    L = ledger(graph_rows())
+    E = G.edges(L)
+    seeds = spark.createDataFrame([("C61",), ("NOPE",)], "account_id string")
+    assert {r["seed"] for r in G.ego_nodes(E, seeds, depth=1).collect()} == {"C61"}
+    with pytest.raises(ValueError):
+        G.ego_nodes(E, seeds, depth=1, strict=True)
