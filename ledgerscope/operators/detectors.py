@@ -274,9 +274,13 @@ def amount_median(ledger: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def dormant_activation(ledger: DataFrame, max_prior: int = 3, median_factor: float = 2.0,
                        confidence: float = CONFIDENCE["dormant_activation"],
-                       by: tuple[str, ...] = ()) -> DataFrame:
+                       by: tuple[str, ...] = (), approx: bool = False) -> DataFrame:
     """E5: the sender had fewer than ``max_prior`` earlier participations (either role; rows
     by step, sender before receiver) and amount > median_factor * median(all amounts).
+
+    ``approx=True`` takes the median from a one-pass ``percentile_approx`` sketch (rank
+    error <= n / 1e6) instead of the exact selection; findings can then differ only for
+    amounts within that error of the threshold.
     """
     if not _needs(ledger, "sender_id", "receiver_id", "amount", "step", "row_id", *by):
         return _empty(ledger, by)
@@ -285,12 +289,17 @@ def dormant_activation(ledger: DataFrame, max_prior: int = 3, median_factor: flo
     # Filtering on the rank itself lets Spark keep a per-task top-k before the shuffle.
     early = parts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_prior)
     early = early.where(F.col("slot") == 0)
+    if approx:
+        med = ledger.groupBy(*by).agg(
+            F.percentile_approx("amount", 0.5, 1000000).cast("double").alias("median"))
+    else:
+        med = amount_median(ledger, by)
     if by:
         # one median per ledger: a table with one row per group
-        early = early.join(amount_median(ledger, by), list(by))
+        early = early.join(med, list(by))
         threshold = F.lit(float(median_factor)) * F.col("median")
     else:
-        threshold = F.lit(float(median_factor)) * amount_median(ledger).scalar()
+        threshold = F.lit(float(median_factor)) * med.scalar()
     hits = early.where(F.col("amount") > threshold)
     return hits.select(*by, *_finding("dormant_activation", F.col("account_id"), F.col("step"),
                                       F.col("step"), F.col("amount"), confidence,
