@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerscope.functions.core import canonical_json, global_running_sum, hmac_sha256
+from ledgerscope.session import ship_package
 
 CHUNK = 4 * 1024 * 1024
 
@@ -74,6 +75,7 @@ def digest_files(paths: DataFrame) -> DataFrame:
     ``exists = false`` and NULL digests.
     """
     spark = paths.sparkSession
+    ship_package(spark)  # the hashing runs in Python workers
     n = max(1, spark.sparkContext.defaultParallelism)
     distinct = paths.select("path").distinct().repartition(n)
     dig = distinct.mapInPandas(_digest_partition, FILE_DIGEST_SCHEMA)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.schemas import FEATURE_COLUMNS, TX_TYPES
+from ledgerscope.session import ship_package
 
 
 def _prior_count(df: DataFrame, key: str) -> DataFrame:
@@ -88,6 +89,7 @@ def _historical_median(f: DataFrame, hot_rows: int) -> DataFrame:
     hist = Window.partitionBy("sender_id").orderBy("step", "row_id").rowsBetween(
         Window.unboundedPreceding, -1)
     cold = cold.withColumn("historical_median", F.percentile(F.col("amount"), 0.5).over(hist))
+    ship_package(f.sparkSession)  # the running median runs in Python workers
     hot = _prior_count(f.where(F.col("_n") > hot_rows), "sender_id")
     med = (hot.select("sender_id", F.col("sender_id_prior").alias("pos"), "amount")
            .groupBy("sender_id").applyInPandas(

@@ -47,3 +47,41 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="ledgerscope-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ledgerscope`` importable in Python workers, once per application.
+
+    Operators that run Python tasks (file hashing, the large-sender running median) call
+    this.  When the package is installed or on PYTHONPATH nothing happens; otherwise the
+    package is zipped and handed to ``SparkContext.addPyFile``, which Spark distributes to
+    every executor (the programmatic form of ``--py-files``).
+    """
+    import site
+    import sys
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    parent = os.path.dirname(pkg)
+    visible = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    visible += list(site.getsitepackages()) + [site.getusersitepackages()]
+    if any(os.path.abspath(p) == parent for p in visible):
+        _SHIPPED.add(sc.applicationId)
+        return
+    out = os.path.join(tempfile.mkdtemp(prefix="ledgerscope-pyfiles-"), "ledgerscope.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, parent))
+    sc.addPyFile(out)
+    if out not in sys.path:
+        sys.path.append(out)  # harmless on the driver; keeps imports consistent
+    _SHIPPED.add(sc.applicationId)
