@@ -186,3 +186,30 @@ def test_interval_join_matches_brute_force(spark):
     for i, a, st in pts:
         want = st is not None and any(k == a and s <= st <= e for k, s, e in iv)
         assert got[i] == want, (i, a, st)
+
+
+def test_report_tables_written(spark, ledger):
+    from ledgerscope.operators.analyze import analyze, to_payload
+    rows = [dict(step=i % 9, sender_id=f"A{i % 5}", receiver_id=f"B{i % 7}", amount=10.0 + i,
+                 sender_balance_before=100.0, sender_balance_after=1.0) for i in range(60)]
+    L = ledger(rows)
+    findings = to_payload(analyze(L), "c1")
+    d = tempfile.mkdtemp(prefix="ls-rep-")
+    a = write(d, "a.txt", b"x")
+    items = K.manifest_items(K.digest_files(spark.createDataFrame(
+        [(a, 1, "c1")], "path string, seq int, case_id string")))
+    cases = spark.createDataFrame([("c1", "n", "inv", "open")],
+                                  "id string, name string, investigator string, status string")
+    man = K.finalize(items, cases)
+    tables = R.report_tables(L, findings, cases, man, items, key="k")
+    out = tempfile.mkdtemp(prefix="ls-repout-") + "/r"
+    R.write_report(tables, out)
+    assert sorted(os.listdir(out)) == sorted(["cover", "summary", "evidence", "findings",
+                                              "timelines", "custody", "signature"])
+    summary = spark.read.parquet(out + "/summary").collect()[0]["narrative"]
+    assert summary.startswith("The forensic analysis of account ")
+    sig = spark.read.parquet(out + "/signature").collect()[0]
+    want = hmac.new(b"k", ('{"case_id":"c1","custody_hash":"%s","generated_at":"%s"}'
+                           % (sig["custody_hash"], sig["generated_at"])).encode(),
+                    hashlib.sha256).hexdigest()
+    assert sig["signature"] == want

@@ -133,3 +133,22 @@ def test_hot_sender_median_path_equals_window_path(ledger):
     hot = {r["row_id"]: r["amount_vs_sender_median"] for r in FE.features(L, hot_rows=10).collect()}
     assert cold.keys() == hot.keys()
     assert all((cold[k] is None and hot[k] is None) or cold[k] == hot[k] for k in cold)
+
+
+def test_evaluate_all_writes_models_and_metrics(spark, ledger):
+    import os
+    import tempfile
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        fraud = i % 20 == 0
+        rows.append(dict(step=rng.randrange(50), sender_id=f"S{rng.randrange(30)}",
+                         receiver_id=f"R{rng.randrange(30)}", amount=5000.0 if fraud else 10.0 + i,
+                         sender_balance_before=5000.0 if fraud else 1000.0,
+                         sender_balance_after=0.0 if fraud else 900.0, is_fraud=fraud))
+    out = tempfile.mkdtemp(prefix="ls-eval-")
+    m = {r["model"]: r for r in ML.evaluate_all(ledger(rows), out, max_iter=50).collect()}
+    assert set(m) == {"logistic", "random_forest", "gbt"}
+    assert all(0.0 <= r["roc_auc"] <= 1.0 for r in m.values())
+    assert set(os.listdir(out)) >= {"logistic_model", "random_forest_model", "gbt_model", "metrics"}
+    assert len(spark.read.json(out + "/metrics").collect()) == 3
