@@ -208,6 +208,10 @@ def test_multi_case_analyze_equals_per_case(spark, ledger):
         one = analyze(L.where(F.col("case_id") == c)).select(F.lit(c).alias("case_id"), "*")
         apart += list(map(tuple, one.collect()))
     assert together == sorted(apart) and len(together) > 10
+    vel = sorted(map(tuple, D.high_velocity(L, 5, 4, by=("case_id",)).collect()))
+    vel_apart = sorted((c, r["account_id"]) for c in ("c1", "c2", "c3")
+                       for r in D.high_velocity(L.where(F.col("case_id") == c), 5, 4).collect())
+    assert vel == vel_apart and len(vel) > 0
     meds = {r["case_id"]: r["median"] for r in D.amount_median(L, by=("case_id",)).collect()}
     for c in ("c1", "c2", "c3"):
         assert meds[c] == D.amount_median(L.where(F.col("case_id") == c)).collect()[0]["median"]
