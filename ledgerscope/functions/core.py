@@ -55,13 +55,16 @@ def global_running_sum(df: DataFrame, order_col: str, value_cols: list[str],
     broadcast); the running sum inside a partition is a window over that
     partition only.
     """
-    n = _partitions(df, num_partitions)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     # The range bounds are sampled from the input, whose row order after a shuffle is not
     # fixed; the partitioned frame is read twice (totals, sums), so it is materialised once
     # in the shared checkpoint folder (reliable, cuts lineage, survives executor loss).
+    # Without an explicit count AQE may merge neighbouring ranges, which keeps the
+    # partition ids in key order.
     checkpoint_dir(df.sparkSession)
-    r = df.repartitionByRange(n, order).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    ranged = (df.repartitionByRange(num_partitions, order) if num_partitions
+              else df.repartitionByRange(order))
+    r = ranged.withColumn("_pid", F.spark_partition_id()).checkpoint()
     per = r.groupBy("_pid").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = per.select("_pid", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}")
