@@ -41,3 +41,24 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                       "n_repeat_words", "base_failed", "kept")
+
+
+@register("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerscope.llm.common import held_out
+    from ledgerscope.llm.toxicity import fit_on, score_documents
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", held_out("doc_id", 5, 0).alias("held_out"))
+    crf = fit_on(docs.withColumn("learn", ~F.col("held_out")), table(spark, sf_dir, "labels"))
+    return score_documents(docs, crf, ("doc_id", "held_out")).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
+@register("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerscope.llm.common import held_out
+    from ledgerscope.llm.langid import identify, training_passages
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", held_out("doc_id", 3, 1).alias("held_out"))
+    passages = training_passages(docs.withColumn("learn", ~F.col("held_out")))
+    return identify(docs, passages, ("doc_id", "held_out"))
