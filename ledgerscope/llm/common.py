@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +45,16 @@ def held_out(doc_id: str | Column, buckets: int, bucket: int) -> Column:
     held out (nothing can be learned from a row without a key)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % buckets == bucket, F.lit(True))
+
+
+def blocks(texts: list[str], most: int) -> Iterator[list[int]]:
+    """Row numbers in runs of at most ``most`` code points (or one text)."""
+    run, size = [], 0
+    for i, t in enumerate(texts):
+        if run and size + len(t) > most:
+            yield run
+            run, size = [], 0
+        run.append(i)
+        size += len(t)
+    if run:
+        yield run

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import ship_package
+from ledgerscope.llm.common import blocks, ship_package
 
 SEGMENT = 512            # symbols parsed in one lane
 BLOCK = 3_000_000        # code points handled at once
@@ -180,19 +180,6 @@ def model_of(passages: dict[str, list[str]]) -> Model:
     return _MODELS[key]
 
 
-def blocks(texts: list[str], most: int = BLOCK) -> Iterator[list[int]]:
-    """Row numbers in runs of at most ``most`` code points (or one text)."""
-    run, size = [], 0
-    for i, t in enumerate(texts):
-        if run and size + len(t) > most:
-            yield run
-            run, size = [], 0
-        run.append(i)
-        size += len(t)
-    if run:
-        yield run
-
-
 def training_passages(docs: DataFrame, docs_per_lang: int = 96,
                       passage_chars: int = 256) -> dict[str, list[str]]:
     """At most ``docs_per_lang`` passages per language, from the learnable rows (column
@@ -222,7 +209,7 @@ def identify(docs: DataFrame, passages: dict[str, list[str]], keep: tuple[str, .
         for b in batches:
             texts = b.pop("_text").tolist()
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            for rows in blocks(texts):
+            for rows in blocks(texts, BLOCK):
                 names, parts = model.predict([texts[i] for i in rows])
                 lang[rows[0]:rows[-1] + 1], score[rows[0]:rows[-1] + 1] = names, parts
             yield b.assign(lang_pred=lang, score=score)

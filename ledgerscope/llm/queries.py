@@ -62,3 +62,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", "lang", held_out("doc_id", 3, 1).alias("held_out"))
     passages = training_passages(docs.withColumn("learn", ~F.col("held_out")))
     return identify(docs, passages, ("doc_id", "held_out"))
+
+
+@register("op1_packing")
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerscope.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset")
