@@ -120,3 +120,25 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(length(piece))::BIGINT AS formatted_chars
 FROM f GROUP BY conv_id
 """
+
+MERKLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+o AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), first(text) OVER (ORDER BY doc_id)) AS nxt FROM d),
+e AS (SELECT doc_id, text, nxt, length(text)::BIGINT AS n, substring(text, 1, length(text) - length(text) // 4)
+             || substring(nxt, 1, length(text) // 4) AS edited FROM o),
+t AS (SELECT doc_id, 0 AS v, text AS x FROM e UNION ALL SELECT doc_id, 1, edited FROM e UNION ALL SELECT doc_id, 2, nxt FROM e),
+f AS (SELECT doc_id, v,
+        list_transform(regexp_extract_all(x, '[^\n.!?]{1,96}[.!?\n\s]*|[.!?\n\s]+'), lambda p: sha256(p)[1:12]) AS ps,
+        sha256(array_to_string(list_transform(regexp_split_to_array(x, '\n[ \t]*\n\s*'), lambda s:
+          sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), '')
+          || sha256(regexp_replace(x, '[^\s]+', '.', 'g'))) AS root FROM t),
+g AS (SELECT doc_id, v, list_distinct(ps) AS s, root || ':' || array_to_string(ps, '') AS fp FROM f)
+SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, a.fp AS fingerprint,
+  b.fp AS edited_fingerprint,
+  CASE WHEN a.fp = b.fp THEN 1.0::DOUBLE WHEN len(a.s) + len(b.s) = 0 THEN 0.0::DOUBLE
+       ELSE 2.0::DOUBLE * len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s)) END AS near_edited,
+  CASE WHEN a.fp = c.fp THEN 1.0::DOUBLE WHEN len(a.s) + len(c.s) = 0 THEN 0.0::DOUBLE
+       ELSE 2.0::DOUBLE * len(list_intersect(a.s, c.s)) / (len(a.s) + len(c.s)) END AS near_next
+FROM e JOIN g a ON a.doc_id = e.doc_id AND a.v = 0 JOIN g b ON b.doc_id = e.doc_id AND b.v = 1
+       JOIN g c ON c.doc_id = e.doc_id AND c.v = 2
+"""

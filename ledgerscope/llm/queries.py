@@ -92,3 +92,9 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = rows.unionByName(extra).select("conv_id", "turn", "role",
                                            text_part(F.col("text")).alias("content"))
     return read_back(format_chats(chats))
+
+
+@register("op6_merkle", SQL.MERKLE)
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerscope.llm.merkle import edited_fingerprints
+    return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
