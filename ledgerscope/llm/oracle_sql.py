@@ -142,3 +142,41 @@ SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, a.fp AS fing
 FROM e JOIN g a ON a.doc_id = e.doc_id AND a.v = 0 JOIN g b ON b.doc_id = e.doc_id AND b.v = 1
        JOIN g c ON c.doc_id = e.doc_id AND c.v = 2
 """
+
+MIXING = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS src, coalesce(text, '') AS text FROM documents),
+u AS (SELECT doc_id, source, src, text, count(*) AS copies, (length(text) + 1) * count(*) AS size
+      FROM d GROUP BY doc_id, source, src, text),
+r AS (SELECT *, sum(size) OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, text) - size AS begin_at FROM u),
+tot AS (SELECT src, sum(size)::BIGINT AS total FROM u GROUP BY src),
+per AS (SELECT greatest(1000, 4 * count(*))::BIGINT AS cycle, count(*) AS n_src FROM tot),
+sh AS (SELECT src, round(pow(total::DOUBLE, 0.9) / sum(pow(total::DOUBLE, 0.9)) OVER () * (cycle - n_src), 6) AS share,
+              cycle - n_src AS spare FROM tot, per),
+quo AS (SELECT src, row_number() OVER (ORDER BY src) AS idx,
+          (1 + floor(share) + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, src)
+             <= spare - sum(floor(share)) OVER () THEN 1 ELSE 0 END)::BIGINT AS q FROM sh),
+qs AS (SELECT list(q ORDER BY idx) AS q, cycle, n_src FROM quo, per GROUP BY cycle, n_src),
+edf(t, served, pick) AS (
+  SELECT 0::BIGINT, list_transform(q, lambda x: 0::BIGINT), 0::BIGINT FROM qs
+  UNION ALL
+  SELECT t + 1, list_transform(served, lambda n, i: CASE WHEN i = c % 1000000 THEN n + 1 ELSE n END), c % 1000000
+  FROM (SELECT t, served, list_min(list_filter(list_transform(range(1, n_src + 1), lambda i:
+           CASE WHEN served[i] * cycle // q[i] <= t
+             THEN ((served[i] + 1) * cycle + q[i] - 1) // q[i] * 1000000 + i END), lambda x: x IS NOT NULL)) AS c
+        FROM edf, qs WHERE t < cycle)),
+plan AS (SELECT src, q, row_number() OVER (PARTITION BY src ORDER BY t) AS j, t - 1 AS slot
+         FROM edf JOIN quo ON quo.idx = edf.pick),
+s AS (SELECT tot.src, q, ceil(total / 8192.0)::BIGINT AS nb FROM tot JOIN quo USING (src)),
+fin AS (SELECT max((nb - 1) // s.q * cycle + slot) AS last
+        FROM s JOIN plan ON plan.src = s.src AND plan.j = (nb - 1) % s.q + 1, per),
+pl AS (SELECT r.*, s.q, nb, (begin_at // 8192)::BIGINT AS k FROM r JOIN s USING (src)),
+e AS (SELECT *, unnest(range(1, 5)) AS epoch FROM pl),
+b AS (SELECT *, k + (epoch - 1) * nb AS b FROM e),
+o AS (SELECT b.*, b.b // b.q * cycle AS base, b.b % b.q + 1 AS j, cycle FROM b, per)
+SELECT doc_id, source, unnest(range(1, copies + 1))::BIGINT AS copy, epoch::BIGINT AS epoch, o.b + 1 AS block,
+       (base + (o.j - 1) * cycle // o.q)::BIGINT AS release,
+       (base + (o.j * cycle + o.q - 1) // o.q)::BIGINT AS deadline, (base + plan.slot)::BIGINT AS slot
+FROM o JOIN plan ON plan.src = o.src AND plan.j = o.j, fin
+WHERE base + plan.slot <= last
+"""

@@ -98,3 +98,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerscope.llm.merkle import edited_fingerprints
     return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op9_pfair_mixing", SQL.MIXING)
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of every epoch with its window and slot."""
+    from ledgerscope.llm.mixing import mix
+    out = mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
+                      .alias("copy"), "epoch", "block", "release", "deadline", "slot")
