@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.core import global_running_sum
-from ledgerscope.llm.common import text_or_empty
+from ledgerscope.llm.common import checkpointed, text_or_empty
 
 PIECE, DIGITS = 96, 12
 _SECTION_END = r"\n[ \t]*\n\s*"
@@ -91,45 +91,52 @@ def locate_edits(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFra
             .select(*pick, F.col("a.digest").alias("old_digest"), F.col("b.digest").alias("new_digest")))
 
 
+def row_key(key: Column) -> Column:
+    """A key that is never NULL, so that plain equality joins serve NULL ids as well."""
+    return F.coalesce(F.concat(F.lit("i"), key.cast("string")), F.lit("n"))
+
+
 def following(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, prev, n_chars``: for every distinct id the id before it (the last for the first) and
-    the longest text that a row of that id before it has.
+    """``k, id, prev, prev_n``: for every distinct id (``k`` its row key) the row key of the id before
+    it (of the last for the first) and the length of that id's longest text.
 
     Ids get their rank from a range-partitioned running count; consecutive ranks are then an
     equi-join, so no task sees more than its range.  Narrow rows only.
     """
     ids = (docs.select(F.col(key).alias("id"), F.length(text_or_empty("text")).alias("n"))
-           .groupBy("id").agg(F.max("n").alias("n"), F.lit(1).alias("one"),
-                              F.max(F.struct(F.col("id").isNotNull(), F.col("id"))).alias("order")))
-    ranked = global_running_sum(ids, "order", ["one"], prefix="rank_").select("id", "n", "rank_one")
+           .groupBy("id").agg(F.max("n").alias("n"), F.lit(1).alias("one"))
+           .withColumn("order", F.struct(F.col("id").isNotNull(), "id")))
+    ranked = global_running_sum(ids, "order", ["one"], prefix="rank_")
+    ranked = checkpointed(ranked.select("id", row_key(F.col("id")).alias("k"), "n", "rank_one"))
     last = ranked.agg(F.max("rank_one")).scalar()
     after = ranked.select(
-        F.col("id").alias("prev"), F.col("n").alias("prev_n"),
+        F.col("k").alias("prev"), F.col("n").alias("prev_n"),
         F.when(F.col("rank_one") == last, F.lit(1).cast("long"))
         .otherwise(F.col("rank_one") + 1).alias("rank_one"))
-    return ranked.join(after, "rank_one").select(F.col("id").alias("id"), "prev", "prev_n")
+    return checkpointed(ranked.join(after, "rank_one").select("k", "id", "prev", "prev_n"))
 
 
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Every document's fingerprint, that of its edited text (the last quarter replaced by as much
     of the next document), and their likenesses.
 
-    The texts are shuffled once, by id: that exchange serves both the documents and, as their
+    The texts are shuffled once, by row key: one exchange serves both the documents and, as their
     predecessors' next documents, the messages (the opening that the predecessor needs and a
-    fingerprint), which are the only other rows that move.
+    fingerprint), which are the only other wide rows that move.
     """
-    base = docs.select(F.col(key).alias("id"), text_or_empty("text").alias("text"))
-    ids = following(docs, key).select(F.col("id").alias("_id"), "prev", "prev_n")
-    by_id = base.join(ids, F.col("id").eqNullSafe(F.col("_id"))).drop("_id")
-    own = by_id.withColumn("fp", fingerprint(F.col("text")))
-    w = Window.partitionBy("id").orderBy("text")
-    message = (own.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-               .select(F.col("prev").alias("to"), F.col("fp").alias("next_fp"),
+    ids = following(docs, key)
+    base = docs.select(row_key(F.col(key)).alias("k"), text_or_empty("text").alias("text"))
+    # a running count, as a rank filter would be applied before the exchange too and make it a
+    # second one
+    w = Window.partitionBy("k").orderBy("text").rowsBetween(Window.unboundedPreceding, 0)
+    message = (base.withColumn("_r", F.count(F.lit(1)).over(w)).where(F.col("_r") == 1)
+               .join(ids.select("k", "prev", "prev_n"), "k")
+               .select(F.col("prev").alias("k"), fingerprint(F.col("text")).alias("next_fp"),
                        F.expr("substring(text, 1, cast(floor(prev_n / 4) as int))").alias("opening")))
-    j = own.join(message, F.col("id").eqNullSafe(F.col("to"))).drop("to")
+    j = base.join(message, "k").join(ids.select("k", "id"), "k")
     n = F.length("text")
     q = F.floor(n / 4).cast("int")
-    j = j.select("id", n.cast("long").alias("n_chars"), "fp", "next_fp",
+    j = j.select("id", n.cast("long").alias("n_chars"), fingerprint(F.col("text")).alias("fp"), "next_fp",
                  F.concat(F.col("text").substr(F.lit(1), n - q), F.col("opening").substr(F.lit(1), q))
                  .alias("edited"))
     j = j.withColumn("edited_fp", fingerprint(F.col("edited")))
@@ -137,4 +144,3 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                     F.col("fp").alias("fingerprint"), F.col("edited_fp").alias("edited_fingerprint"),
                     likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
                     likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
-
