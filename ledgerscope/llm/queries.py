@@ -107,3 +107,11 @@ def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
                       .alias("copy"), "epoch", "block", "release", "deadline", "slot")
+
+
+@register("op5_bagminhash")
+def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near-duplicates (five words, similarity 0.8)."""
+    from ledgerscope.llm.neardup import near_duplicates
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs).select("doc_id", "class_id")
