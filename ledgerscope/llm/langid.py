@@ -27,7 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,15 +204,18 @@ def identify(docs: DataFrame, passages: dict[str, list[str]], keep: tuple[str, .
     ship_package(docs.sparkSession)
     src = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = src.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(passages)
         for b in batches:
-            texts = b.pop("_text").tolist()
-            lang, score = ["und"] * len(texts), [0.0] * len(texts)
+            texts = b.column(b.num_columns - 1).to_pylist()
+            lang, score = [], []
             for rows in blocks(texts, BLOCK):
                 names, parts = model.predict([texts[i] for i in rows])
-                lang[rows[0]:rows[-1] + 1], score[rows[0]:rows[-1] + 1] = names, parts
-            yield b.assign(lang_pred=lang, score=score)
+                lang += names
+                score += parts
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema.names)
 
-    schema = src.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return src.mapInPandas(run, schema)
+    return src.mapInArrow(run, schema)

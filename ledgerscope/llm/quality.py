@@ -185,29 +185,51 @@ def choose_cutoffs(counts: DataFrame, alpha: float = 0.05, delta: float = 0.05,
             .agg(best.alias("b")).select("stratum", "rule", "b.cutoff", "b.p_value"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = ("doc_id",),
-                  alpha: float = 0.05, delta: float = 0.05, cost: float = 4.0) -> DataFrame:
-    """Every document with its base counts, ``base_failed``, the name of the first calibrated
-    rule it breaks (``broken_rule``) and ``kept``.
-
-    The counts are materialised once (a narrow table in the shared checkpoint folder), since
-    both the calibration and the verdicts read them.
-    """
-    cols = list(dict.fromkeys(["doc_id", *keep]))
-    src = docs.select(*cols, "text", stratum(F.col("lang")).alias("stratum"))
-    m = checkpointed(base_metrics(src, [*cols, "stratum"]))
-    m = m.withColumn("base_failed", base_failed())
-    for name, c in measures().items():
-        m = m.withColumn(name, c)
+def calibrate(metrics: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05,
+              cost: float = 4.0) -> DataFrame:
+    """One row per stratum: ``stratum`` and ``_c_<rule>``, the chosen cutoff of each rule (NULL:
+    none).  At most len(STRATA) + 1 rows.  ``metrics``: doc_id, stratum and the base counts."""
     good = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
             .groupBy("doc_id").agg((F.max("quality") >= 1).alias("good")))
-    labelled = (m.where(~F.col("base_failed")).select("doc_id", "stratum", *LADDERS)
-                .join(good, "doc_id").select("stratum", "good", *LADDERS))
+    m = metrics.where(~base_failed()).select("doc_id", "stratum", *[c.alias(r) for r, c in measures().items()])
+    labelled = m.join(good, "doc_id").select("stratum", "good", *LADDERS)
     chosen = choose_cutoffs(ladder_counts(labelled), alpha, delta, cost)
-    # one row per stratum: at most len(STRATA) + 1 rows of len(LADDERS) doubles
-    wide = chosen.groupBy("stratum").agg(*[
+    return chosen.groupBy("stratum").agg(*[
         F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_c_{r}") for r in LADDERS])
-    j = m.join(F.broadcast(wide), "stratum", "left")
-    broken = F.coalesce(*[F.when(F.col(r) > F.col(f"_c_{r}"), F.lit(r)) for r in LADDERS])
-    return j.select(*cols, *BASE, "base_failed", F.when(~F.col("base_failed"), broken)
-                    .alias("broken_rule"), (~F.col("base_failed") & broken.isNull()).alias("kept"))
+
+
+def verdicts(metrics: DataFrame, cutoffs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep`` columns, the base counts, ``base_failed``, the first calibrated rule that is broken
+    (``broken_rule``) and ``kept``.  ``cutoffs`` has one row per stratum of a closed list."""
+    j = metrics.join(F.broadcast(cutoffs), "stratum", "left")
+    broken = F.coalesce(*[F.when(c > F.col(f"_c_{r}"), F.lit(r)) for r, c in measures().items()])
+    out = j.select(*keep, *BASE, base_failed().alias("base_failed"), broken.alias("_broken"))
+    return out.select(*keep, *BASE, "base_failed",
+                      F.when(~F.col("base_failed"), F.col("_broken")).alias("broken_rule"),
+                      (~F.col("base_failed") & F.col("_broken").isNull()).alias("kept"))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
+    """``doc_id`` of every document with its counts and verdict.
+
+    The counts are materialised once (a narrow table in the shared checkpoint folder), since
+    both the calibration and the verdicts read them.
+    """
+    src = docs.select("doc_id", "text", stratum(F.col("lang")).alias("stratum"))
+    m = checkpointed(base_metrics(src, ["doc_id", "stratum"]))
+    return verdicts(m, checkpointed(calibrate(m, labels, **risk)), ["doc_id"])
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
+    """The rows of ``docs`` (same columns) that the rules keep.
+
+    The counts of the calibration and of the verdicts are made in a pass each: counting twice
+    costs less than shuffling the texts to meet their verdicts.
+    """
+    strat = stratum(F.col("lang")).alias("stratum")
+    m = base_metrics(docs.select("doc_id", "text", strat), ["doc_id", "stratum"])
+    cutoffs = checkpointed(calibrate(m, labels, **risk))
+    # the row travels as one struct, so its columns can't clash with the counts
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", strat)
+    out = verdicts(base_metrics(src, ["_row", "stratum"]), cutoffs, ["_row"])
+    return out.where("kept").select("_row.*")

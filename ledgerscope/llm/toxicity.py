@@ -29,7 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -362,19 +362,30 @@ def score_documents(docs: DataFrame, crf: Crf, keep: tuple[str, ...] = ("doc_id"
     src = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
     schema = (src.select(*keep).schema.add("score", "double").add("predicted", "integer")
               .add("spans", SPANS))
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             score, spans = [], []
-            for text in b.pop("_text"):
+            for text in b.column(b.num_columns - 1).to_pylist():
                 at, p = crf.marginals(WORD.findall(text))
                 score.append(crf.score(p))
                 spans.append([{"start": s, "end": e, "p": q} for s, e, q in spans_of(text, at, p)])
-            yield b.assign(score=score, predicted=[int(s >= 0.5) for s in score], spans=spans)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], pa.array(score, pa.float64()),
+                 pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array(spans, span)], schema.names)
 
-    return src.mapInPandas(run, schema)
+    return src.mapInArrow(run, schema)
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, **bounds) -> Crf:
     """The model from the learnable rows of ``docs`` (column ``learn``)."""
     return fit(*training_sample(docs, labels, **bounds))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
+    """The rows of ``docs`` (same columns) that aren't predicted toxic by a model fitted on its
+    labelled rows."""
+    crf = fit_on(docs.select("doc_id", "text", F.lit(True).alias("learn")), labels, **bounds)
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    return score_documents(src, crf, ("_row",)).where(F.col("predicted") == 0).select("_row.*")
