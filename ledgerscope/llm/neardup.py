@@ -10,10 +10,11 @@ of their multisets is at least ``threshold``; classes are the connected componen
    (1 - 0.8^5)^25 = 5e-5.
 3. Within a bucket no all-pairs list is made.  The bucket's most central member (the one that
    shares the most bucket seats) is its pivot, and every member is compared with it.
-4. That leaves pairs of a bucket that aren't linked to a common pivot.  They are joined under the
-   condition that they have different pivots and that four bits of each component's value agree as
-   often as linked texts' do (``least_match``; a linked pair fails with probability below 1e-4), so
-   only likely links come out of the join.
+4. That leaves pairs of a bucket that the links so far don't connect.  They are joined under the
+   condition that they are in different components and that the two-bit sketches of FINE further
+   components agree as often as linked texts' do (``least_match``: an estimate of 0.75; a linked
+   pair fails it with probability 2e-4, one of similarity 0.7 passes with 0.4 %), so only
+   likely links come out of the join.
 5. All candidate pairs are verified on the whole multisets (the k-th copy of a shingle is an
    element of its own, so the overlap of multisets is the overlap of sets).
 6. Connected components by repeated minimum labels with shortcuts, checkpointed each round.
@@ -42,8 +43,9 @@ from ledgerscope.llm.common import checkpointed, ship_package, text_or_empty
 from ledgerscope.llm.url_filter import bloom_blocks, possible_hits
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 25, 5, 0.8
-SKETCH_LONGS = math.ceil(BANDS * ROWS / 16)        # sixteen 4-bit values in a long
-WORDS_AT_ONCE, DOCS_AT_ONCE = 2_000_000, 4096
+FINE = 1024                                        # components of the sketches
+SKETCH_LONGS = FINE // 32                          # thirty-two 2-bit values in a long
+WORDS_AT_ONCE, DOCS_AT_ONCE = 400_000, 1024
 _P = np.uint64(0x100000001B3)
 _LOW = np.uint64(52)                               # bits of a shingle's hash
 
@@ -85,20 +87,22 @@ def multisets(doc: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndar
     return doc[at], shingle[at], np.diff(np.append(at, len(doc)))
 
 
-def bands_and_sketches(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """([docs, BANDS] bucket hashes, [docs, SKETCH_LONGS] packed 4-bit values)."""
+def bands(sig: np.ndarray) -> np.ndarray:
+    """[docs, BANDS] bucket hashes of signatures of BANDS x ROWS components."""
     bits = sig.view(np.uint64)
     band = np.zeros((len(sig), BANDS), np.uint64)
     for r in range(ROWS):
         band = bagminhash.mix(band ^ bits[:, r::ROWS])
-    band = bagminhash.mix(band + np.arange(BANDS, dtype=np.uint64))
-    four = bagminhash.mix(bits) >> np.uint64(60)
-    full = np.zeros((len(sig), SKETCH_LONGS * 16), np.uint64)
-    full[:, :four.shape[1]] = four
-    sketch = np.zeros((len(sig), SKETCH_LONGS), np.uint64)
-    for i in range(16):
-        sketch |= full[:, i::16] << np.uint64(4 * i)
-    return band.view(np.int64), sketch.view(np.int64)
+    return bagminhash.mix(band + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """[docs, SKETCH_LONGS] packed 2-bit hashes of signatures of FINE components."""
+    two = bagminhash.mix(sig.view(np.uint64)) >> np.uint64(62)
+    out = np.zeros((len(sig), SKETCH_LONGS), np.uint64)
+    for i in range(32):
+        out |= two[:, i::32] << np.uint64(2 * i)
+    return out.view(np.int64)
 
 
 def _runs(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -123,13 +127,12 @@ def _list_array(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``doc_id, node, bands, sketch`` per row; texts without a word have empty arrays."""
+    """``doc_id, node, bands`` per row; texts without a word have no bands."""
     ship_package(docs.sparkSession)
     t = text_or_empty("text")
     src = docs.select("doc_id", node_of(t).alias("node"), word_hashes(t).alias("words"))
-    longs = T.ArrayType(T.LongType())
     schema = T.StructType([src.schema["doc_id"], T.StructField("node", T.LongType()),
-                           T.StructField("bands", longs), T.StructField("sketch", longs)])
+                           T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,20 +141,18 @@ def signed(docs: DataFrame) -> DataFrame:
                 o = offsets[lo:hi + 1]
                 d, s, c = multisets(*shingles(values[o[0]:o[-1]], o))
                 sig = bagminhash.signatures(d, s, c, hi - lo, BANDS * ROWS)
-                band, sketch = bands_and_sketches(sig)
                 some = np.diff(o) > 0
                 ends = np.concatenate([[0], np.cumsum(some)])
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo),
-                    _list_array(band[some].ravel(), ends * BANDS),
-                    _list_array(sketch[some].ravel(), ends * SKETCH_LONGS)], schema.names)
+                    _list_array(bands(sig)[some].ravel(), ends * BANDS)], schema.names)
 
     return src.mapInArrow(run, schema)
 
 
 def profiles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, items`` (distinct 64-bit (shingle, copy number) of the whole text) for the nodes of
-    ``wanted`` (``node, doc_id`` of a representative row)."""
+    """``node, items`` (distinct 64-bit (shingle, copy number) of the whole text) and ``sketch`` for
+    the nodes of ``wanted`` (``node, doc_id`` of a representative row)."""
     spark = docs.sparkSession
     ship_package(spark)
     t = text_or_empty("text")
@@ -162,7 +163,8 @@ def profiles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     near = possible_hits(rows, "row", bloom_blocks(keys, "row", n_blocks), n_blocks)
     src = near.select("node", "row", word_hashes(F.col("text")).alias("words"))
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("row", T.LongType()),
-                           T.StructField("items", T.ArrayType(T.LongType(), False))])
+                           T.StructField("items", T.ArrayType(T.LongType(), False)),
+                           T.StructField("sketch", T.ArrayType(T.LongType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,12 +176,15 @@ def profiles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 copy = np.arange(len(item)) - np.repeat(np.cumsum(c) - c, c)
                 item = bagminhash.mix(item + copy.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
                 n = np.bincount(np.repeat(d, c), minlength=hi - lo)
+                # a seed of its own, so the sketch is independent of the bands
+                sig = bagminhash.signatures(d, bagminhash.mix(s), c, hi - lo, FINE)
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo),
-                    _list_array(item.view(np.int64), np.concatenate([[0], np.cumsum(n)]))], schema.names)
+                    _list_array(item.view(np.int64), np.concatenate([[0], np.cumsum(n)])),
+                    _list_array(sketches(sig).ravel(), np.arange(hi - lo + 1) * SKETCH_LONGS)], schema.names)
 
     made = src.mapInArrow(run, schema).dropDuplicates(["node", "row"])
-    return made.join(keys, ["node", "row"]).select("node", "items")
+    return made.join(keys, ["node", "row"]).select("node", "items", "sketch")
 
 
 def verified(pairs: DataFrame, profile: DataFrame, threshold: float) -> DataFrame:
@@ -193,16 +198,14 @@ def verified(pairs: DataFrame, profile: DataFrame, threshold: float) -> DataFram
 
 
 def matching_components() -> Column:
-    """Number of components whose 4-bit values agree, from the columns ``_s0.. , _t0..``."""
-    # a nibble of a ^ b is zero where the values agree: fold each nibble's bits into its lowest
-    ones = F.lit(0x1111111111111111).cast("long")
+    """Number of sketch components whose two bits agree, from the columns ``_s0.. , _t0..``."""
+    # a pair of bits of a ^ b is zero where the values agree: fold it into its lower bit
+    ones = F.lit(0x5555555555555555).cast("long")
     total = F.lit(0)
     for i in range(SKETCH_LONGS):
         x = F.col(f"_s{i}").bitwiseXOR(F.col(f"_t{i}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(ones)
-        total = total + F.bit_count(x)
-    return F.lit(BANDS * ROWS) - total
+        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(ones))
+    return F.lit(FINE) - total
 
 
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -228,11 +231,10 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     raise RuntimeError("components: too many rounds")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, least_match: float = 0.68) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, least_match: float = 0.81) -> DataFrame:
     """Every row's ``doc_id``, ``node`` (hash of its text) and ``class_id``."""
     rows = checkpointed(signed(docs))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"),
-                                     F.first("sketch").alias("sketch"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     seats = nodes.select("node", F.explode("bands").alias("h"))
     sizes = seats.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
     live = checkpointed(seats.join(sizes, "h"))              # buckets with two nodes or more
@@ -242,21 +244,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, least_match:
     spokes = (live.select("h", "node").join(pivots, "h").where(F.col("node") != F.col("pivot"))
               .select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
     used = live.select("node").distinct()
-    wanted = checkpointed(nodes.select("node", "doc_id", "sketch").join(used, "node", "left_semi"))
+    wanted = checkpointed(nodes.select("node", "doc_id").join(used, "node", "left_semi"))
     profile = checkpointed(profiles(docs, wanted))
     first = checkpointed(verified(spokes, profile, threshold).select("a", "b"))
 
-    # pairs of a bucket without a common pivot
-    hub = first.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("hub"))
-    tag = wanted.join(hub, "node", "left").select(
-        "node", F.coalesce("hub", "node").alias("hub"),
-        *[F.get("sketch", F.lit(i)).alias(f"_s{i}") for i in range(SKETCH_LONGS)])
-    left = live.select("h", "node").join(tag, "node")
-    right = left.select("h", F.col("node").alias("b"), F.col("hub").alias("_hub"),
+    # pairs of a bucket in different components so far
+    linked = components(first)
+    part = live.select("h", "node").join(linked, "node", "left").select(
+        "h", "node", F.coalesce("label", "node").alias("part"))
+    mixed = (part.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+             .where(F.col("lo") != F.col("hi")).select("h"))
+    sketch = profile.select("node", *[F.get("sketch", F.lit(i)).alias(f"_s{i}") for i in range(SKETCH_LONGS)])
+    left = checkpointed(part.join(mixed, "h", "left_semi")).join(sketch, "node")
+    right = left.select("h", F.col("node").alias("b"), F.col("part").alias("_part"),
                         *[F.col(f"_s{i}").alias(f"_t{i}") for i in range(SKETCH_LONGS)])
     rest = (left.withColumnRenamed("node", "a")
-            .join(right, ["h"]).where((F.col("a") < F.col("b")) & (F.col("hub") != F.col("_hub"))
-                                      & (matching_components() >= least_match * BANDS * ROWS))
+            .join(right, "h").where((F.col("a") < F.col("b")) & (F.col("part") != F.col("_part"))
+                                    & (matching_components() >= int(least_match * FINE)))
             .select("a", "b").distinct())
     second = verified(rest, profile, threshold).select("a", "b")
     labels = components(first.unionByName(second))
