@@ -110,9 +110,11 @@ def exact_median(df: DataFrame, value: str, num_partitions: int | None = None,
 
 
 def canonical_json(df: DataFrame, cols: list[str] | None = None) -> Column:
-    """F16: JSON text of the named columns with keys in sorted order."""
+    """F16: JSON text of the named columns with keys in sorted order, NULLs as null, timestamps in
+    UTC whatever the session's time zone."""
     names = sorted(cols if cols is not None else df.columns)
-    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]))
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]),
+                     {"ignoreNullFields": "false", "timeZone": "UTC"})
 
 
 def hmac_sha256(message: Column, key: str) -> Column:

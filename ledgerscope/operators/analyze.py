@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from ledgerscope.functions.core import severity
 from ledgerscope.operators import detectors as D
 from ledgerscope.operators.ledger_ops import filter_account
 from ledgerscope.schemas import FINDING_COLUMNS
+from ledgerscope.session import checkpoint_dir
 
 _REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = dict(D.DETECTORS)
 
@@ -25,6 +27,24 @@ def detectors() -> list[str]:
     return list(_REGISTRY)
 
 
+#: Ledger columns that a detector may read.
+DETECTOR_COLUMNS = ("step", "row_id", "amount", "sender_id", "receiver_id", "sender_balance_before",
+                    "sender_balance_after")
+
+
+def materialized(ledger: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The ledger, written once and read back.  With only the built-in detectors, their columns
+    are enough; a registered one may read any."""
+    spark = ledger.sparkSession
+    own = set(_REGISTRY) == set(D.DETECTORS)
+    cols = [c for c in ledger.columns if not own or c in (*DETECTOR_COLUMNS, *by)]
+    if not cols:
+        return ledger
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    ledger.select(*cols).write.parquet(path)
+    return spark.read.schema(ledger.select(*cols).schema).parquet(path)
+
+
 def analyze(ledger: DataFrame, detectors: list[str] | None = None,
             account: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """All detectors in registry order, as one DataFrame with ``detector_seq``.
@@ -32,9 +52,13 @@ def analyze(ledger: DataFrame, detectors: list[str] | None = None,
     ``account`` (B4) restricts the *input* first, so medians and candidate sets see only
     that account's rows, as the reference does.  ``by`` (e.g. ``("case_id",)``) analyses
     every case of a multi-case ledger in the same job, each as its own ledger.
+
+    The columns that the detectors use are written once as Parquet under the shared checkpoint
+    folder: whatever made the ledger runs once, and every detector reads its own columns.
     """
     if account is not None:
         ledger = filter_account(ledger, account)
+    ledger = materialized(ledger, by)
     names = detectors or list(_REGISTRY)
     out = None
     for seq, name in enumerate(names):
@@ -50,9 +74,11 @@ def with_severity(findings: DataFrame) -> DataFrame:
     return findings.withColumn("severity", severity("confidence"))
 
 
-def to_payload(findings: DataFrame, case_id: str | None = None) -> DataFrame:
-    """The stored-finding projection (amount kept, unlike the reference)."""
+def to_payload(findings: DataFrame, case_id: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The stored-finding projection (amount kept, unlike the reference), after a fixed
+    ``case_id`` or the ``by`` columns of a multi-case analysis."""
     cols = [
+        *by,
         F.col("pattern").alias("finding_type"),
         severity("confidence").alias("severity"),
         F.col("description"),

@@ -30,12 +30,15 @@ FILE_DIGEST_SCHEMA = T.StructType([
     T.StructField("sha256", T.StringType()),
     T.StructField("md5", T.StringType()),
     T.StructField("file_size", T.LongType()),
+    T.StructField("error", T.StringType()),
 ])
 
 
 def _open(path: str):
     from pyarrow import fs as pafs
-    if "://" in path:
+    if path.startswith("file:"):
+        filesystem, p = pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    elif "://" in path:
         filesystem, p = pafs.FileSystem.from_uri(path)
     else:
         filesystem, p = pafs.LocalFileSystem(), path
@@ -52,7 +55,7 @@ def _digest_partition(batches):
                 filesystem, p = _open(path)
                 info = filesystem.get_file_info(p)
                 if info.type != pafs.FileType.File:
-                    out.append((path, False, None, None, None))
+                    out.append((path, False, None, None, None, None))
                     continue
                 sha, md5 = hashlib.sha256(), hashlib.md5()
                 with filesystem.open_input_stream(p) as f:
@@ -62,17 +65,19 @@ def _digest_partition(batches):
                             break
                         sha.update(block)
                         md5.update(block)
-                out.append((path, True, sha.hexdigest(), md5.hexdigest(), int(info.size)))
-            except (FileNotFoundError, OSError):
-                out.append((path, False, None, None, None))
+                out.append((path, True, sha.hexdigest(), md5.hexdigest(), int(info.size), None))
+            except FileNotFoundError:
+                out.append((path, False, None, None, None, None))
+            except OSError as e:           # there, but unreadable: not the same as missing
+                out.append((path, True, None, None, None, f"{type(e).__name__}: {e}"))
         yield pd.DataFrame(out, columns=[f.name for f in FILE_DIGEST_SCHEMA.fields])
 
 
 def digest_files(paths: DataFrame) -> DataFrame:
     """K1 for every row of ``paths`` (column ``path``; other columns pass through).
 
-    Adds ``exists, sha256, md5, file_size, filename, acquired_at``.  A missing file gives
-    ``exists = false`` and NULL digests.
+    Adds ``exists, sha256, md5, file_size, error, filename, acquired_at``.  A missing file gives
+    ``exists = false`` and NULL digests; one that can't be read NULL digests and the ``error``.
     """
     spark = paths.sparkSession
     ship_package(spark)  # the hashing runs in Python workers
@@ -85,16 +90,6 @@ def digest_files(paths: DataFrame) -> DataFrame:
     })
 
 
-def digest_binary_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """K1 for files under 2 GB through the ``binaryFile`` source, digests JVM-side."""
-    b = spark.read.format("binaryFile").load(pattern)
-    return b.select(F.col("path"), F.lit(True).alias("exists"),
-                    F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"),
-                    F.col("length").alias("file_size"),
-                    F.element_at(F.split("path", "/"), -1).alias("filename"),
-                    F.current_timestamp().alias("acquired_at"))
-
-
 def verify_files(expected: DataFrame) -> DataFrame:
     """K3: ``expected`` has ``path, sha256``; adds ``verified`` (false when missing)."""
     got = digest_files(expected.select("path").distinct()).select(
@@ -175,10 +170,10 @@ def manifest_items(files: DataFrame | None = None, tables: DataFrame | None = No
     return out
 
 
-def manifest_hash(items: DataFrame) -> DataFrame:
-    """K6 / D-14: per case, SHA-256 of the item digests joined in ``seq`` order."""
+def manifest_hash(items: DataFrame, order: str = "seq") -> DataFrame:
+    """K6 / D-14: per case, SHA-256 of the item digests joined in ``order`` order."""
     return items.groupBy("case_id").agg(F.sha2(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("seq", "sha256"))), lambda x: x["sha256"]), ""), 256)
+        F.array_sort(F.collect_list(F.struct(order, "sha256"))), lambda x: x["sha256"]), ""), 256)
         .alias("manifest_hash"), F.count(F.lit(1)).alias("n_items"))
 
 
@@ -198,16 +193,29 @@ def write_manifests(manifests: DataFrame, path: str) -> None:
     manifests.write.mode("overwrite").json(path)
 
 
+ITEM_SCHEMA = T.StructType([
+    T.StructField("seq", T.LongType()), T.StructField("type", T.StringType()),
+    T.StructField("filepath", T.StringType()), T.StructField("filename", T.StringType()),
+    T.StructField("file_size", T.LongType()), T.StructField("sha256", T.StringType()),
+    T.StructField("md5", T.StringType()), T.StructField("acquired_at", T.StringType()),
+    T.StructField("notes", T.StringType()), T.StructField("label", T.StringType())])
+MANIFEST_SCHEMA = T.StructType([
+    T.StructField("case_id", T.StringType()), T.StructField("investigator", T.StringType()),
+    T.StructField("manifest_hash", T.StringType()), T.StructField("n_items", T.LongType()),
+    T.StructField("items", T.ArrayType(ITEM_SCHEMA)), T.StructField("finalized_at", T.StringType())])
+
+
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path)
+    return spark.read.schema(MANIFEST_SCHEMA).json(path)
 
 
 def verify_manifest(manifests: DataFrame) -> DataFrame:
-    """K7: per case ``(valid, failed_items)``: the header hash against the items, and every
-    file item against a fresh digest of its file.  Table items are not re-hashed."""
-    items = manifests.select("case_id", "manifest_hash", F.explode_outer("items").alias("it"))
-    flat = items.select("case_id", "manifest_hash", "it.*")
-    recomputed = manifest_hash(flat.where(F.col("seq").isNotNull()))
+    """K7: per case ``(valid, failed_items)``: the header hash against the items in their stored
+    order, and every file item against a fresh digest of its file.  Table items are not re-hashed.
+    A manifest without items is valid if its hash is that of no digests."""
+    items = manifests.select("case_id", F.posexplode("items").alias("_pos", "it"))
+    flat = items.select("case_id", "_pos", "it.*")
+    recomputed = manifest_hash(flat, "_pos")
     files = flat.where(F.col("type") == "file").select(
         "case_id", F.col("filepath").alias("path"), "sha256", "filename")
     checked = verify_files(files)

@@ -82,7 +82,8 @@ def drain_candidates(ledger: DataFrame, remain: float = 0.1) -> DataFrame:
 def fan_candidates(ledger: DataFrame, role: str = "out", min_distinct: int = 5) -> DataFrame:
     """D-5: accounts with more than ``min_distinct`` distinct counterparties (exact)."""
     acct, cpty = ("sender_id", "receiver_id") if role == "out" else ("receiver_id", "sender_id")
-    return (ledger.select(F.col(acct).alias("account_id"), F.col(cpty).alias("cpty")).distinct()
+    return (ledger.select(F.col(acct).alias("account_id"), F.col(cpty).alias("cpty"))
+            .where(F.col("account_id").isNotNull() & F.col("cpty").isNotNull()).distinct()
             .groupBy("account_id").agg(F.count(F.lit(1)).alias("n_counterparties"))
             .where(F.col("n_counterparties") > min_distinct))
 
@@ -223,7 +224,7 @@ def fan(ledger: DataFrame, role: str = "out", span: int = 10, min_distinct: int
     base = ledger.select(*by, F.col(acct).alias("acct"), F.col(cpty).alias("cpty"), "step",
                          "amount")
     # An account needs more than min_distinct counterparties overall.
-    cand = (base.select(*k, "cpty").distinct().groupBy(*k).count()
+    cand = (base.where(F.col("cpty").isNotNull()).select(*k, "cpty").distinct().groupBy(*k).count()
             .where(F.col("count") > min_distinct).select(*k))
     sub = base.join(cand, k, "left_semi")
     per_step = sub.groupBy(*k, "step").agg(F.sum(money("amount")).alias("step_amount"))
@@ -231,7 +232,7 @@ def fan(ledger: DataFrame, role: str = "out", span: int = 10, min_distinct: int
     # occurrence of c at step t (previous occurrence p) is the first one inside the window
     # exactly for s in [max(t - span, p + 1), t].  Those +1 ranges become +1/-1 deltas,
     # and the count at s is their running sum over the account's steps.
-    seen = sub.select(*k, "cpty", "step").distinct().withColumn(
+    seen = sub.where(F.col("cpty").isNotNull()).select(*k, "cpty", "step").distinct().withColumn(
         "prev", F.lag("step").over(Window.partitionBy(*k, "cpty").orderBy("step")))
     first_in = F.greatest(F.col("step") - span, F.coalesce(F.col("prev") + 1, F.col("step") - span))
     deltas = seen.select(*k, F.explode(F.array(
@@ -274,14 +275,9 @@ def amount_median(ledger: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def dormant_activation(ledger: DataFrame, max_prior: int = 3, median_factor: float = 2.0,
                        confidence: float = CONFIDENCE["dormant_activation"],
-                       by: tuple[str, ...] = (), approx: bool = False) -> DataFrame:
+                       by: tuple[str, ...] = ()) -> DataFrame:
     """E5: the sender had fewer than ``max_prior`` earlier participations (either role; rows
-    by step, sender before receiver) and amount > median_factor * median(all amounts).
-
-    ``approx=True`` takes the median from a one-pass ``percentile_approx`` sketch (rank
-    error <= n / 1e6) instead of the exact selection; findings can then differ only for
-    amounts within that error of the threshold.
-    """
+    by step, sender before receiver) and amount > median_factor * median(all amounts)."""
     if not _needs(ledger, "sender_id", "receiver_id", "amount", "step", "row_id", *by):
         return _empty(ledger, by)
     parts = participations(ledger, extra=list(by))
@@ -289,11 +285,7 @@ def dormant_activation(ledger: DataFrame, max_prior: int = 3, median_factor: flo
     # Filtering on the rank itself lets Spark keep a per-task top-k before the shuffle.
     early = parts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_prior)
     early = early.where(F.col("slot") == 0)
-    if approx:
-        med = ledger.groupBy(*by).agg(
-            F.percentile_approx("amount", 0.5, 1000000).cast("double").alias("median"))
-    else:
-        med = amount_median(ledger, by)
+    med = amount_median(ledger, by)
     if by:
         # one median per ledger: a table with one row per group
         early = early.join(med, list(by))

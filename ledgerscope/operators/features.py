@@ -101,7 +101,9 @@ def _historical_median(f: DataFrame, hot_rows: int) -> DataFrame:
 
 def features(ledger: DataFrame, velocity_span: int = 10, keep: tuple[str, ...] = (),
              hot_rows: int = 2000) -> DataFrame:
-    """M1: ``row_id``, ``step``, ``sender_id``, ``receiver_id``, ``keep`` + the 13 features."""
+    """M1: ``row_id``, ``step``, ``sender_id``, ``receiver_id``, ``keep`` + the 13 features of every
+    row with both parties."""
+    ledger = ledger.where(F.col("sender_id").isNotNull() & F.col("receiver_id").isNotNull())
     amt = F.col("amount").cast("double")
     before = F.col("sender_balance_before")
     after = F.col("sender_balance_after")

@@ -179,7 +179,7 @@ def detection_rate(ledger: DataFrame, findings: DataFrame,
 
 def case_summary(cases: DataFrame, evidence: DataFrame, findings: DataFrame) -> DataFrame:
     """D-8: per case evidence count, finding count, high/medium/low (always present) and
-    the count of any other severity."""
+    the count of any other or missing severity."""
     ev = evidence.groupBy(F.col("case_id").alias("id")).agg(
         F.count(F.lit(1)).alias("evidence_count"))
     sev = F.lower("severity")
@@ -187,7 +187,7 @@ def case_summary(cases: DataFrame, evidence: DataFrame, findings: DataFrame) ->
         F.count(F.lit(1)).alias("findings_count"),
         F.count_if(sev == "high").alias("high"), F.count_if(sev == "medium").alias("medium"),
         F.count_if(sev == "low").alias("low"),
-        F.count_if(~sev.isin("high", "medium", "low")).alias("other"))
+        F.count_if(sev.isNull() | ~sev.isin("high", "medium", "low")).alias("other"))
     out = cases.select("id", "name", "investigator", "status").join(ev, "id", "left").join(
         fd, "id", "left")
     return out.fillna(0, ["evidence_count", "findings_count", "high", "medium", "low", "other"])

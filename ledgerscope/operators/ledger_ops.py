@@ -29,7 +29,8 @@ def filter_steps(ledger: DataFrame, start_step: int, end_step: int) -> DataFrame
 
 
 def participations(ledger: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """One row per (transaction, role), roles stacked in one pass over the ledger.
+    """One row per (transaction, role), roles stacked in one pass over the ledger; a missing
+    party gives no row.
 
     Columns: ``account_id``, ``counterparty``, ``slot`` (0 sender, 1 receiver), ``step``,
     ``row_id``, ``amount`` and any ``extra`` ledger columns.
@@ -43,7 +44,7 @@ def participations(ledger: DataFrame, extra: list[str] | None = None) -> DataFra
                  F.col("sender_id").alias("counterparty")),
     )
     return ledger.select(*keep, F.explode(roles).alias("_p")).select(
-        "_p.account_id", "_p.counterparty", "_p.slot", *keep)
+        "_p.account_id", "_p.counterparty", "_p.slot", *keep).where(F.col("account_id").isNotNull())
 
 
 def account_history(ledger: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from ledgerscope.operators.custody import report_signature
 NO_FINDINGS = "No findings were recorded for this case."
 NO_LEDGER = ("Timeline data could not be reconstructed because no CSV evidence is registered "
              "for this case.")
+NO_ACCOUNT = "The findings of this case name no account with recorded transactions."
 
 
 def report_cover(cases: DataFrame) -> DataFrame:
@@ -40,14 +41,27 @@ def report_findings(findings: DataFrame, n: int = 100) -> DataFrame:
         "description", title.alias("title"))
 
 
+def _case_events(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Events of the listed accounts (``case_id, account_id``), each under its case.  A ledger with
+    ``case_id`` gives a case only its own rows; one without serves every case."""
+    if "case_id" in ledger.columns:
+        return T.timeline(ledger, accounts, by=("case_id",))
+    events = T.timeline(ledger, accounts)
+    return accounts.select("case_id", "account_id").join(events, "account_id").select(
+        "case_id", *events.columns)
+
+
+def _named(findings: DataFrame, accounts: DataFrame) -> DataFrame:
+    keys = ["case_id", "account_id"]
+    return (FD.finding_accounts(findings).select(*keys, "finding_type", "step_start", "step_end")
+            .join(accounts.select(*keys), keys, "left_semi"))
+
+
 def account_timelines(ledger: DataFrame, findings: DataFrame, accounts: DataFrame) -> DataFrame:
     """Annotated timelines of the listed accounts (``case_id, account_id, rank``), each
-    annotated with the findings naming that account."""
-    events = T.timeline(ledger, accounts)
-    fa = FD.finding_accounts(findings).join(accounts.select("case_id", "account_id"),
-                                            ["case_id", "account_id"], "left_semi")
-    ann = T.annotate(events, fa.select("account_id", "finding_type", "step_start", "step_end"))
-    return ann.join(accounts.select("account_id", "case_id", "rank"), "account_id")
+    annotated with its own case's findings that name the account."""
+    ann = T.annotate(_case_events(ledger, accounts), _named(findings, accounts), by=("case_id",))
+    return ann.join(accounts.select("case_id", "account_id", "rank"), ["case_id", "account_id"])
 
 
 def report_timelines(ledger: DataFrame, findings: DataFrame, n_accounts: int = 5) -> DataFrame:
@@ -60,24 +74,20 @@ def report_timelines(ledger: DataFrame, findings: DataFrame, n_accounts: int = 5
 
 def report_summary(ledger: DataFrame | None, findings: DataFrame, cases: DataFrame,
                    n_accounts: int = 5) -> DataFrame:
-    """The narrative of the first top account that has events; fallbacks when the case
-    has no findings or no ledger."""
-    ids = cases.select(F.col("id").alias("case_id"))
+    """The narrative of the first top account that has events in its case's ledger; fallbacks
+    when the case has no findings, no ledger or no such account."""
+    ids = cases.select(F.col("id").alias("case_id")).join(
+        findings.select("case_id").distinct().withColumn("_has", F.lit(True)), "case_id", "left")
     if ledger is None:
-        has_f = findings.select("case_id").distinct().withColumn("_has", F.lit(True))
-        return ids.join(has_f, "case_id", "left").select(
-            "case_id", F.when(F.col("_has"), F.lit(NO_LEDGER)).otherwise(F.lit(NO_FINDINGS))
-            .alias("narrative"))
+        return ids.select("case_id", F.when(F.col("_has"), F.lit(NO_LEDGER))
+                          .otherwise(F.lit(NO_FINDINGS)).alias("narrative"))
     top = FD.top_accounts(findings, n_accounts)
-    events = T.timeline(ledger, top)
-    fa = FD.finding_accounts(findings).select("case_id", "account_id", "finding_type",
-                                              "step_start", "step_end")
-    nar = T.narratives(events, fa.join(top.select("case_id", "account_id"),
-                                       ["case_id", "account_id"], "left_semi"))
-    first = (top.join(nar, "account_id").groupBy("case_id")
+    nar = T.narratives(_case_events(ledger, top), _named(findings, top), by=("case_id",))
+    first = (top.join(nar, ["case_id", "account_id"]).groupBy("case_id")
              .agg(F.min_by("narrative", "rank").alias("narrative")))
-    return ids.join(first, "case_id", "left").select(
-        "case_id", F.coalesce("narrative", F.lit(NO_FINDINGS)).alias("narrative"))
+    return ids.join(first, "case_id", "left").select("case_id", F.coalesce(
+        "narrative", F.when(F.col("_has"), F.lit(NO_ACCOUNT)).otherwise(F.lit(NO_FINDINGS)))
+        .alias("narrative"))
 
 
 def report_evidence(items: DataFrame) -> DataFrame:
@@ -96,21 +106,23 @@ def report_evidence(items: DataFrame) -> DataFrame:
 
 # Order of manifest keys and item keys in the custody appendix (fixed values).
 MANIFEST_KEYS = ["case_id", "investigator", "finalized_at", "items", "manifest_hash"]
-ITEM_KEYS = ["type", "filepath", "filename", "file_size", "sha256", "md5", "acquired_at", "notes"]
+ITEM_KEYS = ["type", "filepath", "filename", "file_size", "sha256", "md5", "acquired_at", "notes",
+             "label"]
 
 
 def report_custody(manifests: DataFrame) -> DataFrame:
     """The chain-of-custody key/value rows (``case_id, seq, key, value``): header keys,
-    a ``List of items:`` marker, then ``  Item i - key`` rows for every item."""
+    a ``List of items:`` marker, then ``  Item i - key`` rows for the keys that an item has."""
     head_before = [F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value"))
                    for k in MANIFEST_KEYS[:3]]
     marker = F.struct(F.lit("items").alias("key"), F.lit("List of items:").alias("value"))
     tail = F.struct(F.lit("manifest_hash").alias("key"),
                     F.col("manifest_hash").cast("string").alias("value"))
     item_rows = F.flatten(F.transform(
-        F.coalesce(F.col("items"), F.array()), lambda it, i: F.array(*[
+        F.coalesce(F.col("items"), F.array()), lambda it, i: F.filter(F.array(*[
             F.struct(F.format_string("  Item %d - %s", i + 1, F.lit(k)).alias("key"),
-                     it[k].cast("string").alias("value")) for k in ITEM_KEYS])))
+                     it[k].cast("string").alias("value")) for k in ITEM_KEYS]),
+            lambda kv: kv["value"].isNotNull())))
     rows = F.concat(F.array(*head_before, marker), item_rows, F.array(tail))
     return manifests.select("case_id", F.posexplode(rows).alias("seq", "kv")).select(
         "case_id", "seq", F.col("kv.key").alias("key"),

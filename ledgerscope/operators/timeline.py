@@ -29,14 +29,20 @@ NO_EVENTS = "No transaction events found for account %s."
 DEFAULT_PATTERN = "suspicious activity"
 FLAGGED_PATTERN = "flagged transactions"
 
+# Order of the detectors (fixed values).
+DETECTOR_ORDER = ("rapid_drain", "round_trip", "fan_out", "fan_in", "dormant_activation",
+                  "balance_inconsistency")
+
 _MAX_STEP = 9223372036854775807
 
 
-def timeline(ledger: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
+def timeline(ledger: DataFrame, accounts: DataFrame | None = None, by: tuple[str, ...] = ()
+             ) -> DataFrame:
     """One event per (account, transaction) in the account's view.
 
-    A self transfer gives one (sender) event.  ``accounts`` (column ``account_id``)
-    restricts the output by a semi-join.
+    A self transfer gives one (sender) event, a missing party none.  ``accounts`` (columns
+    ``by`` and ``account_id``) restricts the output by a semi-join.  ``by`` (e.g. ``("case_id",)``)
+    names ledger columns that keep ledgers apart; they lead the output.
     """
     base_type = F.coalesce(F.col("tx_type"), F.lit("nan"))
     sender = F.struct(
@@ -45,7 +51,7 @@ def timeline(ledger: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
         F.col("sender_balance_before").alias("balance_before"),
         F.col("sender_balance_after").alias("balance_after"),
         F.concat(base_type, F.lit("_SENDER")).alias("event_type"))
-    receiver = F.when(F.col("receiver_id") != F.col("sender_id"), F.struct(
+    receiver = F.when(~F.col("receiver_id").eqNullSafe(F.col("sender_id")), F.struct(
         F.lit(1).alias("slot"), F.col("receiver_id").alias("account_id"),
         F.col("sender_id").alias("counterparty"),
         F.col("receiver_balance_before").alias("balance_before"),
@@ -53,45 +59,49 @@ def timeline(ledger: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
         F.concat(base_type, F.lit("_RECEIVER")).alias("event_type")))
     flagged = (F.coalesce(F.col("is_flagged"), F.lit(False)) if "is_flagged" in ledger.columns
                else F.lit(False))
-    ev = ledger.select("step", "row_id", "amount", flagged.alias("is_flagged"),
-                       F.explode(F.filter(F.array(sender, receiver), lambda x: x.isNotNull()))
-                       .alias("e"))
-    ev = ev.select("e.account_id", "step", "row_id", "e.slot", "e.event_type", "amount",
+    known = F.filter(F.array(sender, receiver), lambda x: x.isNotNull() & x["account_id"].isNotNull())
+    ev = ledger.select(*by, "step", "row_id", "amount", flagged.alias("is_flagged"),
+                       F.explode(known).alias("e"))
+    ev = ev.select(*by, "e.account_id", "step", "row_id", "e.slot", "e.event_type", "amount",
                    "e.counterparty", "e.balance_before", "e.balance_after",
                    F.lit("").alias("annotation"), "is_flagged")
     if accounts is not None:
-        ev = ev.join(accounts.select("account_id").distinct(), "account_id", "left_semi")
+        keys = [*by, "account_id"]
+        ev = ev.join(accounts.select(*keys).distinct(), keys, "left_semi").select(*ev.columns)
     return ev
 
 
-def _finding_rows(findings: DataFrame) -> DataFrame:
-    """Normalise findings to (account_id, pattern, step_start, step_end, seq)."""
+def _finding_rows(findings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Normalise findings to (by, account_id, pattern, step_start, step_end, seq)."""
     f = findings
     if "account_id" not in f.columns and "account_ids" in f.columns:
         f = f.select("*", F.explode("account_ids").alias("account_id"))
     pattern = F.col("pattern") if "pattern" in f.columns else F.col("finding_type")
-    seq = F.col("detector_seq") if "detector_seq" in f.columns else F.lit(0)
+    # stored findings carry no detector number: their type gives it
+    seq = (F.col("detector_seq") if "detector_seq" in f.columns
+           else F.array_position(F.array(*[F.lit(p) for p in DETECTOR_ORDER]), pattern))
     start = F.col("step_start") if "step_start" in f.columns else F.lit(None)
     end = F.col("step_end") if "step_end" in f.columns else F.lit(None)
-    return f.select("account_id", pattern.alias("pattern"),
+    return f.select(*by, "account_id", pattern.alias("pattern"),
                     F.coalesce(start.cast("long"), F.lit(0).cast("long")).alias("step_start"),
                     F.coalesce(end.cast("long"), F.lit(_MAX_STEP)).alias("step_end"),
                     seq.alias("seq"))
 
 
-def annotate(events: DataFrame, findings: DataFrame) -> DataFrame:
-    """Labels from findings of the event's account whose interval holds the step
+def annotate(events: DataFrame, findings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Labels from findings of the event's account (and ``by`` keys) whose interval holds the step
     (rapid drain, dormant activation), then drained / flagged-transfer labels; prior
     annotation first, duplicates removed, space separated.
 
     Intervals are merged per (account, pattern), so each event meets at most one island
     per pattern and the row count never grows.
     """
-    fr = _finding_rows(findings)
+    fr = _finding_rows(findings, by)
+    keys = [*by, "account_id"]
     out = events
     for name, pattern in (("_drain", "rapid_drain"), ("_dormant", "dormant_activation")):
-        isl = merge_intervals(fr.where(F.col("pattern") == pattern), ["account_id"])
-        out = (interval_join(out, isl, ["account_id"], how="left")
+        isl = merge_intervals(fr.where(F.col("pattern") == pattern), keys)
+        out = (interval_join(out, isl, keys, how="left")
                .withColumn(f"{name}_acct", F.when(F.col("step_start").isNotNull(), F.lit(True)))
                .drop("step_start", "step_end"))
     drained = F.col("balance_after") < F.lit(0.01) * F.col("balance_before")
@@ -106,22 +116,24 @@ def annotate(events: DataFrame, findings: DataFrame) -> DataFrame:
     return out.withColumn("annotation", ann).select(*events.columns)
 
 
-def narratives(events: DataFrame, findings: DataFrame, accounts: DataFrame | None = None
-               ) -> DataFrame:
-    """One narrative per account (all accounts with events, or the given ``accounts``).
+def narratives(events: DataFrame, findings: DataFrame, accounts: DataFrame | None = None,
+               by: tuple[str, ...] = ()) -> DataFrame:
+    """One narrative per account and ``by`` keys (all accounts with events, or the given
+    ``accounts``).
 
     Primary pattern and start step come from the earliest finding (by step_start), else
     the first flagged event, else the first event.
     """
-    per = events.groupBy("account_id").agg(
+    keys = [*by, "account_id"]
+    per = events.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_events"),
         F.sum(money("amount")).cast("double").alias("total_amount"),
         F.min("step").alias("first_step"),
         F.min(F.when(F.col("is_flagged"), F.col("step"))).alias("first_flagged_step"))
-    fr = _finding_rows(findings)
-    first = fr.groupBy("account_id").agg(F.min(F.struct(
+    fr = _finding_rows(findings, by)
+    first = fr.groupBy(*keys).agg(F.min(F.struct(
         "step_start", "seq", "pattern")).alias("ff"))
-    j = per.join(first, "account_id", "left")
+    j = per.join(first, keys, "left")
     has = F.col("ff").isNotNull()
     pattern = (F.when(has, F.translate(F.col("ff.pattern"), "_", " "))
                .when(F.col("first_flagged_step").isNotNull(), F.lit(FLAGGED_PATTERN))
@@ -133,12 +145,12 @@ def narratives(events: DataFrame, findings: DataFrame, accounts: DataFrame | Non
                         F.col("total_amount")),
         F.when(has, F.format_string(CLOSING_WITH_FINDINGS, pattern)).otherwise(
             F.lit(CLOSING_WITHOUT)))
-    out = j.select("account_id", "n_events", "total_amount", pattern.alias("primary_pattern"),
+    out = j.select(*keys, "n_events", "total_amount", pattern.alias("primary_pattern"),
                    start.alias("first_suspicious_step"), text.alias("narrative"))
     if accounts is not None:
-        acc = accounts.select("account_id").distinct()
-        out = acc.join(out, "account_id", "left").select(
-            "account_id", F.coalesce("n_events", F.lit(0)).alias("n_events"), "total_amount",
+        acc = accounts.select(*keys).distinct()
+        out = acc.join(out, keys, "left").select(
+            *keys, F.coalesce("n_events", F.lit(0)).alias("n_events"), "total_amount",
             "primary_pattern", "first_suspicious_step",
             F.coalesce("narrative", F.format_string(NO_EVENTS, F.col("account_id")))
             .alias("narrative"))

@@ -18,7 +18,7 @@ from ledgerscope.plans.oracle import MONEY, ORDER, with_ledger
 CASE = "case-1"
 
 
-def findings_sql(final: str, dense: bool = False, extra: str = "") -> str:
+def findings_sql(final: str, dense: bool = False, extra: str = "", where: str | None = None) -> str:
     """WITH ledger, detector CTEs, ``findings`` (analyze + seq), ``stored`` (payload)."""
     parts = [sql_rapid_drain(), sql_round_trip(), sql_fan("out"), sql_fan("in"), sql_dormant(),
              sql_balance()]
@@ -35,7 +35,7 @@ def findings_sql(final: str, dense: bool = False, extra: str = "") -> str:
     ctes = DR_CTE + ",\n" + MEDIAN_CTE + f",\nfindings AS ({union}),\n" + stored
     if extra:
         ctes += ",\n" + extra
-    return with_ledger(final, dense, extra=ctes)
+    return with_ledger(final, dense, extra=ctes, where=where)
 
 
 def stored(spark, sf_dir, dense=False):

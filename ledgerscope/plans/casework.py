@@ -55,7 +55,7 @@ def _train_eval(spark, sf_dir, kind):
     sp = _split(spark, sf_dir)
     checkpoint_dir(spark)
     sp = sp.checkpoint()
-    model = ML.train(sp, kind, max_iter=200)
+    model = ML.train(sp, kind)
     return M.metrics(ML.score(model, sp.where(F.col("split") == "test"), kind))
 
 
@@ -112,7 +112,7 @@ def q_feature_attribution(spark, sf_dir):
     checkpoint_dir(spark)
     sp = sp.checkpoint()
     model = ML.train(sp, "gbt")
-    return ML.attribution(model, sp, n=5000, permutations=4)
+    return ML.attribution(model, sp, n=5000)
 
 
 @register("model_roundtrip")
@@ -120,7 +120,7 @@ def q_model_roundtrip(spark, sf_dir):
     sp = _split(spark, sf_dir)
     checkpoint_dir(spark)
     sp = sp.checkpoint()
-    model = ML.train(sp, "logistic", max_iter=100)
+    model = ML.train(sp, "logistic")
     path = scratch(spark, "model")
     ML.save(model, path)
     again = ML.load(path)
@@ -296,19 +296,15 @@ def q_report_summary(spark, sf_dir):
     return R.report_summary(led, A.to_payload(A.analyze(led), CASE), cases)
 
 
-def q_report_cover(spark, sf_dir):
-    store = _store_with_findings(spark, sf_dir)
-    return R.report_cover(store.cases()).drop("generated_at")
-
-
 # ------------------------------------------------------------------ remaining inventory keys
 from ledgerscope.operators import detectors as D  # noqa: E402
 from ledgerscope.operators import timeline as T  # noqa: E402
 from ledgerscope.plans.analytics import (ANNOTATED_SQL, NARRATIVE_SQL, TIMELINE_SQL,  # noqa: E402
                                          TOP_ACCOUNTS_SQL)
-from ledgerscope.plans.catalog import LEDGER_OUT  # noqa: E402
+from ledgerscope.plans.catalog import LEDGER_OUT, sql_balance, sql_fan  # noqa: E402
+from ledgerscope.schemas import TX_TYPES  # noqa: E402
 from ledgerscope.plans.analytics import FEATURES_SQL  # noqa: E402
-from ledgerscope.sources.ledger import normalize  # noqa: E402
+from ledgerscope.sources.ledger import normalize, read_ledger  # noqa: E402
 from ledgerscope.sources.tpch import raw_order_log  # noqa: E402
 
 
@@ -374,9 +370,24 @@ def q_manifest_roundtrip(spark, sf_dir):
     return back.select("case_id", "investigator", "manifest_hash", F.size("items").alias("n_items"))
 
 
-@register("case_register")
+def _nation_cases(spark, sf_dir):
+    """One case per nation, led from its region."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").join(
+        spark.read.parquet(f"{sf_dir}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("id"),
+                    F.col("n_name").alias("name"), F.col("n_comment").alias("description") if "n_comment" in n.columns
+                    else F.col("n_name").alias("description"), F.col("r_name").alias("investigator"))
+
+
+_NATION_SQL = """SELECT 'N' || CAST(n_nationkey AS VARCHAR) AS {id}, n_name AS name, r_name AS investigator,
+       'open' AS status FROM nation JOIN region ON n_regionkey = r_regionkey"""
+
+
+@register("case_register", _NATION_SQL.format(id="id"))
 def q_case_register(spark, sf_dir):
-    store = _store_with_findings(spark, sf_dir)
+    """Cases taken from the nations, registered and read back from the store."""
+    store = CaseStore(spark, scratch(spark, "store"))
+    store.register_cases(_nation_cases(spark, sf_dir))
     return store.cases().select("id", "name", "investigator", "status")
 
 
@@ -401,7 +412,7 @@ def q_report_timelines_o(spark, sf_dir):
         *[c.strip() for c in _TL_OUT.split(",")])
 
 
-@register("report_summary", findings_sql(f"""
+_SUMMARY_SQL = f"""
 SELECT '{CASE}' AS case_id,
   printf('The forensic analysis of account %s reveals a sequence of %d transaction events '
          || 'indicative of %s. The suspicious sequence commenced at step %d, marking the start '
@@ -412,16 +423,19 @@ SELECT '{CASE}' AS case_id,
           || primary_pattern || '.'
      ELSE 'These movements exhibit characteristics consistent with unauthorized or anomalous '
           || 'financial flows.' END AS narrative
-FROM narr WHERE account_id = (SELECT account_id FROM top_acc WHERE rank = 1)""",
-    extra=TOP_ACCOUNTS_SQL + ",\n" + TIMELINE_SQL + ",\n" + NARRATIVE_SQL))
+FROM narr WHERE account_id = (SELECT account_id FROM top_acc WHERE rank = 1)"""
+
+
+@register("report_summary", findings_sql(_SUMMARY_SQL, extra=TOP_ACCOUNTS_SQL + ",\n" + TIMELINE_SQL + ",\n" + NARRATIVE_SQL))
 def q_report_summary_o(spark, sf_dir):
     return q_report_summary(spark, sf_dir)
 
 
-@register("report_cover", f"SELECT '{CASE}' AS case_id, 'order ledger' AS name, "
-          "'analyst' AS investigator, 'open' AS status")
-def q_report_cover_o(spark, sf_dir):
-    return q_report_cover(spark, sf_dir)
+@register("report_cover", _NATION_SQL.format(id="case_id"))
+def q_report_cover(spark, sf_dir):
+    store = CaseStore(spark, scratch(spark, "store"))
+    store.register_cases(_nation_cases(spark, sf_dir))
+    return R.report_cover(store.cases()).drop("generated_at")
 
 
 @register("betweenness")
@@ -433,4 +447,126 @@ def q_betweenness(spark, sf_dir):
 
 @register("eval_all")
 def q_eval_all(spark, sf_dir):
-    return ML.evaluate_all(L(spark, sf_dir), scratch(spark, "models"), max_iter=200)
+    return ML.evaluate_all(L(spark, sf_dir), scratch(spark, "models"))
+
+
+# ------------------------------------------------------------------ rows without a party, CSV
+_HOLES = """holes AS (
+  SELECT * REPLACE (CASE WHEN k2 = 3 AND k3 % 10 = 0 THEN NULL ELSE sender_id END AS sender_id,
+                    CASE WHEN k2 = 4 AND k3 % 10 = 1 THEN NULL ELSE receiver_id END AS receiver_id)
+  FROM ledger)"""
+
+
+def _holes(spark, sf_dir):
+    """The raw log with some parties missing, by table values."""
+    raw = raw_order_log(spark, sf_dir)
+    k2, k3 = F.col("row_id.k2"), F.col("row_id.k3") % 10
+    return raw.withColumns({
+        "nameOrig": F.when(~((k2 == 3) & (k3 == 0)), F.col("nameOrig")),
+        "nameDest": F.when(~((k2 == 4) & (k3 == 1)), F.col("nameDest"))})
+
+
+@register("normalize_nulls", with_ledger(f"SELECT {', '.join(LEDGER_OUT)} FROM holes", extra=_HOLES))
+def q_normalize_nulls(spark, sf_dir):
+    return normalize(_holes(spark, sf_dir)).select(*LEDGER_OUT)
+
+
+def _over_holes(sql):
+    """A statement over ``ledger`` that reads ``holes`` instead."""
+    return with_ledger(sql.replace("FROM ledger", "FROM holes").replace("JOIN ledger", "JOIN holes"), extra=_HOLES)
+
+
+@register("balance_nulls", _over_holes(sql_balance()))
+def q_balance_nulls(spark, sf_dir):
+    return D.balance_inconsistency(normalize(_holes(spark, sf_dir)))
+
+
+@register("fan_out_nulls", _over_holes(sql_fan("out").replace(
+    "SELECT DISTINCT sender_id AS acct, step AS s FROM ledger",
+    "SELECT DISTINCT sender_id AS acct, step AS s FROM ledger WHERE sender_id IS NOT NULL")))
+def q_fan_out_nulls(spark, sf_dir):
+    return D.fan_out(normalize(_holes(spark, sf_dir)))
+
+
+@register("csv_roundtrip", with_ledger(f"SELECT {', '.join(LEDGER_OUT)} FROM ledger"))
+def q_csv_roundtrip(spark, sf_dir):
+    """A1: the log written as CSV with its columns in another order, read back by header."""
+    raw = raw_order_log(spark, sf_dir).drop("row_id")
+    path = scratch(spark, "csv")
+    raw.select(*sorted(raw.columns, reverse=True)).write.option("header", True).csv(path)
+    return read_ledger(spark, path).select(*LEDGER_OUT)
+
+
+# ------------------------------------------------------------------ several cases that share accounts
+def _per_type(final: str, extra: str) -> str:
+    """A findings statement for every transaction type as a case of its own."""
+    return "\nUNION ALL\n".join(
+        f"SELECT * FROM ({findings_sql(final, extra=extra, where=f'tx_type = {chr(39)}{t}{chr(39)}')})".replace(
+            f"'{CASE}' AS case_id", f"'{t}' AS case_id") for t in TX_TYPES)
+
+
+def _typed_ledger(spark, sf_dir):
+    return L(spark, sf_dir).withColumn("case_id", F.col("tx_type"))
+
+
+@register("report_timelines_cases", _per_type(
+    f"SELECT {_TL_OUT} FROM (SELECT a.*, t.case_id, t.rank FROM annotated a "
+    "JOIN top_acc t ON t.account_id = a.account_id)",
+    TOP_ACCOUNTS_SQL + ",\n" + TIMELINE_SQL + ",\n" + ANNOTATED_SQL))
+def q_report_timelines_cases(spark, sf_dir):
+    led = _typed_ledger(spark, sf_dir)
+    found = A.to_payload(A.analyze(led, by=("case_id",)), by=("case_id",))
+    return R.report_timelines(led, found).select(*[c.strip() for c in _TL_OUT.split(",")])
+
+
+@register("report_summary_cases", _per_type(_SUMMARY_SQL,
+                                            TOP_ACCOUNTS_SQL + ",\n" + TIMELINE_SQL + ",\n" + NARRATIVE_SQL))
+def q_report_summary_cases(spark, sf_dir):
+    led = _typed_ledger(spark, sf_dir)
+    found = A.to_payload(A.analyze(led, by=("case_id",)), by=("case_id",))
+    cases = led.select(F.col("case_id").alias("id")).distinct()
+    return R.report_summary(led, found, cases)
+
+
+def _case_files(spark, sf_dir):
+    """``case_id, path``: the log of every transaction type as CSV files of its own."""
+    raw = raw_order_log(spark, sf_dir).withColumn("case_id", F.col("type"))
+    path = scratch(spark, "case-logs")
+    # in row order over the files, as rows of one step keep the order of the log
+    raw = raw.repartitionByRange("case_id", "row_id").sortWithinPartitions("case_id", "row_id")
+    raw.drop("row_id").write.partitionBy("case_id").option("header", True).csv(path)
+    files = spark.read.text(path).inputFiles()
+    named = spark.createDataFrame([(f,) for f in files], "path string")
+    return named.select(F.regexp_extract("path", "/case_id=([^/]+)/", 1).alias("case_id"), "path")
+
+
+def _stored_sql() -> str:
+    return _per_type(f"SELECT case_id, {_STORED_OUT} FROM stored", "unused AS (SELECT 1)")
+
+
+@register("case_pipeline", _stored_sql())
+def q_case_pipeline(spark, sf_dir):
+    """Register cases and their CSV evidence, scan, analyse all cases in one job and store; done twice, as
+    the second analysis takes the place of the first."""
+    files = _case_files(spark, sf_dir)
+    store = CaseStore(spark, scratch(spark, "store"))
+    store.register_cases(files.select("case_id").distinct().select(
+        F.col("case_id").alias("id"), F.col("case_id").alias("name"), F.lit("analyst").alias("investigator")))
+    store.register_evidence(files)
+    for _ in range(2):
+        store.analyze_cases()
+    return store.findings().select("case_id", *[c.strip() for c in _STORED_OUT.split(",")])
+
+
+@register("findings_replace_empty", _stored_sql().replace(
+    "FROM stored)", "FROM stored WHERE case_id <> 'DEBIT')"))
+def q_findings_replace_empty(spark, sf_dir):
+    """A case that is analysed again without findings has none left."""
+    store = CaseStore(spark, scratch(spark, "store"))
+    types = spark.createDataFrame([(t,) for t in TX_TYPES], "case_id string")
+    store.register_cases(types.select(F.col("case_id").alias("id"), F.col("case_id").alias("name"),
+                                      F.lit("analyst").alias("investigator")))
+    found = A.to_payload(A.analyze(_typed_ledger(spark, sf_dir), by=("case_id",)), by=("case_id",))
+    store.save_findings(found)
+    store.save_findings(found.limit(0), "replace", types.where("case_id = 'DEBIT'"))
+    return store.findings().select("case_id", *[c.strip() for c in _STORED_OUT.split(",")])

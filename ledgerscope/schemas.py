@@ -52,6 +52,11 @@ FINDING_SCHEMA = T.StructType([
 ])
 FINDING_COLUMNS = [f.name for f in FINDING_SCHEMA.fields]
 
+# Times from which on a case's findings count.
+RESET_SCHEMA = T.StructType([
+    T.StructField("case_id", T.StringType()), T.StructField("at", T.TimestampType())])
+
+# Stored names of findings, cases and evidence (fixed values).
 STORED_FINDING_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("case_id", T.StringType()),

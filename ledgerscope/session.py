@@ -1,8 +1,8 @@
 """Spark session helpers.
 
 The cluster owns ``spark.checkpoint.dir`` (a shared folder every executor can
-reach).  We only read it; a private folder is created solely when the setting is
-absent, which happens in local tests and the local bench.
+reach).  We only read it.  Where it is unset, a one-machine session (master ``local``)
+gets a private folder, and any other session an error: a driver-only folder would lose data.
 """
 
 from __future__ import annotations
@@ -37,18 +37,26 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a private one only if unset."""
+    """Return the shared checkpoint folder.  If unset: a new private one on a one-machine
+    session (tests, bench), a ``RuntimeError`` on a cluster."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not _one_machine(sc.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that the driver "
+                           "and all executors share")
     path = tempfile.mkdtemp(prefix="ledgerscope-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
 
 
+def _one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -16,28 +16,80 @@ from pyspark.sql import types as T
 from ledgerscope.schemas import LEDGER_COLUMNS, RAW_SCHEMA, RENAMES
 
 
+#: Columns that a raw log must have.
+REQUIRED_RAW = ("step", "amount", "isFraud")
+
+
 def _paths(paths: str | Iterable[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
-def read_raw(spark: SparkSession, paths: str | Iterable[str], fmt: str = "csv") -> DataFrame:
-    """Scan raw transaction logs with a declared schema; adds ``row_id`` (file order)."""
-    paths = _paths(paths)
-    if fmt == "csv":
-        df = (spark.read.schema(RAW_SCHEMA).option("header", True).option("mode", "PERMISSIVE")
-              .csv(paths))
+def _csv_headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files of the paths by their header line (one short read per file)."""
+    out: dict[tuple[str, ...], list[str]] = {}
+    for f in sorted(spark.read.text(paths).inputFiles()):
+        first = spark.read.option("header", False).csv(f).limit(1).collect()
+        if first:
+            names = [v or f"_c{i}" for i, v in enumerate(first[0])]
+            out.setdefault(tuple(n.strip() for n in names), []).append(f)
+    return out
+
+
+def _typed(name: str, kind: T.DataType, on_bad: str) -> Column:
+    """A text column as ``kind``.  Text that isn't a number is an error, or NULL (``on_bad``)."""
+    raw = F.trim(F.col(f"`{name}`"))
+    if isinstance(kind, T.StringType):
+        return F.col(f"`{name}`")
+    value = raw.try_cast("double") if isinstance(kind, T.DoubleType) else F.coalesce(
+        raw.try_cast(kind), raw.try_cast("double").try_cast(kind))
+    if isinstance(kind, T.IntegerType):       # flags may be written as words
+        value = F.coalesce(value, raw.try_cast("boolean").cast("int"))
+    if on_bad == "null":
+        return value
+    bad = raw.isNotNull() & (raw != "") & value.isNull() & (F.lower(raw) != "nan")
+    text = F.concat(F.lit(f"malformed value in column {name}: "), raw)
+    return F.when(bad, F.raise_error(text).cast(kind)).otherwise(value)
+
+
+def read_csv(spark: SparkSession, paths: list[str], on_bad: str = "raise") -> DataFrame:
+    """Raw CSV logs with columns taken by header name, whatever their order; further columns pass
+    through as text.  Files with different headers are read separately and united by name."""
+    known = {f.name: f.dataType for f in RAW_SCHEMA.fields}
+    parts = []
+    for names, files in _csv_headers(spark, paths).items():
+        missing = [c for c in REQUIRED_RAW if c not in names]
+        if missing:
+            raise ValueError(f"raw ledger lacks required columns {missing}: {files[0]}")
+        text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        df = spark.read.schema(text).option("header", True).csv(files)
         # A file block is read by exactly one task, and ids grow with the row position
         # inside a task, so (path, block start, id) is the file order.
         rid = F.struct(F.col("_metadata.file_path").alias("file"),
                        F.col("_metadata.file_block_start").alias("block"),
                        F.monotonically_increasing_id().alias("pos"))
-    elif fmt == "parquet":
+        parts.append(df.select(*[_typed(n, known.get(n, T.StringType()), on_bad).alias(n) for n in names],
+                               rid.alias("row_id")))
+    if not parts:
+        return spark.createDataFrame([], RAW_SCHEMA).withColumn("row_id", F.lit(None).cast(
+            "struct<file:string,block:bigint,pos:bigint>"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def read_raw(spark: SparkSession, paths: str | Iterable[str], fmt: str = "csv",
+             on_bad: str = "raise") -> DataFrame:
+    """Scan raw transaction logs; adds ``row_id`` (file order).  CSV columns are matched by header
+    name; a malformed number raises when it is read (``on_bad="null"`` reads it as NULL)."""
+    paths = _paths(paths)
+    if fmt == "csv":
+        return read_csv(spark, paths, on_bad)
+    if fmt == "parquet":
         df = spark.read.parquet(*paths)
-        rid = F.struct(F.col("_metadata.file_path").alias("file"),
-                       F.col("_metadata.row_index").alias("pos"))
-    else:
-        raise ValueError(f"unsupported ledger format: {fmt}")
-    return df.withColumn("row_id", rid)
+        return df.withColumn("row_id", F.struct(F.col("_metadata.file_path").alias("file"),
+                                                F.col("_metadata.row_index").alias("pos")))
+    raise ValueError(f"unsupported ledger format: {fmt}")
 
 
 def _clean_double(c: Column) -> Column:
@@ -47,12 +99,13 @@ def _clean_double(c: Column) -> Column:
 
 
 def normalize(raw: DataFrame) -> DataFrame:
-    """Rename to ledger names, cast, map NaN to NULL, drop rows without both parties.
+    """Rename to ledger names, cast, map NaN to NULL.  Every row is kept: one without a party counts
+    in the dataset-level rules, and the per-account operators leave out NULL accounts.
 
     Columns outside the raw layout pass through unchanged.  ``step``, ``amount`` and
     ``is_fraud`` must exist.
     """
-    missing = [c for c in ("step", "amount", "isFraud") if c not in raw.columns]
+    missing = [c for c in REQUIRED_RAW if c not in raw.columns]
     if missing:
         raise ValueError(f"raw ledger lacks required columns: {missing}")
     cols = []
@@ -69,18 +122,31 @@ def normalize(raw: DataFrame) -> DataFrame:
         elif name in ("tx_type", "sender_id", "receiver_id"):
             col = col.cast("string")
         cols.append(col.alias(name))
-    df = raw.select(*cols)
-    return df.where(F.col("sender_id").isNotNull() & F.col("receiver_id").isNotNull())
+    return raw.select(*cols)
 
 
-def read_ledger(spark: SparkSession, paths: str | Iterable[str], fmt: str = "csv") -> DataFrame:
+def read_ledger(spark: SparkSession, paths: str | Iterable[str], fmt: str = "csv",
+                on_bad: str = "raise") -> DataFrame:
     """A1 + B1: scan and normalise one or many transaction logs as one ledger."""
-    return normalize(read_raw(spark, paths, fmt))
+    return normalize(read_raw(spark, paths, fmt, on_bad))
 
 
-def rejected_rows(raw: DataFrame) -> DataFrame:
-    """Rows that ``normalize`` drops because a party is missing (for reporting)."""
-    return raw.where(F.col("nameOrig").isNull() | F.col("nameDest").isNull())
+def case_ledger(spark: SparkSession, paths: DataFrame, on_bad: str = "raise") -> DataFrame:
+    """U4 + A2: the CSV logs of many cases (``case_id, path``) as one ledger with ``case_id``.
+
+    A file named by several cases belongs to each of them.  The list of files is metadata and
+    small; their rows are not touched on the driver.
+    """
+    named = paths.where(F.lower("path").endswith(".csv")).select("case_id", "path").distinct()
+    listed = sorted({r["path"] for r in named.select("path").collect()})
+    if not listed:
+        return normalize(read_csv(spark, [])).withColumn("case_id", F.lit(None).cast("string"))
+    led = read_ledger(spark, listed, on_bad=on_bad)
+    # Spark names a file by its URI, evidence rows by their path: compare the paths proper
+    proper = F.regexp_replace("path", r"^file:/*", "/")
+    return led.withColumn("_path", F.url_decode(F.replace(
+        F.regexp_replace("row_id.file", r"^file:/*", "/"), F.lit("+"), F.lit("%2B")))).join(
+        named.select("case_id", proper.alias("_path")), "_path").drop("_path")
 
 
 def ledger_head(ledger: DataFrame, n: int) -> DataFrame:
@@ -88,22 +154,5 @@ def ledger_head(ledger: DataFrame, n: int) -> DataFrame:
     return ledger.orderBy("row_id").limit(n)
 
 
-def empty_ledger(spark: SparkSession) -> DataFrame:
-    fields = [T.StructField("step", T.LongType()), T.StructField("tx_type", T.StringType()),
-              T.StructField("amount", T.DoubleType()), T.StructField("sender_id", T.StringType()),
-              T.StructField("sender_balance_before", T.DoubleType()),
-              T.StructField("sender_balance_after", T.DoubleType()),
-              T.StructField("receiver_id", T.StringType()),
-              T.StructField("receiver_balance_before", T.DoubleType()),
-              T.StructField("receiver_balance_after", T.DoubleType()),
-              T.StructField("is_fraud", T.BooleanType()), T.StructField("is_flagged", T.BooleanType()),
-              T.StructField("row_id", T.LongType())]
-    return spark.createDataFrame([], T.StructType(fields))
-
-
-def has_columns(df: DataFrame, *names: str) -> bool:
-    return all(n in df.columns for n in names)
-
-
-__all__ = ["read_raw", "normalize", "read_ledger", "rejected_rows", "ledger_head",
-           "empty_ledger", "has_columns", "LEDGER_COLUMNS"]
+__all__ = ["read_raw", "read_csv", "normalize", "read_ledger", "case_ledger", "ledger_head",
+           "LEDGER_COLUMNS"]

@@ -1,26 +1,33 @@
 """Case store: cases, evidence and findings as Parquet tables.
 
 ``evidence`` and ``findings`` are partitioned by ``case_id``, so reading one case prunes
-partitions and re-analysing a case replaces only its partition
-(``mode="replace"``, dynamic partition overwrite) instead of appending duplicates.
+partitions.  Replacing or deleting a case's findings appends a row to ``resets`` (case, time): findings
+saved before their case's last reset are no longer read.  So a case that is analysed
+again without any finding loses its old ones, no path is built from a case id, and a replaced
+case's partition is also overwritten where there are new rows (dynamic partition overwrite).
 Every write is a batch over many cases / files / findings.
 """
 
 from __future__ import annotations
 
+import os
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerscope.operators.analyze import analyze, to_payload
 from ledgerscope.operators.custody import digest_files
-from ledgerscope.schemas import CASE_SCHEMA, EVIDENCE_SCHEMA, STORED_FINDING_SCHEMA
+from ledgerscope.schemas import CASE_SCHEMA, EVIDENCE_SCHEMA, RESET_SCHEMA, STORED_FINDING_SCHEMA
 from ledgerscope.session import checkpoint_dir
+from ledgerscope.sources.ledger import case_ledger
 
 
 class CaseStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.paths = {n: f"{self.root}/{n}" for n in ("cases", "evidence", "findings")}
+        self.paths = {n: f"{self.root}/{n}" for n in ("cases", "evidence", "findings", "resets")}
 
     # ---------------------------------------------------------------- readers
     def _read(self, name, schema) -> DataFrame:
@@ -39,8 +46,15 @@ class CaseStore:
         return df if case_id is None else df.where(F.col("case_id") == case_id)
 
     def findings(self, case_id: str | None = None) -> DataFrame:
+        """Findings saved since their case's last reset."""
         df = self._read("findings", STORED_FINDING_SCHEMA)
-        return df if case_id is None else df.where(F.col("case_id") == case_id)
+        resets = self._read("resets", RESET_SCHEMA)
+        if case_id is not None:
+            df, resets = df.where(F.col("case_id") == case_id), resets.where(F.col("case_id") == case_id)
+        since = resets.groupBy("case_id").agg(F.max("at").alias("_since"))
+        return (df.join(since, "case_id", "left")
+                .where(F.col("_since").isNull() | (F.col("created_at") >= F.col("_since")))
+                .select(*[f.name for f in STORED_FINDING_SCHEMA.fields]))
 
     # ---------------------------------------------------------------- checks
     def missing_cases(self, df: DataFrame) -> DataFrame:
@@ -55,7 +69,8 @@ class CaseStore:
     # ---------------------------------------------------------------- writers
     def register_cases(self, new: DataFrame) -> DataFrame:
         """``name, description, investigator`` (+ optional ``id``) -> defaults filled,
-        appended; returns the stored rows (ids are materialised before the write)."""
+        appended; returns the stored rows (ids are materialised before the write).  An id that is
+        given twice or already stored is a ValueError."""
         checkpoint_dir(self.spark)
         rid = F.col("id") if "id" in new.columns else F.expr("uuid()")
         rows = new.select(
@@ -66,18 +81,30 @@ class CaseStore:
             F.current_timestamp().alias("created_at"),
             (F.col("status") if "status" in new.columns else F.lit("open")).cast("string")
             .alias("status")).checkpoint()
+        ids = rows.select("id").unionByName(self.cases().select("id")).groupBy("id").count()
+        taken = [r["id"] for r in ids.where(F.col("count") > 1).limit(5).collect()]
+        if taken:
+            raise ValueError(f"Case ids in use: {', '.join(map(str, taken))}")
         rows.write.mode("append").parquet(self.paths["cases"])
         return rows
 
     def register_evidence(self, files: DataFrame) -> DataFrame:
         """A3: ``case_id, path, notes`` -> digests of every file, appended; missing case ->
-        ValueError, missing file -> FileNotFoundError.  ``filename`` is the path given."""
+        ValueError, missing file -> FileNotFoundError, unreadable file -> OSError.  ``filename`` is
+        the absolute path (a relative one starts from the driver's working folder)."""
         self._require_cases(files)
         checkpoint_dir(self.spark)
+        here = F.lit(os.getcwd().rstrip("/") + "/")
+        path = F.col("path")
+        files = files.withColumn("path", F.when(path.startswith("/") | path.rlike(r"^\w+:"), path)
+                                 .otherwise(F.concat(here, path)))
         dig = digest_files(files).checkpoint()
         missing = [r["path"] for r in dig.where(~F.col("exists")).limit(5).collect()]
         if missing:
             raise FileNotFoundError(f"Evidence file not found: {', '.join(missing)}")
+        broken = dig.where(F.col("error").isNotNull()).select("path", "error").limit(5).collect()
+        if broken:
+            raise OSError("Evidence not readable: " + "; ".join(f"{r['path']}: {r['error']}" for r in broken))
         rows = dig.select(
             F.expr("uuid()").alias("id"), "case_id", F.col("path").alias("filename"),
             F.col("sha256").alias("sha256_hash"), F.col("md5").alias("md5_hash"),
@@ -87,15 +114,27 @@ class CaseStore:
         rows.write.mode("append").partitionBy("case_id").parquet(self.paths["evidence"])
         return rows
 
-    def save_findings(self, payload: DataFrame, mode: str = "append") -> int:
+    def _reset(self, cases: DataFrame, micros: int) -> None:
+        """Findings of these cases (``case_id``) saved before this time aren't read any more."""
+        (cases.select("case_id").distinct().withColumn("at", F.timestamp_micros(F.lit(micros)))
+         .write.mode("append").parquet(self.paths["resets"]))
+
+    def save_findings(self, payload: DataFrame, mode: str = "append",
+                      cases: DataFrame | None = None) -> int:
         """Store findings (``to_payload`` rows with ``case_id``); returns the count.
 
-        ``mode="append"`` adds rows as the reference does; ``mode="replace"`` overwrites
-        only the partitions of the cases present in ``payload``.
+        ``mode="append"`` adds rows as the reference does; ``mode="replace"`` takes the place of all
+        earlier findings of ``cases`` (column ``case_id``: the cases that were analysed, with or
+        without findings; default: the cases in ``payload``).
         """
+        if mode not in ("append", "replace"):
+            raise ValueError("mode must be 'append' or 'replace'")
         self._require_cases(payload)
+        if cases is not None:
+            self._require_cases(cases)
+        now = time.time_ns() // 1000
         cols = [f.name for f in STORED_FINDING_SCHEMA.fields]
-        rows = payload.withColumns({"id": F.expr("uuid()"), "created_at": F.current_timestamp()})
+        rows = payload.withColumns({"id": F.expr("uuid()"), "created_at": F.timestamp_micros(F.lit(now))})
         if "amount" not in rows.columns:
             rows = rows.withColumn("amount", F.lit(None).cast("double"))
         rows = rows.select(*[F.col(c).cast(STORED_FINDING_SCHEMA[c].dataType) for c in cols])
@@ -108,19 +147,17 @@ class CaseStore:
         w = rows.write.partitionBy("case_id")
         if mode == "replace":
             w = w.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        elif mode == "append":
-            w = w.mode("append")
         else:
-            raise ValueError("mode must be 'append' or 'replace'")
+            w = w.mode("append")
         w.parquet(self.paths["findings"])
+        if mode == "replace":       # after the new rows: a failure in between loses nothing
+            done = rows.select("case_id")
+            self._reset(done if cases is None else done.unionByName(cases.select("case_id")), now)
         return int(n)
 
     def delete_findings(self, case_id: str) -> None:
-        """A7 maintenance: drop one case's findings (its partition)."""
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(
-            f"{self.paths['findings']}/case_id={case_id}")
-        fs = jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(jvm_path, True)
+        """A7 maintenance: drop one case's findings."""
+        self._reset(self.spark.createDataFrame([(case_id,)], "case_id string"), time.time_ns() // 1000)
 
     # ---------------------------------------------------------------- A2
     def ledger_paths(self, case_id: str | None = None, first_only: bool = False) -> DataFrame:
@@ -131,3 +168,13 @@ class CaseStore:
             ev = ev.groupBy("case_id").agg(F.min_by("filename", F.struct("acquired_at", "id"))
                                            .alias("filename"))
         return ev.select("case_id", F.col("filename").alias("path"))
+
+    # ---------------------------------------------------------------- the case pipeline
+    def analyze_cases(self) -> int:
+        """Every case's CSV evidence, scanned as one ledger with ``case_id``, analysed case by case in
+        one job; the findings take the place of all earlier ones of the analysed cases."""
+        paths = self.ledger_paths()
+        led = case_ledger(self.spark, paths)
+        found = analyze(led, by=("case_id",))
+        payload = to_payload(found, by=("case_id",))
+        return self.save_findings(payload, "replace", paths.select("case_id").distinct())

@@ -21,8 +21,11 @@ from ledgerscope.sources.ledger import normalize
 
 
 def raw_stream(spark: SparkSession, folder: str, max_files_per_trigger: int = 100) -> DataFrame:
-    """Raw CSV logs appearing in ``folder`` as a stream, with their file and block."""
+    """Raw CSV logs appearing in ``folder`` as a stream, with their file and block.  A stream has
+    one fixed layout: a file whose header names other columns or another order is an error, and so
+    is a malformed number."""
     df = (spark.readStream.schema(RAW_SCHEMA).option("header", True)
+          .option("enforceSchema", False).option("mode", "FAILFAST")
           .option("maxFilesPerTrigger", max_files_per_trigger).csv(folder))
     return df.withColumns({"_file": F.col("_metadata.file_path"),
                            "_block": F.col("_metadata.file_block_start")})

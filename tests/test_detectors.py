@@ -286,14 +286,3 @@ def test_property_drain_and_fan_match_row_loops(spark, rows):
                   int(r["description"].split()[3])) for r in D.fan(L, "out", min_distinct=2)
                  .collect())
     assert got == naive.fan(rows, "out", k=2)
-
-
-def test_dormant_approx_median_equals_exact_on_odd_distinct(ledger):
-    rng = random.Random(21)
-    rows = [dict(step=rng.randrange(30), sender_id=f"A{rng.randrange(40)}",
-                 receiver_id=f"A{rng.randrange(40)}",
-                 amount=float(i) * 1.5 if i < 260 else 1000.0 + i) for i in range(301)]
-    L = ledger(rows)
-    exact = sorted(map(tuple, D.dormant_activation(L).collect()))
-    approx = sorted(map(tuple, D.dormant_activation(L, approx=True).collect()))
-    assert exact == approx and len(exact) > 0
