@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerscope.functions.core import hmac_sha256
+from ledgerscope.functions.core import canonical_json, hmac_sha256
 from ledgerscope.operators import custody as K
 from ledgerscope.operators import findings as FD
 from ledgerscope.operators import report as R
@@ -91,7 +91,10 @@ def test_manifest_roundtrip_and_tamper(spark):
     assert bad2["failed_items"][0] == "manifest_hash"
     custody = R.report_custody(man).orderBy("seq").collect()
     assert custody[3]["value"] == "List of items:" and custody[4]["key"] == "  Item 1 - type"
-    assert len(custody) == 3 + 1 + 3 * 8 + 1
+    # an item has rows for its own keys only: eight of a file, four of a table
+    assert len(custody) == 3 + 1 + 2 * 8 + 4 + 1
+    assert {r["key"] for r in custody if r["key"].startswith("  Item 3")} == {
+        f"  Item 3 - {k}" for k in ("type", "sha256", "acquired_at", "label")}
     empty = K.finalize(items.where("seq > 99"), cases).collect()[0]["manifest_hash"]
     assert empty == hashlib.sha256(b"").hexdigest()
 
@@ -138,6 +141,75 @@ def test_case_store_summary_and_errors(spark):
     assert store.findings(cid).count() == 0
 
 
+FOUND = ("case_id string, finding_type string, severity string, description string, account_ids array<string>, "
+         "step_start long, step_end long, confidence double, amount double")
+
+
+def test_store_resets_and_case_ids(spark):
+    store = CaseStore(spark, tempfile.mkdtemp(prefix="ls-store-"))
+    ids = ["c:2/x", "c1"]
+    cases = spark.createDataFrame([(i, i, "inv") for i in ids], "id string, name string, investigator string")
+    store.register_cases(cases)
+    with pytest.raises(ValueError, match="in use"):
+        store.register_cases(cases.limit(1))
+    f = spark.createDataFrame([(i, "fan_out", "low", "d", ["A"], 1, 2, 0.7, None) for i in ids], FOUND)
+    store.save_findings(f)
+    store.delete_findings("c:2/x")
+    assert [r["case_id"] for r in store.findings().collect()] == ["c1"]
+    store.save_findings(f)                                  # after a reset findings count again
+    assert store.findings().count() == 3
+    assert store.save_findings(f.limit(0), "replace", cases.select(F.col("id").alias("case_id"))) == 0
+    assert store.findings().count() == 0
+
+
+def test_relative_evidence_becomes_absolute(spark, monkeypatch):
+    d = tempfile.mkdtemp(prefix="ls-rel-")
+    write(d, "e.csv", b"x")
+    store = CaseStore(spark, tempfile.mkdtemp(prefix="ls-store-"))
+    store.register_cases(spark.createDataFrame([("c", "n", "i")], "id string, name string, investigator string"))
+    monkeypatch.chdir(d)
+    store.register_evidence(spark.createDataFrame([("c", "e.csv")], "case_id string, path string"))
+    assert store.evidence().first()["filename"] == os.path.join(os.path.realpath(d), "e.csv")
+
+
+def test_empty_manifest_is_valid_and_item_order_counts(spark):
+    cases = spark.createDataFrame([("c", "i"), ("e", "i")], "id string, investigator string")
+    tables = spark.createDataFrame([("c", 1, "a", "1" * 64), ("c", 2, "b", "2" * 64)],
+                                   "case_id string, seq int, label string, sha256 string")
+    path = tempfile.mkdtemp(prefix="ls-m-") + "/m"
+    K.write_manifests(K.finalize(K.manifest_items(tables=tables), cases), path)
+    back = K.read_manifests(spark, path)
+    assert {r["case_id"]: r["valid"] for r in K.verify_manifest(back).collect()} == {"c": True, "e": True}
+    turned = back.withColumn("items", F.reverse("items"))
+    assert {r["case_id"]: r["valid"] for r in K.verify_manifest(turned).collect()} == {"c": False, "e": True}
+
+
+def test_signatures_do_not_depend_on_the_time_zone(spark):
+    row = spark.sql("SELECT timestamp_micros(1700000000000000) AS t, CAST(NULL AS STRING) AS x")
+    texts = set()
+    for zone in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        texts.add(row.select(canonical_json(row)).first()[0])
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert len(texts) == 1 and '"x":null' in texts.pop()
+
+
+def test_cases_that_share_an_account_stay_apart(spark):
+    cols = "case_id string, step long, tx_type string, amount double, sender_id string, receiver_id string, row_id long"
+    led = spark.createDataFrame([("c1", 1, "TRANSFER", 5.0, "A", "B", 1), ("c2", 2, "TRANSFER", 7.0, "A", "B", 2)], cols)
+    for c in ("sender_balance_before", "sender_balance_after", "receiver_balance_before", "receiver_balance_after"):
+        led = led.withColumn(c, F.lit(None).cast("double"))
+    f = spark.createDataFrame([("c1", "rapid_drain", "high", "d", ["A"], 1, 9, 0.9, 1.0),
+                               ("c2", "fan_out", "low", "d", ["A"], 1, 9, 0.7, 1.0),
+                               ("c3", "balance_inconsistency", "high", "d", ["DATASET"], 1, 9, 1.0, 1.0)], FOUND)
+    got = {(r["case_id"], r["step"], r["annotation"]) for r in R.report_timelines(led, f).collect()}
+    assert got == {("c1", 1, "[RAPID DRAIN]"), ("c2", 2, "")}
+    cases = spark.createDataFrame([("c1",), ("c2",), ("c3",), ("c4",)], "id string")
+    text = {r["case_id"]: r["narrative"] for r in R.report_summary(led, f, cases).collect()}
+    assert "rapid drain" in text["c1"] and "fan out" in text["c2"] and "7.00" in text["c2"]
+    assert text["c3"] == R.NO_ACCOUNT and text["c4"] == R.NO_FINDINGS
+
+
 def test_report_findings_and_accounts(spark):
     rows = [("c", "rapid_drain", "high", "d", [f"A{i}"], i, i + 1, 0.9, float(i)) for i in range(120)]
     rows.append(("c", "balance_inconsistency", "high", "x", ["DATASET"], 0, 9, 1.0, 5.0))
