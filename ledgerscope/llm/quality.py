@@ -76,11 +76,13 @@ def base_metrics(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFram
     twice = F.array_distinct(F.flatten(F.filter(same, lambda p: p.isNotNull())))
     covered = F.size(F.array_distinct(F.flatten(
         F.transform(twice, lambda p: F.array(p, p + 1, p + 2)))))
-    return d.select(*keep, "n_words", "word_chars", "n_symbols",
-                    (F.col("n_lines") - F.size(F.array_distinct("_lines"))).cast("long")
-                    .alias("n_dup_lines"),
-                    F.when(F.col("_at").isNull(), 0).otherwise(covered).cast("long")
-                    .alias("n_repeat_words"), "n_lines")
+    # The counts leave through a generator of one row: conditions on them and further columns
+    # made of them can't be merged into (and so repeat) the expressions that make them.
+    return d.select(*keep, F.inline(F.array(F.struct(
+        "n_words", "word_chars", "n_symbols",
+        (F.col("n_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.when(F.col("_at").isNull(), 0).otherwise(covered).cast("long").alias("n_repeat_words"),
+        "n_lines"))))
 
 
 def _pair_hash(a: Column) -> Column:
@@ -227,7 +229,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
     costs less than shuffling the texts to meet their verdicts.
     """
     strat = stratum(F.col("lang")).alias("stratum")
-    m = base_metrics(docs.select("doc_id", "text", strat), ["doc_id", "stratum"])
+    m = checkpointed(base_metrics(docs.select("doc_id", "text", strat), ["doc_id", "stratum"]))
     cutoffs = checkpointed(calibrate(m, labels, **risk))
     # the row travels as one struct, so its columns can't clash with the counts
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", strat)
