@@ -570,3 +570,81 @@ def q_findings_replace_empty(spark, sf_dir):
     store.save_findings(found)
     store.save_findings(found.limit(0), "replace", types.where("case_id = 'DEBIT'"))
     return store.findings().select("case_id", *[c.strip() for c in _STORED_OUT.split(",")])
+
+
+# ------------------------------------------------------------------ custody of the documents, one case per language
+def _doc_items(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    return d.select(
+        F.col("lang").alias("case_id"), F.col("doc_id").alias("seq"), F.lit("file").alias("type"),
+        F.concat(F.lit("docs/"), name).alias("filepath"), name.alias("filename"),
+        F.octet_length("text").cast("long").alias("file_size"), F.sha2("text", 256).alias("sha256"),
+        F.md5("text").alias("md5"), F.lit("2024-01-01").alias("acquired_at"), F.lit("").alias("notes"),
+        F.lit(None).cast("string").alias("label"))
+
+
+def _doc_manifests(spark, sf_dir):
+    items = _doc_items(spark, sf_dir)
+    cases = items.select(F.col("case_id").alias("id"), F.lit("analyst").alias("investigator")).distinct()
+    return K.finalize(items, cases)
+
+
+_DOC_HASH = """SELECT lang AS case_id, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS manifest_hash,
+       CAST(COUNT(*) AS BIGINT) AS n_items FROM documents GROUP BY lang"""
+
+
+@register("manifest_hash_documents", _DOC_HASH)
+def q_manifest_hash_documents(spark, sf_dir):
+    return K.manifest_hash(_doc_items(spark, sf_dir))
+
+
+@register("manifest_roundtrip_documents",
+          f"SELECT case_id, 'analyst' AS investigator, manifest_hash, n_items FROM ({_DOC_HASH})")
+def q_manifest_roundtrip_documents(spark, sf_dir):
+    """Manifests written as JSON and read back with the declared schema; the hash is made again from
+    the items read."""
+    path = scratch(spark, "manifest")
+    K.write_manifests(_doc_manifests(spark, sf_dir), path)
+    back = K.read_manifests(spark, path)
+    again = K.manifest_hash(back.select("case_id", F.explode("items").alias("i")).select("case_id", "i.*"))
+    return again.join(back.select("case_id", "investigator"), "case_id")
+
+
+@register("report_evidence_documents", """
+SELECT lang AS case_id, doc_id AS seq, 'file' AS item, doc_id || '.txt' AS filename,
+       substring(sha256(text), 1, 16) || '...' AS sha256_trunc, '2024-01-01' AS acquired_at,
+       round(strlen(text) / CAST(1048576.0 AS DOUBLE), 2) AS size_mb FROM documents""")
+def q_report_evidence_documents(spark, sf_dir):
+    return R.report_evidence(_doc_items(spark, sf_dir))
+
+
+@register("report_custody_documents", f"""
+WITH h AS ({_DOC_HASH}),
+i AS (SELECT lang AS case_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n, doc_id, text FROM documents),
+kv AS (
+  SELECT case_id, 0 AS seq, 'case_id' AS key, case_id AS value FROM h
+  UNION ALL SELECT case_id, 1, 'investigator', 'analyst' FROM h
+  UNION ALL SELECT case_id, 3, 'items', 'List of items:' FROM h
+  UNION ALL SELECT case_id, 4 + 8 * n_items, 'manifest_hash', manifest_hash FROM h
+  UNION ALL SELECT case_id, 4 + 8 * (n - 1) + k.o, '  Item ' || n || ' - ' || k.name,
+    CASE k.o WHEN 0 THEN 'file' WHEN 1 THEN 'docs/' || doc_id || '.txt' WHEN 2 THEN doc_id || '.txt'
+      WHEN 3 THEN CAST(strlen(text) AS VARCHAR) WHEN 4 THEN sha256(text) WHEN 5 THEN md5(text)
+      WHEN 6 THEN '2024-01-01' ELSE '' END
+  FROM i, (VALUES (0, 'type'), (1, 'filepath'), (2, 'filename'), (3, 'file_size'), (4, 'sha256'), (5, 'md5'),
+                  (6, 'acquired_at'), (7, 'notes')) k(o, name))
+SELECT case_id, CAST(seq AS INTEGER) AS seq, key, value FROM kv""")
+def q_report_custody_documents(spark, sf_dir):
+    return R.report_custody(_doc_manifests(spark, sf_dir)).where(F.col("key") != "finalized_at")
+
+
+@register("custody_from_evidence_documents", """
+SELECT lang AS case_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id % 100, 'd' || doc_id) AS INTEGER) AS seq,
+       doc_id || '.txt' AS filename, sha256(text) AS sha256 FROM documents""")
+def q_custody_from_evidence_documents(spark, sf_dir):
+    items = _doc_items(spark, sf_dir)
+    evidence = items.select(
+        "case_id", F.concat(F.lit("d"), F.col("seq").cast("string")).alias("id"), F.col("filepath").alias("filename"),
+        "file_size", F.col("sha256").alias("sha256_hash"), F.col("md5").alias("md5_hash"),
+        F.timestamp_seconds(F.col("seq") % 100).alias("acquired_at"), "notes")
+    return K.custody_from_evidence(evidence).select("case_id", "seq", "filename", "sha256")
