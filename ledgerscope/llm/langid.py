@@ -39,6 +39,10 @@ SEP, RARE, FIRST = 0, 1, 2   # symbol classes: any run of non-letters, rare lett
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 class Automaton:
     """Suffix automaton of a symbol sequence; ``next[s]`` maps symbols to states, 0 is the root."""
 
@@ -152,7 +156,7 @@ class Model:
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """(language, score) of each text; the score is second / (best + second) cost."""
-        known = [i for i, t in enumerate(texts) if _LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if has_letter(t)]
         lang, score = ["und"] * len(texts), [0.0] * len(texts)
         if not known or not self.langs:
             return lang, score

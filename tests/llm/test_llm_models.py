@@ -45,7 +45,7 @@ def test_phrases_equal_a_greedy_substring_parse():
 
 def test_language_edge_rows(spark):
     rows = [(1, "aaa bbb abab " * 30, "x"), (2, "ccc ddd cdcd " * 30, "y"), (3, None, "x"), (4, "", "y"),
-            (5, "123 ... ##", "x"), (6, "abab bbb", None), (7, "cdcd \U0001F600 ddd \x00 c", None),
+            (5, "123 ... ## ²", "x"), (6, "abab bbb", None), (7, "cdcd \U0001F600 ddd \x00 c", None),
             (None, "abba", None), (6, "abab bbb", None), (8, "ab " * 120_000, None)]
     docs = documents(spark, rows).withColumn("lang_pred", F.lit("clash")).withColumn("score", F.lit(2))
     passages = L.training_passages(docs.withColumn("learn", F.lit(True)))
