@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, least_match:
     spokes = (live.select("h", "node").join(pivots, "h").where(F.col("node") != F.col("pivot"))
               .select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
     used = live.select("node").distinct()
-    wanted = checkpointed(nodes.select("node", "doc_id").join(used, "node", "left_semi"))
+    wanted = checkpointed(nodes.join(used, "node", "left_semi"))
     profile = checkpointed(profiles(docs, wanted))
     first = checkpointed(verified(spokes, profile, threshold).select("a", "b"))
 
@@ -255,13 +255,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, least_match:
     mixed = (part.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
              .where(F.col("lo") != F.col("hi")).select("h"))
     sketch = profile.select("node", *[F.get("sketch", F.lit(i)).alias(f"_s{i}") for i in range(SKETCH_LONGS)])
-    left = checkpointed(part.join(mixed, "h", "left_semi")).join(sketch, "node")
+    left = (checkpointed(part.join(mixed, "h", "left_semi")).join(sketch, "node")
+            .join(wanted.select("node", F.col("bands").alias("_bands")), "node"))
     right = left.select("h", F.col("node").alias("b"), F.col("part").alias("_part"),
+                        F.col("_bands").alias("_other"),
                         *[F.col(f"_s{i}").alias(f"_t{i}") for i in range(SKETCH_LONGS)])
     rest = (left.withColumnRenamed("node", "a")
             .join(right, "h").where((F.col("a") < F.col("b")) & (F.col("part") != F.col("_part"))
-                                    & (matching_components() >= int(least_match * FINE)))
-            .select("a", "b").distinct())
+                                    & (matching_components() >= int(least_match * FINE))
+                                    # a pair comes out of its first common band only
+                                    & (F.get(F.array_intersect("_bands", "_other"), F.lit(0)) == F.col("h")))
+            .select("a", "b"))
     second = verified(rest, profile, threshold).select("a", "b")
     labels = components(first.unionByName(second))
     known = rows.select("doc_id", "node").join(labels, "node", "left").select(
