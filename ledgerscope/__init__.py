@@ -1,7 +1,8 @@
 """ledgerscope — ledger forensics as Spark DataFrame operators.
 
-Every public operator takes and returns DataFrames and starts no Spark action;
-thresholds are keyword parameters whose defaults are the reference rules.
+Every public operator takes and returns DataFrames; thresholds are keyword parameters whose defaults
+are the reference rules.  Operators that read an intermediate several times, fit models or write to a
+store run Spark jobs when they are called.
 """
 
 from ledgerscope.session import get_spark, checkpoint_dir
