@@ -15,8 +15,8 @@ metrics     pr_curve, metrics, confusion, write_metrics
 ml          stratified_split, class_weights, train, score, evaluate_all, rank_accounts,
             feature_importance, attribution, save / load
 custody     digest_files, verify_files, digest_table, sign_records,
-            verify_signatures, manifest_items, manifest_hash, finalize, verify_manifest,
-            custody_from_evidence, report_signature
+            verify_signatures, manifest_items, manifest_hash, finalize, finalize_rows,
+            verify_manifest, custody_from_evidence, report_signature
 report      report_cover, report_summary, report_evidence, report_findings,
-            report_timelines, report_custody, report_tables, write_report
+            report_timelines, report_custody, report_custody_rows, report_tables, write_report
 """

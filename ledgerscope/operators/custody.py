@@ -6,7 +6,10 @@
 * K2 ``digest_table``: order-sensitive, column-order-insensitive table digest, built as
   a tree of bounded groups (rows -> 4096-row chunks -> 4096-chunk blocks -> root).
 * K4 ``sign_records`` / ``verify_signatures``: HMAC-SHA256 over canonical JSON, JVM-side.
-* K5-K8 manifests: hash of the item digests concatenated in ``seq`` order, per case.
+* K5-K8 manifests: hash of the item digests concatenated in ``seq`` order, per case.  The digests
+  are sorted and joined into chunks in parallel; only the hashing itself is one stream per case.
+  A manifest is a header row and a table of numbered item rows (``finalize_rows``), or one
+  nested document per case (``finalize``, for cases whose items fit in one row).
 * K9 ``report_signature``: HMAC of (case_id, custody_hash, generated_at), with
   ``generated_at`` stored next to the signature so it can be re-verified.
 """
@@ -14,7 +17,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +29,7 @@ from ledgerscope.functions.core import canonical_json, global_running_sum, hmac_
 from ledgerscope.session import ship_package
 
 CHUNK = 4 * 1024 * 1024
+DIGESTS_AT_ONCE = 128           # item digests in a row of ``manifest_hash``
 
 FILE_DIGEST_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
@@ -170,15 +177,111 @@ def manifest_items(files: DataFrame | None = None, tables: DataFrame | None = No
     return out
 
 
+def _joined_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``case_id, part, no, n, digests`` of sorted rows ``case_id, sha256``: at most
+    DIGESTS_AT_ONCE digests of a case, joined; NULL digests only count."""
+    part, no = TaskContext.get().partitionId(), 0
+    key, n, held = None, 0, []
+    for b in batches:
+        out = []
+        for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if n and (k != key or n == DIGESTS_AT_ONCE):
+                out.append((key, part, no, n, "".join(held)))
+                no, n, held = no + 1, 0, []
+            key, n = k, n + 1
+            if d is not None:
+                held.append(d)
+        if out:
+            yield _batch(out, b.schema.field(0).type)
+        kind = b.schema.field(0).type
+    if n:
+        yield _batch([(key, part, no, n, "".join(held))], kind)
+
+
+def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True))
+    types = [kind, pa.int32(), pa.int64(), pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
+                                      ["case_id", "part", "no", "n", "digests"])
+
+
+def _hashed_cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``case_id, manifest_hash, n_items`` of the chunks in order; holds one hash at a time."""
+    key, digest, n = None, None, 0
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(cols, [kind, pa.string(), pa.int64()], strict=True)],
+            ["case_id", "manifest_hash", "n_items"])
+
+    for b in batches:
+        out, kind = [], b.schema.field(0).type
+        for k, m, text in zip(*[b.column(i) for i in range(3)], strict=True):
+            k = k.as_py()
+            if digest is None or k != key:
+                if digest is not None:
+                    out.append((key, digest.hexdigest(), n))
+                key, digest, n = k, hashlib.sha256(), 0
+            digest.update(text.as_py().encode())
+            n += m.as_py()
+        if out:
+            yield batch(out)
+    if digest is not None:
+        yield batch([(key, digest.hexdigest(), n)])
+
+
 def manifest_hash(items: DataFrame, order: str = "seq") -> DataFrame:
-    """K6 / D-14: per case, SHA-256 of the item digests joined in ``order`` order."""
-    return items.groupBy("case_id").agg(F.sha2(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(order, "sha256"))), lambda x: x["sha256"]), ""), 256)
-        .alias("manifest_hash"), F.count(F.lit(1)).alias("n_items"))
+    """K6 / D-14: per case, SHA-256 of the item digests joined in ``order`` order.
+
+    The items are range-sorted in parallel and their digests joined into chunks of
+    DIGESTS_AT_ONCE.  The hash is sequential, so a case's chunks are one stream in one task, which
+    holds a batch of them (the sort spills), whatever the number of items.
+    """
+    ship_package(items.sparkSession)
+    rows = items.select("case_id", F.col(order).alias("_o"), "sha256")
+    kind = rows.schema["case_id"]
+    chunks = (rows.repartitionByRange("case_id", "_o", "sha256")
+              .sortWithinPartitions("case_id", "_o", "sha256").select("case_id", "sha256")
+              .mapInArrow(_joined_digests, T.StructType([
+                  kind, T.StructField("part", T.IntegerType()), T.StructField("no", T.LongType()),
+                  T.StructField("n", T.LongType()), T.StructField("digests", T.StringType())])))
+    return (chunks.repartition("case_id").sortWithinPartitions("case_id", "part", "no")
+            .select("case_id", "n", "digests")
+            .mapInArrow(_hashed_cases, T.StructType([
+                kind, T.StructField("manifest_hash", T.StringType()),
+                T.StructField("n_items", T.LongType(), False)])))
+
+
+def numbered(items: DataFrame, order: str = "seq") -> DataFrame:
+    """``items`` with ``pos``: 0, 1, ... per case in (``order``, digest) order, the order of
+    ``manifest_hash``."""
+    rest = [c for c in items.columns if c not in ("case_id", order, "sha256")]
+    keyed = items.withColumns({"_k": F.struct("case_id", order, "sha256", *rest), "_one": F.lit(1)})
+    ranked = global_running_sum(keyed, "_k", ["_one"], prefix="_to").drop("_k", "_one")
+    first = ranked.groupBy(F.col("case_id").alias("_case")).agg(F.min("_to_one").alias("_first"))
+    return (ranked.join(first, F.col("case_id").eqNullSafe(F.col("_case")))
+            .withColumn("pos", F.col("_to_one") - F.col("_first")).select(*items.columns, "pos"))
+
+
+def finalize_rows(items: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """K6 with any number of items: the header rows (``case_id, investigator, manifest_hash,
+    n_items, finalized_at``) and the item rows (``items`` of these cases with ``pos``)."""
+    head = cases.select(F.col("id").alias("case_id"), "investigator")
+    known = head.select(F.col("case_id").alias("_id"))
+    rows = numbered(items).join(known, F.col("case_id").eqNullSafe(F.col("_id")), "left_semi")
+    made = manifest_hash(rows, "pos").withColumnRenamed("case_id", "_id")
+    head = head.join(made, F.col("case_id").eqNullSafe(F.col("_id")), "left").select(
+        "case_id", "investigator",
+        F.coalesce("manifest_hash", F.lit(hashlib.sha256(b"").hexdigest())).alias("manifest_hash"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.current_timestamp().cast("string").alias("finalized_at"))
+    return head, rows
 
 
 def finalize(items: DataFrame, cases: DataFrame) -> DataFrame:
-    """K6: one manifest per case: header + nested items (a case has few items)."""
+    """K6: one manifest per case: header + nested items.  All items of a case are in one row;
+    ``finalize_rows`` has no such bound."""
     nested = items.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(
         *[c for c in items.columns if c != "case_id"]))).alias("items"))
     head = cases.select(F.col("id").alias("case_id"), "investigator")
@@ -209,6 +312,23 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).json(path)
 
 
+def write_manifest_rows(head: DataFrame, items: DataFrame, path: str) -> None:
+    """Header and item rows of ``finalize_rows``, one JSON line each, in two folders."""
+    head.write.mode("overwrite").json(f"{path.rstrip('/')}/manifests")
+    items.write.mode("overwrite").json(f"{path.rstrip('/')}/items")
+
+
+HEAD_SCHEMA = T.StructType([f for f in MANIFEST_SCHEMA.fields if f.name != "items"])
+ITEM_ROW_SCHEMA = T.StructType([MANIFEST_SCHEMA["case_id"], *ITEM_SCHEMA.fields,
+                                T.StructField("pos", T.LongType())])
+
+
+def read_manifest_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The header and item rows that ``write_manifest_rows`` wrote."""
+    return (spark.read.schema(HEAD_SCHEMA).json(f"{path.rstrip('/')}/manifests"),
+            spark.read.schema(ITEM_ROW_SCHEMA).json(f"{path.rstrip('/')}/items"))
+
+
 def verify_manifest(manifests: DataFrame) -> DataFrame:
     """K7: per case ``(valid, failed_items)``: the header hash against the items in their stored
     order, and every file item against a fresh digest of its file.  Table items are not re-hashed.

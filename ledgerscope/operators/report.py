@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.core import global_running_sum
 from ledgerscope.operators import findings as FD
 from ledgerscope.operators import timeline as T
 from ledgerscope.operators.custody import report_signature
@@ -129,6 +130,33 @@ def report_custody(manifests: DataFrame) -> DataFrame:
         F.coalesce(F.col("kv.value"), F.lit("None")).alias("value"))
 
 
+def report_custody_rows(head: DataFrame, items: DataFrame) -> DataFrame:
+    """N6 of the header and item rows of ``custody.finalize_rows``: the rows of ``report_custody``,
+    made item by item and numbered by a running sum."""
+    kv = F.filter(F.array(*[
+        F.struct(F.format_string("  Item %d - %s", F.col("pos") + 1, F.lit(k)).alias("key"),
+                 F.col(k).cast("string").alias("value")) for k in ITEM_KEYS]),
+        lambda x: x["value"].isNotNull())
+    rows = items.select("case_id", kv.alias("kv"), F.struct("case_id", "pos").alias("_k"))
+    rows = global_running_sum(rows.withColumn("n", F.size("kv").cast("long")), "_k", ["n"], prefix="to_")
+    per = rows.groupBy(F.col("case_id").alias("_case")).agg(
+        F.min(F.col("to_n") - F.col("n")).alias("_before"), F.sum("n").alias("_n"))
+    same = F.col("case_id").eqNullSafe(F.col("_case"))
+    made = rows.join(per, same).select(
+        "case_id", (4 + F.col("to_n") - F.col("n") - F.col("_before")).alias("_at"),
+        F.posexplode("kv").alias("_i", "kv")).select(
+        "case_id", (F.col("_at") + F.col("_i")).alias("seq"), "kv.key", "kv.value")
+    top = [F.struct(F.lit(i).cast("long").alias("seq"), F.lit(k).alias("key"),
+                    F.col(k).cast("string").alias("value")) for i, k in enumerate(MANIFEST_KEYS[:3])]
+    top.append(F.struct(F.lit(3).cast("long").alias("seq"), F.lit("items").alias("key"),
+                        F.lit("List of items:").alias("value")))
+    top.append(F.struct((4 + F.coalesce("_n", F.lit(0))).cast("long").alias("seq"),
+                        F.lit("manifest_hash").alias("key"), F.col("manifest_hash").alias("value")))
+    heads = head.join(per, same, "left").select("case_id", F.explode(F.array(*top)).alias("x")).select(
+        "case_id", "x.seq", "x.key", F.coalesce("x.value", F.lit("None")).alias("value"))
+    return heads.unionByName(made)
+
+
 def report_signature_rows(manifests: DataFrame, key: str) -> DataFrame:
     """N7."""
     return report_signature(manifests, key)
@@ -154,5 +182,5 @@ def report_tables(ledger, findings, cases, manifests, items, key: str) -> dict[s
 
 
 __all__ = ["report_cover", "report_findings", "report_timelines", "report_summary",
-           "report_evidence", "report_custody", "report_signature_rows", "report_tables",
+           "report_evidence", "report_custody", "report_custody_rows", "report_signature_rows", "report_tables",
            "account_timelines", "write_report"]

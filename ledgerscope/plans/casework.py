@@ -587,7 +587,7 @@ def _doc_items(spark, sf_dir):
 def _doc_manifests(spark, sf_dir):
     items = _doc_items(spark, sf_dir)
     cases = items.select(F.col("case_id").alias("id"), F.lit("analyst").alias("investigator")).distinct()
-    return K.finalize(items, cases)
+    return K.finalize_rows(items, cases)
 
 
 _DOC_HASH = """SELECT lang AS case_id, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS manifest_hash,
@@ -605,10 +605,11 @@ def q_manifest_roundtrip_documents(spark, sf_dir):
     """Manifests written as JSON and read back with the declared schema; the hash is made again from
     the items read."""
     path = scratch(spark, "manifest")
-    K.write_manifests(_doc_manifests(spark, sf_dir), path)
-    back = K.read_manifests(spark, path)
-    again = K.manifest_hash(back.select("case_id", F.explode("items").alias("i")).select("case_id", "i.*"))
-    return again.join(back.select("case_id", "investigator"), "case_id")
+    K.write_manifest_rows(*_doc_manifests(spark, sf_dir), path)
+    back, items = K.read_manifest_rows(spark, path)
+    again = K.manifest_hash(items, "pos").withColumnRenamed("case_id", "_id")
+    return back.select("case_id", "investigator").join(
+        again, F.col("case_id").eqNullSafe(F.col("_id"))).drop("_id")
 
 
 @register("report_evidence_documents", """
@@ -635,7 +636,8 @@ kv AS (
                   (6, 'acquired_at'), (7, 'notes')) k(o, name))
 SELECT case_id, CAST(seq AS INTEGER) AS seq, key, value FROM kv""")
 def q_report_custody_documents(spark, sf_dir):
-    return R.report_custody(_doc_manifests(spark, sf_dir)).where(F.col("key") != "finalized_at")
+    rows = R.report_custody_rows(*_doc_manifests(spark, sf_dir)).where(F.col("key") != "finalized_at")
+    return rows.withColumn("seq", F.col("seq").cast("int"))
 
 
 @register("custody_from_evidence_documents", """
