@@ -24,7 +24,9 @@ representative rows is applied where the texts are read.
 
 Defined cases: NULL text counts as empty; texts without a word are only like equal texts (so
 all empty texts are one class).  The class id is the smallest non-NULL ``doc_id`` of the class
-(NULL if there is none).  Repeated rows are in the same class and all returned.
+(NULL if there is none); it names a class, but where unrelated texts share a ``doc_id`` or ids are
+NULL, only ``label`` (the smallest node) tells classes apart.  Repeated rows are in the same class
+and all returned.
 """
 
 from __future__ import annotations
@@ -232,7 +234,7 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, least_match: float = 0.81) -> DataFrame:
-    """Every row's ``doc_id``, ``node`` (hash of its text) and ``class_id``."""
+    """Every row's ``doc_id``, ``node`` (hash of its text), ``class_id`` and ``label`` of its class."""
     rows = checkpointed(signed(docs))
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     seats = nodes.select("node", F.explode("bands").alias("h"))
@@ -272,16 +274,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, least_match:
         "doc_id", "node", F.coalesce("label", "node").alias("label"))
     known = checkpointed(known)
     ids = known.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return known.join(ids, "label").select("doc_id", "node", "class_id")
+    return known.join(ids, "label").select("doc_id", "node", "class_id", "label")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with one document of each class: a row whose id is the class id
     (a row of the class if no id is known), the one with the smallest text hash."""
     found = near_duplicates(docs, **options)
-    best = (found.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("node")).alias("_n"))
-            .agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("node"))).alias("_node"))
-            .select(F.coalesce(F.xxhash64("_node", "class_id")).alias("_row"), "_node"))
+    best = (found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label", "class_id")
+            .agg(F.min("node").alias("_node"))
+            .select(F.xxhash64("_node", "class_id").alias("_row"), "_node"))
     t = text_or_empty("text")
     rows = docs.withColumn("_node", node_of(t)).withColumn("_row", F.xxhash64("_node", "doc_id"))
     return rows.join(best, ["_row", "_node"], "left_semi").dropDuplicates(["_row", "_node"]).select(*docs.columns)

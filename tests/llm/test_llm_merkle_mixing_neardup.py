@@ -217,6 +217,20 @@ def test_classes_equal_all_pairs(spark):
     assert ids.count(None) == 1                             # the class without any id
 
 
+def test_classes_are_kept_apart_by_more_than_their_id(spark):
+    """Unrelated texts with one id are two documents; near copies without ids are one."""
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(["first", *words[1:]])]
+    rows = [(7, "an unrelated text about harbours and ships"), (7, "quite another text on bread and ovens"),
+            (9, "quite another text on bread and ovens"), *[(None, t) for t in near], (None, near[0])]
+    docs = documents(spark, rows).repartition(3)
+    found = N.near_duplicates(docs).collect()
+    assert len(found) == len(rows) and len({r["label"] for r in found}) == 3
+    kept = [(r["doc_id"], r["text"]) for r in N.keep_first(docs).collect()]
+    assert sorted(t for k, t in kept if k == 7) == [rows[0][1], rows[1][1]]
+    assert len(kept) == 3 and [k for k, _ in kept].count(None) == 1
+
+
 def test_near_duplicates_of_small_tables(spark):
     assert N.near_duplicates(documents(spark, [])).count() == 0
     assert N.keep_first(documents(spark, [])).count() == 0
