@@ -8,6 +8,7 @@ of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerscope.llm.common import shared_folder, table
 from ledgerscope.llm.mixing import mixed_documents
@@ -37,9 +38,22 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """The rows of a written table in the order in which they were written: by number of the part
+    file and row in it.  Reading alone deals files out by size.  A table that isn't read from
+    files as it is has its order already."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        return docs
+    path = F.col("_metadata.file_path")
+    part = F.regexp_extract(path, r"part-(\d+)[^/]*$", 1).try_cast("long")
+    keyed = docs.select("*", F.struct(part.alias("part"), path.alias("path"),
+                                      F.col("_metadata.row_index").alias("row")).alias("_written"))
+    return keyed.repartitionByRange("_written").sortWithinPartitions("_written").drop("_written")
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed sequences, with their token ids."""
-    return pack(docs)
+    """Pieces of the packed sequences, with their token ids; ``sequence_id`` follows the mixture."""
+    return pack(in_file_order(docs))
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates),

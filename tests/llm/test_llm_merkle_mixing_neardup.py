@@ -285,6 +285,28 @@ def test_pipeline_stages_against_plain_versions(spark):
         df.unpersist()
 
 
+def test_packing_keeps_the_order_of_the_mixture(spark, tmp_path):
+    """Later files are longer, so reading them alone would turn their order around."""
+    rows = [(i, f"text {i} " + "more words here. " * (20 * (i // 100) ** 2)) for i in range(600)]
+    docs = documents(spark, rows).repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id")
+    docs.write.parquet(f"{tmp_path}/mixture")
+    back = spark.read.parquet(f"{tmp_path}/mixture")
+    assert len(back.inputFiles()) > 3
+    pieces = dict(corpus_pipeline.STAGES)["packing"](spark, back, "").collect()
+    starts = sorted((r["sequence_id"], r["offset"], r["doc_id"]) for r in pieces if r["start"] == 0)
+    assert [k for _, _, k in starts] == list(range(600))
+
+
+def test_packing_leaves_other_tables_in_their_order(spark, tmp_path):
+    """The files' order counts only where the rows come from the files as they are."""
+    documents(spark, [(i, f"text {i}.") for i in range(60)]).coalesce(1).write.parquet(f"{tmp_path}/d")
+    turned = spark.read.parquet(f"{tmp_path}/d").repartitionByRange(3, F.col("doc_id").desc())
+    turned = turned.sortWithinPartitions(F.col("doc_id").desc())
+    pieces = dict(corpus_pipeline.STAGES)["packing"](spark, turned, "").collect()
+    starts = sorted((r["sequence_id"], r["offset"], r["doc_id"]) for r in pieces if r["start"] == 0)
+    assert [k for _, _, k in starts] == list(range(59, -1, -1))
+
+
 @pytest.mark.skipif(not HAVE, reason="driver test data absent")
 def test_pipeline_runs_as_one_query(spark):
     out = corpus_pipeline.run(spark, SF)
