@@ -234,7 +234,11 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, least_match: float = 0.81) -> DataFrame:
-    """Every row's ``doc_id``, ``node`` (hash of its text), ``class_id`` and ``label`` of its class."""
+    """Every row's ``doc_id``, ``node`` (hash of its text), ``class_id`` and ``label`` of its class.
+
+    Bands and sketches are made for THRESHOLD and would miss pairs of a lower one."""
+    if threshold < THRESHOLD:
+        raise ValueError(f"threshold must be at least {THRESHOLD}")
     rows = checkpointed(signed(docs))
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     seats = nodes.select("node", F.explode("bands").alias("h"))

@@ -231,6 +231,11 @@ def test_classes_are_kept_apart_by_more_than_their_id(spark):
     assert len(kept) == 3 and [k for k, _ in kept].count(None) == 1
 
 
+def test_thresholds_below_the_bands_are_refused(spark):
+    with pytest.raises(ValueError, match="threshold"):
+        N.near_duplicates(documents(spark, [(1, "a")]), threshold=0.5)
+
+
 def test_near_duplicates_of_small_tables(spark):
     assert N.near_duplicates(documents(spark, [])).count() == 0
     assert N.keep_first(documents(spark, [])).count() == 0
