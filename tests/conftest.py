@@ -5,22 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from pyspark.sql import types as T  # noqa: E402
-
-LEDGER_SCHEMA = T.StructType([
-    T.StructField("step", T.LongType()),
-    T.StructField("tx_type", T.StringType()),
-    T.StructField("amount", T.DoubleType()),
-    T.StructField("sender_id", T.StringType()),
-    T.StructField("sender_balance_before", T.DoubleType()),
-    T.StructField("sender_balance_after", T.DoubleType()),
-    T.StructField("receiver_id", T.StringType()),
-    T.StructField("receiver_balance_before", T.DoubleType()),
-    T.StructField("receiver_balance_after", T.DoubleType()),
-    T.StructField("is_fraud", T.BooleanType()),
-    T.StructField("is_flagged", T.BooleanType()),
-    T.StructField("row_id", T.LongType()),
-])
+from ledger_rows import make_ledger  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -31,22 +16,6 @@ def spark():
     s.stop()
 
 
-def make_ledger(spark, rows, partitions=None):
-    """rows: dicts with any ledger columns; missing ones default; row_id = list position."""
-    out = []
-    for i, r in enumerate(rows):
-        d = {
-            "row_id": i, "step": 1, "tx_type": "TRANSFER", "amount": 0.0, "sender_id": "A",
-            "sender_balance_before": None, "sender_balance_after": None, "receiver_id": "B",
-            "receiver_balance_before": None, "receiver_balance_after": None,
-            "is_fraud": False, "is_flagged": False,
-        }
-        d.update(r)
-        out.append(tuple(d[f.name] for f in LEDGER_SCHEMA.fields))
-    df = spark.createDataFrame(out, LEDGER_SCHEMA)
-    return df.repartition(partitions) if partitions else df
-
-
 @pytest.fixture
 def ledger(spark):
     return lambda rows, partitions=None: make_ledger(spark, rows, partitions)

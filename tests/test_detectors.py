@@ -276,7 +276,7 @@ _row = st.fixed_dictionaries({
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(_row, min_size=1, max_size=40))
 def test_property_drain_and_fan_match_row_loops(spark, rows):
-    from conftest import make_ledger
+    from ledger_rows import make_ledger
     rows = [dict(r, row_id=i) for i, r in enumerate(rows)]
     L = make_ledger(spark, rows, partitions=2)
     got = sorted((r["account_id"], r["step_start"], r["step_end"], r["amount"])
