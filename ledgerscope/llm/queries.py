@@ -115,3 +115,10 @@ def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerscope.llm.neardup import near_duplicates
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "class_id")
+
+
+@register("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, of which a tenth gets a repeating tail."""
+    from ledgerscope.llm.runs import echo_tails, periodic_runs, run_summary
+    return run_summary(periodic_runs(echo_tails(table(spark, sf_dir, "documents"))))
