@@ -180,3 +180,17 @@ SELECT doc_id, source, unnest(range(1, copies + 1))::BIGINT AS copy, epoch::BIGI
 FROM o JOIN plan ON plan.src = o.src AND plan.j = o.j, fin
 WHERE base + plan.slot <= last
 """
+
+SUBSTRINGS = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM docs),
+windows AS (SELECT doc_id, i, w, count(*) OVER f AS n, string_agg(w, ' ') OVER f AS t FROM words
+    WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+counted AS (SELECT doc_id, i, w, n = 35 AND count(*) OVER (PARTITION BY n, t) > 1 AS again FROM windows),
+covered AS (SELECT doc_id, i, w, bool_or(again) OVER (
+    PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM counted),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (NOT gone) AS t
+    FROM covered GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+    sha256(coalesce(t, '')) AS kept_sha256 FROM docs d LEFT JOIN kept USING (doc_id)
+"""

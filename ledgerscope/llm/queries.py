@@ -122,3 +122,10 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, of which a tenth gets a repeating tail."""
     from ledgerscope.llm.runs import echo_tails, periodic_runs, run_summary
     return run_summary(periodic_runs(echo_tails(table(spark, sf_dir, "documents"))))
+
+
+@register("op12_substring_dedup", SQL.SUBSTRINGS)
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of its repeated windows of 35 words."""
+    from ledgerscope.llm.substrings import removal_summary, repeated_passages
+    return removal_summary(repeated_passages(table(spark, sf_dir, "documents")))
