@@ -129,3 +129,10 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of its repeated windows of 35 words."""
     from ledgerscope.llm.substrings import removal_summary, repeated_passages
     return removal_summary(repeated_passages(table(spark, sf_dir, "documents")))
+
+
+@register("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in two vocabularies, aligned, with the corpus-wide counts of their links."""
+    from ledgerscope.llm.alignment import Alignment, alignment_summary
+    return alignment_summary(Alignment(table(spark, sf_dir, "documents")).documents())
