@@ -7,7 +7,7 @@ order.
 Skew: per-account counts are taken per (account, step) first and windowed over steps,
 so a hot account contributes one row per distinct step to the window; only the
 tie-rank inside one (account, step) cell needs a row-level window.  The expanding
-median (W3) switches large senders to a streamed O(n log n) running median.
+median (W3) works on range-sorted chunks, not on senders (``operators.running``).
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerscope.operators.running import running_median
 from ledgerscope.schemas import FEATURE_COLUMNS, TX_TYPES
-from ledgerscope.session import ship_package
 
 
 def _prior_count(df: DataFrame, key: str) -> DataFrame:
@@ -41,68 +41,10 @@ def _recent_count(df: DataFrame, key: str, span: int) -> DataFrame:
     return df.join(recent, [key, "step"])
 
 
-def _running_median_of_previous(pdf):
-    """Per sender, in position order: median of the earlier non-null amounts (NULL for
-    none), by two heaps in O(n log n); even counts use 0.5 * lo + 0.5 * hi, the same
-    interpolation as Spark's ``percentile``."""
-    import heapq
-    import math
-
-    import pandas as pd
-    pdf = pdf.sort_values("pos", kind="stable")
-    lo: list[float] = []   # max-heap (negated) of the lower half
-    hi: list[float] = []   # min-heap of the upper half
-    out = []
-    for a in pdf["amount"].tolist():
-        n = len(lo) + len(hi)
-        if n == 0:
-            out.append(None)
-        elif n % 2:
-            out.append(-lo[0])
-        else:
-            out.append(0.5 * (-lo[0]) + 0.5 * hi[0])
-        if a is None or (isinstance(a, float) and math.isnan(a)):
-            continue
-        if lo and a > -lo[0]:
-            heapq.heappush(hi, a)
-        else:
-            heapq.heappush(lo, -a)
-        if len(lo) > len(hi) + 1:
-            heapq.heappush(hi, -heapq.heappop(lo))
-        elif len(hi) > len(lo):
-            heapq.heappush(lo, -heapq.heappop(hi))
-    return pd.DataFrame({"sender_id": pdf["sender_id"].values, "pos": pdf["pos"].values,
-                         "historical_median": out})
-
-
-def _historical_median(f: DataFrame, hot_rows: int) -> DataFrame:
-    """Median of the sender's previous amounts (0 when there are none).
-
-    Senders with at most ``hot_rows`` rows use Spark's windowed ``percentile``; larger
-    senders (whose growing-frame evaluation would be quadratic) are streamed once, in
-    position order, through an O(n log n) running median.  Positions come from the
-    skew-safe prior count, so no full-sender sort is needed to number the rows.
-    """
-    sizes = f.groupBy("sender_id").agg(F.count(F.lit(1)).alias("_n"))
-    f = f.join(sizes, "sender_id")
-    cold = f.where(F.col("_n") <= hot_rows)
-    hist = Window.partitionBy("sender_id").orderBy("step", "row_id").rowsBetween(
-        Window.unboundedPreceding, -1)
-    cold = cold.withColumn("historical_median", F.percentile(F.col("amount"), 0.5).over(hist))
-    ship_package(f.sparkSession)  # the running median runs in Python workers
-    hot = _prior_count(f.where(F.col("_n") > hot_rows), "sender_id")
-    med = (hot.select("sender_id", F.col("sender_id_prior").alias("pos"), "amount")
-           .groupBy("sender_id").applyInPandas(
-               _running_median_of_previous, "sender_id string, pos long, historical_median double"))
-    hot = hot.join(med.withColumnRenamed("pos", "sender_id_prior"), ["sender_id", "sender_id_prior"])
-    out = cold.unionByName(hot.drop("sender_id_prior")).drop("_n")
-    return out.withColumn("historical_median", F.coalesce("historical_median", F.lit(0.0)))
-
-
 def features(ledger: DataFrame, velocity_span: int = 10, keep: tuple[str, ...] = (),
-             hot_rows: int = 2000) -> DataFrame:
+             median_partitions: int | None = None) -> DataFrame:
     """M1: ``row_id``, ``step``, ``sender_id``, ``receiver_id``, ``keep`` + the 13 features of every
-    row with both parties."""
+    row with both parties.  ``median_partitions``: chunks of the running median (else AQE's choice)."""
     ledger = ledger.where(F.col("sender_id").isNotNull() & F.col("receiver_id").isNotNull())
     amt = F.col("amount").cast("double")
     before = F.col("sender_balance_before")
@@ -111,7 +53,8 @@ def features(ledger: DataFrame, velocity_span: int = 10, keep: tuple[str, ...] =
                          "sender_balance_before", "sender_balance_after", *keep)
     f = _prior_count(base, "receiver_id")
     f = _recent_count(f, "sender_id", velocity_span)
-    f = _historical_median(f, hot_rows)
+    f = running_median(f, "sender_id", ["step", "row_id"], "amount", "historical_median", median_partitions)
+    f = f.withColumn("historical_median", F.coalesce("historical_median", F.lit(0.0)))
     cols = {
         "amount": amt,
         **{f"tx_type_{t}": F.coalesce(F.col("tx_type") == t, F.lit(False)).cast("double")

@@ -243,8 +243,8 @@ def test_hot_account_holding_a_third_of_rows(ledger):
     got = sorted((r["account_id"], r["step_start"], r["amount"])
                  for r in D.dormant_activation(L).collect())
     assert got == naive.dormant(rows)
-    a = {r["row_id"]: r["amount_vs_sender_median"] for r in FE.features(L, hot_rows=100).collect()}
-    b = {r["row_id"]: r["amount_vs_sender_median"] for r in FE.features(L, hot_rows=10**6).collect()}
+    a = {r["row_id"]: r["amount_vs_sender_median"] for r in FE.features(L, median_partitions=1).collect()}
+    b = {r["row_id"]: r["amount_vs_sender_median"] for r in FE.features(L, median_partitions=7).collect()}
     assert a == b
 
 

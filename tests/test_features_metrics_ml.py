@@ -119,7 +119,7 @@ def test_rank_accounts(spark):
         [("A", 0.9, 2), ("B", 0.9, 2)]
 
 
-def test_hot_sender_median_path_equals_window_path(ledger):
+def test_hot_sender_median_is_the_same_in_one_chunk_and_in_many(ledger):
     rng = random.Random(11)
     rows = []
     for i in range(400):
@@ -128,9 +128,8 @@ def test_hot_sender_median_path_equals_window_path(ledger):
         rows.append(dict(step=rng.randrange(40), sender_id=s, receiver_id=f"r{i % 5}", amount=amt,
                          sender_balance_before=10.0, sender_balance_after=5.0))
     L = ledger(rows, partitions=3)
-    cold = {r["row_id"]: r["amount_vs_sender_median"]
-            for r in FE.features(L, hot_rows=10_000).collect()}
-    hot = {r["row_id"]: r["amount_vs_sender_median"] for r in FE.features(L, hot_rows=10).collect()}
+    cold = {r["row_id"]: r["amount_vs_sender_median"] for r in FE.features(L, median_partitions=1).collect()}
+    hot = {r["row_id"]: r["amount_vs_sender_median"] for r in FE.features(L, median_partitions=13).collect()}
     assert cold.keys() == hot.keys()
     assert all((cold[k] is None and hot[k] is None) or cold[k] == hot[k] for k in cold)
 
