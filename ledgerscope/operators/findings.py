@@ -6,10 +6,11 @@ step_start, step_end, confidence, amount``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.core import severity_rank
+from ledgerscope.session import checkpoint_dir
 
 DATASET = "DATASET"
 
@@ -133,29 +134,53 @@ def merge_intervals(intervals: DataFrame, keys: list[str], start: str = "step_st
         F.coalesce(F.col("next_at") - 1, F.lit(_OPEN_END)).alias(end))
 
 
+def dyadic_nodes(lo: Column, hi: Column) -> Column:
+    """The closed interval of integers [lo, hi] as an array of (level, node): node n of level k is
+    [n * 2^k, (n + 1) * 2^k - 1].  At most two nodes of each level up to the interval's length, which
+    are disjoint and cover it exactly."""
+    levels = F.length(F.bin(hi - lo + 1)) - 1
+
+    def at(k: Column) -> Column:
+        left = -F.call_function("shiftright", -lo, k)              # ceil(lo / 2^k)
+        right = F.call_function("shiftright", hi + 1, k)           # end, exclusive
+        odd = [F.when((left < right) & (x.bitwiseAND(F.lit(1).cast("long")) == 1),
+                      F.struct(k.cast("int").alias("level"), n.alias("node")))
+               for x, n in ((left, left), (right, right - 1))]
+        return F.array(*odd)
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), levels), at)), lambda x: x.isNotNull())
+
+
 def interval_join(points: DataFrame, pieces: DataFrame, keys: list[str], step: str = "step",
-                  start: str = "step_start", end: str = "step_end", how: str = "inner",
-                  width: int = 16) -> DataFrame:
+                  start: str = "step_start", end: str = "step_end", how: str = "inner") -> DataFrame:
     """Join each point to the disjoint piece (``merge_intervals``) of its key that holds
-    its step.  Equi-join on (keys, step // width): a piece is listed under every bucket it
-    covers (clamped to the points' step range), and since pieces are disjoint at most
-    ``width`` of them meet a bucket, so a hot key never compares all its points with all
-    its pieces.  A point meets at most one piece: the row count never grows.
+    its step.
+
+    Each piece is listed under its dyadic nodes (``dyadic_nodes``; at most two per level, so
+    logarithmic in its length, clamped to the points' step range), and each distinct (key, step) looks up
+    its node of every level that occurs (at most 63).  A step lies in one node of one piece, so a
+    lookup has one hit at most, the row count never grows, and a hot key compares nothing
+    with all of its pieces.  The nodes are written once to the shared checkpoint folder.
     """
     rng = points.agg(F.struct(F.min(step).alias("lo"), F.max(step).alias("hi"))).scalar()
     lo_all, hi_all = rng["lo"], rng["hi"]  # one scalar subquery, evaluated once
-    p = pieces.select(*keys, F.col(start).alias("_ps"), F.col(end).alias("_pe"))
-    p = (p.withColumn("_lo", F.greatest("_ps", lo_all)).withColumn("_hi", F.least("_pe", hi_all))
-         .where(F.col("_lo") <= F.col("_hi"))
-         .withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / width),
-                                                F.floor(F.col("_hi") / width))))
-         .drop("_lo", "_hi"))
-    pts = points.withColumn("_b", F.floor(F.col(step) / width))
-    cond = [pts[k] == p[k] for k in keys] + [pts["_b"] == p["_b"],
-                                               pts[step].between(p["_ps"], p["_pe"])]
-    joined = pts.join(p, cond, how)
-    return joined.select(*[pts[c] for c in points.columns],
-                         p["_ps"].alias(start), p["_pe"].alias(end))
+    p = pieces.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                      F.col(start).alias("_ps"), F.col(end).alias("_pe"))
+    p = (p.withColumn("_lo", F.greatest("_ps", lo_all).cast("long")).withColumn("_hi", F.least("_pe", hi_all).cast("long"))
+         .where(F.col("_lo") <= F.col("_hi")))
+    checkpoint_dir(points.sparkSession)
+    nodes = p.select("*", F.explode(dyadic_nodes(F.col("_lo"), F.col("_hi"))).alias("_n")).select(
+        *[f"_k{i}" for i in range(len(keys))], "_ps", "_pe", "_n.level", "_n.node").checkpoint()
+    levels = sorted(r[0] for r in nodes.select("level").distinct().collect())
+    steps = points.select(*[F.col(k).alias(f"_p{i}") for i, k in enumerate(keys)],
+                          F.col(step).cast("long").alias("_step")).distinct()
+    steps = steps.select("*", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")).alias("_level"))
+    same = [F.col(f"_p{i}") == F.col(f"_k{i}") for i in range(len(keys))]
+    hits = steps.join(nodes, [*same, F.col("_level") == F.col("level"),
+                              F.call_function("shiftright", F.col("_step"), F.col("_level")) == F.col("node")])
+    hits = hits.select(*[f"_p{i}" for i in range(len(keys))], "_step", F.col("_ps").alias(start), F.col("_pe").alias(end))
+    on = [points[k] == hits[f"_p{i}"] for i, k in enumerate(keys)] + [points[step] == hits["_step"]]
+    return points.join(hits, on, how).select(*[points[c] for c in points.columns], hits[start], hits[end])
 
 
 def detection_rate(ledger: DataFrame, findings: DataFrame,

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from ledgerscope.operators import graph as G
 from ledgerscope.operators import timeline as T
 
@@ -158,3 +160,88 @@ def test_ego_unknown_seed(spark, ledger):
     assert {r["seed"] for r in G.ego_nodes(E, seeds, depth=1).collect()} == {"C61"}
     with pytest.raises(ValueError):
         G.ego_nodes(E, seeds, depth=1, strict=True)
+
+
+def plain_ego(edges, seeds, depth):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out = set()
+    for s in set(seeds) & set(near):
+        dist, front = {s: 0}, [s]
+        for d in range(1, depth + 1):
+            front = sorted({w for v in front for w in near[v]} - set(dist))
+            dist.update(dict.fromkeys(front, d))
+        out |= {(s, v, d) for v, d in dist.items()}
+    return out
+
+
+def test_many_seeds_through_one_hub(spark):
+    """1,000 seeds around one hub, next to random edges: as one search per seed finds them."""
+    import random
+    rng = random.Random(8)
+    edges = {(f"S{i}", "HUB") for i in range(1000)} | {("HUB", f"T{i}") for i in range(30)}
+    edges |= {(f"S{rng.randrange(1000)}", f"X{rng.randrange(60)}") for _ in range(80)} | {("HUB", "HUB"), ("Y1", "Y2")}
+    E = spark.createDataFrame([(a, b, 1.0, 1, "PAYMENT") for a, b in edges],
+                              "sender_id string, receiver_id string, amount double, step long, tx_type string")
+    names = [f"S{i}" for i in range(1000)] + ["S1", "Y1", "NOPE"]
+    seeds = spark.createDataFrame([(x,) for x in names], "account_id string")
+    few = spark.createDataFrame([(f"S{i}",) for i in range(0, 1000, 14)] + [("Y1",)], "account_id string")
+    got = {tuple(r) for r in G.ego_nodes(E, seeds, depth=1).collect()}
+    assert got == plain_ego(edges, names, 1)
+    nodes = G.ego_nodes(E, few, depth=4)
+    rows = [tuple(r) for r in nodes.collect()]
+    want = plain_ego(edges, [r[0] for r in few.collect()], 4)
+    assert set(rows) == want and len(rows) == len(want)
+    inside = {}
+    for s, v, _ in want:
+        inside.setdefault(s, set()).add(v)
+    got = sorted((r["seed"], r["sender_id"], r["receiver_id"]) for r in G.ego_edges(E, nodes).collect())
+    assert got == sorted((s, a, b) for s, vs in inside.items() for a, b in edges if a in vs and b in vs)
+
+
+def test_a_hubs_edges_are_sent_once_per_block_of_seeds(spark):
+    """200 seeds: 4 blocks, so the hub's 500 edges give 2,000 rows and not 100,000."""
+    E = spark.createDataFrame([(f"S{i}", "HUB", 1.0, 1, "T") for i in range(200)] + [("HUB", f"T{i}", 1.0, 1, "T") for i in range(300)],
+                              "sender_id string, receiver_id string, amount double, step long, tx_type string")
+    seeds = G._numbered(spark.createDataFrame([(f"S{i}",) for i in range(200)], "seed string"))
+    bits = seeds.groupBy("block").agg(F.bit_or(G._one_bit(F.col("bit"))).alias("bits"))
+    sent = bits.withColumn("node", F.lit("HUB")).join(G._undirected(E), "node")
+    assert bits.count() == 4 and sent.count() == 2000
+    assert G.ego_nodes(E, seeds.select(F.col("seed").alias("account_id")), depth=2).count() == 200 * 501
+
+
+def test_dyadic_nodes_cover_an_interval_once(spark):
+    import random
+
+    from ledgerscope.operators.findings import dyadic_nodes
+    rng = random.Random(3)
+    spans = [(0, 0), (-5, 7), (0, 2**40), (3, 3 + 31_536_000)] + [(x, x + rng.randrange(200)) for x in rng.choices(range(-100, 300), k=80)]
+    df = spark.createDataFrame(spans, "lo long, hi long").withColumn("nodes", dyadic_nodes(F.col("lo"), F.col("hi")))
+    for r in df.collect():
+        parts = sorted((n["node"] << n["level"], (n["node"] + 1 << n["level"]) - 1) for n in r["nodes"])
+        assert parts[0][0] == r["lo"] and parts[-1][1] == r["hi"]
+        assert all(a[1] + 1 == b[0] for a, b in zip(parts, parts[1:]))
+        assert len(parts) <= 2 * (r["hi"] - r["lo"] + 1).bit_length()
+
+
+def test_interval_join_with_steps_in_seconds(spark):
+    import random
+
+    from ledgerscope.operators.findings import interval_join, merge_intervals
+    rng = random.Random(4)
+    year = 31_536_000
+    iv = [(rng.choice(["HOT"] * 3 + ["A", "B"]), s := rng.randrange(year), s + rng.choice([0, 59, 86_400, 40 * 86_400])) for _ in range(60)]
+    iv += [("A", year - 5, 2**63 - 1), ("OPEN", 0, 2**63 - 1), ("NONE", 2 * year, 3 * year)]
+    pts = [(rng.choice(["HOT"] * 4 + ["A", "B", "OPEN", "C", None]), rng.randrange(year), i) for i in range(600)]
+    pts += [("HOT", iv[0][1], 900), ("HOT", iv[0][2], 901), ("A", None, 902), ("HOT", pts[0][1], 903)]
+    P = spark.createDataFrame(pts, "account_id string, step long, id long")
+    pieces = merge_intervals(spark.createDataFrame(iv, "account_id string, step_start long, step_end long"), ["account_id"])
+    got = interval_join(P, pieces, ["account_id"], how="left").collect()
+    assert len(got) == len(pts)
+    held = {i for a, t, i in pts if t is not None and any(a == b and lo <= t <= hi for b, lo, hi in iv)}
+    assert {r["id"] for r in got if r["step_start"] is not None} == held
+    assert all(r["step_start"] <= r["step"] <= r["step_end"] for r in got if r["step_start"] is not None)
+    assert {r["id"] for r in interval_join(P, pieces, ["account_id"]).collect()} == held
+    assert interval_join(P, pieces.limit(0), ["account_id"], how="left").count() == len(pts)
