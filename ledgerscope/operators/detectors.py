@@ -6,7 +6,8 @@ decimals reported as double.  No detector collects a group or enumerates all pai
 a group:
 
 * rapid_drain: forward minimum of balance-after from windows over (sender, step) and
-  over per-step aggregates, then one bounded band check from the first candidate.
+  over per-step aggregates; where zero or negative amounts let a sum fail, a search for undominated
+  (running sum, balance) points over a tree of positions; then one bounded band check per sender.
 * round_trip: equi-join on the reversed pair, an 11-step time bucket and a log-scale amount
   bucket, so a hot pair only compares rows of similar time and amount.
 * fan_out / fan_in: distinct counterparty counts of every window from +1/-1 range deltas
@@ -21,12 +22,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.functions.core import exact_median, money
+from ledgerscope.functions.core import exact_median, global_running_sum, money
+from ledgerscope.operators.findings import dyadic_nodes
 from ledgerscope.operators.ledger_ops import participations
 from ledgerscope.schemas import FINDING_COLUMNS, FINDING_SCHEMA
+from ledgerscope.session import checkpoint_dir
 
 # Confidence of each rule (fixed values).
 CONFIDENCE = {
@@ -88,6 +91,83 @@ def fan_candidates(ledger: DataFrame, role: str = "out", min_distinct: int = 5)
             .where(F.col("n_counterparties") > min_distinct))
 
 
+#: Rows of a node of the search tree of ``_dominated_starts`` per node below it, in bits.
+_FAN_BITS = 4
+
+
+def _staircase(points: Column) -> Column:
+    """Of (s, a) points, those that no other dominates (greater or equal s, less or equal a), by s
+    descending: a point is only needed if its a is below all a of greater s."""
+    by_s = F.array_sort(points, lambda x, y: F.when(x["s"] > y["s"], -1).when(x["s"] < y["s"], 1)
+                        .when(x["a"] < y["a"], -1).when(x["a"] > y["a"], 1).otherwise(0))
+    empty = F.filter(by_s, lambda x: F.lit(False))
+    return F.aggregate(by_s, empty, lambda kept, x: F.when(
+        (F.size(kept) == 0) | (F.element_at(kept, -1)["a"] > x["a"]), F.concat(kept, F.array(x))).otherwise(kept))
+
+
+def _cover(lo: Column, hi: Column, height: int) -> Column:
+    """Nodes (level, node) of the search tree that make up the positions [lo, hi]."""
+    def some(level: int, first: Column, end: Column) -> Column:
+        nodes = F.when(first < end, F.sequence(first, end - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(nodes, lambda n: F.struct(F.lit(level).alias("level"), n.alias("node")))
+
+    out, fan = [], _FAN_BITS
+    for level in range(height + 1):
+        left = -F.shiftright(-lo, fan * level)                          # first whole node
+        end = F.shiftright(hi + 1, fan * level)
+        up, down = -F.shiftright(-left, fan), F.shiftright(end, fan)      # whole nodes of the next level
+        split = (up < down) & F.lit(level < height)
+        out += [some(level, left, F.when(split, F.shiftleft(up, fan)).otherwise(end)),
+                some(level, F.when(split, F.shiftleft(down, fan)).otherwise(end), end)]
+    return F.concat(*out)
+
+
+def _dominated_starts(r: DataFrame, open_rows: DataFrame, k: list[str], max_gap: int, remain: float) -> DataFrame:
+    """(k, fs): of the rows i whose sum can fail, those with a row j in their band that has
+    sum(amount[i..j]) > 0 and after_j < remain * before_i.
+
+    With s the running sum of the sender, j must have s_j > s_(i-1) and a small balance: a search for
+    a point above and below given values among the positions i .. last of the band.  A tree over the
+    sender's positions (16 nodes to a node) holds the staircase of undominated (s, a) points of each
+    node; a start's band is made up of a logarithmic number of nodes, and each is one lookup.  No row
+    is compared with all rows of its band, and no window or group is a whole sender's.
+    """
+    ours = r.join(open_rows.select(*k).distinct(), k, "left_semi").withColumn(
+        "m", F.coalesce(money("amount"), F.lit(0).cast("decimal(38,6)")))
+    per_step = ours.groupBy(*k, "step").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("t"))
+    by_step = Window.partitionBy(*k).orderBy("step")
+    before = by_step.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("decimal(38,6)")
+    steps = per_step.select(
+        *k, "step", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("t").over(before), zero).alias("t0"),
+        (F.sum("n").over(by_step.rangeBetween(Window.unboundedPreceding, max_gap)) - 1).alias("hi"))
+    inside = Window.partitionBy(*k, "step").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
+    checkpoint_dir(r.sparkSession)
+    seq = (ours.select(*k, "step", "row_id", "a", "m", F.count(F.lit(1)).over(inside).alias("i"), F.sum("m").over(inside).alias("within"))
+           .join(steps, [*k, "step"])
+           .select(*k, "step", "row_id", "a", (F.col("n0") + F.col("i") - 1).alias("lo"), "hi",
+                   (F.col("t0") + F.col("within")).alias("s"), (F.col("t0") + F.col("within") - F.col("m")).alias("x"))).checkpoint()
+    asked = open_rows.select(*k, "step", "row_id", (F.lit(remain) * F.col("b")).alias("y")).join(
+        seq.select(*k, "step", "row_id", "lo", "hi", "x"), [*k, "step", "row_id"]).checkpoint()
+    longest = asked.agg(F.max(F.col("hi") - F.col("lo") + 1)).first()[0]
+    if longest is None:
+        return asked.select(*k, F.struct("step", "row_id").alias("fs"))
+    height = max(0, (int(longest).bit_length() - 1) // _FAN_BITS)
+    level = seq.where(F.col("a").isNotNull()).select(
+        *k, F.lit(0).alias("level"), F.col("lo").alias("node"), F.array(F.struct("s", "a")).alias("front"))
+    tree = level
+    for h in range(1, height + 1):
+        level = (level.groupBy(*k, F.shiftright("node", _FAN_BITS).alias("node"))
+                 .agg(_staircase(F.flatten(F.collect_list("front"))).alias("front"))
+                 .select(*k, F.lit(h).alias("level"), "node", "front")).checkpoint()
+        tree = tree.unionByName(level)
+    lookups = asked.select(*k, "step", "row_id", "x", "y", F.explode(_cover(F.col("lo"), F.col("hi"), height)).alias("_n")).select(
+        *k, "step", "row_id", "x", "y", "_n.level", "_n.node")
+    hit = lookups.join(tree, [*k, "level", "node"]).where(
+        F.exists("front", lambda f: (f["s"] > F.col("x")) & (f["a"] < F.col("y"))))
+    return hit.select(*k, F.struct("step", "row_id").alias("fs")).distinct()
+
+
 def rapid_drain(ledger: DataFrame, max_gap: int = 5, remain: float = 0.1,
                 confidence: float = CONFIDENCE["rapid_drain"], by: tuple[str, ...] = ()
                 ) -> DataFrame:
@@ -107,7 +187,8 @@ def rapid_drain(ledger: DataFrame, max_gap: int = 5, remain: float = 0.1,
     # D-4 pre-filter (a strict superset of firing senders) + the sign facts of each sender.
     stats = rows.groupBy(*k).agg(
         F.max("b").alias("max_b"), F.min("a").alias("min_a"),
-        F.max("amount").alias("max_amt"), F.min("amount").alias("min_amt"))
+        F.max("amount").alias("max_amt"), F.min("amount").alias("min_amt"),
+        F.count("amount").alias("n_amt"), F.count(F.lit(1)).alias("n_rows"))
     cand = stats.where((F.col("max_b") > 0) & (F.col("min_a") < F.lit(remain) * F.col("max_b"))
                        & (F.col("max_amt") > 0)).select(
         *k, (F.coalesce(F.col("min_amt"), F.lit(0.0)) >= 0).alias("nonneg"))
@@ -133,16 +214,20 @@ def rapid_drain(ledger: DataFrame, max_gap: int = 5, remain: float = 0.1,
     sure = F.col("nonneg") & (F.col("amount") > 0)
     first_sure = necessary.where(sure).groupBy(*k).agg(
         F.min(F.struct("step", "row_id")).alias("fs"))
-    # Start rows: the first sure row of each sender, plus the rows where the sum test can
-    # fail that come before it (only those can change the answer); one join.
+    # Start rows: the first sure row of each sender, and the rows before it where the sum test can
+    # fail but holds for some j; the earliest of them is the sender's.
     pos = F.struct("step", "row_id")
-    starts = (necessary.join(first_sure, k, "left")
-              .where(F.when(sure, pos == F.col("fs"))
-                     .otherwise(F.col("fs").isNull() | (pos < F.col("fs"))))
-              .select(*k, F.col("step").alias("i_step"), F.col("row_id").alias("i_rid"),
-                      F.col("b").alias("i_b")))
-
-    # Band check: each start i meets the sender's rows of steps i_step .. i_step + gap.
+    open_rows = (necessary.where(~F.coalesce(sure, F.lit(False))).join(first_sure, k, "left")
+                 .where(F.col("fs").isNull() | (pos < F.col("fs"))))
+    starts = first_sure
+    if not stats.where((F.col("min_amt") <= 0) | (F.col("n_amt") < F.col("n_rows"))).isEmpty():
+        starts = starts.unionByName(_dominated_starts(r, open_rows, k, max_gap, remain))
+    starts = starts.groupBy(*k).agg(F.min("fs").alias("fs")).select(
+        *k, F.col("fs.step").alias("i_step"), F.col("fs.row_id").alias("i_rid"))
+    starts = starts.join(r.select(*k, F.col("step").alias("i_step"), F.col("row_id").alias("i_rid"), F.col("b").alias("i_b")),
+                         [*k, "i_step", "i_rid"])
+
+    # Band check: the sender's one start meets its rows of steps i_step .. i_step + gap.
     band = (starts.withColumn("step", F.explode(F.sequence(F.col("i_step"),
                                                            F.col("i_step") + max_gap)))
             .join(r.select(*k, "step", "row_id", "amount", "a"), [*k, "step"])
@@ -203,6 +288,68 @@ def round_trip(ledger: DataFrame, max_gap: int = 10, tolerance: float = 0.05,
                  F.col("a"))))
 
 
+def _tolerated(m: Column, side: int, tolerance: float) -> Column:
+    """The least (side -1) or greatest (side 1) double c with |m - c| / m <= tolerance in floating
+    point: the doubles around m * (1 +- tolerance) are tried (steps of at most half a unit in the last place)."""
+    c0 = m * (1 + side * tolerance)
+    tried = F.transform(F.sequence(F.lit(-20), F.lit(20)), lambda i: c0 + i * (m * 5e-17))
+    ok = F.filter(tried, lambda c: F.abs(m - c) / m <= F.lit(tolerance))
+    return F.array_max(ok) if side > 0 else F.array_min(ok)
+
+
+def round_trip_counts(ledger: DataFrame, max_gap: int = 10, tolerance: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
+    """E2 without its pairs: per first leg with a match, ``row_id``, ``account_id``, ``counterparty``, ``step``,
+    ``amount``, ``n_matches`` (second legs that ``round_trip`` would pair with it) and a representative:
+    ``match_amount``, ``match_step`` of the match of greatest amount (of these, the earliest).
+
+    Range counting over time x amount: a leg's steps [step, step + max_gap] are a few dyadic nodes,
+    and per pair and node the second legs are counted by amount.  All nodes of all pairs are one
+    order, (pair, node, amount), whose running count is taken over range partitions; a leg's
+    matches in a node are the difference of the counts at its two bounds.  So a pair that trades back
+    and forth all day costs n log n, and no task or window holds a pair.
+    """
+    if not 0 <= tolerance < 1:
+        raise ValueError("tolerance lies in [0, 1)")
+    both = ledger.where(F.col("sender_id").isNotNull() & F.col("receiver_id").isNotNull())
+    amount = F.col("amount").cast("double")
+    first = both.where(amount > 0).select(
+        *by, F.col("sender_id").alias("a"), F.col("receiver_id").alias("b"), "step", "row_id", amount.alias("m"))
+    asked = first.select("*", F.explode(dyadic_nodes(F.col("step").cast("long"), F.col("step").cast("long") + max_gap)).alias("_n"))
+    bounds = F.explode(F.array(
+        F.struct(_tolerated(F.col("m"), -1, tolerance).alias("value"), F.lit(0).alias("kind")),
+        F.struct(_tolerated(F.col("m"), 1, tolerance).alias("value"), F.lit(2).alias("kind"))))
+    asked = asked.select(*by, "a", "b", F.col("_n.level").alias("level"), F.col("_n.node").alias("node"),
+                         bounds.alias("_v"), F.struct("step", "row_id", "m").alias("leg"))
+    levels = range((max_gap + 1).bit_length())
+    second = both.where(amount > 0).select(
+        *by, F.col("receiver_id").alias("a"), F.col("sender_id").alias("b"), F.col("step").cast("long").alias("step"), amount.alias("m"),
+        F.explode(F.array(*[F.lit(k) for k in levels])).alias("level"))
+    key = [*by, "a", "b", "level", "node"]
+    second = second.select(
+        *by, "a", "b", "level", F.call_function("shiftright", F.col("step"), F.col("level")).alias("node"),
+        F.struct(F.col("m").alias("value"), F.lit(1).alias("kind")).alias("_v"),
+        F.lit(None).cast(asked.schema["leg"].dataType).alias("leg"), F.col("step").alias("of"), F.lit(1).cast("long").alias("c"))
+    events = second.unionByName(asked.withColumn("of", F.lit(None).cast("long")).withColumn("c", F.lit(0).cast("long")))
+    # of equal amounts, the earliest step comes last
+    order = F.struct(*key, F.col("_v.value"), F.col("_v.kind"), (-F.col("of")).alias("late"))
+    ranked = global_running_sum(events.withColumn("_k", order), "_k", ["c"])
+    ends = ranked.where(F.col("leg").isNotNull())
+    kind = F.col("_v.kind")
+    counts = ends.groupBy(*key, "leg").agg(F.sum(F.when(kind == 2, F.col("cum_c")).otherwise(-F.col("cum_c"))).alias("n"),
+                                           F.max(F.when(kind == 2, F.col("cum_c"))).alias("rank"),
+                                           (F.count(F.lit(1)) / 2).alias("copies")).where("n > 0")
+    last = ranked.where(F.col("leg").isNull()).select(F.col("cum_c").alias("rank"), F.struct(
+        F.col("_v.value").alias("amount"), (-F.col("of")).alias("late")).alias("match"))
+    found = counts.join(last, "rank").groupBy(*by, "a", "b", "leg").agg(
+        F.sum("n").alias("n"), F.max("match").alias("match"), F.max("copies").alias("copies"))
+    # rows without an own row_id are counted together
+    return found.select(*by, F.col("leg.row_id").alias("row_id"), F.col("a").alias("account_id"), F.col("b").alias("counterparty"),
+                        F.col("leg.step").alias("step"), F.col("leg.m").alias("amount"),
+                        F.floor(F.col("n") / F.col("copies")).alias("n_matches"), F.col("match.amount").alias("match_amount"),
+                        (-F.col("match.late")).alias("match_step"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
+                        ).drop("_copy")
+
+
 # ---------------------------------------------------------------------- E3 / E4
 def fan(ledger: DataFrame, role: str = "out", span: int = 10, min_distinct: int = 5,
         confidence: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:

@@ -445,6 +445,13 @@ def q_betweenness(spark, sf_dir):
     return G.betweenness(G.edges(led), G.vertices(led))
 
 
+@register("betweenness_estimate")
+def q_betweenness_estimate(spark, sf_dir):
+    from ledgerscope.operators import graph as G
+    led = L(spark, sf_dir)
+    return G.betweenness_estimate(G.edges(led), G.vertices(led), error=0.05)
+
+
 @register("eval_all")
 def q_eval_all(spark, sf_dir):
     return ML.evaluate_all(L(spark, sf_dir), scratch(spark, "models"))

@@ -203,6 +203,33 @@ def q_rapid_drain(spark, sf_dir):
     return D.rapid_drain(L(spark, sf_dir))
 
 
+# mostly refunds, a third of the rows one sender's
+REFUNDS_CTE = """refunds AS (
+  SELECT * REPLACE (CASE WHEN k2 = 7 THEN amount ELSE -amount END AS amount,
+                    CASE WHEN k1 % 3 = 0 THEN 'HOT' ELSE sender_id END AS sender_id) FROM ledger)"""
+
+
+@register("rapid_drain_refunds", with_ledger(
+    sql_rapid_drain(), extra=REFUNDS_CTE + ",\n" + DR_CTE.replace("FROM ledger", "FROM refunds")))
+def q_rapid_drain_refunds(spark, sf_dir):
+    led = L(spark, sf_dir)
+    order, line = F.col("row_id.k1"), F.col("row_id.k2")
+    return D.rapid_drain(led.withColumn("amount", F.when(line == 7, F.col("amount")).otherwise(-F.col("amount")))
+                         .withColumn("sender_id", F.when(order % 3 == 0, "HOT").otherwise(F.col("sender_id"))))
+
+
+@register("round_trip_counts", with_ledger("""
+SELECT x.sender_id AS account_id, x.receiver_id AS counterparty, x.step AS step, x.amount AS amount,
+       CAST(COUNT(*) AS BIGINT) AS n_matches, MAX(y.amount) AS match_amount,
+       arg_max(y.step, (y.amount, -y.step)) AS match_step
+FROM ledger x JOIN ledger y ON x.sender_id = y.receiver_id AND x.receiver_id = y.sender_id
+WHERE y.step >= x.step AND y.step - x.step <= 10 AND x.amount > 0
+  AND abs(x.amount - y.amount) / x.amount <= CAST(0.05 AS DOUBLE)
+GROUP BY x.sender_id, x.receiver_id, x.step, x.amount, x.k1, x.k2, x.k3, x.k4""", dense=True))
+def q_round_trip_counts(spark, sf_dir):
+    return D.round_trip_counts(L(spark, sf_dir, dense=True)).drop("row_id")
+
+
 @register("round_trip", with_ledger(sql_round_trip(), dense=True))
 def q_round_trip(spark, sf_dir):
     return D.round_trip(L(spark, sf_dir, dense=True))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import naive
 from ledgerscope.operators import detectors as D
@@ -286,3 +287,73 @@ def test_property_drain_and_fan_match_row_loops(spark, rows):
                   int(r["description"].split()[3])) for r in D.fan(L, "out", min_distinct=2)
                  .collect())
     assert got == naive.fan(rows, "out", k=2)
+
+
+def refunds(seed, n, steps):
+    """Mostly refunds, a third of the rows one sender's."""
+    import random
+    rnd = random.Random(seed)
+    return [dict(row_id=i, step=rnd.randrange(steps), sender_id="HOT" if i % 3 == 0 else f"s{rnd.randrange(12)}", receiver_id="r",
+                 amount=rnd.choice([None, 0.0, -1.0, -2.5, -40.0, 3.0, 5.25, 60.0]),
+                 sender_balance_before=rnd.choice([None, 0.0, 5.0, 80.0, 900.0]),
+                 sender_balance_after=rnd.choice([None, 0.2, 0.6, 7.0, 70.0, 500.0])) for i in range(n)]
+
+
+def test_drains_among_refunds_match_row_loops(ledger):
+    for seed, n, steps in [(1, 500, 4), (2, 500, 60), (3, 300, 1), (4, 40, 3)]:
+        rows = refunds(seed, n, steps)
+        got = sorted((r["account_id"], r["step_start"], r["step_end"], r["amount"])
+                     for r in D.rapid_drain(ledger(rows, partitions=3)).collect())
+        assert got == naive.rapid_drain(rows), seed
+    # only refunds: no sum is positive, whatever the balances
+    assert D.rapid_drain(ledger([dict(r, amount=-1.0) for r in refunds(5, 200, 5)])).count() == 0
+
+
+def test_cover_and_staircase(spark):
+    import random
+    rnd = random.Random(6)
+    spans = [(0, 0), (5, 5), (0, 15), (3, 300), (16, 31), (255, 4096)] + [(x, x + rnd.randrange(600)) for x in rnd.choices(range(900), k=60)]
+    for height in (0, 1, 3):
+        df = spark.createDataFrame(spans, "lo long, hi long").select("lo", "hi", D._cover(F.col("lo"), F.col("hi"), height).alias("n"))
+        for r in df.collect():
+            held = [p for x in r["n"] for p in range(x["node"] << 4 * x["level"], (x["node"] + 1) << 4 * x["level"])]
+            assert sorted(held) == list(range(r["lo"], r["hi"] + 1))
+            assert height == 0 or len(r["n"]) <= 32 * height + (r["hi"] >> 4 * height) + 1
+    points = [(rnd.randrange(9), rnd.randrange(9) / 2) for _ in range(40)]
+    got = spark.createDataFrame([(points,)], "p array<struct<s:long,a:double>>").select(D._staircase(F.col("p")).alias("f")).first()["f"]
+    want = {p for p in points if not any((q[0] >= p[0] and q[1] <= p[1]) and q != p for q in points)}
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
+def test_round_trip_counts_equal_the_pairs(ledger):
+    import random
+    from collections import Counter
+    rnd = random.Random(12)
+    for gap, tol in [(10, 0.05), (0, 0.0), (3, 0.5)]:
+        rows = [dict(step=rnd.randrange(40), sender_id=(s := rnd.choice("AB")), receiver_id=rnd.choice("AB" if rnd.random() < 0.2 else "BA"[s == "B"]),
+                     amount=rnd.choice([None, -3.0, 0.0, 100.0, 95.0, 105.0, 94.99999, 105.00001, 0.1, 0.105, 0.095, rnd.uniform(90, 110)]))
+                for _ in range(250)]
+        L = ledger(rows, partitions=3)
+        want = Counter()
+        for x in (dict(r, i=i) for i, r in enumerate(rows)):
+            for y in rows:
+                if (x["sender_id"], x["receiver_id"]) == (y["receiver_id"], y["sender_id"]) and x["amount"] and x["amount"] > 0 \
+                        and y["amount"] is not None and 0 <= y["step"] - x["step"] <= gap and abs(x["amount"] - y["amount"]) / x["amount"] <= tol:
+                    want[x["i"]] += 1
+        got = D.round_trip_counts(L, gap, tol).collect()
+        assert {r["row_id"]: r["n_matches"] for r in got} == dict(want) and len(got) == len(want)
+        assert sum(want.values()) == D.round_trip(L, gap, tol).count()
+        for r in got:
+            match = [y for y in rows if (r["account_id"], r["counterparty"]) == (y["receiver_id"], y["sender_id"]) and y["amount"] == r["match_amount"]
+                     and y["step"] == r["match_step"]]
+            assert match and abs(r["amount"] - r["match_amount"]) / r["amount"] <= tol and 0 <= r["match_step"] - r["step"] <= gap
+
+
+def test_round_trip_counts_of_a_pair_with_100000_trades(spark):
+    """All pairs would be 2.5 billion findings."""
+    n = 100_000
+    odd = F.col("id") % 2 == 1
+    L = spark.range(n).select(F.col("id").alias("row_id"), F.lit(5).cast("long").alias("step"), F.lit(100.0).alias("amount"),
+                              F.when(odd, "A").otherwise("B").alias("sender_id"), F.when(odd, "B").otherwise("A").alias("receiver_id"))
+    got = D.round_trip_counts(L).groupBy("n_matches", "match_step").count().collect()
+    assert [tuple(r) for r in got] == [(n // 2, 5, n)]

@@ -152,6 +152,50 @@ def test_betweenness_matches_brandes(spark):
     assert max(abs(est[v] - want[v]) for v in nodes) < 1e-12
 
 
+def leafy(seed, core=8, leaves=14):
+    import random
+    rng = random.Random(seed)
+    edges = {(f"N{rng.randrange(core)}", f"N{rng.randrange(core)}") for _ in range(2 * core)}
+    for i in range(leaves):
+        a, b = f"L{i}", f"N{rng.randrange(core)}"
+        edges |= set(rng.choice([[(a, b)], [(b, a)], [(a, b), (b, a)]]))
+    edges |= {("P1", "P2"), ("Q1", "Q2"), ("Q2", "Q1"), ("C1", "C2"), ("C2", "C3")}
+    return sorted(edges)
+
+
+def test_folded_betweenness_matches_brandes(spark):
+    for seed in (1, 2, 3):
+        edges = leafy(seed)
+        nodes = sorted({a for e in edges for a in e} | {"ALONE"})
+        E = spark.createDataFrame(edges, "sender_id string, receiver_id string")
+        V = spark.createDataFrame([(x,) for x in nodes], "account_id string")
+        want = brandes(nodes, edges)
+        got = {r["account_id"]: r["betweenness"] for r in G.betweenness(E, V).collect()}
+        assert got.keys() == want.keys() and max(abs(got[v] - want[v]) for v in nodes) < 1e-12
+        core, leaves = G.fold_leaves(E.select(F.col("sender_id").alias("v"), F.col("receiver_id").alias("w")).where("v <> w"))
+        assert {r["leaf"] for r in leaves.collect()} >= {f"L{i}" for i in range(14)} | {"P2", "Q2", "C1", "C3"}
+        assert not {r["leaf"] for r in leaves.collect()} & {x for r in core.collect() for x in r}
+
+
+def test_estimated_betweenness_keeps_its_error(spark):
+    import random
+    rng = random.Random(9)
+    edges = sorted({(f"N{rng.randrange(20)}", f"N{rng.randrange(20)}") for _ in range(50)}
+                   | {(f"L{i}", f"N{i % 5}") for i in range(250)} | {(f"N{i % 5}", f"M{i}") for i in range(230)})
+    nodes = sorted({a for e in edges for a in e})
+    E = spark.createDataFrame(edges, "sender_id string, receiver_id string")
+    V = spark.createDataFrame([(x,) for x in nodes], "account_id string")
+    want = brandes(nodes, edges)
+    out = G.betweenness_estimate(E, V, error=0.25, batch=100).collect()
+    assert {r["account_id"] for r in out} == set(nodes)
+    assert 100 <= out[0]["samples"] < len(nodes) and all(0 < r["error"] <= 0.25 for r in out)
+    assert all(abs(r["betweenness"] - want[r["account_id"]]) <= r["error"] for r in out)
+    assert len({r["error"] for r in out}) > 1                     # vertices that vary less have less
+    full = G.betweenness_estimate(E, V, error=1e-6, batch=400).collect()
+    assert {r["error"] for r in full} == {0.0}
+    assert max(abs(r["betweenness"] - want[r["account_id"]]) for r in full) < 1e-12
+
+
 def test_ego_unknown_seed(spark, ledger):
     import pytest
     L = ledger(graph_rows())
