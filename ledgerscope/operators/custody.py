@@ -80,17 +80,50 @@ def _digest_partition(batches):
         yield pd.DataFrame(out, columns=[f.name for f in FILE_DIGEST_SCHEMA.fields])
 
 
-def digest_files(paths: DataFrame) -> DataFrame:
+FILE_SIZE_SCHEMA = "path string, size long"
+
+
+def _size_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pandas as pd
+    for pdf in batches:
+        out = []
+        for path in pdf["path"]:
+            size = 0
+            try:
+                filesystem, p = _open(path)
+                size = max(0, filesystem.get_file_info(p).size or 0)
+            except OSError:
+                pass                       # reported by the digest
+            out.append((path, int(size)))
+        yield pd.DataFrame(out, columns=["path", "size"])
+
+
+def by_size(sizes: DataFrame, tasks: int) -> DataFrame:
+    """Rows ``path, size`` dealt to ``tasks`` partitions, largest first: a file goes where the running
+    total of the files before it falls, so no task has more than the mean and one file.
+    A file counts as a kilobyte at least (opening it costs, too)."""
+    cost = sizes.select("path", F.greatest("size", F.lit(1024)).cast("long").alias("cost")).withColumn(
+        "_k", F.struct((-F.col("cost")).alias("c"), "path"))
+    ranked = global_running_sum(cost, "_k", ["cost"])
+    total = ranked.agg(F.sum("cost")).scalar()
+    task = F.floor((F.col("cum_cost") - F.col("cost")) * tasks / total).cast("int")
+    return ranked.select("path", F.col("cost").alias("size"), F.least(task, F.lit(tasks - 1)).alias("task")).repartitionById(
+        tasks, F.col("task"))
+
+
+def digest_files(paths: DataFrame, tasks: int | None = None) -> DataFrame:
     """K1 for every row of ``paths`` (column ``path``; other columns pass through).
 
     Adds ``exists, sha256, md5, file_size, error, filename, acquired_at``.  A missing file gives
     ``exists = false`` and NULL digests; one that can't be read NULL digests and the ``error``.
+    The files' sizes are listed first and decide which of ``tasks`` tasks (the session's
+    parallelism by default) reads which files.
     """
     spark = paths.sparkSession
     ship_package(spark)  # the hashing runs in Python workers
-    n = max(1, spark.sparkContext.defaultParallelism)
-    distinct = paths.select("path").distinct().repartition(n)
-    dig = distinct.mapInPandas(_digest_partition, FILE_DIGEST_SCHEMA)
+    n = tasks or max(1, spark.sparkContext.defaultParallelism)
+    sizes = paths.select("path").distinct().repartition(n).mapInPandas(_size_partition, FILE_SIZE_SCHEMA)
+    dig = by_size(sizes, n).select("path").mapInPandas(_digest_partition, FILE_DIGEST_SCHEMA)
     return paths.join(dig, "path", "left").withColumns({
         "filename": F.element_at(F.split("path", "/"), -1),
         "acquired_at": F.current_timestamp(),
@@ -329,18 +362,34 @@ def read_manifest_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
             spark.read.schema(ITEM_ROW_SCHEMA).json(f"{path.rstrip('/')}/items"))
 
 
-def verify_manifest(manifests: DataFrame) -> DataFrame:
+def _failed_tables(items: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame | None:
+    """(case_id, item) of the table items whose table has another digest now."""
+    now = None
+    for label, (df, order_by) in tables.items():
+        one = digest_table(df, order_by, label=label).select(F.col("label").alias("_label"), F.col("sha256").alias("_now"))
+        now = one if now is None else now.unionByName(one)
+    if now is None:
+        return None
+    own = items.where(F.col("type") == "dataframe").select("case_id", F.col("label").alias("item"), "sha256")
+    return own.join(now, F.col("item") == F.col("_label")).where(
+        ~F.col("_now").eqNullSafe(F.col("sha256"))).select("case_id", "item")
+
+
+def verify_manifest(manifests: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]] | None = None) -> DataFrame:
     """K7: per case ``(valid, failed_items)``: the header hash against the items in their stored
-    order, and every file item against a fresh digest of its file.  Table items are not re-hashed.
+    order, every file item against a fresh digest of its file, and the table items named in
+    ``tables`` (label -> (table, order columns) of ``digest_table``) against a fresh digest.
     A manifest without items is valid if its hash is that of no digests."""
     items = manifests.select("case_id", F.posexplode("items").alias("_pos", "it"))
     flat = items.select("case_id", "_pos", "it.*")
     recomputed = manifest_hash(flat, "_pos")
     files = flat.where(F.col("type") == "file").select(
         "case_id", F.col("filepath").alias("path"), "sha256", "filename")
-    checked = verify_files(files)
-    bad_files = checked.where(~F.col("verified")).groupBy("case_id").agg(
-        F.array_sort(F.collect_list(F.coalesce("filename", "path"))).alias("bad"))
+    failed_items = verify_files(files).where(~F.col("verified")).select("case_id", F.coalesce("filename", "path").alias("item"))
+    failed_tables = _failed_tables(flat, tables or {})
+    if failed_tables is not None:
+        failed_items = failed_items.unionByName(failed_tables)
+    bad_files = failed_items.groupBy("case_id").agg(F.array_sort(F.collect_list("item")).alias("bad"))
     head = manifests.select("case_id", F.col("manifest_hash").alias("stored"))
     j = head.join(recomputed, "case_id", "left").join(bad_files, "case_id", "left")
     hash_ok = F.col("stored") == F.coalesce(F.col("manifest_hash"),
@@ -350,16 +399,38 @@ def verify_manifest(manifests: DataFrame) -> DataFrame:
     return j.select("case_id", (F.size(failed) == 0).alias("valid"), failed.alias("failed_items"))
 
 
+def verify_manifest_rows(head: DataFrame, items: DataFrame, fresh: DataFrame | None = None,
+                         tables: dict[str, tuple[DataFrame, list[str]]] | None = None) -> DataFrame:
+    """K7 for manifests of any size (``finalize_rows``): one row ``case_id, item`` per failure; none
+    means valid.
+
+    ``manifest_hash`` fails where the items, streamed in their order, have another hash or number;
+    a file item fails unless ``fresh`` (``filepath, sha256``; by default the files read anew) has
+    its digest (an anti-join); a table item as in ``verify_manifest``.
+    """
+    made = manifest_hash(items, "pos").select(F.col("case_id").alias("_id"), F.col("manifest_hash").alias("_hash"), F.col("n_items").alias("_n"))
+    j = head.join(made, F.col("case_id").eqNullSafe(F.col("_id")), "left")
+    ok = (F.col("manifest_hash") == F.coalesce("_hash", F.lit(hashlib.sha256(b"").hexdigest()))) & (
+        F.coalesce("n_items", "_n", F.lit(0)) == F.coalesce("_n", F.lit(0)))
+    failed = j.where(~F.coalesce(ok, F.lit(False))).select("case_id", F.lit("manifest_hash").alias("item"))
+    files = items.where(F.col("type") == "file").select("case_id", F.col("filepath").alias("path"), "filename", "sha256")
+    if fresh is None:
+        fresh = digest_files(files.select("path").distinct()).select(F.col("path").alias("filepath"), "sha256")
+    fresh = fresh.select(F.col("filepath").alias("_path"), F.col("sha256").alias("_now"))
+    missing = files.join(fresh, (F.col("path") == F.col("_path")) & (F.col("sha256") == F.col("_now")), "left_anti")
+    failed = failed.unionByName(missing.select("case_id", F.coalesce("filename", "path").alias("item")))
+    failed_tables = _failed_tables(items, tables or {})
+    return failed if failed_tables is None else failed.unionByName(failed_tables)
+
+
 def custody_from_evidence(evidence: DataFrame) -> DataFrame:
     """K8: manifest items rebuilt from stored evidence rows (no re-hash); seq = acquisition
-    order then id."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("case_id").orderBy("acquired_at", "id")
-    return evidence.select(
-        "case_id", F.row_number().over(w).alias("seq"), F.lit("file").alias("type"),
-        F.col("filename").alias("filepath"),
-        F.element_at(F.split("filename", "/"), -1).alias("filename"), "file_size",
-        F.col("sha256_hash").alias("sha256"), F.col("md5_hash").alias("md5"),
+    order then id, numbered over range partitions (``numbered``)."""
+    rows = evidence.select("case_id", F.struct("acquired_at", "id").alias("_order"), F.col("sha256_hash").alias("sha256"),
+                           F.col("filename").alias("filepath"), "file_size", F.col("md5_hash").alias("md5"), "acquired_at", "notes")
+    return numbered(rows, "_order").select(
+        "case_id", (F.col("pos") + 1).cast("int").alias("seq"), F.lit("file").alias("type"), "filepath",
+        F.element_at(F.split("filepath", "/"), -1).alias("filename"), "file_size", "sha256", "md5",
         F.col("acquired_at").cast("string").alias("acquired_at"),
         F.coalesce("notes", F.lit("")).alias("notes"), F.lit(None).cast("string").alias("label"))
 

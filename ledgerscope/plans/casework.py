@@ -657,3 +657,50 @@ def q_custody_from_evidence_documents(spark, sf_dir):
         "file_size", F.col("sha256").alias("sha256_hash"), F.col("md5").alias("md5_hash"),
         F.timestamp_seconds(F.col("seq") % 100).alias("acquired_at"), "notes")
     return K.custody_from_evidence(evidence).select("case_id", "seq", "filename", "sha256")
+
+
+# ------------------------------------------------------------------ verification of large tables and manifests
+# Tampering with the documents (fixed rule): every 97th text is changed, every 101st document removed
+# and every 103rd entered once more under a new id.
+_TAMPERED_SQL = """t AS (
+  SELECT doc_id, CASE WHEN doc_id % 97 = 3 THEN coalesce(text, '') || '!' ELSE text END AS text, lang FROM documents WHERE doc_id % 101 <> 5
+  UNION ALL SELECT doc_id + 1000000000, text, lang FROM documents WHERE doc_id % 103 = 7)"""
+
+
+def _tampered(docs):
+    kept = docs.where("doc_id % 101 <> 5").withColumn("text", F.when(
+        F.col("doc_id") % 97 == 3, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")))
+    return kept.unionByName(docs.where("doc_id % 103 = 7").withColumn("doc_id", F.col("doc_id") + 1_000_000_000))
+
+
+@register("digest_tree_documents", f"""
+WITH {_TAMPERED_SQL}
+SELECT coalesce(d.doc_id, t.doc_id) AS doc_id,
+       CASE WHEN d.doc_id IS NULL THEN 'added' WHEN t.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM documents d FULL JOIN t ON d.doc_id = t.doc_id
+WHERE d.doc_id IS NULL OR t.doc_id IS NULL OR d.text IS DISTINCT FROM t.text""")
+def q_digest_tree_documents(spark, sf_dir):
+    """The documents' digest tree is stored; a changed table is verified against it."""
+    from ledgerscope.operators import digest_tree as DT
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    path = scratch(spark, "digest-tree")
+    DT.write_digest_tree(docs, ["doc_id"], path, rows_per_leaf=64)
+    return DT.verify_table(_tampered(docs), ["doc_id"], path)
+
+
+@register("manifest_verify_documents", f"""
+WITH {_TAMPERED_SQL}
+SELECT lang AS case_id, doc_id || '.txt' AS item FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = d.doc_id AND t.text = d.text)
+UNION ALL SELECT DISTINCT lang, 'manifest_hash' FROM documents WHERE lang = 'fr'""")
+def q_manifest_verify_documents(spark, sf_dir):
+    """Row-form manifests are written, read back and verified against the changed documents; the
+    header of one case is forged."""
+    path = scratch(spark, "manifest")
+    K.write_manifest_rows(*_doc_manifests(spark, sf_dir), path)
+    head, items = K.read_manifest_rows(spark, path)
+    head = head.withColumn("manifest_hash", F.when(F.col("case_id") == "fr", "0" * 64).otherwise(F.col("manifest_hash")))
+    docs = _tampered(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
+    fresh = docs.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filepath"),
+                        F.sha2("text", 256).alias("sha256"))
+    return K.verify_manifest_rows(head, items, fresh)

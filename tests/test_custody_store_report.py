@@ -335,3 +335,75 @@ def test_document_manifests_collect_no_case(spark, name):
     import __spark_entry__ as E
     df = E.queries()[name](spark, "/root/testdata/sf0.001")
     assert "collect_list" not in df._jdf.queryExecution().toString() and df.count() > 0
+
+
+def test_stored_digest_tree_finds_the_changed_rows(spark):
+    from ledgerscope.operators import digest_tree as DT
+    df = spark.range(5000).select("id", F.concat(F.lit("v"), F.col("id") % 17).alias("v"))
+    path = tempfile.mkdtemp(prefix="ls-tree-") + "/t"
+    DT.write_digest_tree(df, ["id"], path, rows_per_leaf=20)
+    nodes, rows = DT.read_digest_tree(spark, path)
+    assert rows.count() == 5000 and nodes.where("level = 0").first()["n_rows"] == 5000
+    depth = nodes.agg(F.max("level")).first()[0]
+    assert depth == 2 and nodes.where(F.col("level") == depth).agg(F.max("n_rows")).first()[0] < 60
+    assert DT.verify_table(df.repartition(7), ["id"], path).count() == 0
+    one = df.withColumn("v", F.when(F.col("id") == 77, "other").otherwise(F.col("v")))
+    assert [tuple(r) for r in DT.verify_table(one, ["id"], path).collect()] == [(77, "changed")]
+    new = DT.tree_nodes(DT.tree_rows(one, ["id"], None, depth), depth)
+    assert DT.differing_leaves(nodes, new, depth).count() == 1
+    assert new.join(nodes, ["level", "node", "sha256"], "left_anti").count() == depth + 1    # one path
+    more = one.where("id <> 4999").unionByName(spark.createDataFrame([(9000, None)], "id long, v string"))
+    assert sorted(tuple(r) for r in DT.verify_table(more, ["id"], path).collect()) == [(77, "changed"), (4999, "removed"), (9000, "added")]
+    other = path + "2"
+    DT.write_digest_tree(df.orderBy(F.desc("id")), ["id"], other, rows_per_leaf=20)
+    assert DT.tree_root(spark, other) == DT.tree_root(spark, path)
+    DT.write_digest_tree(df.limit(0), ["id"], other)
+    assert DT.verify_table(df.limit(0), ["id"], other).count() == 0
+    assert [tuple(r) for r in DT.verify_table(df.where("id = 3"), ["id"], other).collect()] == [(3, "added")]
+
+
+def test_table_items_are_verified_when_their_table_is_given(spark):
+    table = spark.createDataFrame([(i, i * 0.5) for i in range(30)], "k long, v double")
+    items = K.manifest_items(tables=K.digest_table(table, ["k"], label="ledger").select(
+        F.lit("c").alias("case_id"), F.lit(1).alias("seq"), "label", "sha256"))
+    cases = spark.createDataFrame([("c", "i")], "id string, investigator string")
+    path = tempfile.mkdtemp(prefix="ls-m-") + "/m"
+    K.write_manifests(K.finalize(items, cases), path)
+    back = K.read_manifests(spark, path)
+    changed = table.withColumn("v", F.when(F.col("k") == 4, 0.0).otherwise(F.col("v")))
+    assert K.verify_manifest(back).first()["valid"]
+    assert K.verify_manifest(back, {"ledger": (table, ["k"])}).first()["valid"]
+    assert K.verify_manifest(back, {"ledger": (changed, ["k"])}).first()["failed_items"] == ["ledger"]
+    head, rows = K.finalize_rows(items, cases)
+    assert K.verify_manifest_rows(head, rows, tables={"ledger": (table, ["k"])}).count() == 0
+    assert [tuple(r) for r in K.verify_manifest_rows(head, rows, tables={"ledger": (changed, ["k"])}).collect()] == [("c", "ledger")]
+
+
+def test_row_form_manifests_are_verified(spark):
+    d = tempfile.mkdtemp(prefix="ls-rows-")
+    names = [write(d, f"{i}.txt", b"x" * i) for i in range(5)]
+    files = K.digest_files(spark.createDataFrame([(n, i, "c" if i < 3 else "e") for i, n in enumerate(names)], "path string, seq int, case_id string"))
+    cases = spark.createDataFrame([("c", "i"), ("e", "i"), ("none", "i")], "id string, investigator string")
+    path = tempfile.mkdtemp(prefix="ls-m-") + "/m"
+    K.write_manifest_rows(*K.finalize_rows(K.manifest_items(files), cases), path)
+    head, rows = K.read_manifest_rows(spark, path)
+    assert K.verify_manifest_rows(head, rows).count() == 0
+    write(d, "1.txt", b"other")
+    os.remove(names[4])
+    assert sorted(tuple(r) for r in K.verify_manifest_rows(head, rows).collect()) == [("c", "1.txt"), ("e", "4.txt")]
+    short = rows.where("pos < 2 OR case_id = 'e'")
+    assert ("c", "manifest_hash") in {tuple(r) for r in K.verify_manifest_rows(head, short).collect()}
+
+
+def test_files_are_dealt_by_size(spark):
+    import random
+    rng = random.Random(4)
+    sizes = [rng.choice([1_000, 5_000, 2_000_000]) + rng.randrange(900) for _ in range(300)] + [90_000_000, 0]
+    df = spark.createDataFrame([(f"f{i}", s) for i, s in enumerate(sizes)], "path string, size long")
+    for tasks in (1, 4, 16):
+        dealt = K.by_size(df, tasks).withColumn("p", F.spark_partition_id()).collect()
+        held = {}
+        for r in dealt:
+            held[r["p"]] = held.get(r["p"], 0) + r["size"]
+        total = sum(held.values())
+        assert len(dealt) == len(sizes) and max(held.values()) <= max(r["size"] for r in dealt) + total / tasks

@@ -151,3 +151,38 @@ def test_evaluate_all_writes_models_and_metrics(spark, ledger):
     assert all(0.0 <= r["roc_auc"] <= 1.0 for r in m.values())
     assert set(os.listdir(out)) >= {"logistic_model", "random_forest_model", "gbt_model", "metrics"}
     assert len(spark.read.json(out + "/metrics").collect()) == 3
+
+
+def test_boosting_stops_where_a_plain_loop_does(spark):
+    import math
+
+    from pyspark.ml.functions import vector_to_array
+
+    from ledgerscope.operators import ml as ML
+    assert ML.best_round([5, 4, 3, 3, 3.5], 2) == (3, True) and ML.best_round([3, 2, 1], 2) == (3, False)
+    assert ML.best_round([1] + [2] * 10 + [0], 10) == (1, True)
+    rng = random.Random(3)
+    rows = []
+    for i in range(900):
+        x = [rng.gauss(0, 1) for _ in ML.FEATURE_COLUMNS]
+        rows.append((*x, int(x[0] + x[1] * x[2] + rng.gauss(0, 1.5) > 1), ("train", "train", "val")[i % 3]))
+    df = spark.createDataFrame(rows, [*ML.FEATURE_COLUMNS, "label", "split"])
+    model = ML.train(df, "gbt")
+    trees = model.stages[-1].getNumTrees
+    d = model.stages[0].transform(df.where("split <> 'test'"))
+    pos = df.where("split = 'train' AND label = 1").count()
+    neg = df.where("split = 'train' AND label = 0").count()
+    d = d.withColumn("weight", F.when(F.col("label") == 1, neg / pos).otherwise(1.0))
+    losses = []
+    full = ML._estimator("gbt").copy({ML._estimator("gbt").maxIter: 25}).fit(d.where("split = 'train'"))
+    val = d.where("split = 'val'")
+    margin = [0.0] * val.count()
+    for tree, w in zip(full.trees, full.treeWeights, strict=True):        # one tree after the other
+        got = [r[0] for r in tree.transform(val.select("features")).select("prediction").collect()]
+        margin = [m + w * g for m, g in zip(margin, got, strict=True)]
+        y = [2 * r[0] - 1 for r in val.select("label").collect()]
+        losses.append(sum(2 * math.log1p(math.exp(-2 * a * b)) for a, b in zip(y, margin, strict=True)) / len(y))
+    best, stop = ML.best_round(losses)
+    assert stop and trees == best < 25
+    first = [m.toDebugString.split("Tree 1")[0].split("\n", 1)[1].strip() for m in (model.stages[-1], full)]
+    assert first[0] == first[1]
