@@ -14,8 +14,9 @@ last rest of a task (fewer than L tokens) is cut into lengths that are powers of
 no padding.
 
 Tokenising: white space never lies inside a token of the given vocabulary and is dropped, so a
-text's ids are those of its white-space-separated pieces, and pieces repeat; bounded caches hold
-theirs.  Whatever isn't plainly the same that way goes through the tokenizer itself.
+text's ids are those of its white-space-separated pieces, and pieces repeat; texts are encoded in
+blocks of some megabytes, each distinct piece once.  Whatever isn't plainly the same that
+way goes through the tokenizer itself.  A very long text is tokenised and held whole by its task.
 
 Defined cases: NULL text counts as empty: its only token is the end mark.  NULL ids and repeated
 rows are packed like any other row.  An empty table gives no sequence.
@@ -27,7 +28,6 @@ import json
 import re
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +37,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerscope.llm.bpe import BatchBpe
-from ledgerscope.llm.common import blocks, ship_package
+from ledgerscope.llm.common import ship_package, tidy
+from ledgerscope.llm.words import Words, bytes_of, large_binary, pieces
 
 BLOCK = 262_144
-ENCODED_AT_ONCE = 2_000_000      # code points
+ENCODED_AT_ONCE = 4_000_000      # bytes of text
+EMITTED_AT_ONCE = 1_000_000      # ids of an output batch (or one sequence more)
 HARD_GAP = 1024
 SENTENCE_PENALTY, HARD_PENALTY = 4.0, 256.0
-#: Characters that str.split() takes as white space and the vocabularies do not.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
 #: Characters outside of which lower case, normal form and classes are left to the tokenizer.
 _ODD = re.compile("[^\n!-~\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]")
 #: The vocabulary's splitting rule for the other texts, with the line ends between pieces.
@@ -60,14 +60,16 @@ PIECES = T.StructType([
 class Encoder:
     """Ids of texts for a vocabulary file with byte-level pieces, lower case and word ends.
 
-    Caches the ids of white-space-separated pieces and of words (at most ``most`` each); new
-    words are encoded many at once (``BatchBpe``).  Pieces with characters outside the plain
-    ranges, special tokens or very long words go through the tokenizer itself.
+    A block of texts is split into white-space-separated pieces, numbered by Arrow; its distinct
+    pieces are split into words in numpy where they are plain ASCII, and each distinct word is
+    encoded once, many together (``BatchBpe``).  Pieces with other characters are split by the
+    vocabulary's rule; those outside the plain ranges, special tokens and very long words go through
+    the tokenizer itself.  Nothing is kept from one block to the next.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -78,56 +80,89 @@ class Encoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.ends_sentence = np.zeros(65_536, bool)
         self.ends_sentence[[vocab[c + s] for c in ".!?" for s in ("", suffix) if c + s in vocab]] = True
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        # kinds of bytes: 0 letter, 1 other mark, from 2 on a digit (each is a word of its own)
+        self.kind = np.full(256, 1, np.int8)
+        self.kind[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 0
+        self.kind[0x30:0x3A] = 2
+        self.other = np.ones(256, bool)             # bytes that leave a piece to the rule in words
+        self.other[0x21:0x7F] = False
+        self.other[[0x27, *{ord(t[0]) for t in self.special}]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def learn(self, pieces: set[str]) -> None:
-        """Put the ids of new pieces into the cache."""
-        if len(self.pieces) + len(pieces) > self.most:
-            self.pieces.clear()
-        plain = list(pieces)
-        whole = "\n".join(plain)
-        if _ODD.search(whole) or any(s in whole for s in self.special):
-            odd = [p for p in plain if _ODD.search(p) or any(s in p for s in self.special)]
-            for p in odd:
-                self.pieces[p] = self.whole(p)
-            skip = set(odd)
-            plain = [p for p in plain if p not in skip]
-            whole = "\n".join(plain)
-        if not plain:
-            return
-        words = _WORDS.findall(whole.lower())
-        new = list(set(words).difference(self.words))
-        if len(self.words) + len(new) > self.most:
-            self.words.clear()
-            new = list(set(words))
-        self.words["\n"] = _BETWEEN
-        raw = [w.encode() for w in new]
-        short = [i for i, w in enumerate(raw) if len(w) <= BatchBpe.LONGEST and w != b"\n"]
-        for i, ids in zip(short, self.bpe.encode([raw[i] for i in short]), strict=True):
-            self.words[new[i]] = ids
-        for w, r in zip(new, raw, strict=True):
-            if len(r) > BatchBpe.LONGEST:
-                self.words[w] = self.whole(w)
-        ids = b"".join(map(self.words.__getitem__, words)).split(_BETWEEN)
-        self.pieces.update(zip(plain, ids, strict=True))
-
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
+    def by_word(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
+        short = [i for i, w in enumerate(words) if len(w) <= BatchBpe.LONGEST]
+        out = [b""] * len(words)
+        for i, ids in zip(short, self.bpe.encode([words[i] for i in short]), strict=True):
+            out[i] = ids
+        for i, w in enumerate(words):
+            if len(w) > BatchBpe.LONGEST:
+                out[i] = self.whole(w.decode())
+        return out
+
+    def by_rule(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces, split by the vocabulary's rule."""
+        whole = b"\n".join(raw)
+        texts = whole.decode().split("\n") if raw else []
+        special = [s for s in self.special if s.encode() in whole]
+        ids = {p: self.whole(p) for p in texts if _ODD.search(p) or special and any(s in p for s in special)}
+        plain = [p for p in texts if p not in ids] if ids else texts
+        words = _WORDS.findall("\n".join(plain).lower())
+        distinct = [w for w in dict.fromkeys(words) if w != "\n"]
+        known = dict(zip(distinct, self.by_word([w.encode() for w in distinct]), strict=True))
+        known["\n"] = _BETWEEN
+        if plain:
+            ids.update(zip(plain, b"".join(map(known.__getitem__, words)).split(_BETWEEN), strict=True))
+        return [ids[p] for p in texts]
+
+    def of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct pieces, one after another; number of ids of each)."""
+        data, off = bytes_of(pieces)
+        odd = np.diff(np.concatenate([[0], np.cumsum(self.other[data])])[off]) > 0
+        inside = np.repeat(~odd, np.diff(off))
+        text = data[inside]
+        upper = (text >= 0x41) & (text <= 0x5A)
+        text = np.where(upper, text | 0x20, text).astype(np.uint8)
+        kind = self.kind[text]
+        new = np.ones(len(text), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        ends = np.cumsum(np.diff(off)[~odd])
+        new[np.concatenate([[0], ends[:-1]])[:len(ends)]] = True
+        starts = np.flatnonzero(new)
+        words = large_binary(text, np.append(starts[1:], len(text))[:len(starts)]).dictionary_encode()
+        known = self.by_word(words.dictionary.to_pylist()) + self.by_rule(pieces.filter(pa.array(odd)).to_pylist())
+        n_plain = len(words.dictionary)
+        # the words of each piece; an odd piece is one word
+        count = np.ones(len(pieces), np.int64)
+        count[~odd] = np.diff(np.concatenate([[0], np.searchsorted(starts, ends)]))
+        codes = np.empty(int(count.sum()), np.int64)
+        own = np.repeat(odd, count)
+        codes[~own] = words.indices.to_numpy(zero_copy_only=False)
+        codes[own] = n_plain + np.arange(int(odd.sum()))
+        sizes = np.array([*map(len, known)], np.int64) // 2
+        store = np.frombuffer(b"".join(known), "<u2")
+        ids, reach = _gathered(store, sizes, codes)
+        total = np.concatenate([[0], reach])[np.concatenate([[0], np.cumsum(count)])]
+        return ids, np.diff(total)
+
+    def encode(self, texts: pa.Array | list[str], end: int) -> list[np.ndarray]:
         """Ids of each text, followed by ``end``."""
-        split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        seen = set(chain.from_iterable(s for s in split if s))
-        new = seen.difference(self.pieces)
-        if new:
-            if len(self.pieces) + len(new) > self.most:
-                self.pieces.clear()
-                new = seen
-            self.learn(new)
-        mark, get = end.to_bytes(2, "little"), self.pieces.__getitem__
-        return [np.frombuffer((self.whole(t) if s is None else b"".join(map(get, s))) + mark, "<u2")
-                for t, s in zip(texts, split, strict=True)]
+        w = Words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        store, sizes = self.of_pieces(w.distinct)
+        codes = np.insert(w.codes, w.doc_ends, len(sizes))              # the end mark is one more piece
+        ids, reach = _gathered(np.append(store, np.uint16(end)).astype("<u2"), np.append(sizes, 1), codes)
+        at = reach[w.doc_ends + np.arange(len(w.doc_ends))]
+        return [ids[i:j] for i, j in zip(np.concatenate([[0], at[:-1]]).tolist(), at.tolist(), strict=True)]
+
+
+def _gathered(store: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the stored stretches of ``codes``, one after another; their ends)."""
+    n = sizes[codes]
+    ends = np.cumsum(n)
+    first = (np.cumsum(sizes) - sizes)[codes]
+    return store[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - first, n)], ends
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -269,6 +304,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
         enc = encoder(path)
         packer = Packer(limit, TaskContext.get().partitionId() << 33, enc.ends_sentence)
         out: list[tuple] = []
+        held = 0
 
         def batch() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True))
@@ -278,15 +314,18 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
         kind = pa.int64()
         for b in batches:
             kind = b.schema.field(0).type
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for rows in blocks(texts, ENCODED_AT_ONCE):
-                for i, ids in zip(rows, enc.encode([texts[i] for i in rows], end_id), strict=True):
-                    out.extend(packer.add(keys[i], ids))
-                if len(out) >= 2000:
-                    yield batch()
-                    out.clear()
+            for i, j in pieces(b.column(1), ENCODED_AT_ONCE):
+                keys = b.column(0).slice(i, j - i).to_pylist()
+                for key, ids in zip(keys, enc.encode(b.column(1).slice(i, j - i), end_id), strict=True):
+                    for row in packer.add(key, ids):
+                        out.append(row)
+                        held += row[2]
+                        if held >= EMITTED_AT_ONCE:
+                            yield batch()
+                            out.clear()
+                            held = 0
         out.extend(packer.flush(True))
         if out:
             yield batch()
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)

@@ -16,7 +16,7 @@ ODD = ["", " ", "A<|endoftext|>b <|startoftext|>", "it's don't I'LL we'Ve 'S", "
 
 
 def test_ids_equal_the_tokenizer():
-    enc = P.Encoder(P.default_tokenizer(), most=500)
+    enc = P.Encoder(P.default_tokenizer())
     rnd = random.Random(1)
     letters = "abcdeéèüñß'.,!? \n-_0123456789AZ"
     texts = ODD + ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 200))) for _ in range(400)]
