@@ -88,21 +88,28 @@ def _size_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for path in pdf["path"]:
-            size = 0
+            size = None
             try:
                 filesystem, p = _open(path)
-                size = max(0, filesystem.get_file_info(p).size or 0)
+                size = filesystem.get_file_info(p).size
             except OSError:
                 pass                       # reported by the digest
-            out.append((path, int(size)))
-        yield pd.DataFrame(out, columns=["path", "size"])
+            out.append((path, size))
+        yield pd.DataFrame({"path": [p for p, _ in out], "size": pd.array([n for _, n in out], "Int64")})
+
+
+def file_sizes(paths: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(path, size) of the distinct files of ``paths``; size NULL: no such file."""
+    ship_package(paths.sparkSession)
+    n = tasks or max(1, paths.sparkSession.sparkContext.defaultParallelism)
+    return paths.select("path").distinct().repartition(n).mapInPandas(_size_partition, FILE_SIZE_SCHEMA)
 
 
 def by_size(sizes: DataFrame, tasks: int) -> DataFrame:
     """Rows ``path, size`` dealt to ``tasks`` partitions, largest first: a file goes where the running
     total of the files before it falls, so no task has more than the mean and one file.
     A file counts as a kilobyte at least (opening it costs, too)."""
-    cost = sizes.select("path", F.greatest("size", F.lit(1024)).cast("long").alias("cost")).withColumn(
+    cost = sizes.select("path", F.greatest(F.coalesce("size", F.lit(0)), F.lit(1024)).cast("long").alias("cost")).withColumn(
         "_k", F.struct((-F.col("cost")).alias("c"), "path"))
     ranked = global_running_sum(cost, "_k", ["cost"])
     total = ranked.agg(F.sum("cost")).scalar()
@@ -122,8 +129,7 @@ def digest_files(paths: DataFrame, tasks: int | None = None) -> DataFrame:
     spark = paths.sparkSession
     ship_package(spark)  # the hashing runs in Python workers
     n = tasks or max(1, spark.sparkContext.defaultParallelism)
-    sizes = paths.select("path").distinct().repartition(n).mapInPandas(_size_partition, FILE_SIZE_SCHEMA)
-    dig = by_size(sizes, n).select("path").mapInPandas(_digest_partition, FILE_DIGEST_SCHEMA)
+    dig = by_size(file_sizes(paths, n), n).select("path").mapInPandas(_digest_partition, FILE_DIGEST_SCHEMA)
     return paths.join(dig, "path", "left").withColumns({
         "filename": F.element_at(F.split("path", "/"), -1),
         "acquired_at": F.current_timestamp(),

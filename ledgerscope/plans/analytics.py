@@ -14,6 +14,7 @@ from ledgerscope.operators import timeline as T
 from ledgerscope.plans.catalog import (DR_CTE, FINDING_SQL, MEDIAN_CTE, L, register, sql_balance,
                                        sql_dormant, sql_fan, sql_rapid_drain, sql_round_trip)
 from ledgerscope.plans.oracle import MONEY, ORDER, with_ledger
+from ledgerscope.session import checkpoint_dir
 
 CASE = "case-1"
 
@@ -39,7 +40,9 @@ def findings_sql(final: str, dense: bool = False, extra: str = "", where: str |
 
 
 def stored(spark, sf_dir, dense=False):
-    return A.to_payload(A.analyze(L(spark, sf_dir, dense)), CASE)
+    """The findings of the ledger as they are stored, written once: reports read them several times."""
+    checkpoint_dir(spark)
+    return A.to_payload(A.analyze(L(spark, sf_dir, dense)), CASE).checkpoint()
 
 
 # ------------------------------------------------------------------ findings analytics
@@ -201,7 +204,7 @@ SELECT account_id, n_events, total_amount, primary_pattern, first_suspicious_ste
 FROM narr""", extra=TIMELINE_SQL + ",\n" + NARRATIVE_SQL))
 def q_narrative(spark, sf_dir):
     led = L(spark, sf_dir)
-    return T.narratives(T.timeline(led), A.analyze(led))
+    return T.narratives(T.timeline(led), A.analyze(led).checkpoint())
 
 
 # ------------------------------------------------------------------ graph

@@ -263,12 +263,6 @@ def q_case_list(spark, sf_dir):
                         store.findings())
 
 
-@register("case_ledger_paths")
-def q_case_ledger_paths(spark, sf_dir):
-    store = _store_with_findings(spark, sf_dir)
-    return store.evidence().select("case_id", "filename", "file_size", "sha256_hash")
-
-
 @register("custody_from_evidence")
 def q_custody_from_evidence(spark, sf_dir):
     store = _store_with_findings(spark, sf_dir)
@@ -293,7 +287,7 @@ def q_report_findings(spark, sf_dir):
 def q_report_summary(spark, sf_dir):
     led = L(spark, sf_dir)
     cases = spark.createDataFrame([(CASE,)], "id string")
-    return R.report_summary(led, A.to_payload(A.analyze(led), CASE), cases)
+    return R.report_summary(led, A.to_payload(A.analyze(led), CASE).checkpoint(), cases)
 
 
 # ------------------------------------------------------------------ remaining inventory keys
@@ -408,7 +402,7 @@ _TL_OUT = ("case_id, rank, account_id, step, slot, event_type, amount, counterpa
     extra=TOP_ACCOUNTS_SQL + ",\n" + TIMELINE_SQL + ",\n" + ANNOTATED_SQL))
 def q_report_timelines_o(spark, sf_dir):
     led = L(spark, sf_dir)
-    return R.report_timelines(led, A.to_payload(A.analyze(led), CASE)).select(
+    return R.report_timelines(led, A.to_payload(A.analyze(led), CASE).checkpoint()).select(
         *[c.strip() for c in _TL_OUT.split(",")])
 
 
@@ -522,7 +516,7 @@ def _typed_ledger(spark, sf_dir):
     TOP_ACCOUNTS_SQL + ",\n" + TIMELINE_SQL + ",\n" + ANNOTATED_SQL))
 def q_report_timelines_cases(spark, sf_dir):
     led = _typed_ledger(spark, sf_dir)
-    found = A.to_payload(A.analyze(led, by=("case_id",)), by=("case_id",))
+    found = A.to_payload(A.analyze(led, by=("case_id",)), by=("case_id",)).checkpoint()
     return R.report_timelines(led, found).select(*[c.strip() for c in _TL_OUT.split(",")])
 
 
@@ -530,7 +524,7 @@ def q_report_timelines_cases(spark, sf_dir):
                                             TOP_ACCOUNTS_SQL + ",\n" + TIMELINE_SQL + ",\n" + NARRATIVE_SQL))
 def q_report_summary_cases(spark, sf_dir):
     led = _typed_ledger(spark, sf_dir)
-    found = A.to_payload(A.analyze(led, by=("case_id",)), by=("case_id",))
+    found = A.to_payload(A.analyze(led, by=("case_id",)), by=("case_id",)).checkpoint()
     cases = led.select(F.col("case_id").alias("id")).distinct()
     return R.report_summary(led, found, cases)
 
@@ -704,3 +698,82 @@ def q_manifest_verify_documents(spark, sf_dir):
     fresh = docs.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filepath"),
                         F.sha2("text", 256).alias("sha256"))
     return K.verify_manifest_rows(head, items, fresh)
+
+
+# ------------------------------------------------------------------ A2: the logs of a case
+@register("case_ledger_paths", """
+WITH t(case_id) AS (SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN 'TRANSFER'
+         WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'CASH_IN' WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'CASH_OUT'
+         WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 'DEBIT'
+         WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'PAYMENT' END FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT case_id, f.name AS name, f.is_first AS is_first, f.is_there AS is_there FROM t,
+  (VALUES ('late.csv', false, true), ('log.CSV', true, true), ('lost.csv', false, false)) f(name, is_first, is_there)
+WHERE case_id IS NOT NULL""")
+def q_case_ledger_paths(spark, sf_dir):
+    """Each transaction type is a case with three logs (one gone since) and a text file; its CSV
+    evidence, the earliest of it and what is still there."""
+    import os
+    cases = raw_order_log(spark, sf_dir).where(F.col("type").isNotNull()).select(F.col("type").alias("case_id")).distinct()
+    store = CaseStore(spark, scratch(spark, "store"))
+    store.register_cases(cases.select(F.col("case_id").alias("id"), F.col("case_id").alias("name"), F.lit("analyst").alias("investigator")))
+    folder = f"{scratch(spark, 'logs').removeprefix('file:')}"
+    os.makedirs(folder)
+    names = ["log.CSV", "notes.txt", "late.csv", "lost.csv"]
+    for n in names:                       # one batch after the other
+        with open(f"{folder}/{n}", "w", encoding="utf-8") as f:
+            f.write("step\n")
+        store.register_evidence(cases.select("case_id", F.lit(f"{folder}/{n}").alias("path")))
+    os.rename(f"{folder}/lost.csv", f"{folder}/moved")
+    every = store.ledger_paths()
+    first = store.ledger_paths(first_only=True).withColumn("is_first", F.lit(True))
+    there = store.ledger_paths(existing=True).withColumn("is_there", F.lit(True))
+    out = every.join(first, ["case_id", "path"], "left").join(there, ["case_id", "path"], "left")
+    return out.select("case_id", F.element_at(F.split("path", "/"), -1).alias("name"),
+                      F.coalesce("is_first", F.lit(False)).alias("is_first"), F.coalesce("is_there", F.lit(False)).alias("is_there"))
+
+
+@register("findings_compact", _stored_sql().replace("FROM stored)", "FROM stored WHERE case_id <> 'DEBIT')"))
+def q_findings_compact(spark, sf_dir):
+    """Findings saved twice, replaced, deleted for one case and compacted."""
+    store = CaseStore(spark, scratch(spark, "store"))
+    types = spark.createDataFrame([(t,) for t in TX_TYPES], "case_id string")
+    store.register_cases(types.select(F.col("case_id").alias("id"), F.col("case_id").alias("name"),
+                                      F.lit("analyst").alias("investigator")))
+    found = A.to_payload(A.analyze(_typed_ledger(spark, sf_dir), by=("case_id",)), by=("case_id",)).checkpoint()
+    store.save_findings(found)
+    store.save_findings(found, "replace")
+    store.delete_findings("DEBIT")
+    store.compact()
+    return store.findings().select("case_id", *[c.strip() for c in _STORED_OUT.split(",")])
+
+
+# ------------------------------------------------------------------ the SQL surface over a store
+_COUNTS_SQL = _per_type("SELECT case_id, COUNT(*) AS n FROM stored GROUP BY case_id", "unused AS (SELECT 1)")
+
+
+@register("sql_delete_findings", f"""
+SELECT t.case_id, CAST(CASE WHEN t.case_id = 'PAYMENT' THEN 0 ELSE coalesce(c.n, 0) END AS BIGINT) AS n_findings, CAST(1 AS BIGINT) AS n_evidence
+FROM (VALUES {", ".join(f"('{t}')" for t in TX_TYPES)}) t(case_id) LEFT JOIN ({_COUNTS_SQL}) c USING (case_id)""")
+def q_sql_delete_findings(spark, sf_dir):
+    """One case's findings are deleted; the store's views, joined in SQL."""
+    from ledgerscope.plans import sql_surface as SQL
+    store = CaseStore(spark, scratch(spark, "store"))
+    types = spark.createDataFrame([(t,) for t in TX_TYPES], "case_id string")
+    store.register_cases(types.select(F.col("case_id").alias("id"), F.col("case_id").alias("name"),
+                                      F.lit("analyst").alias("investigator")))
+    store.register_evidence(types.select("case_id", F.lit(f"{sf_dir}/lineitem.parquet").alias("path")))
+    led = _typed_ledger(spark, sf_dir)
+    store.save_findings(A.to_payload(A.analyze(led, by=("case_id",)), by=("case_id",)))
+    store.delete_findings("PAYMENT")
+    SQL.register_store(spark, store)
+    return spark.sql(SQL.PER_CASE)
+
+
+@register("sql_events_of_drained", findings_sql("""
+SELECT account_id, CAST(COUNT(*) AS BIGINT) AS n_events, MIN(step) AS first_step, MAX(step) AS last_step FROM events
+WHERE account_id IN (SELECT first_account FROM stored WHERE finding_type = 'rapid_drain') GROUP BY account_id""",
+                                                extra=TIMELINE_SQL))
+def q_sql_events_of_drained(spark, sf_dir):
+    from ledgerscope.plans import sql_surface as SQL
+    SQL.register_store(spark, _store_with_findings(spark, sf_dir), L(spark, sf_dir))
+    return spark.sql(SQL.EVENTS_OF_FLAGGED)

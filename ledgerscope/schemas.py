@@ -56,6 +56,10 @@ FINDING_COLUMNS = [f.name for f in FINDING_SCHEMA.fields]
 RESET_SCHEMA = T.StructType([
     T.StructField("case_id", T.StringType()), T.StructField("at", T.TimestampType())])
 
+# Generations of the stored findings.
+COMMIT_SCHEMA = T.StructType([
+    T.StructField("generation", T.LongType()), T.StructField("at", T.TimestampType())])
+
 # Stored names of findings, cases and evidence (fixed values).
 STORED_FINDING_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),

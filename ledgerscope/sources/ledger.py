@@ -7,7 +7,10 @@ ties wherever the rules order rows "by step" and decides "last row wins".
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,8 @@ from pyspark.sql import types as T
 from ledgerscope.schemas import LEDGER_COLUMNS, RAW_SCHEMA, RENAMES
 
 
+#: Headers that are read at the same time.
+HEADERS_AT_ONCE = 16
 #: Columns that a raw log must have.
 REQUIRED_RAW = ("step", "amount", "isFraud")
 
@@ -25,16 +30,34 @@ def _paths(paths: str | Iterable[str]) -> list[str]:
 
 
 def _csv_headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files of the paths by their header line (one short read per file)."""
+    """URIs of the paths' files by their header line (one short read per file, some at a time)."""
+    def first_row(f: str) -> list:
+        return spark.read.option("header", False).csv(unquote(f)).limit(1).collect()
+
     out: dict[tuple[str, ...], list[str]] = {}
-    for f in sorted(spark.read.text(paths).inputFiles()):
-        first = spark.read.option("header", False).csv(f).limit(1).collect()
-        if first:
-            names = [v or f"_c{i}" for i, v in enumerate(first[0])]
-            out.setdefault(tuple(n.strip() for n in names), []).append(f)
+    files = sorted(spark.read.text(paths).inputFiles())
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        for f, first in zip(files, pool.map(first_row, files), strict=True):
+            if first:
+                names = [v or f"_c{i}" for i, v in enumerate(first[0])]
+                out.setdefault(tuple(n.strip() for n in names), []).append(f)
     return out
 
 
+def file_numbers(spark: SparkSession, files: Iterable[str]) -> DataFrame:
+    """(file, _uri): the files' numbers in the order of their names; a local file's URI has one slash."""
+    uris = sorted({re.sub(r"^file:/+", "file:/", f) for f in files})
+    return spark.createDataFrame(list(enumerate(uris)), "file int, _uri string")
+
+
+def _block_order() -> Column:
+    """A long that ascends with the rows of a CSV file: a file block is read by exactly one task, and
+    ids grow with the row position inside a task, so (block start, id) is the file's order.  31 bits for the
+    start in units of 4 kB (blocks are larger; files up to 8 TB), 33 for the task's row number."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 12), 33).bitwiseOR(row)
+
+
 def _typed(name: str, kind: T.DataType, on_bad: str) -> Column:
     """A text column as ``kind``.  Text that isn't a number is an error, or NULL (``on_bad``)."""
     raw = F.trim(F.col(f"`{name}`"))
@@ -56,22 +79,24 @@ def read_csv(spark: SparkSession, paths: list[str], on_bad: str = "raise") -> Da
     through as text.  Files with different headers are read separately and united by name."""
     known = {f.name: f.dataType for f in RAW_SCHEMA.fields}
     parts = []
-    for names, files in _csv_headers(spark, paths).items():
+    headers = _csv_headers(spark, paths)
+    numbers = file_numbers(spark, [f for files in headers.values() for f in files])
+    for names, files in headers.items():
         missing = [c for c in REQUIRED_RAW if c not in names]
         if missing:
             raise ValueError(f"raw ledger lacks required columns {missing}: {files[0]}")
         text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        df = spark.read.schema(text).option("header", True).csv(files)
-        # A file block is read by exactly one task, and ids grow with the row position
-        # inside a task, so (path, block start, id) is the file order.
-        rid = F.struct(F.col("_metadata.file_path").alias("file"),
-                       F.col("_metadata.file_block_start").alias("block"),
-                       F.monotonically_increasing_id().alias("pos"))
+        df = spark.read.schema(text).option("header", True).csv([unquote(f) for f in files])
+        df = df.withColumns({"_block_order": _block_order(), "_file": F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")})
+        # a file that isn't in the list would lose its place: an error, not a dropped row
+        df = df.join(numbers, F.col("_file") == F.col("_uri"), "left")
+        number = F.coalesce("file", F.raise_error(F.concat(F.lit("unlisted file: "), F.col("_file"))).cast("int"))
+        rid = F.struct(number.alias("file"), F.col("_block_order").alias("at"))
         parts.append(df.select(*[_typed(n, known.get(n, T.StringType()), on_bad).alias(n) for n in names],
                                rid.alias("row_id")))
     if not parts:
         return spark.createDataFrame([], RAW_SCHEMA).withColumn("row_id", F.lit(None).cast(
-            "struct<file:string,block:bigint,pos:bigint>"))
+            "struct<file:int,at:bigint>"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
@@ -142,11 +167,14 @@ def case_ledger(spark: SparkSession, paths: DataFrame, on_bad: str = "raise") ->
     if not listed:
         return normalize(read_csv(spark, [])).withColumn("case_id", F.lit(None).cast("string"))
     led = read_ledger(spark, listed, on_bad=on_bad)
-    # Spark names a file by its URI, evidence rows by their path: compare the paths proper
+    numbers = file_numbers(spark, spark.read.text(listed).inputFiles())
+    # Spark names a file by its URI, evidence rows by their path: the paths proper give each case the
+    # numbers of its files, and rows are joined on the number
     proper = F.regexp_replace("path", r"^file:/*", "/")
-    return led.withColumn("_path", F.url_decode(F.replace(
-        F.regexp_replace("row_id.file", r"^file:/*", "/"), F.lit("+"), F.lit("%2B")))).join(
-        named.select("case_id", proper.alias("_path")), "_path").drop("_path")
+    of_uri = F.url_decode(F.replace(F.regexp_replace("_uri", r"^file:/*", "/"), F.lit("+"), F.lit("%2B")))
+    cases = numbers.withColumn("_path", of_uri).join(named.select("case_id", proper.alias("_path")), "_path").select(
+        F.col("file").alias("_number"), "case_id")
+    return led.join(cases, F.col("row_id.file") == F.col("_number")).drop("_number")
 
 
 def ledger_head(ledger: DataFrame, n: int) -> DataFrame:

@@ -6,6 +6,11 @@ saved before their case's last reset are no longer read.  So a case that is anal
 again without any finding loses its old ones, no path is built from a case id, and a replaced
 case's partition is also overwritten where there are new rows (dynamic partition overwrite).
 Every write is a batch over many cases / files / findings.
+
+``compact`` writes the findings that are still read as a new generation (findings and resets of their
+own) and commits it by one row of ``commits``.  A reader pins the generation that was committed when
+it asked; the older one stays whole until ``vacuum``.  Writers are one at a time, as with any
+file store; a compaction that fails leaves nothing that is read.
 """
 
 from __future__ import annotations
@@ -17,8 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.operators.analyze import analyze, to_payload
-from ledgerscope.operators.custody import digest_files
-from ledgerscope.schemas import CASE_SCHEMA, EVIDENCE_SCHEMA, RESET_SCHEMA, STORED_FINDING_SCHEMA
+from ledgerscope.operators.custody import digest_files, file_sizes
+from ledgerscope.schemas import (CASE_SCHEMA, COMMIT_SCHEMA, EVIDENCE_SCHEMA, RESET_SCHEMA,
+                                 STORED_FINDING_SCHEMA)
 from ledgerscope.session import checkpoint_dir
 from ledgerscope.sources.ledger import case_ledger
 
@@ -27,12 +33,20 @@ class CaseStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.paths = {n: f"{self.root}/{n}" for n in ("cases", "evidence", "findings", "resets")}
+        self.paths = {n: f"{self.root}/{n}" for n in ("cases", "evidence", "commits")}
+
+    # ---------------------------------------------------------------- generations
+    def generation(self) -> int:
+        """The last committed generation of the findings (0: never compacted)."""
+        return int(self._read("commits", COMMIT_SCHEMA).agg(F.max("generation")).first()[0] or 0)
+
+    def _generation_path(self, name: str, generation: int) -> str:
+        return f"{self.root}/{name}-{generation}" if generation else f"{self.root}/{name}"
 
     # ---------------------------------------------------------------- readers
-    def _read(self, name, schema) -> DataFrame:
+    def _read(self, name, schema, path: str | None = None) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(self.paths[name])
+            return self.spark.read.schema(schema).parquet(path or self.paths[name])
         except Exception as e:  # noqa: BLE001 - an absent table reads as empty
             if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
                 return self.spark.createDataFrame([], schema)
@@ -45,10 +59,12 @@ class CaseStore:
         df = self._read("evidence", EVIDENCE_SCHEMA)
         return df if case_id is None else df.where(F.col("case_id") == case_id)
 
-    def findings(self, case_id: str | None = None) -> DataFrame:
-        """Findings saved since their case's last reset."""
-        df = self._read("findings", STORED_FINDING_SCHEMA)
-        resets = self._read("resets", RESET_SCHEMA)
+    def findings(self, case_id: str | None = None, generation: int | None = None) -> DataFrame:
+        """Findings saved since their case's last reset, of the last committed generation (or the
+        one given, while it is kept)."""
+        g = self.generation() if generation is None else generation
+        df = self._read("findings", STORED_FINDING_SCHEMA, self._generation_path("findings", g))
+        resets = self._read("resets", RESET_SCHEMA, self._generation_path("resets", g))
         if case_id is not None:
             df, resets = df.where(F.col("case_id") == case_id), resets.where(F.col("case_id") == case_id)
         since = resets.groupBy("case_id").agg(F.max("at").alias("_since"))
@@ -117,7 +133,7 @@ class CaseStore:
     def _reset(self, cases: DataFrame, micros: int) -> None:
         """Findings of these cases (``case_id``) saved before this time aren't read any more."""
         (cases.select("case_id").distinct().withColumn("at", F.timestamp_micros(F.lit(micros)))
-         .write.mode("append").parquet(self.paths["resets"]))
+         .write.mode("append").parquet(self._generation_path("resets", self.generation())))
 
     def save_findings(self, payload: DataFrame, mode: str = "append",
                       cases: DataFrame | None = None) -> int:
@@ -149,7 +165,7 @@ class CaseStore:
             w = w.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         else:
             w = w.mode("append")
-        w.parquet(self.paths["findings"])
+        w.parquet(self._generation_path("findings", self.generation()))
         if mode == "replace":       # after the new rows: a failure in between loses nothing
             done = rows.select("case_id")
             self._reset(done if cases is None else done.unionByName(cases.select("case_id")), now)
@@ -159,13 +175,45 @@ class CaseStore:
         """A7 maintenance: drop one case's findings."""
         self._reset(self.spark.createDataFrame([(case_id,)], "case_id string"), time.time_ns() // 1000)
 
+    def compact(self) -> int:
+        """Write the live findings as a new generation, without superseded rows and resets and in
+        files of a good size, and commit it; returns its number."""
+        old = self.generation()
+        new = old + 1
+        (self.findings(generation=old).hint("rebalance", "case_id").write.mode("overwrite").partitionBy("case_id")
+         .parquet(self._generation_path("findings", new)))
+        self._read("resets", RESET_SCHEMA, self._generation_path("resets", new)).limit(0).write.mode("overwrite").parquet(
+            self._generation_path("resets", new))
+        (self.spark.range(1).select(F.lit(new).cast("long").alias("generation"), F.current_timestamp().alias("at"))
+         .write.mode("append").parquet(self.paths["commits"]))
+        return new
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Delete the generations before the last ``keep`` superseded ones; returns their folders.
+        Readers that pinned one of them must have ended."""
+        from pyarrow import fs as pafs
+        gone = []
+        for g in range(self.generation() - keep):
+            for name in ("findings", "resets"):
+                path = self._generation_path(name, g)
+                filesystem, p = pafs.FileSystem.from_uri(path) if "://" in path else (
+                    pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/"))
+                if filesystem.get_file_info(p).type == pafs.FileType.Directory:
+                    filesystem.delete_dir(p)
+                    gone.append(path)
+        return gone
+
     # ---------------------------------------------------------------- A2
-    def ledger_paths(self, case_id: str | None = None, first_only: bool = False) -> DataFrame:
+    def ledger_paths(self, case_id: str | None = None, first_only: bool = False,
+                     existing: bool = False) -> DataFrame:
         """A2: evidence files ending in .csv (any case) per case; ``first_only`` keeps the
-        earliest-acquired one."""
+        earliest-acquired one (equal times: the least name), ``existing`` those that are there."""
         ev = self.evidence(case_id).where(F.lower("filename").endswith(".csv"))
+        if existing:
+            there = file_sizes(ev.select(F.col("filename").alias("path"))).where(F.col("size").isNotNull())
+            ev = ev.join(there.select(F.col("path").alias("filename")), "filename", "left_semi")
         if first_only:
-            ev = ev.groupBy("case_id").agg(F.min_by("filename", F.struct("acquired_at", "id"))
+            ev = ev.groupBy("case_id").agg(F.min_by("filename", F.struct("acquired_at", "filename"))
                                            .alias("filename"))
         return ev.select("case_id", F.col("filename").alias("path"))
 
