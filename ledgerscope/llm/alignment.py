@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerscope.llm.bpe import byte_symbols
-from ledgerscope.llm.common import checkpointed, shared_folder, ship_package
+from ledgerscope.llm.common import checkpointed, shared_folder, ship_package, tidy
 from ledgerscope.llm.words import bytes_of, large_binary, pieces
 
 #: Text bytes of a block, unit bytes of one call, group text of an output batch.
@@ -426,7 +426,7 @@ class Alignment:
                         [keys, *[pa.array([block[n]], pa.binary()) for n in _BINARY]], schema.names)
 
         folder = shared_folder(self.spark, "aligned")
-        src.mapInArrow(run, schema).write.option("compression", "zstd").parquet(folder)
+        src.mapInArrow(tidy(run), schema).write.option("compression", "zstd").parquet(folder)
         return self.spark.read.schema(schema).parquet(folder)
 
     def _rows(self):
@@ -454,7 +454,7 @@ class Alignment:
                     seen = seen[:0]
             yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64())], ["pair"])
 
-        pairs = checkpointed(self.blocks.mapInArrow(distinct, "pair long").distinct())
+        pairs = checkpointed(self.blocks.mapInArrow(tidy(distinct), "pair long").distinct())
         shards = max(1, -(-pairs.count() // SHARD_PAIRS))
         sharded = pairs.mapInArrow(_sharder(shards), "shard long, pair long")
         table = checkpointed(sharded.groupBy("shard").applyInArrow(
@@ -469,7 +469,7 @@ class Alignment:
         plan.append(run)
         counts = None
         for part in plan:
-            vectors = self.blocks.mapInArrow(self._counter(self._slice(table, part, shards)), "shard long, part long, counts binary")
+            vectors = self.blocks.mapInArrow(tidy(self._counter(self._slice(table, part, shards))), "shard long, part long, counts binary")
             counts = vectors if counts is None else counts.unionByName(vectors)
         # the tree: some tasks' vectors, then the sums of these
         step = max(1, int(self.blocks.rdd.getNumPartitions() ** 0.5))
@@ -544,7 +544,7 @@ class Alignment:
             return add
 
         for piece in self.slices[:-1]:
-            frame = frame.mapInArrow(adder(piece), frame.schema)
+            frame = frame.mapInArrow(tidy(adder(piece)), frame.schema)
         last = self.slices[-1]
         names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
         keys = self.blocks.schema["_keys"].dataType.elementType
@@ -575,7 +575,7 @@ class Alignment:
                     yield pa.RecordBatch.from_arrays([*[c.slice(at, to - at) for c in cols], groups], schema.names)
                     at = to
 
-        return frame.mapInArrow(finish, schema)
+        return frame.mapInArrow(tidy(finish), schema)
 
 
 def _sharder(shards: int):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import blocks, ship_package
+from ledgerscope.llm.common import blocks, ship_package, tidy
 
 SEGMENT = 512            # symbols parsed in one lane
 BLOCK = 3_000_000        # code points handled at once
@@ -222,4 +222,4 @@ def identify(docs: DataFrame, passages: dict[str, list[str]], keep: tuple[str, .
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)

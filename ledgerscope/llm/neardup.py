@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerscope.llm import bagminhash
-from ledgerscope.llm.common import checkpointed, ship_package, text_or_empty
+from ledgerscope.llm.common import checkpointed, ship_package, text_or_empty, tidy
 from ledgerscope.llm.url_filter import bloom_blocks, possible_hits
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 25, 5, 0.8
@@ -149,7 +149,7 @@ def signed(docs: DataFrame) -> DataFrame:
                     b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo),
                     _list_array(bands(sig)[some].ravel(), ends * BANDS)], schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def profiles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def profiles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     _list_array(item.view(np.int64), np.concatenate([[0], np.cumsum(n)])),
                     _list_array(sketches(sig).ravel(), np.arange(hi - lo + 1) * SKETCH_LONGS)], schema.names)
 
-    made = src.mapInArrow(run, schema).dropDuplicates(["node", "row"])
+    made = src.mapInArrow(tidy(run), schema).dropDuplicates(["node", "row"])
     return made.join(keys, ["node", "row"]).select("node", "items", "sketch")
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerscope.llm.common import checkpointed, shared_folder, ship_package
+from ledgerscope.llm.common import checkpointed, shared_folder, ship_package, tidy
 from ledgerscope.llm.words import Words, pieces
 
 #: Text bytes of a block, and blocks' worth of keys that a key bucket may hold.
@@ -171,7 +171,7 @@ def _blocked(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     name = f"word_blocks_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    (src.mapInArrow(run, schema).write.format("parquet").bucketBy(parts, "_block")
+    (src.mapInArrow(tidy(run), schema).write.format("parquet").bucketBy(parts, "_block")
      .option("path", shared_folder(spark, "word-blocks")).saveAsTable(name))
     return spark.table(name)
 
