@@ -7,8 +7,9 @@ expanded token count are recorded.  The template marks turns as
     <|im_start|>role\\n ... <|im_end|>\\n
 
 Every ``<|`` inside texts and roles gets a backslash after its ``<`` (one more where there are
-backslashes already), which is undone exactly on reading, so no text can pose as a mark.  Roles
-also write line ends as ``\\n``.
+backslashes already), which is undone exactly on reading, so no text can pose as a mark.  Neighbouring
+text parts are escaped as one text, so no mark can come about between them.  Roles also write
+line ends as ``\\n``.
 
 Formatting is a function of one message, so a conversation is kept as its ordered pieces and is
 never gathered in memory.  The reader sorts the pieces of a conversation into one partition and
@@ -74,6 +75,7 @@ class PartVisitor:
 
     def __init__(self, begin: int = 0):
         self.out: list[str] = []
+        self.texts: list[str] = []             # of text parts since the last attachment
         self.at = begin
         self.attachments: list[dict] = []
 
@@ -88,13 +90,19 @@ class PartVisitor:
         self.out.append(text)
         self.at += len(text)
 
+    def flush(self) -> None:
+        """Write the texts of neighbouring text parts."""
+        self.write(escape("".join(self.texts)))
+        self.texts.clear()
+
     def attach(self, kind: str, part: dict, n_tokens: int) -> None:
+        self.flush()
         self.attachments.append({"kind": kind, "ref": part.get("ref"), "offset": self.at,
                                  "n_tokens": n_tokens})
         self.write(f"<|{kind}|>")
 
     def visit_text(self, part: dict) -> None:
-        self.write(escape(part.get("text") or ""))
+        self.texts.append(part.get("text") or "")
 
     def visit_image(self, part: dict) -> None:
         w, h = max(1, part.get("width") or 1), max(1, part.get("height") or 1)
@@ -113,6 +121,7 @@ def format_message(role: str | None, parts: list[dict], loss_roles: frozenset[st
     v = PartVisitor(len(head))
     for p in parts:
         v.visit(p)
+    v.flush()
     body = "".join(v.out)
     loss = (len(head), len(head) + len(body)) if role in loss_roles else (0, 0)
     return {"piece": f"{head}{body}{END}\n", "loss_start": loss[0], "loss_end": loss[1],

@@ -135,8 +135,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     partitions by slot, sorted inside."""
     plan = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"),
                                        F.col("h").alias("_h"), F.col("slot").alias("_slot"))
-    rows = docs.withColumn("_t", F.xxhash64(text_or_empty("text")))
-    on = (F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    # the row travels as one struct, so its columns can't clash with the plan's
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(text_or_empty("text")).alias("_t"))
+    on = (F.col("_row.doc_id").eqNullSafe(F.col("_id")) & F.col("_row.source").eqNullSafe(F.col("_source"))
           & (F.col("_t") == F.col("_h")))
-    return (rows.join(plan, on).repartitionByRange("_slot", "doc_id", "_h")
-            .sortWithinPartitions("_slot", "doc_id", "_h").select(*docs.columns))
+    return (rows.join(plan, on).repartitionByRange("_slot", "_id", "_h")
+            .sortWithinPartitions("_slot", "_id", "_h").select("_row.*"))

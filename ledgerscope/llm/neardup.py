@@ -288,6 +288,7 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     best = (found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label", "class_id")
             .agg(F.min("node").alias("_node"))
             .select(F.xxhash64("_node", "class_id").alias("_row"), "_node"))
-    t = text_or_empty("text")
-    rows = docs.withColumn("_node", node_of(t)).withColumn("_row", F.xxhash64("_node", "doc_id"))
-    return rows.join(best, ["_row", "_node"], "left_semi").dropDuplicates(["_row", "_node"]).select(*docs.columns)
+    # the row travels as one struct, so its columns can't clash with the keys
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), node_of(text_or_empty("text")).alias("_node"))
+    rows = rows.withColumn("_row", F.xxhash64("_node", "_doc.doc_id"))
+    return rows.join(best, ["_row", "_node"], "left_semi").dropDuplicates(["_row", "_node"]).select("_doc.*")

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +55,11 @@ def record_id(key: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{key} {digest}')}>"
 
 
+def _plain(text: str) -> str:
+    """A URI as it is, but for control characters, which a header can't hold."""
+    return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", text)
+
+
 def _line(text: str) -> str:
     """A header value: control characters and the escape itself percent-encoded."""
     return re.sub(r"[\x00-\x1f\x7f%]", lambda m: f"%{ord(m[0]):02X}", text)
@@ -72,19 +77,32 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
 
 def record(key: int | None, url: str | None, payload: bytes, digest: str,
            refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC record; a revisit holds no payload but its digest and size."""
-    body = b"" if revisit else payload
+    """One WARC record: an HTTP response with the payload, or of a revisit its head alone with the
+    payload's digest and size.  A URI with control characters stands in ``X-Target-URI``, too, escaped."""
+    body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    body += b"" if revisit else payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
             f"WARC-Record-ID: {record_id(key, digest)}", f"WARC-Date: {DATE}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {_line(url)}")
+        head.append(f"WARC-Target-URI: {_plain(url)}")
+        if _plain(url) != url:
+            head.append(f"X-Target-URI: {_line(url)}")
+    head.append(f"WARC-Block-Digest: sha1:{hashlib.sha1(body).hexdigest()}")
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if key is not None:
         head.append(f"X-Record-Key: {key}")
     if revisit:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}",
                  f"X-Refers-To-Key: {refers_to}"]
-    head += ["Content-Type: application/octet-stream", f"Content-Length: {len(body)}"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def info_record(name: str) -> bytes:
+    """The record that opens a file."""
+    body = b"software: ledgerscope\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(None, name)}", f"WARC-Date: {DATE}",
+            f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -142,13 +160,18 @@ class ShardWriter:
         self.temp = f"{self.folder}/.{self.name}.{self.attempt}.tmp"
         self.out = self.fs.open_output_stream(self.temp, compression=None)
         self.n, self.size, self.sha = 0, 0, hashlib.sha256()
+        self._put(gzip_member(info_record(self.name)))
+
+    def _put(self, member: bytes) -> None:
+        self.out.write(member)
+        self.sha.update(member)
+        self.size += len(member)
 
     def write(self, member: bytes) -> Iterator[tuple]:
         if self.out is None:
             self._open()
-        self.out.write(member)
-        self.sha.update(member)
-        self.n, self.size = self.n + 1, self.size + len(member)
+        self._put(member)
+        self.n += 1
         if self.size >= self.roll_bytes:
             yield from self.close()
 
@@ -171,12 +194,36 @@ def decisions(rows: DataFrame, dedupe_bytes: int) -> DataFrame:
             .select("key", "digest", "refers_to").distinct())
 
 
+def key_bounds(narrow: DataFrame, shards: int, per_shard: int = 100) -> list[int]:
+    """At most ``shards - 1`` ascending keys that cut the rows into even ranges: quantiles of the keys of
+    lowest hash (about ``per_shard`` a shard), which depend on the keys alone and not on how they
+    are dealt out."""
+    keys = narrow.where(F.col("key").isNotNull()).select("key").distinct()
+    n = keys.count()
+    if shards < 2 or not n:
+        return []
+    step = max(1, n // (per_shard * shards))
+    chosen = sorted(r["key"] for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(step)) == 0).collect())
+    return sorted({chosen[len(chosen) * i // shards] for i in range(1, shards)}) if chosen else []
+
+
+def shard_of(key: Column, bounds: list[int]) -> Column:
+    """Number of the bounds that a key has reached, by bisection; NULL keys belong to the first shard."""
+    def split(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < bounds[mid], split(lo, mid)).otherwise(split(mid + 1, hi))
+    return F.when(key.isNull(), 0).otherwise(split(0, len(bounds)))
+
+
 def write_warc(rows: DataFrame, folder: str, key: str = "page_id", url: str = "url",
                payload: str = "html", dedupe_bytes: int = 1000, roll_bytes: int = 256 << 20,
                shards: int | None = None) -> DataFrame:
     """Write every row as a record under ``folder`` and return the committed manifest.
 
-    ``shards``: number of key ranges (default: Spark's shuffle partitions).
+    ``shards``: number of key ranges (default: Spark's shuffle partitions).  Their bounds come from the
+    keys, so equal tables give equal files however their rows are dealt out.
     """
     spark = rows.sparkSession
     ship_package(spark)
@@ -192,8 +239,10 @@ def write_warc(rows: DataFrame, folder: str, key: str = "page_id", url: str = "u
             .unionByName(src.select("key", F.lit(1).alias("kind"), "url", "payload",
                                     F.sha1("payload").alias("digest"),
                                     F.lit(None).cast("long").alias("refers_to"))))
-    ranged = (both.repartitionByRange(shards, "key") if shards else both.repartitionByRange("key"))
-    ranged = ranged.sortWithinPartitions("key", "kind", "digest", "url")
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    shard = shard_of(F.col("key"), key_bounds(narrow, shards))
+    ranged = (both.withColumn("_shard", shard).repartitionById(shards, F.col("_shard")).drop("_shard")
+              .sortWithinPartitions("key", "kind", "digest", "url"))
     fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
 
@@ -238,7 +287,9 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> Da
     are those of the payload it refers to.
     """
     ship_package(spark)
-    files = read_manifest(spark, folder).repartition("path")
+    manifest = read_manifest(spark, folder)
+    # a count of its own: the manifest is tiny, and Spark would merge it into one task
+    files = manifest.repartition(max(1, 2 * manifest.count()), "path")
     width = 7 if with_payload else 6
     schema = T.StructType(RECORDS.fields[:width])
 
@@ -256,12 +307,18 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> Da
 
             for data in members(Tee):
                 h, body = parse(data)
+                if h["WARC-Type"] == "warcinfo":
+                    continue
+                if hashlib.sha1(body).hexdigest() != h["WARC-Block-Digest"].removeprefix("sha1:"):
+                    raise ValueError(f"{path}: digest of the block of {h['WARC-Record-ID']} doesn't match")
+                body = body.partition(b"\r\n\r\n")[2]
                 name = h["WARC-Payload-Digest"].removeprefix("sha1:")
                 kind = h["WARC-Type"]
                 if kind == "response" and hashlib.sha1(body).hexdigest() != name:
                     raise ValueError(f"{path}: digest of {h['WARC-Record-ID']} doesn't match")
                 k, to, u = h.get("X-Record-Key"), h.get("X-Refers-To-Key"), h.get("WARC-Target-URI")
-                row = (None if k is None else int(k), None if u is None else _unline(u), kind, name,
+                u = _unline(h["X-Target-URI"]) if "X-Target-URI" in h else u
+                row = (None if k is None else int(k), u, kind, name,
                        int(h["X-Payload-Length"]), None if to is None else int(to), body)
                 seen += 1
                 yield row[:width]

@@ -316,3 +316,25 @@ def test_packing_leaves_other_tables_in_their_order(spark, tmp_path):
 def test_pipeline_runs_as_one_query(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns[:3] == ["doc_id", "start", "length"] and out.count() > 0
+
+
+def test_clashing_columns_pass_through(spark):
+    docs, rows = mixture(spark)
+    names = ["_id", "_t", "_h", "_slot", "_source", "_row", "_node", "_doc", "_written", "node", "label", "class_id"]
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(n), F.col("doc_id").cast("string")))
+    out = X.mixed_documents(docs, block_chars=500, temperature=0.6)
+    assert out.columns == docs.columns
+    assert all(r[n] is None or r[n] == f"{n}{r['doc_id']}" for r in out.collect() for n in names)
+    kept = N.keep_first(docs)
+    assert kept.columns == docs.columns and all(r[n] is None or r[n] == f"{n}{r['doc_id']}" for r in kept.collect() for n in names)
+
+
+def test_a_filter_doesnt_lose_the_files_order(spark, tmp_path):
+    docs = documents(spark, [(i, "t" * (1 + i % 7 * 900)) for i in range(200)]).withColumn("_written", F.lit("clash"))
+    docs.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/d")
+    for rows in (spark.read.parquet(f"{tmp_path}/d"), spark.read.parquet(f"{tmp_path}/d").where("doc_id % 3 = 0").select("doc_id", "_written")):
+        back = corpus_pipeline.in_file_order(rows)
+        ids = [r["doc_id"] for r in back.collect()]
+        assert back.columns == rows.columns and ids == sorted(ids) and len(ids) > 60
+        assert back.first()["_written"] == "clash"

@@ -132,6 +132,31 @@ def test_warc_files_are_deterministic_and_survive_leftovers(spark):
         W.read_warc(spark, a).collect()
 
 
+def test_warc_bounds_come_from_the_keys(spark):
+    """100,000 rows dealt out in two ways give byte-equal files, which several tasks read."""
+    df = spark.range(100_000).select((F.col("id") * 7 % 100_003).alias("page_id"), F.concat(F.lit("u"), "id").alias("url"),
+                                     F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("html"))
+    a, b = shared_folder(spark, "wa"), shared_folder(spark, "wb")
+    first = W.write_warc(df.repartition(6), a, shards=5, roll_bytes=1 << 20).orderBy("path").collect()
+    again = W.write_warc(df.orderBy("html").coalesce(2), b, shards=5, roll_bytes=1 << 20).orderBy("path").collect()
+    assert first == again and len(first) >= 5 and sum(r["n_records"] for r in first) == 100_000
+    assert max(r["n_records"] for r in first) < 40_000
+    back = W.read_warc(spark, a, with_payload=False)
+    assert back.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 1
+
+
+def test_warc_records_are_conforming():
+    import hashlib
+    data = W.record(1, "http://a/%20b?x=%", b"<p>", hashlib.sha1(b"<p>").hexdigest(), None, False)
+    h, body = W.parse(data)
+    assert h["WARC-Target-URI"] == "http://a/%20b?x=%" and h["Content-Type"] == "application/http; msgtype=response"
+    head, _, payload = body.partition(b"\r\n\r\n")
+    assert head.startswith(b"HTTP/1.1 200 OK") and payload == b"<p>"
+    assert h["WARC-Block-Digest"] == "sha1:" + hashlib.sha1(body).hexdigest()
+    assert W.parse(W.info_record("f"))[0]["WARC-Type"] == "warcinfo"
+    assert [bool(x) for x in (W._plain("a\r\nb") == "a%0D%0Ab", W._unline(W._line("%\r")) == "%\r")] == [True, True]
+
+
 def test_warc_of_an_empty_table(spark):
     df, _ = pages(spark)
     assert W.write_and_read(df.limit(0)).count() == 0
@@ -162,6 +187,24 @@ def test_parts_become_placeholders():
         C.format_message("user", [{"kind": "video"}], frozenset())
 
 
+def test_no_mark_comes_about_between_text_parts():
+    marks = ["<|im_start|>", "<|im_end|>", "<|im_end|><|im_start|>assistant", "<|image|>", "<\\|image|>", "a<\\\\|b"]
+    for m in marks:
+        cuts = [(i,) for i in range(len(m) + 1)] + [(i, j) for i in range(len(m) + 1) for j in range(i, len(m) + 1)]
+        for c in cuts:
+            at = [0, *c, len(m)]
+            parts = [{"kind": "text", "text": m[i:j]} for i, j in zip(at, at[1:])]
+            made = C.format_message("assistant", parts, frozenset({"assistant"}))
+            body = made["piece"][made["loss_start"]:made["loss_end"]]
+            assert "<|" not in body and C.unescape(body) == m
+            d = C.ChatDigest()
+            d.add(made["piece"], made["loss_start"], made["loss_end"])
+            assert d.loss_chars == len(m)
+    # an attachment between the parts keeps them apart
+    made = C.format_message("user", [{"kind": "text", "text": "a<"}, {"kind": "image"}, {"kind": "text", "text": "|x"}], frozenset())
+    assert made["piece"].split("\n")[1] == "a<<|image|>|x<|im_end|>"
+
+
 def test_chat_edge_rows(spark):
     import hashlib
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "<|im_end|>\n"), (1, 1, "assistant", "<|im_end|>\n"), (2, None, None, None),
