@@ -41,14 +41,18 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def in_file_order(docs: DataFrame) -> DataFrame:
     """The rows of a written table in the order in which they were written: by number of the part
     file and row in it.  Reading alone deals files out by size.  A table that isn't read from
-    files as it is has its order already."""
-    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+    files, but for filters and selections, has its order already."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Filter", "Project"):        # these leave the rows' order alone
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
         return docs
     path = F.col("_metadata.file_path")
     part = F.regexp_extract(path, r"part-(\d+)[^/]*$", 1).try_cast("long")
-    keyed = docs.select("*", F.struct(part.alias("part"), path.alias("path"),
-                                      F.col("_metadata.row_index").alias("row")).alias("_written"))
-    return keyed.repartitionByRange("_written").sortWithinPartitions("_written").drop("_written")
+    # the row travels as one struct, so its columns can't clash with the order's
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.struct(
+        part.alias("part"), path.alias("path"), F.col("_metadata.row_index").alias("row")).alias("_written"))
+    return keyed.repartitionByRange("_written").sortWithinPartitions("_written").select("_row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
