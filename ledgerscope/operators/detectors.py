@@ -187,8 +187,7 @@ def rapid_drain(ledger: DataFrame, max_gap: int = 5, remain: float = 0.1,
     # D-4 pre-filter (a strict superset of firing senders) + the sign facts of each sender.
     stats = rows.groupBy(*k).agg(
         F.max("b").alias("max_b"), F.min("a").alias("min_a"),
-        F.max("amount").alias("max_amt"), F.min("amount").alias("min_amt"),
-        F.count("amount").alias("n_amt"), F.count(F.lit(1)).alias("n_rows"))
+        F.max("amount").alias("max_amt"), F.min("amount").alias("min_amt"))
     cand = stats.where((F.col("max_b") > 0) & (F.col("min_a") < F.lit(remain) * F.col("max_b"))
                        & (F.col("max_amt") > 0)).select(
         *k, (F.coalesce(F.col("min_amt"), F.lit(0.0)) >= 0).alias("nonneg"))
@@ -220,7 +219,7 @@ def rapid_drain(ledger: DataFrame, max_gap: int = 5, remain: float = 0.1,
     open_rows = (necessary.where(~F.coalesce(sure, F.lit(False))).join(first_sure, k, "left")
                  .where(F.col("fs").isNull() | (pos < F.col("fs"))))
     starts = first_sure
-    if not stats.where((F.col("min_amt") <= 0) | (F.col("n_amt") < F.col("n_rows"))).isEmpty():
+    if not rows.where((F.col("amount") <= 0) | F.col("amount").isNull()).isEmpty():
         starts = starts.unionByName(_dominated_starts(r, open_rows, k, max_gap, remain))
     starts = starts.groupBy(*k).agg(F.min("fs").alias("fs")).select(
         *k, F.col("fs.step").alias("i_step"), F.col("fs.row_id").alias("i_rid"))

@@ -151,34 +151,48 @@ def dyadic_nodes(lo: Column, hi: Column) -> Column:
     return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), levels), at)), lambda x: x.isNotNull())
 
 
-def interval_join(points: DataFrame, pieces: DataFrame, keys: list[str], step: str = "step",
-                  start: str = "step_start", end: str = "step_end", how: str = "inner") -> DataFrame:
-    """Join each point to the disjoint piece (``merge_intervals``) of its key that holds
-    its step.
+#: Longer pieces are cut to the points' range before they are decomposed.
+_LONG = 1 << 24
+
+
+def step_hits(points: DataFrame, pieces: DataFrame, keys: list[str], step: str = "step",
+              start: str = "step_start", end: str = "step_end") -> DataFrame:
+    """``keys``, ``step``, ``start``, ``end`` and the other columns of ``pieces``: each distinct (keys, step)
+    of the points with the pieces that hold it.
 
     Each piece is listed under its dyadic nodes (``dyadic_nodes``; at most two per level, so
-    logarithmic in its length, clamped to the points' step range), and each distinct (key, step) looks up
-    its node of every level that occurs (at most 63).  A step lies in one node of one piece, so a
-    lookup has one hit at most, the row count never grows, and a hot key compares nothing
-    with all of its pieces.  The nodes are written once to the shared checkpoint folder.
+    logarithmic in its length), and each distinct (keys, step) looks up its node of every level that
+    occurs (at most 63).  A step lies in one node of a piece, so a lookup finds a piece once, and a
+    hot key compares nothing with all of its pieces.  The pieces are written once to the shared
+    checkpoint folder.
     """
-    rng = points.agg(F.struct(F.min(step).alias("lo"), F.max(step).alias("hi"))).scalar()
-    lo_all, hi_all = rng["lo"], rng["hi"]  # one scalar subquery, evaluated once
-    p = pieces.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                      F.col(start).alias("_ps"), F.col(end).alias("_pe"))
-    p = (p.withColumn("_lo", F.greatest("_ps", lo_all).cast("long")).withColumn("_hi", F.least("_pe", hi_all).cast("long"))
-         .where(F.col("_lo") <= F.col("_hi")))
     checkpoint_dir(points.sparkSession)
-    nodes = p.select("*", F.explode(dyadic_nodes(F.col("_lo"), F.col("_hi"))).alias("_n")).select(
-        *[f"_k{i}" for i in range(len(keys))], "_ps", "_pe", "_n.level", "_n.node").checkpoint()
-    levels = sorted(r[0] for r in nodes.select("level").distinct().collect())
+    rest = [c for c in pieces.columns if c not in (*keys, start, end)]
+    p = pieces.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *rest,
+                      F.col(start).cast("long").alias("_ps"), F.col(end).cast("long").alias("_pe")).checkpoint()
+    lo, hi = F.col("_ps"), F.col("_pe")
+    if not p.where((hi < lo) | (hi - lo >= _LONG) | (hi - lo < 0)).isEmpty():      # open ends
+        rng = points.agg(F.struct(F.min(step).alias("lo"), F.max(step).alias("hi"))).scalar()
+        lo, hi = F.greatest(lo, rng["lo"]), F.least(hi, rng["hi"])
+    p = p.withColumns({"_lo": lo, "_hi": hi}).where(F.col("_lo") <= F.col("_hi"))
+    nodes = p.select("*", F.explode(dyadic_nodes(F.col("_lo"), F.col("_hi"))).alias("_n"))
+    levels = sorted(r[0] for r in nodes.select("_n.level").distinct().collect())
     steps = points.select(*[F.col(k).alias(f"_p{i}") for i, k in enumerate(keys)],
                           F.col(step).cast("long").alias("_step")).distinct()
     steps = steps.select("*", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")).alias("_level"))
     same = [F.col(f"_p{i}") == F.col(f"_k{i}") for i in range(len(keys))]
-    hits = steps.join(nodes, [*same, F.col("_level") == F.col("level"),
-                              F.call_function("shiftright", F.col("_step"), F.col("_level")) == F.col("node")])
-    hits = hits.select(*[f"_p{i}" for i in range(len(keys))], "_step", F.col("_ps").alias(start), F.col("_pe").alias(end))
+    hits = steps.join(nodes, [*same, F.col("_level") == F.col("_n.level"),
+                              F.call_function("shiftright", F.col("_step"), F.col("_level")) == F.col("_n.node")])
+    return hits.select(*[F.col(f"_p{i}").alias(k) for i, k in enumerate(keys)], F.col("_step").alias(step),
+                       F.col("_ps").alias(start), F.col("_pe").alias(end), *rest)
+
+
+def interval_join(points: DataFrame, pieces: DataFrame, keys: list[str], step: str = "step",
+                  start: str = "step_start", end: str = "step_end", how: str = "inner") -> DataFrame:
+    """Join each point to the disjoint piece (``merge_intervals``) of its key that holds
+    its step (``step_hits``): a point meets at most one piece, so the row count never grows."""
+    hits = step_hits(points, pieces, keys, step, start, end).select(
+        *[F.col(k).alias(f"_p{i}") for i, k in enumerate(keys)], F.col(step).alias("_step"), start, end)
     on = [points[k] == hits[f"_p{i}"] for i, k in enumerate(keys)] + [points[step] == hits["_step"]]
     return points.join(hits, on, how).select(*[points[c] for c in points.columns], hits[start], hits[end])
 

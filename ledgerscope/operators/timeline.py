@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.core import money
-from ledgerscope.operators.findings import interval_join, merge_intervals
+from ledgerscope.operators.findings import merge_intervals, step_hits
 
 # Annotation labels and narrative sentences (fixed values).
 LABEL_DRAIN = "[RAPID DRAIN]"
@@ -93,17 +93,19 @@ def annotate(events: DataFrame, findings: DataFrame, by: tuple[str, ...] = ()) -
     (rapid drain, dormant activation), then drained / flagged-transfer labels; prior
     annotation first, duplicates removed, space separated.
 
-    Intervals are merged per (account, pattern), so each event meets at most one island
-    per pattern and the row count never grows.
+    Intervals are merged per (account, pattern) and looked up once per distinct (account, step), so
+    the row count never grows.
     """
     fr = _finding_rows(findings, by)
     keys = [*by, "account_id"]
-    out = events
-    for name, pattern in (("_drain", "rapid_drain"), ("_dormant", "dormant_activation")):
-        isl = merge_intervals(fr.where(F.col("pattern") == pattern), keys)
-        out = (interval_join(out, isl, keys, how="left")
-               .withColumn(f"{name}_acct", F.when(F.col("step_start").isNotNull(), F.lit(True)))
-               .drop("step_start", "step_end"))
+    marking = fr.where(F.col("pattern").isin("rapid_drain", "dormant_activation"))
+    # one join for both patterns: a flag per pattern for each distinct (account, step)
+    held = step_hits(events, merge_intervals(marking, [*keys, "pattern"]), keys).groupBy(
+        *[F.col(k).alias(f"_p{i}") for i, k in enumerate(keys)], F.col("step").alias("_step")).agg(
+        F.max(F.when(F.col("pattern") == "rapid_drain", True)).alias("_drain_acct"),
+        F.max(F.when(F.col("pattern") == "dormant_activation", True)).alias("_dormant_acct"))
+    on = [events[k] == held[f"_p{i}"] for i, k in enumerate(keys)] + [events["step"] == held["_step"]]
+    out = events.join(held, on, "left")
     drained = F.col("balance_after") < F.lit(0.01) * F.col("balance_before")
     flagged = F.col("event_type").contains("TRANSFER") & F.col("is_flagged")
     labels = F.array(
