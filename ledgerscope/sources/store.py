@@ -145,7 +145,6 @@ class CaseStore:
         """
         if mode not in ("append", "replace"):
             raise ValueError("mode must be 'append' or 'replace'")
-        self._require_cases(payload)
         if cases is not None:
             self._require_cases(cases)
         now = time.time_ns() // 1000
@@ -154,11 +153,12 @@ class CaseStore:
         if "amount" not in rows.columns:
             rows = rows.withColumn("amount", F.lit(None).cast("double"))
         rows = rows.select(*[F.col(c).cast(STORED_FINDING_SCHEMA[c].dataType) for c in cols])
-        # Materialised once: ids are fixed, the count is read from the materialised rows.
+        # Materialised once: ids are fixed, the check and the count read the materialised rows.
         # (Not an Observation: once used, it makes the session unserializable for
         # pyspark.ml models that keep a training summary.)
         checkpoint_dir(self.spark)
         rows = rows.checkpoint()
+        self._require_cases(rows)
         n = rows.count()
         w = rows.write.partitionBy("case_id")
         if mode == "replace":
