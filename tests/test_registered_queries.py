@@ -29,7 +29,9 @@ def test_entry_runs(spark):
 
 FAST = ["ledger_scan", "account_history", "rapid_drain", "round_trip", "fan_in", "fan_out",
         "dormant_activation", "balance_inconsistency", "high_velocity", "analyze",
-        "timeline_annotated", "narrative", "graph_edges", "degree_centrality", "ego_network",
+        "timeline_annotated", "narrative", "graph_edges", "degree_centrality", "ego_network", "round_trip_counts",
+        "rapid_drain_refunds", "digest_tree_documents", "manifest_verify_documents", "findings_compact",
+        "case_ledger_paths", "feat_sender_median",
         "features", "eval_metrics", "top_findings", "detection_rate", "findings_breakdown"]
 
 
