@@ -47,7 +47,7 @@ from ledgerscope.llm.url_filter import bloom_blocks, possible_hits
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 25, 5, 0.8
 FINE = 1024                                        # components of the sketches
 SKETCH_LONGS = FINE // 32                          # thirty-two 2-bit values in a long
-WORDS_AT_ONCE, DOCS_AT_ONCE = 400_000, 1024
+WORDS_AT_ONCE, DOCS_AT_ONCE = 150_000, 512
 _P = np.uint64(0x100000001B3)
 _LOW = np.uint64(52)                               # bits of a shingle's hash
 
