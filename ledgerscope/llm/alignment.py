@@ -48,7 +48,7 @@ from ledgerscope.llm.common import checkpointed, shared_folder, ship_package, ti
 from ledgerscope.llm.words import bytes_of, large_binary, pieces
 
 #: Text bytes of a block, unit bytes of one call, group text of an output batch.
-BLOCK_BYTES, CALL_BYTES, OUT_BYTES = 8_000_000, 8_000, 8_000_000
+BLOCK_BYTES, CALL_BYTES, OUT_BYTES = 5_000_000, 8_000, 4_000_000
 #: Pairs of a shard, and pairs that a task holds at once.
 SHARD_PAIRS, PAIRS_AT_ONCE = 16_384, 4_000_000
 _LEAD = " a"                                   # a unit before those of a call
