@@ -338,3 +338,28 @@ def test_a_filter_doesnt_lose_the_files_order(spark, tmp_path):
         ids = [r["doc_id"] for r in back.collect()]
         assert back.columns == rows.columns and ids == sorted(ids) and len(ids) > 60
         assert back.first()["_written"] == "clash"
+
+
+def true_pairs(rows, threshold=0.8):
+    """(positions of) all pairs of texts at or above the threshold, through their shared shingles."""
+    sets, seen = [plain_multiset(t) for _, t in rows], defaultdict(list)
+    for i, m in enumerate(sets):
+        for k in m:
+            seen[k].append(i)
+    near = {(i, j) for at in seen.values() for n, j in enumerate(at) for i in at[:n]}
+    out = []
+    for i, j in near:
+        both = sum((sets[i] & sets[j]).values())
+        if both >= threshold * (sum(sets[i].values()) + sum(sets[j].values()) - both):
+            out.append((i, j))
+    return out
+
+
+@pytest.mark.skipif(not HAVE, reason="no test data")
+def test_recall_of_a_whole_table(spark):
+    """Every pair of documents at 0.8 or more lies in one class (at least 0.9 is asked for)."""
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    found = {r["doc_id"]: r["label"] for r in N.near_duplicates(documents(spark, rows)).collect()}
+    pairs = true_pairs(rows)
+    hits = sum(found[rows[i][0]] == found[rows[j][0]] for i, j in pairs)
+    assert len(pairs) >= 10 and hits >= 0.9 * len(pairs)
