@@ -462,3 +462,31 @@ def test_csv_rows_have_compact_numbers_in_file_order(spark):
     cases = spark.createDataFrame([("k", f"{d}/a+1.csv"), ("k", f"file:{d}/c.csv"), ("m", f"{d}/b b.csv"), ("m", f"{d}/c.csv")], "case_id string, path string")
     got = {r["case_id"]: r["count"] for r in SL.case_ledger(spark, cases).groupBy("case_id").count().collect()}
     assert got == {"k": 301, "m": 401}
+
+
+def test_folder_is_one_evidence_item(spark, tmp_path):
+    """A table of many part files is one item, whose digest follows its files' names and bytes."""
+    import hashlib
+    root = str(tmp_path / "t.parquet")
+    os.makedirs(root + "/sub")
+    parts = {"part-1": b"bb", "part-0": b"a", "sub/part-2": b""}
+    for n, data in parts.items():
+        write(root, n, data)
+    plain = write(str(tmp_path), "plain.bin", b"xyz")
+    empty = str(tmp_path / "empty")
+    os.makedirs(empty)
+    paths = spark.createDataFrame([(root,), (plain,), (empty,), (str(tmp_path / "no"),)], "path string")
+    got = {r["path"]: r for r in K.digest_files(paths).collect()}
+    lines = "".join(f"{n} {hashlib.sha256(parts[n]).hexdigest()}\n" for n in sorted(parts))
+    assert got[root]["exists"] and got[root]["file_size"] == 3 and got[root]["error"] is None
+    assert got[root]["sha256"] == hashlib.sha256(lines.encode()).hexdigest()
+    assert got[plain]["sha256"] == hashlib.sha256(b"xyz").hexdigest() and got[plain]["file_size"] == 3
+    assert got[empty]["exists"] and got[empty]["sha256"] == hashlib.sha256(b"").hexdigest()
+    assert not got[str(tmp_path / "no")]["exists"] and got[str(tmp_path / "no")]["sha256"] is None
+    store = CaseStore(spark, str(tmp_path / "store"))
+    store.register_cases(spark.createDataFrame([("c", "n", "i")], "id string, name string, investigator string"))
+    store.register_evidence(spark.createDataFrame([("c", root)], "case_id string, path string"))
+    assert [r["file_size"] for r in store.evidence().collect()] == [3]
+    before = got[root]["sha256"]
+    os.rename(f"{root}/part-1", f"{root}/part-3")
+    assert K.digest_files(paths).where(F.col("path") == root).first()["sha256"] != before
