@@ -289,3 +289,17 @@ def test_interval_join_with_steps_in_seconds(spark):
     assert all(r["step_start"] <= r["step"] <= r["step_end"] for r in got if r["step_start"] is not None)
     assert {r["id"] for r in interval_join(P, pieces, ["account_id"]).collect()} == held
     assert interval_join(P, pieces.limit(0), ["account_id"], how="left").count() == len(pts)
+
+
+def test_spread_ego_rows_are_not_shuffled(spark):
+    """The bitmaps meet their seeds' names and attributes before they become one row per (seed, node)."""
+    led = spark.createDataFrame([(f"a{i % 7}", f"b{i}", 1.0, i, "T", i) for i in range(140)],
+                                "sender_id string, receiver_id string, amount double, step long, tx_type string, row_id long")
+    seeds = spark.createDataFrame([(f"b{i}",) for i in range(130)], "account_id string")
+    vertices = G.vertices(led)
+    nodes, _ = G.ego_network(G.edges(led), vertices, seeds)
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[:plan.index("Generate explode")]
+    rows = nodes.select("seed", "node", "dist").collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, G.ego_nodes(G.edges(led), seeds).collect()))
+    assert len(rows) == sum(1 + 1 + 19 for _ in range(130))
