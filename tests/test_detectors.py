@@ -357,3 +357,63 @@ def test_round_trip_counts_of_a_pair_with_100000_trades(spark):
                               F.when(odd, "A").otherwise("B").alias("sender_id"), F.when(odd, "B").otherwise("A").alias("receiver_id"))
     got = D.round_trip_counts(L).groupBy("n_matches", "match_step").count().collect()
     assert [tuple(r) for r in got] == [(n // 2, 5, n)]
+
+
+def _row_exchanges(df) -> int:
+    """Shuffles of the plan before a row is aggregated away: those by an explicit repartition."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.replace("JoinHint", "")
+    return plan.count("RepartitionByExpression")
+
+
+def test_drain_and_fan_shuffle_the_rows_once(spark):
+    """No join back to the rows: one repartition by (account, stretch of time), windows inside it."""
+    led = spark.createDataFrame(
+        [(i % 40, i, 1.0 + i, f"a{i % 5}", 100.0, 1.0, f"b{i % 9}") for i in range(200)],
+        "step long, row_id long, amount double, sender_id string, sender_balance_before double, "
+        "sender_balance_after double, receiver_id string")
+    assert _row_exchanges(D.rapid_drain(led)) == 1
+    assert _row_exchanges(D.fan_out(led)) == 1
+    assert _row_exchanges(D.fan_in(led)) == 1
+
+
+def test_windows_over_the_edges_of_stretches(spark):
+    """Bands and windows that begin in one stretch of time and end in the next, and negative steps."""
+    import random
+    rng = random.Random(7)
+    rows = [(rng.randint(-120, 420), i, rng.choice([1.0, 5.0, 20.0, -4.0]), f"a{rng.randint(0, 3)}", rng.choice([0.0, 10.0, 900.0]),
+             rng.choice([0.5, 40.0, 80.0, 95.0]), f"b{rng.randint(0, 30)}") for i in range(700)]
+    led = spark.createDataFrame(rows, "step long, row_id long, amount double, sender_id string, sender_balance_before double, "
+                                      "sender_balance_after double, receiver_id string")
+    want = {}
+    for acct in {r[3] for r in rows}:
+        mine = sorted(r for r in rows if r[3] == acct)
+        starts = []
+        for s in sorted({r[0] for r in mine}):
+            inside = [r for r in mine if s <= r[0] <= s + 10]
+            if len({r[6] for r in inside}) > 5:
+                starts.append((acct, s, max(r[0] for r in inside), sum(r[2] for r in inside)))
+        if starts:
+            want[acct] = starts[0]
+    got = {r["account_id"]: (r["account_id"], r["step_start"], r["step_end"], r["amount"]) for r in D.fan_out(led).collect()}
+    assert got == want and want
+    drains = {}
+    for acct in {r[3] for r in rows}:
+        mine = sorted(r for r in rows if r[3] == acct)
+        pairs = [(i, j) for i in range(len(mine)) for j in range(i, len(mine))
+                 if mine[j][0] - mine[i][0] <= 5 and mine[i][4] > 0 and mine[j][5] < 0.1 * mine[i][4]
+                 and sum(r[2] for r in mine[i:j + 1]) > 0]
+        if pairs:
+            i, j = min(pairs)
+            drains[acct] = (mine[i][0], mine[j][0], sum(r[2] for r in mine[i:j + 1]))
+    assert {r["account_id"]: (r["step_start"], r["step_end"], r["amount"]) for r in D.rapid_drain(led).collect()} == drains
+
+
+def test_median_by_bracket_is_exact(spark):
+    for values in ([3.0], [2.0, 1.0], [5.0] * 9 + [1.0], [float(i * i % 997) for i in range(5000)], [None, 4.0, float("nan")], [None]):
+        led = spark.createDataFrame([(v,) for v in values], "amount double")
+        known = sorted((v for v in values if v is not None), key=lambda v: (v != v, v))
+        n = len(known)
+        got = D.amount_median(led).collect()
+        want = (known[(n - 1) // 2] + known[n // 2]) / 2 if n else None
+        assert len(got) == 1 and (got[0]["median"] == want or (want != want and got[0]["median"] != got[0]["median"]))
