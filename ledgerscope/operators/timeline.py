@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.core import money
-from ledgerscope.operators.findings import merge_intervals, step_hits
+from ledgerscope.operators.findings import merge_intervals, covered_steps
 
 # Annotation labels and narrative sentences (fixed values).
 LABEL_DRAIN = "[RAPID DRAIN]"
@@ -67,7 +67,7 @@ def timeline(ledger: DataFrame, accounts: DataFrame | None = None, by: tuple[str
                    F.lit("").alias("annotation"), "is_flagged")
     if accounts is not None:
         keys = [*by, "account_id"]
-        ev = ev.join(accounts.select(*keys).distinct(), keys, "left_semi").select(*ev.columns)
+        ev = ev.join(accounts.select(*keys), keys, "left_semi").select(*ev.columns)
     return ev
 
 
@@ -93,14 +93,13 @@ def annotate(events: DataFrame, findings: DataFrame, by: tuple[str, ...] = ()) -
     (rapid drain, dormant activation), then drained / flagged-transfer labels; prior
     annotation first, duplicates removed, space separated.
 
-    Intervals are merged per (account, pattern) and looked up once per distinct (account, step), so
-    the row count never grows.
+    Intervals are merged per (account, pattern) and met at (account, step), so the row count never grows.
     """
     fr = _finding_rows(findings, by)
     keys = [*by, "account_id"]
     marking = fr.where(F.col("pattern").isin("rapid_drain", "dormant_activation"))
     # one join for both patterns: a flag per pattern for each distinct (account, step)
-    held = step_hits(events, merge_intervals(marking, [*keys, "pattern"]), keys).groupBy(
+    held = covered_steps(events, merge_intervals(marking, [*keys, "pattern"]), keys).groupBy(
         *[F.col(k).alias(f"_p{i}") for i, k in enumerate(keys)], F.col("step").alias("_step")).agg(
         F.max(F.when(F.col("pattern") == "rapid_drain", True)).alias("_drain_acct"),
         F.max(F.when(F.col("pattern") == "dormant_activation", True)).alias("_dormant_acct"))

@@ -417,3 +417,43 @@ def test_median_by_bracket_is_exact(spark):
         got = D.amount_median(led).collect()
         want = (known[(n - 1) // 2] + known[n // 2]) / 2 if n else None
         assert len(got) == 1 and (got[0]["median"] == want or (want != want and got[0]["median"] != got[0]["median"]))
+
+
+def test_dormant_ties_at_the_third_place(spark, ledger):
+    rng = random.Random(11)
+    rows = [{"step": rng.choice([None, 1, 2, 3, 4, 9]), "amount": float(rng.choice([1, 2, 3, 50, 60])),
+             "sender_id": f"A{rng.randrange(25)}", "receiver_id": f"A{rng.randrange(25)}"} for _ in range(160)]
+    L = ledger(rows, 5)
+    med = sorted(r["amount"] for r in rows)
+    med = (med[79] + med[80]) / 2
+    seen, want = {}, []
+    for i in sorted(range(160), key=lambda i: (-1 if rows[i]["step"] is None else rows[i]["step"], i)):
+        for slot, a in enumerate((rows[i]["sender_id"], rows[i]["receiver_id"])):
+            seen[a] = seen.get(a, 0) + 1
+            if slot == 0 and seen[a] <= 3 and rows[i]["amount"] > 2 * med:
+                want.append((a, rows[i]["step"] or -1, rows[i]["amount"]))
+    got = [(r["account_id"], r["step_start"] or -1, r["amount"]) for r in D.dormant_activation(L).collect()]
+    assert sorted(got) == sorted(want) and want
+    both = L.select("*", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("case_id"))
+    got = [(r["account_id"], r["step_start"] or -1, r["amount"])
+           for r in D.dormant_activation(both, by=("case_id",)).where("case_id = 'y'").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_dormant_without_ties_and_one_way_pairs_shuffle_little(spark, ledger):
+    L = ledger([{"step": i, "amount": float(1 + i % 7), "sender_id": f"A{i % 9}", "receiver_id": f"B{i % 9}"} for i in range(90)]
+               + [{"step": 85, "amount": 6.0, "sender_id": "B1", "receiver_id": "A1"}])
+    assert "row_id" not in D.dormant_activation(L)._jdf.queryExecution().executedPlan().toString()
+    trips = D.round_trip(L)
+    assert "LeftSemi" in trips._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["account_id"] for r in trips.collect()] == ["A1"]
+
+
+def test_medians_of_groups_by_bracket(spark):
+    from ledgerscope.functions import core
+    df = spark.range(60000).selectExpr("cast(id % 3 as string) as g", "id % 1000 / 8.0 as v", "id").select(
+        F.when(F.col("id") % 50 != 0, F.col("g")).alias("g"), F.when(F.col("id") % 7 != 0, F.col("v")).alias("v"))
+    known = df.where("v is not null and g is not null")
+    want = {r["g"]: r["m"] for r in known.groupBy("g").agg(F.expr("median(v)").alias("m")).collect()}
+    assert {r["g"]: r["median"] for r in core._bracketed_medians(known, "v", ["g"]).collect()} == want
+    assert {r["g"]: r["median"] for r in core.exact_median(df, "v", by=("g",)).collect()} == want

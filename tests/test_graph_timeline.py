@@ -303,3 +303,17 @@ def test_spread_ego_rows_are_not_shuffled(spark):
     rows = nodes.select("seed", "node", "dist").collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, G.ego_nodes(G.edges(led), seeds).collect()))
     assert len(rows) == sum(1 + 1 + 19 for _ in range(130))
+
+
+def test_short_findings_are_met_without_a_lookup_of_all_steps(spark, ledger):
+    L = ledger([{"step": i, "sender_id": f"A{i % 3}", "receiver_id": "B", "amount": 1.0} for i in range(12)])
+    found = spark.createDataFrame([("A1", "rapid_drain", 2, 5), ("A2", "dormant_activation", 8, 8)],
+                                  "account_id string, pattern string, step_start long, step_end long")
+    out = T.annotate(T.timeline(L), found)
+    assert "shiftright" not in out._jdf.queryExecution().optimizedPlan().toString()
+    marked = {(r["account_id"], r["step"]): r["annotation"] for r in out.where("annotation <> ''").collect()}
+    assert marked == {("A1", 4): "[RAPID DRAIN]", ("A2", 8): "[DORMANT ACTIVATION]"}
+    long_one = found.withColumn("step_end", F.col("step_end") + 500)
+    out = T.annotate(T.timeline(L), long_one)
+    assert {(r["account_id"], r["step"]) for r in out.where("annotation <> ''").collect()} == {
+        ("A1", 4), ("A1", 7), ("A1", 10), ("A2", 8), ("A2", 11)}
