@@ -91,3 +91,17 @@ def test_wavelet_finds_ranks():
             assert list(zip(got[0].tolist(), got[1].tolist(), strict=True)) == want
     v = np.array([3.0, np.nan, 1.0, 2.0, 5.0])
     assert np.array_equal(medians_before(v, np.array([0, 0, 0, 0, 4])), [np.nan, 3.0, 3.0, 2.0, np.nan], equal_nan=True)
+
+
+def test_blocks_of_one_partition_and_recent_counts(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("aaab") if i % 5 else "hot", rng.randrange(60), i, rng.choice([None, 1.0, 2.5, float(rng.randrange(9))]))
+            for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, step long, id long, v double")
+    got = {r["id"]: (r["m"], r["n"]) for r in running_median(
+        df, "g", ["step", "id"], "v", "m", num_partitions=2, recent=("step", 7, "n"), chunk_rows=40).collect()}
+    assert len(got) == len(rows)
+    for g, step, i, _ in rows:
+        before = [x[3] for x in rows if x[0] == g and (x[1], x[2]) < (step, i) and x[3] is not None]
+        near = sum(x[0] == g and step - 7 <= x[1] < step for x in rows)
+        assert got[i] == (statistics.median(before) if before else None, near)
