@@ -186,3 +186,12 @@ def test_boosting_stops_where_a_plain_loop_does(spark):
     assert stop and trees == best < 25
     first = [m.toDebugString.split("Tree 1")[0].split("\n", 1)[1].strip() for m in (model.stages[-1], full)]
     assert first[0] == first[1]
+
+
+def test_prior_counts_over_stretches_and_rows_without_step(spark, ledger):
+    steps = [None, 3, 127, 128, 128, 500, None, 129]
+    rows = [{"step": s, "sender_id": f"S{i % 2}", "receiver_id": "R", "amount": 1.0, "sender_balance_before": 9.0,
+             "sender_balance_after": 8.0} for i, s in enumerate(steps)]
+    out = FE.features(ledger(rows))
+    got = {r["row_id"]: (r["receiver_prior_tx_count"], r["sender_tx_velocity"]) for r in out.collect()}
+    assert got == {1: (2.0, 0.0), 2: (3.0, 0.0), 3: (4.0, 0.0), 4: (5.0, 1.0), 7: (6.0, 1.0), 5: (7.0, 0.0)}
