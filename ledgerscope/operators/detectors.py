@@ -89,6 +89,33 @@ def _stretch_width(reach: int, wide: int = 16) -> int:
     return wide * (reach + 1)
 
 
+#: Most bits of the hashes that ``_in_places`` sends to every task: a bitmap of at most 2^28 bits, 32 MB.
+_HASH_BITS = 28
+
+
+def _in_places(rows: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose ``keys`` occur in ``places`` (and, by hash collisions, a few others), without a shuffle of
+    the rows: the hashes of the places are a bitmap, blocks of 64 words of 64 bits, which reaches the rows as a scalar
+    subquery."""
+    spark = rows.sparkSession
+    checkpoint_dir(spark)
+    places = places.select(F.xxhash64(*keys).alias("_h")).checkpoint()
+    bits = max(12, min(_HASH_BITS, (16 * places.count()).bit_length()))
+    h, low = F.col("_h").bitwiseAND(F.lit((1 << bits) - 1)), F.lit(63).cast("long")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(low).cast("int"))
+    words = places.select(F.shiftright(h, 6).alias("_w"), one.alias("_b")).unionByName(
+        spark.range(1 << (bits - 6)).select(F.col("id").alias("_w"), F.lit(0).cast("long").alias("_b")))
+
+    def gathered(df: DataFrame, keys: list[Column], at: str, value: str, out: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(at, value))).getField(value).alias(out))
+
+    blocks = gathered(words.groupBy("_w").agg(F.bit_or("_b").alias("_b")), [F.shiftright("_w", 6).alias("_block")], "_w", "_b", "_bits")
+    bitmap = gathered(blocks, [], "_block", "_bits", "_blocks").checkpoint().scalar()
+    h = F.xxhash64(*keys).bitwiseAND(F.lit((1 << bits) - 1))
+    word = F.get(F.get(bitmap, F.shiftright(h, 12).cast("int")), F.shiftright(h, 6).bitwiseAND(low).cast("int"))
+    return rows.where(F.bit_get(word, h.bitwiseAND(low).cast("int")) == 1)
+
+
 # --------------------------------------------------------------------------- E1
 def drain_candidates(ledger: DataFrame, remain: float = 0.1) -> DataFrame:
     """D-4: per sender max balance-before, min balance-after, max amount; senders that
@@ -169,6 +196,33 @@ def _dominated_starts(seq: DataFrame, asked: DataFrame, k: list[str]) -> DataFra
     return hit.select(*k, "step", "row_id").distinct()
 
 
+def _level(x: Column) -> Column:
+    """A small number that never falls as x grows (6 % to a level), so that a < y is only possible where
+    ``_level(a) <= _level(y)``."""
+    return (F.when(F.isnan(x), 32001).when(x <= 0, -32001)
+            .otherwise(F.greatest(F.lit(-32000), F.least(F.lit(32000), F.floor(F.ln(x) * 16)))).cast("short"))
+
+
+def _drain_rows(listed: DataFrame, core: Column, k: list[str], remain: float) -> tuple[DataFrame, bool]:
+    """The rows of the (sender, stretch) that may have the sender's first firing pair (and some others), and whether
+    sums can fall there.  One balance-after must be small beside one balance-before; and where every amount is
+    positive and a core row drains by itself, later stretches are not needed.  One shuffle of short (sender, stretch)
+    extremes decides, and the whole rows of other stretches are not shuffled at all."""
+    checkpoint_dir(listed.sparkSession)
+    y = F.lit(remain) * F.col("b")
+    alone = (core == F.col("stretch")) & (F.col("b") > 0) & (F.col("a") < y)
+    able = listed.groupBy(*k, "stretch").agg(
+        F.max(F.when(F.col("b") > 0, _level(y))).alias("y"), F.min(_level(F.col("a"))).alias("a"),
+        F.bool_or(F.coalesce(alone, F.lit(False))).alias("alone"),
+        F.bool_and(F.coalesce(money("amount") > 0, F.lit(False))).alias("paid"),
+        F.bool_or(F.coalesce(F.col("amount") <= 0, F.lit(True))).alias("signed")).where("a <= y").select(
+        *k, "stretch", (F.col("alone") & F.col("paid")).alias("sure"), "signed").checkpoint()
+    last = able.where("sure").groupBy(*k).agg(F.min("stretch").alias("last"))
+    places = able.join(last, k, "left").where(F.col("last").isNull() | (F.col("stretch") <= F.col("last")))
+    return (_in_places(listed, places.select(*k, "stretch"), [*k, "stretch"]),
+            not able.where("signed").isEmpty())
+
+
 def rapid_drain(ledger: DataFrame, max_gap: int = 5, remain: float = 0.1,
                 confidence: float = CONFIDENCE["rapid_drain"], by: tuple[str, ...] = ()
                 ) -> DataFrame:
@@ -177,7 +231,7 @@ def rapid_drain(ledger: DataFrame, max_gap: int = 5, remain: float = 0.1,
     finding per sender (amount = that sum).  ``by`` (e.g. ``("case_id",)``) analyses
     many ledgers at once: every key below is prefixed with it.
 
-    The rows are shuffled once, by (sender, stretch of time); all windows below work inside these.
+    The rows that matter are shuffled once, by (sender, stretch of time); all windows below work inside these.
     """
     need = ("sender_id", "step", "row_id", "amount", "sender_balance_before", "sender_balance_after")
     if not _needs(ledger, *need, *by):
@@ -187,10 +241,10 @@ def rapid_drain(ledger: DataFrame, max_gap: int = 5, remain: float = 0.1,
     rows = ledger.where(_known(*k, "step")).select(
         *k, "step", "row_id", "amount",
         F.col("sender_balance_before").alias("b"), F.col("sender_balance_after").alias("a"))
-    listed, core = _stretches(max_gap)
-    r = rows.select("*", F.explode(listed).alias("stretch")).repartition(*g)
+    listed, core = _stretches(max_gap, 8)
     # Without an amount <= 0 every sum that begins with the start is > 0.
-    signed = not rows.where((F.col("amount") <= 0) | F.col("amount").isNull()).isEmpty()
+    r, signed = _drain_rows(rows.select("*", F.explode(listed).alias("stretch")), core, k, remain)
+    r = r.repartition(*g)
 
     # Forward minimum of balance-after over j in [i, last row with step <= step_i + gap]: rows of the same
     # step at or after i (a suffix minimum, written as a growing frame over descending row_id),
@@ -387,6 +441,27 @@ def round_trip_counts(ledger: DataFrame, max_gap: int = 10, tolerance: float = 0
 
 
 # ---------------------------------------------------------------------- E3 / E4
+def _fan_rows(rows: DataFrame, k: list[str], span: int, min_distinct: int) -> DataFrame:
+    """The rows that the first window of an account may need (and some others): time is cut into cells as long
+    as a window, so a window lies in two neighbours.  With more than ``min_distinct`` counterparties one of them
+    has at least half as many rows; and where a cell alone has enough counterparties (as many distinct hash
+    values), the account's first window starts there at the latest.  One shuffle of (account, cell) counts
+    decides, and the whole rows of other cells are not shuffled at all."""
+    if span < 0 or min_distinct < 1:
+        return rows
+    rows = rows.withColumn("_cell", F.floor(F.col("step") / (span + 1)))
+    checkpoint_dir(rows.sparkSession)
+    met = F.when(F.col("cpty").isNotNull(), F.call_function(
+        "shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("cpty"), F.lit(64)).cast("int")))
+    dense = rows.groupBy(*k, "_cell").agg(F.count("cpty").alias("c"), F.bit_or(met).alias("met")).where(
+        F.col("c") * 2 > min_distinct).select(*k, "_cell", (F.bit_count("met") > min_distinct).alias("sure")).checkpoint()
+    last = dense.where("sure").groupBy(*k).agg((F.min("_cell") + 1).alias("last"))
+    near = F.explode(F.array(F.col("_cell") - 1, F.col("_cell"), F.col("_cell") + 1))
+    places = dense.join(last, k, "left").select(*k, "last", near.alias("_cell")).where(
+        F.col("last").isNull() | (F.col("_cell") <= F.col("last"))).select(*k, "_cell")
+    return _in_places(rows, places, [*k, "_cell"]).drop("_cell")
+
+
 def fan(ledger: DataFrame, role: str = "out", span: int = 10, min_distinct: int = 5,
         confidence: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """E3 (role='out') / E4 (role='in'): the first start step s of the account's rows whose
@@ -406,27 +481,30 @@ def fan(ledger: DataFrame, role: str = "out", span: int = 10, min_distinct: int
     k = [*by, "acct"]
     g = [*k, "stretch"]
     listed, _ = _stretches(span)
-    base = (ledger.where(_known(*by, acct, "step")).select(
-        *by, F.col(acct).alias("acct"), F.col(cpty).alias("cpty"), "step", "amount", F.explode(listed).alias("stretch"))
-        .repartition(*g))        # once; all below works inside (account, stretch of time)
+    rows = ledger.where(_known(*by, acct, "step")).select(
+        *by, F.col(acct).alias("acct"), F.col(cpty).alias("cpty"), "step", "amount")
+    rows = _fan_rows(rows, k, span, min_distinct)
+    base = (rows.select("*", F.explode(listed).alias("stretch"))
+            .repartition(*g))        # once; all below works inside (account, stretch of time)
     cells = base.groupBy(*g, "cpty", "step").agg(F.sum(money("amount")).alias("m")).withColumn(
         "prev", F.lag("step").over(Window.partitionBy(*g, "cpty").orderBy("step")))
     # Distinct counterparties of the window starting at s, for every s at once: an
     # occurrence of c at step t (previous occurrence p) is the first one inside the window
     # exactly for s in [max(t - span, p + 1), t].  Those +1 ranges become +1/-1 deltas,
-    # and the count at s is their running sum over the account's steps.
+    # and the count at s is their running sum over the account's steps (``ends``: the -1 after s).
     first_in = F.greatest(F.col("step") - span, F.coalesce(F.col("prev") + 1, F.col("step") - span))
     none, one = F.lit(None).cast("decimal(38,6)"), F.when(F.col("cpty").isNotNull(), 1).otherwise(0)
     at = (cells.select(*g, F.explode(F.array(
-        F.struct(first_in.alias("s"), one.alias("d"), F.lit(False).alias("is_start"), none.alias("m")),
-        F.struct((F.col("step") + 1).alias("s"), (-one).alias("d"), F.lit(False).alias("is_start"), none.alias("m")),
-        F.struct(F.col("step").alias("s"), F.lit(0).alias("d"), F.lit(True).alias("is_start"), F.col("m").cast("decimal(38,6)").alias("m"))
+        F.struct(first_in.alias("s"), one.alias("d"), F.lit(0).alias("ends"), F.lit(False).alias("is_start"), none.alias("m")),
+        F.struct(F.col("step").alias("s"), F.lit(0).alias("d"), one.alias("ends"), F.lit(True).alias("is_start"),
+                 F.col("m").cast("decimal(38,6)").alias("m"))
     )).alias("x")).select(*g, "x.*").groupBy(*g, "s").agg(
-        F.sum("d").alias("d"), F.bool_or("is_start").alias("is_start"), F.sum("m").alias("m")))
+        F.sum("d").alias("d"), F.sum("ends").alias("ends"), F.bool_or("is_start").alias("is_start"), F.sum("m").alias("m")))
     steps = Window.partitionBy(*g).orderBy("s")
     window = steps.rangeBetween(0, span)
+    so_far = steps.rowsBetween(Window.unboundedPreceding, 0)
     counts = at.withColumns({
-        "n": F.sum("d").over(steps.rowsBetween(Window.unboundedPreceding, 0)),
+        "n": F.sum("d").over(so_far) - F.sum("ends").over(so_far) + F.col("ends"),
         "step_end": F.max(F.when(F.col("is_start"), F.col("s"))).over(window), "amount": F.sum("m").over(window)})
     in_core = F.floor(F.col("s") / _stretch_width(span)) == F.col("stretch")
     window = (counts.where(F.col("is_start") & (F.col("n") > min_distinct) & in_core).groupBy(*k)

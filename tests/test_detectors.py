@@ -457,3 +457,40 @@ def test_medians_of_groups_by_bracket(spark):
     want = {r["g"]: r["m"] for r in known.groupBy("g").agg(F.expr("median(v)").alias("m")).collect()}
     assert {r["g"]: r["median"] for r in core._bracketed_medians(known, "v", ["g"]).collect()} == want
     assert {r["g"]: r["median"] for r in core.exact_median(df, "v", by=("g",)).collect()} == want
+
+
+@pytest.mark.parametrize("bits", [28, 12])
+def test_only_rows_that_may_fire_are_shuffled(ledger, monkeypatch, bits):
+    """Sparse, steady and hot accounts over long times, positive amounts: the same findings from few of the rows,
+    also where many hashes of places collide."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(2400):
+        s = "HOT" if i % 3 == 0 else f"s{rng.randrange(4)}" if i % 3 == 1 else f"c{rng.randrange(300)}"
+        rows.append(dict(row_id=i, step=rng.randrange(-300, 3000), sender_id=s, receiver_id="r0" if i % 4 == 1 else f"r{rng.randrange(40)}",
+                         amount=rng.choice([1e-9, 5.0, 20.0]) if s == "s0" else rng.choice([5.0, 20.0]),
+                         sender_balance_before=rng.choice([None, 10.0, 100.0, 900.0]),
+                         sender_balance_after=rng.choice([None, 1.0, 9.0, 12.0, 95.0, 850.0])))
+    monkeypatch.setattr(D, "_HASH_BITS", bits)
+    L = ledger(rows, partitions=3)
+    got = sorted((r["account_id"], r["step_start"], r["step_end"], r["amount"]) for r in D.rapid_drain(
+        L.where("sender_id != 's0'")).collect())
+    assert got == naive.rapid_drain([r for r in rows if r["sender_id"] != "s0"])
+    for role in ("out", "in"):
+        got = sorted((r["account_id"], r["step_start"], r["step_end"], r["amount"], int(r["description"].split()[3]))
+                     for r in D.fan(L, role).collect())
+        assert got == naive.fan(rows, role) and got
+    if bits == 28:
+        narrow = L.selectExpr("sender_id as acct", "receiver_id as cpty", "step", "amount")
+        assert D._fan_rows(narrow, ["acct"], 10, 5).count() < len(rows) / 4
+        listed, core = D._stretches(5, 8)
+        listed = L.select("sender_id", "step", "amount", F.col("sender_balance_before").alias("b"),
+                          F.col("sender_balance_after").alias("a"), F.explode(listed).alias("stretch"))
+        kept, signed = D._drain_rows(listed, core, ["sender_id"], 0.1)
+        assert kept.count() < len(rows) / 4 and not signed
+
+
+def test_level_never_falls(spark):
+    values = [float("-inf"), -1e300, -1.0, -0.0, 0.0, 5e-324, 1e-300, 0.5, 1.0, 1.0000001, 2.0, 99.99, 100.0, 1e300, float("inf"), float("nan")]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").coalesce(1).select(D._level(F.col("x"))).collect()]
+    assert got == sorted(got) and None not in got
