@@ -125,8 +125,8 @@ SELECT fraud_rows, hits, CAST(hits AS DOUBLE) / fraud_rows AS rate FROM
        AND (list_contains(s.account_ids, l.sender_id) OR list_contains(s.account_ids, l.receiver_id))
        AND l.step BETWEEN s.step_start AND s.step_end))"""))
 def q_detection_rate(spark, sf_dir):
-    led = L(spark, sf_dir)
-    return FD.detection_rate(led, A.to_payload(A.analyze(led), CASE))
+    led = A.materialized(L(spark, sf_dir), extra=("is_fraud",))      # read again for the fraud rows
+    return FD.detection_rate(led, A.to_payload(A.analyze(led, written=True), CASE))
 
 
 # ------------------------------------------------------------------ timeline

@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 import hmac
 import os
@@ -490,3 +491,19 @@ def test_folder_is_one_evidence_item(spark, tmp_path):
     before = got[root]["sha256"]
     os.rename(f"{root}/part-1", f"{root}/part-3")
     assert K.digest_files(paths).where(F.col("path") == root).first()["sha256"] != before
+
+
+def test_detection_rate_query_joins_the_tables_once(spark, tmp_path):
+    from ledgerscope.plans.catalog import QUERIES
+    line = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_quantity double, l_extendedprice double, "
+            "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp")
+    day = datetime.datetime(1995, 1, 5)
+    rows = [(1, 20, 1, 1, 1.0, 10.0, 0.05, "R", "F", day),       # fraud: drains S1
+            (2, 40, 2, 1, 1.0, 10.0, 0.0, "R", "F", day),        # fraud: keeps its balance
+            (3, 21, 3, 1, 1.0, 10.0, 0.05, "R", "F", day)]
+    spark.createDataFrame(rows, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, i) for i in (1, 2, 3)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["detection_rate"](spark, str(tmp_path))
+    # the fraud rows are those of the ledger that the detectors read: it is made once
+    assert not [f for f in got.inputFiles() if "lineitem" in f or "orders" in f]
+    assert [tuple(r) for r in got.collect()] == [(2, 1, 0.5)]
