@@ -51,6 +51,8 @@ from ledgerscope.llm.words import bytes_of, large_binary, pieces
 BLOCK_BYTES, CALL_BYTES, OUT_BYTES = 5_000_000, 8_000, 4_000_000
 #: Pairs of a shard, and pairs that a task holds at once.
 SHARD_PAIRS, PAIRS_AT_ONCE = 16_384, 4_000_000
+#: Links of a block that are counted at once, and pairs that a task gathers before it sends them on.
+LINKS_AT_ONCE, SEEN_PAIRS = 1 << 18, 1_000_000
 _LEAD = " a"                                   # a unit before those of a call
 
 # Bytes next to which a space or line end begins a unit: ASCII marks, and U+00C0 to U+027F.
@@ -258,15 +260,22 @@ class Aligned:
     def per_unit(self, per_link: np.ndarray) -> np.ndarray:
         return np.diff(np.concatenate([[0], np.cumsum(per_link)])[np.concatenate([[0], np.cumsum(self.n_links)])])
 
-    def pairs_of_docs(self, slots: np.ndarray, size: int) -> np.ndarray:
-        """For each slot, the number of documents with a link of that slot (-1: none)."""
-        key = np.unique(self.doc * len(self.n_links) + self.codes) if len(self.codes) else self.codes
-        doc, unit = np.divmod(key, max(1, len(self.n_links)))
-        first = np.concatenate([[0], np.cumsum(self.n_links)])[unit]
-        slot = slots[_ranges(first, self.n_links[unit])]
-        doc = np.repeat(doc, self.n_links[unit])
-        both = np.unique((doc * size + slot)[slot >= 0])
-        return np.bincount(both % size, minlength=size) if len(both) else np.zeros(size, np.int64)
+    def add_pairs_of_docs(self, slots: np.ndarray, total: np.ndarray) -> None:
+        """Add to each slot's total the number of documents with a link of that slot (-1: none): some documents
+        at a time, as many as have about ``LINKS_AT_ONCE`` links."""
+        first = np.concatenate([[0], np.cumsum(self.n_links)])
+        ends = np.concatenate([[0], np.cumsum(self.n_links[self.codes])])[np.searchsorted(self.doc, np.arange(self.n_docs + 1))]
+        at, size = 0, len(total)
+        while at < self.n_docs:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + LINKS_AT_ONCE, "right")) - 1)
+            lo, hi = np.searchsorted(self.doc, [at, to])
+            key = np.unique((self.doc[lo:hi] - at) * len(self.n_links) + self.codes[lo:hi])
+            doc, unit = np.divmod(key, max(1, len(self.n_links)))
+            slot = slots[_ranges(first[unit], self.n_links[unit])]
+            doc = np.repeat(doc, self.n_links[unit])
+            slot, count = np.unique(np.unique((doc * size + slot)[slot >= 0]) % max(1, size), return_counts=True)
+            total[slot] += count.astype(total.dtype)
+            at = to
 
     def groups(self) -> tuple[np.ndarray, np.ndarray]:
         """(text of the units' groups, ends of the units): ``a1,a2|b1;`` and so on."""
@@ -325,37 +334,40 @@ def slots_of(keys: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
 
 
 class PairTable:
-    """Some shards of the pair table: slot of a pair, its verified key, its count."""
+    """Some shards of the pair table: slot of a pair, its verified key, its count.  Bits, keys and counts stay as
+    they were sent; a shard's bits are unpacked for a lookup only."""
 
     def __init__(self, rows: list, shards: int):
         self.shards = shards
-        self.rows = {r["shard"]: ([np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool)
-                                   for b, n in zip(r["bits"], r["sizes"], strict=True)],
-                                  np.frombuffer(r["keys"], "<i8")) for r in rows}
-        self.counts = {r["shard"]: np.frombuffer(r["counts"], "<i8") for r in rows if r["counts"] is not None}
-        sizes = [len(self.rows[s][1]) for s in self.rows]
+        self.rows = {r["shard"]: (r["bits"], r["sizes"], np.frombuffer(r["keys"], "<u4")) for r in rows}
+        self.counts = {r["shard"]: np.frombuffer(r["counts"], "<u4" if len(r["counts"]) == len(r["keys"]) else "<i8")
+                       for r in rows if r["counts"] is not None}
+        sizes = [len(self.rows[s][2]) for s in self.rows]
         self.base = dict(zip(self.rows, np.cumsum([0, *sizes]).tolist(), strict=False))
         self.size = sum(sizes)
 
-    def slots(self, pairs: np.ndarray) -> np.ndarray:
-        """Slots of pairs; -1 for pairs of other shards.  A wrong key is an error."""
+    def found(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slots of pairs; -1 for pairs of other shards, their counts or 0).  A wrong key is an error."""
         distinct, of = np.unique(pairs, return_inverse=True)
-        out = np.full(len(distinct), -1, np.int64)
+        out, count = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
         shard = shard_of(distinct, self.shards)
         order = np.argsort(shard, kind="stable")
         edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-2))
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             s = int(shard[order[lo]])
             if s in self.rows:
-                bits, keys = self.rows[s]
+                bits, lengths, keys = self.rows[s]
+                bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(bits, lengths, strict=True)]
                 slot = slots_of(distinct[order[lo:hi]], bits)
                 if (slot < 0).any() or (keys[slot] != distinct[order[lo:hi]]).any():
                     raise ValueError("a pair isn't in the table of its shard")
                 out[order[lo:hi]] = slot + self.base[s]
-        return out[of]
+                if s in self.counts:
+                    count[order[lo:hi]] = self.counts[s][slot]
+        return out[of], count[of]
 
-    def count_vector(self) -> np.ndarray:
-        return np.concatenate([self.counts[s] for s in self.rows]) if self.rows else np.zeros(0, np.int64)
+    def slots(self, pairs: np.ndarray) -> np.ndarray:
+        return self.found(pairs)[0]
 
 
 def shard_of(pairs: np.ndarray, shards: int) -> np.ndarray:
@@ -370,11 +382,14 @@ def _build_shard(group: pa.Table) -> pa.Table:
     return pa.table({"shard": group.column("shard").slice(0, 1), "n": pa.array([len(keys)], pa.int64()),
                      "bits": pa.array([[np.packbits(b).tobytes() for b in bits]], pa.list_(pa.binary())),
                      "sizes": pa.array([[len(b) for b in bits]], pa.list_(pa.int64())),
-                     "keys": pa.array([by_slot.astype("<i8").tobytes()], pa.binary())})
+                     "keys": pa.array([by_slot.astype("<u4").tobytes()], pa.binary())})
 
 
-def _sum_vectors(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(v, "<i8") for v in group.column("counts").to_pylist())
+def _sum_vectors(group: pa.Table, kind: str = "<i8") -> pa.Table:
+    total = np.zeros(0, np.int64)
+    for v in group.column("counts"):
+        one = np.frombuffer(v.as_buffer(), kind)
+        total = total + one if len(total) else one.astype(np.int64)
     return pa.table({"shard": group.column("shard").slice(0, 1), "part": group.column("part").slice(0, 1),
                      "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
@@ -384,7 +399,7 @@ def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        keys = np.concatenate([np.frombuffer(k, "<i8") for k in b.column("keys").to_pylist()])
+        keys = np.concatenate([np.frombuffer(k, "<u4") for k in b.column("keys").to_pylist()])
         counts = np.concatenate([np.frombuffer(c, "<i8") for c in b.column("counts").to_pylist()])
         best = np.zeros(1 << 16, np.int64)
         np.maximum.at(best, keys >> 16, counts)
@@ -426,7 +441,8 @@ class Alignment:
                         [keys, *[pa.array([block[n]], pa.binary()) for n in _BINARY]], schema.names)
 
         folder = shared_folder(self.spark, "aligned")
-        src.mapInArrow(tidy(run), schema).write.option("compression", "zstd").parquet(folder)
+        # a block is some MB: with one to a row group, neither writer nor reader holds all of a file
+        src.mapInArrow(tidy(run), schema).write.option("compression", "zstd").option("parquet.block.row.count.limit", 1).parquet(folder)
         return self.spark.read.schema(schema).parquet(folder)
 
     def _rows(self):
@@ -444,12 +460,12 @@ class Alignment:
         rows = self._rows()
 
         def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen = np.zeros(0, np.int64)
+            seen = np.zeros(0, np.uint32)
             for block, _ in rows(batches):
                 used = np.zeros(len(block.n_links), bool)
                 used[block.codes] = True
-                seen = np.union1d(seen, block.pairs[np.repeat(used, block.n_links)])
-                if len(seen) > 4_000_000:
+                seen = np.union1d(seen, block.pairs[np.repeat(used, block.n_links)].astype(np.uint32))
+                if len(seen) > SEEN_PAIRS:
                     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64())], ["pair"])
                     seen = seen[:0]
             yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64())], ["pair"])
@@ -474,16 +490,20 @@ class Alignment:
         # the tree: some tasks' vectors, then the sums of these
         step = max(1, int(self.blocks.rdd.getNumPartitions() ** 0.5))
         schema = "shard long, part long, counts binary"
-        first = counts.withColumn("part", F.pmod("part", F.lit(step))).groupBy("shard", "part").applyInArrow(_sum_vectors, schema)
-        total = first.groupBy("shard").applyInArrow(_sum_vectors, schema)
+        first = counts.withColumn("part", F.pmod("part", F.lit(step))).groupBy("shard", "part").applyInArrow(lambda g: _sum_vectors(g, "<u4"), schema)
+        total = first.groupBy("shard").applyInArrow(lambda g: _sum_vectors(g), schema)
         table = checkpointed(table.join(total.drop("part"), "shard"))
         return table, [self._slice(table, part, shards) for part in plan]
 
     def _slice(self, table: DataFrame, part: list[int], shards: int):
         """A broadcast of the shards of one slice (at most ``pairs_at_once`` pairs, or one shard)."""
+        def short(counts: bytes) -> bytes:
+            wide = np.frombuffer(counts, "<i8")
+            return wide.astype("<u4").tobytes() if wide.max(initial=0) < 1 << 32 else bytes(counts)
+
         some = table.where(F.col("shard").between(part[0], part[-1])) if part else table.limit(0)
         rows = [{"shard": r["shard"], "bits": r["bits"], "sizes": r["sizes"], "keys": r["keys"],
-                 "counts": r["counts"] if "counts" in table.columns else None} for r in some.collect()]
+                 "counts": short(r["counts"]) if "counts" in table.columns else None} for r in some.collect()]
         return self.spark.sparkContext.broadcast((rows, shards))
 
     def _counter(self, piece):
@@ -491,16 +511,16 @@ class Alignment:
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = PairTable(*piece.value)
-            total = np.zeros(table.size, np.int64)
+            total = np.zeros(table.size, np.uint32)               # documents of one task
             for block, _ in rows(batches):
-                total += block.pairs_of_docs(table.slots(block.pairs), table.size)
+                block.add_pairs_of_docs(table.slots(block.pairs), total)
             part = TaskContext.get().partitionId()
             for s, at in table.base.items():
-                own = total[at:at + len(table.rows[s][1])]
+                own = total[at:at + len(table.rows[s][2])]
                 if own.any():
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([s], pa.int64()), pa.array([part], pa.int64()),
-                         pa.array([own.astype("<i8").tobytes()], pa.binary())], ["shard", "part", "counts"])
+                         pa.array([own.astype("<u4").tobytes()], pa.binary())], ["shard", "part", "counts"])
         return count
 
     def pairs(self) -> DataFrame:
@@ -508,7 +528,7 @@ class Alignment:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    keys = np.frombuffer(k, "<i8")
+                    keys = np.frombuffer(k, "<u4").astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(keys >> 16), pa.array(keys & 0xFFFF),
                                                       pa.array(np.frombuffer(c, "<i8"))], ["a", "b", "documents"])
         return self.table.select("keys", "counts").mapInArrow(run, "a long, b long, documents long")
@@ -525,8 +545,7 @@ class Alignment:
         frame = self.blocks.withColumn("n_best", F.lit(b"")).withColumn("count_sum", F.lit(b""))
 
         def sums(block: Aligned, table: PairTable, one: pa.RecordBatch) -> list[np.ndarray]:
-            slot = table.slots(block.pairs)
-            count = np.where(slot >= 0, np.append(table.count_vector(), 0)[slot], 0)
+            slot, count = table.found(block.pairs)
             links = [(slot >= 0) & (count == tops.value[block.link_a]), count]
             out = []
             for name, x in zip(("n_best", "count_sum"), links, strict=True):

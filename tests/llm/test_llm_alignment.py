@@ -155,3 +155,21 @@ def test_whole_table(spark):
     some = [r for r in rows if r[1] and len(r[1]) < 300][:5]
     for (k, _), want in zip(sorted(some, key=str), [r for r in plain_rows(some)[0]], strict=True):
         assert out[k]["groups_sha256"] == hashlib.sha256(want[7].encode()).hexdigest()
+
+
+def test_a_written_block_is_a_row_group_and_links_are_counted_in_parts(spark, monkeypatch):
+    """Neither a file of blocks nor a block's links are held at once."""
+    import pyarrow.parquet as pq
+    rows = mixture(5)
+    monkeypatch.setattr(A, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(A, "LINKS_AT_ONCE", 7)
+    al = A.Alignment(documents(spark, rows).coalesce(1))
+    files = [pq.ParquetFile(p.removeprefix("file://")).metadata for p in al.blocks.inputFiles()]
+    groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert len(groups) > 2 and set(groups) == {1}
+    assert {(r["a"], r["b"]): r["documents"] for r in al.pairs().collect()} == plain_rows(rows)[1]
+    block = A.Aligned(A.encode_block(TOK, pa.array([t for _, t in rows], pa.string())), *TOK.lengths())
+    distinct, slots = np.unique(block.pairs, return_inverse=True)
+    total = np.zeros(len(distinct), np.uint32)
+    block.add_pairs_of_docs(slots, total)
+    assert dict(zip([divmod(int(p), 1 << 16) for p in distinct], total.tolist(), strict=True)) == plain_rows(rows)[1]
