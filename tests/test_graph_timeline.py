@@ -137,6 +137,9 @@ def brandes(nodes, edges):
     return {v: bc[v] / ((n - 1) * (n - 2)) for v in nodes}
 
 
+BRANDES = brandes
+
+
 def test_betweenness_matches_brandes(spark):
     import random
     rng = random.Random(5)
@@ -196,6 +199,57 @@ def test_estimated_betweenness_keeps_its_error(spark):
     assert max(abs(r["betweenness"] - want[r["account_id"]]) for r in full) < 1e-12
 
 
+def written_bytes(spark, run):
+    """Bytes of the checkpoint folder that a call adds."""
+    import os
+    from ledgerscope.session import checkpoint_dir
+    top = checkpoint_dir(spark).removeprefix("file:")
+
+    def size():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(top) for f in fs)
+    before = size()
+    run()
+    return size() - before
+
+
+def test_betweenness_keeps_nothing_per_source_and_vertex(spark, monkeypatch):
+    """The searches inside tasks equal those in levels, in parts and without kept ends, too; 250 sources x 250
+    vertices are not written."""
+    import random
+    import numpy as np
+    from ledgerscope.operators import brandes
+    rng = random.Random(3)
+    edges = sorted({(f"N{rng.randrange(250)}", f"N{rng.randrange(250)}") for _ in range(1500)} | {(f"K{i}", f"K{i + 1}") for i in range(40)})
+    E = spark.createDataFrame(edges, "sender_id string, receiver_id string")
+    nodes = sorted({a for e in edges for a in e})
+    V = spark.createDataFrame([(x,) for x in nodes], "account_id string")
+    got = {}
+    assert written_bytes(spark, lambda: got.update({r["account_id"]: r["betweenness"] for r in G.betweenness(E, V).collect()})) < 400_000
+    want = BRANDES(nodes, edges)
+    assert max(abs(got[v] - want[v]) for v in nodes) < 1e-12
+
+    first, to = np.array([0, 2, 4, 5, 6, 6, 6]), np.array([1, 2, 3, 4, 3, 5])
+    plain = [x.copy() for x in brandes.Search(first, to, np.arange(6.0)).dependencies(0)]
+    assert plain[0].tolist() == [0, 1, 2, 3, 4, 5] and plain[1].tolist() == [20.0, 11.0, 7.0, 9.0, 4.0, 5.0]
+    monkeypatch.setattr(brandes, "_AT_ONCE", 1)
+    monkeypatch.setattr(brandes, "_KEPT", -1)
+    search = brandes.Search(first, to, np.arange(6.0))
+    for _ in range(2):
+        assert all((x == y).all() for x, y in zip(search.dependencies(0), plain))
+
+
+def test_betweenness_of_a_graph_too_large_to_send(spark, monkeypatch):
+    from ledgerscope.operators import brandes
+    monkeypatch.setattr(brandes, "SENT_EDGES", 0)
+    edges = leafy(4)
+    nodes = sorted({a for e in edges for a in e})
+    E = spark.createDataFrame(edges, "sender_id string, receiver_id string")
+    V = spark.createDataFrame([(x,) for x in nodes], "account_id string")
+    want = BRANDES(nodes, edges)
+    got = {r["account_id"]: r["betweenness"] for r in G.betweenness(E, V).collect()}
+    assert max(abs(got[v] - want[v]) for v in nodes) < 1e-12
+
+
 def test_ego_unknown_seed(spark, ledger):
     import pytest
     L = ledger(graph_rows())
