@@ -43,6 +43,26 @@ def nth_smallest(values: np.ndarray, start: np.ndarray, end: np.ndarray, t: np.n
     return found, t
 
 
+def count_below(values: np.ndarray, start: np.ndarray, end: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """For each stretch [start, end) of ``values`` (non-negative integers), how many are less than ``bound``."""
+    bits = max(1, int(values.max(initial=0)).bit_length())
+    bound = bound.astype(np.int64)
+    all_below = bound >> bits > 0
+    start, end, size = start.astype(np.int64), end.astype(np.int64), (end - start).astype(np.int64)
+    count = np.zeros(len(bound), np.int64)
+    rest = values.astype(np.int64)
+    for bit in range(bits - 1, -1, -1):
+        one = (rest >> bit) & 1 == 1
+        zeros = np.concatenate([[0], np.cumsum(~one)])
+        zs, ze = zeros[start], zeros[end]
+        right = (bound >> bit) & 1 == 1
+        count += np.where(right, ze - zs, 0)
+        start = np.where(right, zeros[-1] + start - zs, zs)
+        end = np.where(right, zeros[-1] + end - ze, ze)
+        rest = np.concatenate([rest[~one], rest[one]])
+    return np.where(all_below, size, count)
+
+
 def ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rank of each value, ties in order; the values in order)."""
     order = np.argsort(values, kind="stable")

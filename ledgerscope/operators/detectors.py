@@ -26,12 +26,14 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerscope.functions.core import exact_median, global_running_sum, money
 from ledgerscope.operators.findings import dyadic_nodes
 from ledgerscope.operators.ledger_ops import participations
+from ledgerscope.operators.leg_counts import counter
 from ledgerscope.schemas import FINDING_COLUMNS, FINDING_SCHEMA
-from ledgerscope.session import checkpoint_dir
+from ledgerscope.session import checkpoint_dir, ship_package
 
 # Confidence of each rule (fixed values).
 CONFIDENCE = {
@@ -392,18 +394,59 @@ def round_trip_counts(ledger: DataFrame, max_gap: int = 10, tolerance: float = 0
     ``amount``, ``n_matches`` (second legs that ``round_trip`` would pair with it) and a representative:
     ``match_amount``, ``match_step`` of the match of greatest amount (of these, the earliest).
 
-    Range counting over time x amount: a leg's steps [step, step + max_gap] are a few dyadic nodes,
-    and per pair and node the second legs are counted by amount.  All nodes of all pairs are one
-    order, (pair, node, amount), whose running count is taken over range partitions; a leg's
-    matches in a node are the difference of the counts at its two bounds.  So a pair that trades back
-    and forth all day costs n log n, and no task or window holds a pair.
+    Rows are listed and shuffled once under (unordered pair, stretch of time), as in ``round_trip``, without their row_id
+    where they are second legs only; places with one direction only are dropped before.  A place is counted in a task by
+    order statistics (``leg_counts``), n log n for a pair that trades back and forth all day.  Places of more than
+    ``_HELD_ROWS`` rows are counted in range partitions instead (``_counts_in_order``), so no task holds them.
     """
     if not 0 <= tolerance < 1:
         raise ValueError("tolerance lies in [0, 1)")
+    spark = ledger.sparkSession
+    checkpoint_dir(spark)
+    ship_package(spark)
     both = ledger.where(F.col("sender_id").isNotNull() & F.col("receiver_id").isNotNull())
     amount = F.col("amount").cast("double")
-    first = both.where(amount > 0).select(
-        *by, F.col("sender_id").alias("a"), F.col("receiver_id").alias("b"), "step", "row_id", amount.alias("m"))
+    listed, core = _stretches(max_gap, 8)
+    keys = [*by, "p", "q", "stretch"]
+    rows = both.where((amount > 0) & F.col("step").isNotNull()).select(
+        *by, F.least("sender_id", "receiver_id").alias("p"), F.greatest("sender_id", "receiver_id").alias("q"),
+        (F.col("sender_id") <= F.col("receiver_id")).alias("up"), "step", amount.alias("m"), "row_id",
+        F.explode(listed).alias("stretch")).withColumn("own", core == F.col("stretch")).withColumn(
+        "row_id", F.when(F.col("own"), F.col("row_id")))
+    short = F.xxhash64(*keys).bitwiseAND(F.lit((1 << 44) - 1))
+    way = F.when(F.col("p") == F.col("q"), 3).when(F.col("up"), 1).otherwise(2)
+    met = (rows.select(short.alias("_h"), way.alias("_w")).groupBy("_h").agg(F.bit_or("_w").alias("_w"), F.count(F.lit(1)).alias("_n"))
+           .where("_w = 3").select("_h", "_n").checkpoint())
+    if met.count() <= _FEW:
+        rows = rows.join(F.broadcast(met), short == F.col("_h"), "left_semi")
+    held = met.where(F.col("_n") > _HELD_ROWS).select("_h")
+    large = None
+    if not held.isEmpty():
+        large = _counts_in_order(rows.join(F.broadcast(held), short == F.col("_h"), "left_semi"), [*by, "stretch"], max_gap, tolerance)
+        rows = rows.join(F.broadcast(held), short == F.col("_h"), "left_anti")
+    names = [*by, "row_id", "account_id", "counterparty", "step", "amount", "n_matches", "match_amount", "match_step"]
+    kinds = [*[ledger.schema[c].dataType for c in [*by, "row_id", "sender_id", "sender_id", "step"]],
+             T.DoubleType(), T.LongType(), T.DoubleType(), T.LongType()]
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
+    out = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+        counter(keys, list(by), max_gap, _stretch_width(max_gap, 8), tolerance, names), schema)
+    return out if large is None else out.unionByName(large.select(*names))
+
+
+#: Rows of a (pair, stretch of time) that a task may hold in numpy.
+_HELD_ROWS = 1_000_000
+
+
+def _counts_in_order(rows: DataFrame, by: list[str], max_gap: int, tolerance: float) -> DataFrame:
+    """``round_trip_counts`` of rows (by, p, q, up, step, m, row_id, own), of which the ``own`` are first legs.
+
+    Range counting over time x amount: a leg's steps [step, step + max_gap] are a few dyadic nodes,
+    and per pair and node the second legs are counted by amount.  All nodes of all pairs are one
+    order, (pair, node, amount), whose running count is taken over range partitions; a leg's
+    matches in a node are the difference of the counts at its two bounds.  No task or window holds a pair.
+    """
+    sender, receiver = F.when(F.col("up"), F.col("p")).otherwise(F.col("q")), F.when(F.col("up"), F.col("q")).otherwise(F.col("p"))
+    first = rows.where("own").select(*by, sender.alias("a"), receiver.alias("b"), "step", "row_id", "m")
     asked = first.select("*", F.explode(dyadic_nodes(F.col("step").cast("long"), F.col("step").cast("long") + max_gap)).alias("_n"))
     bounds = F.explode(F.array(
         F.struct(_tolerated(F.col("m"), -1, tolerance).alias("value"), F.lit(0).alias("kind")),
@@ -411,8 +454,8 @@ def round_trip_counts(ledger: DataFrame, max_gap: int = 10, tolerance: float = 0
     asked = asked.select(*by, "a", "b", F.col("_n.level").alias("level"), F.col("_n.node").alias("node"),
                          bounds.alias("_v"), F.struct("step", "row_id", "m").alias("leg"))
     levels = range((max_gap + 1).bit_length())
-    second = both.where(amount > 0).select(
-        *by, F.col("receiver_id").alias("a"), F.col("sender_id").alias("b"), F.col("step").cast("long").alias("step"), amount.alias("m"),
+    second = rows.select(
+        *by, receiver.alias("a"), sender.alias("b"), F.col("step").cast("long").alias("step"), "m",
         F.explode(F.array(*[F.lit(k) for k in levels])).alias("level"))
     key = [*by, "a", "b", "level", "node"]
     second = second.select(

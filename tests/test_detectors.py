@@ -359,6 +359,27 @@ def test_round_trip_counts_of_a_pair_with_100000_trades(spark):
     assert [tuple(r) for r in got] == [(n // 2, 5, n)]
 
 
+def test_round_trip_counts_shuffle_rows_once_and_large_places_alike(spark, ledger, monkeypatch):
+    """One sort within partitions and no checkpoint of exploded rows; places too large to hold give the same rows;
+    rows without a row_id, equal rows, and blocks smaller than a place, too."""
+    import random
+    from ledgerscope.operators import leg_counts
+    rnd = random.Random(5)
+    rows = [(rnd.choice([None, 1, 2]), rnd.randrange(-300, 300), rnd.choice("AB"), rnd.choice("AB"), float(rnd.choice([100, 104, 106, 0, -1, float("nan")])), i % 7 or None)
+            for i in range(900)]
+    L = spark.createDataFrame(rows + rows[:200], "case_id int, step int, sender_id string, receiver_id string, amount double, row_id int").repartition(3)
+    call = lambda: D.round_trip_counts(L, by=("case_id",))      # noqa: E731
+    plan = call()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Window" not in plan and "Aggregate" not in plan
+    want = sorted(map(tuple, call().collect()), key=str)
+    assert len(want) > 300
+    monkeypatch.setattr(D, "_HELD_ROWS", 0)
+    assert sorted(map(tuple, call().collect()), key=str) == want
+    monkeypatch.setattr(D, "_HELD_ROWS", 20)
+    monkeypatch.setattr(D, "counter", lambda *a: leg_counts.counter(*a, size=3))
+    assert sorted(map(tuple, call().collect()), key=str) == want
+
+
 def _row_exchanges(df) -> int:
     """Shuffles of the plan before a row is aggregated away: those by an explicit repartition."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
