@@ -238,6 +238,18 @@ def test_betweenness_keeps_nothing_per_source_and_vertex(spark, monkeypatch):
         assert all((x == y).all() for x, y in zip(search.dependencies(0), plain))
 
 
+def test_estimated_betweenness_keeps_nothing_per_source_and_vertex(spark):
+    import random
+    rng = random.Random(4)
+    edges = sorted({(f"N{rng.randrange(250)}", f"N{rng.randrange(250)}") for _ in range(1500)})
+    E = spark.createDataFrame(edges, "sender_id string, receiver_id string")
+    nodes = sorted({a for e in edges for a in e})
+    V = spark.createDataFrame([(x,) for x in nodes], "account_id string")
+    got, want = [], BRANDES(nodes, edges)
+    assert written_bytes(spark, lambda: got.extend(G.betweenness_estimate(E, V, error=0.01).collect())) < 600_000
+    assert all(abs(r["betweenness"] - want[r["account_id"]]) <= r["error"] + 1e-12 for r in got) and len(got) == len(nodes)
+
+
 def test_betweenness_of_a_graph_too_large_to_send(spark, monkeypatch):
     from ledgerscope.operators import brandes
     monkeypatch.setattr(brandes, "SENT_EDGES", 0)
