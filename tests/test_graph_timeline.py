@@ -272,6 +272,29 @@ def test_ego_unknown_seed(spark, ledger):
         G.ego_nodes(E, seeds, depth=1, strict=True)
 
 
+def test_an_edge_is_one_row_until_its_seeds_are_listed(spark, monkeypatch):
+    """The edges meet the bitmaps of their ends as arrays and not block by block; heavy nodes alike."""
+    import random
+    rng = random.Random(8)
+    edges = sorted({(f"N{rng.randrange(150)}", f"N{rng.randrange(150)}") for _ in range(400)})
+    E = spark.createDataFrame([(a, b, float(i), i, "T") for i, (a, b) in enumerate(edges)],
+                              "sender_id string, receiver_id string, amount double, step int, tx_type string")
+    seeds = spark.createDataFrame([(f"N{i}",) for i in range(140)], "account_id string")      # three blocks
+    nodes = G.ego_nodes(E, seeds, depth=2)
+    inside = {}
+    for r in nodes.collect():
+        inside.setdefault(r["seed"], set()).add(r["node"])
+    want = sorted((s, a, b) for s, near in inside.items() for a, b in edges if a in near and b in near)
+    for most in (32, 2, 0):
+        monkeypatch.setattr(G, "_LIGHT", most)
+        out = G.ego_edges(E, nodes)
+        assert sorted((r["seed"], r["sender_id"], r["receiver_id"]) for r in out.collect()) == want
+        if most == 32:
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            joins = [x for x in plan.splitlines() if "Join " in x]
+            assert joins and not any(" AND " in x for x in joins)          # none by (node, block)
+
+
 def plain_ego(edges, seeds, depth):
     near = {}
     for a, b in edges:
