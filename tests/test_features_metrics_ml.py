@@ -188,6 +188,32 @@ def test_boosting_stops_where_a_plain_loop_does(spark):
     assert first[0] == first[1]
 
 
+def test_boosted_trees_are_cut_and_not_fitted_again(spark, monkeypatch, tmp_path):
+    import random
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml import PipelineModel
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        x = [rng.gauss(0, 1) for _ in ML.FEATURE_COLUMNS]
+        rows.append((*x, int(x[0] + x[1] * x[2] + rng.gauss(0, 1.5) > 1), ("train", "train", "val")[i % 3]))
+    df = spark.createDataFrame(rows, [*ML.FEATURE_COLUMNS, "label", "split"])
+    fitted, fit = [], GBTClassifier._fit
+    monkeypatch.setattr(GBTClassifier, "_fit", lambda self, d: fitted.append(self.getMaxIter()) or fit(self, d))
+    model = ML.train(df, "gbt")
+    assert fitted == [25] and model.stages[-1].getNumTrees < 25
+    d = model.stages[0].transform(df.where("split = 'train'").withColumn("weight", F.lit(1.0))).checkpoint()
+    est = ML._estimator("gbt")
+    again = est.copy({est.maxIter: 4}).fit(d)
+    cut = ML._first_rounds(est.copy({est.maxIter: 6}).fit(d), est, 4)
+    assert cut.toDebugString.split("\n", 1)[1] == again.toDebugString.split("\n", 1)[1] and cut.treeWeights == again.treeWeights
+    assert {p.name: v for p, v in cut.extractParamMap().items()} == {p.name: v for p, v in again.extractParamMap().items()}
+    ML.save(PipelineModel(stages=[model.stages[0], cut]), str(tmp_path / "m"))
+    scores = [[r["score"] for r in ML.score(m, df).orderBy("amount").select("score").collect()]
+              for m in (PipelineModel(stages=[model.stages[0], cut]), PipelineModel(stages=[model.stages[0], again]), ML.load(str(tmp_path / "m")))]
+    assert scores[0] == scores[1] == scores[2]
+
+
 def test_prior_counts_over_stretches_and_rows_without_step(spark, ledger):
     steps = [None, 3, 127, 128, 128, 500, None, 129]
     rows = [{"step": s, "sender_id": f"S{i % 2}", "receiver_id": "R", "amount": 1.0, "sender_balance_before": 9.0,
