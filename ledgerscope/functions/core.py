@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import reduce
 from operator import and_
 
@@ -48,6 +49,15 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df``, written once as Parquet under the shared checkpoint folder and read back: a checkpoint by columns, compressed,
+    whose rows may come in other partitions."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def global_running_sum(df: DataFrame, order_col: str, value_cols: list[str],
                        descending: bool = False, num_partitions: int | None = None,
                        prefix: str = "cum_") -> DataFrame:
@@ -64,10 +74,9 @@ def global_running_sum(df: DataFrame, order_col: str, value_cols: list[str],
     # in the shared checkpoint folder (reliable, cuts lineage, survives executor loss).
     # Without an explicit count AQE may merge neighbouring ranges, which keeps the
     # partition ids in key order.
-    checkpoint_dir(df.sparkSession)
     ranged = (df.repartitionByRange(num_partitions, order) if num_partitions
               else df.repartitionByRange(order))
-    r = ranged.withColumn("_pid", F.spark_partition_id()).checkpoint()
+    r = written(ranged.withColumn("_pid", F.spark_partition_id()))
     per = r.groupBy("_pid").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = per.select("_pid", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}")

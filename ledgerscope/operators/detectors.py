@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerscope.functions.core import exact_median, global_running_sum, money
+from ledgerscope.functions.core import exact_median, global_running_sum, money, written
 from ledgerscope.operators.findings import dyadic_nodes
 from ledgerscope.operators.ledger_ops import participations
 from ledgerscope.operators.leg_counts import counter
@@ -184,12 +184,14 @@ def _dominated_starts(seq: DataFrame, asked: DataFrame, k: list[str]) -> DataFra
     longest = asked.agg(F.max(F.col("hi") - F.col("lo") + 1)).first()[0]
     height = max(0, (int(longest).bit_length() - 1) // _FAN_BITS)
     level = seq.where(F.col("a").isNotNull()).select(
-        *k, F.lit(0).alias("level"), F.col("lo").alias("node"), F.array(F.struct("s", "a")).alias("front")).checkpoint()
+        *k, F.lit(0).alias("level"), F.col("lo").alias("node"), F.array(F.struct("s", "a")).alias("front"))
+    level = written(level)
     tree = level
     for h in range(1, height + 1):
         level = (level.groupBy(*k, F.shiftright("node", _FAN_BITS).alias("node"))
                  .agg(_staircase(F.flatten(F.collect_list("front"))).alias("front"))
-                 .select(*k, F.lit(h).alias("level"), "node", "front")).checkpoint()
+                 .select(*k, F.lit(h).alias("level"), "node", "front"))
+        level = written(level)
         tree = tree.unionByName(level)
     lookups = asked.select(*k, "step", "row_id", "x", "y", F.explode(_cover(F.col("lo"), F.col("hi"), height)).alias("_n")).select(
         *k, "step", "row_id", "x", "y", "_n.level", "_n.node")
@@ -281,8 +283,7 @@ def rapid_drain(ledger: DataFrame, max_gap: int = 5, remain: float = 0.1,
         x = F.col("s") - F.col("m")
         asked = (fwd.withColumn("fs", F.min(F.when(F.col("sure"), pos)).over(Window.partitionBy(*g)))
                  .where(necessary & ~F.col("sure") & (F.col("max_s") > x) & (F.col("fs").isNull() | (pos < F.col("fs")))))
-        checkpoint_dir(ledger.sparkSession)
-        asked = asked.select(*g, "step", "row_id", "lo", "hi", x.alias("x"), (F.lit(remain) * F.col("b")).alias("y")).checkpoint()
+        asked = written(asked.select(*g, "step", "row_id", "lo", "hi", x.alias("x"), (F.lit(remain) * F.col("b")).alias("y")))
         if not asked.isEmpty():
             ours = fwd.join(asked.select(*g).distinct(), g, "left_semi").select(*g, "lo", "s", "a")
             found = _dominated_starts(ours, asked, g).groupBy(*g).agg(F.min(pos).alias("es"))

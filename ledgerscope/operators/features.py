@@ -11,7 +11,7 @@ chunks, not from senders (``operators.running``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.operators.running import running_median
@@ -36,6 +36,15 @@ def _prior_count(df: DataFrame, key: str) -> DataFrame:
             .drop("_earlier", "_place", "_stretch"))
 
 
+def _bit(condition: Column, bit: int) -> Column:
+    return F.when(condition, 1 << bit).otherwise(0).cast("short")
+
+
+def _marked(bit: int) -> Column:
+    """1.0 where a bit of ``_marks`` is set: the conditions on a row's own columns travel as one short number."""
+    return F.bit_get(F.col("_marks"), F.lit(bit)).cast("double")
+
+
 def features(ledger: DataFrame, velocity_span: int = 10, keep: tuple[str, ...] = (),
              median_partitions: int | None = None) -> DataFrame:
     """M1: ``row_id``, ``step``, ``sender_id``, ``receiver_id``, ``keep`` + the 13 features of every
@@ -44,22 +53,22 @@ def features(ledger: DataFrame, velocity_span: int = 10, keep: tuple[str, ...] =
     amt = F.col("amount").cast("double")
     before = F.col("sender_balance_before")
     after = F.col("sender_balance_after")
+    marks = _bit(after < F.lit(0.1) * before, 0) + _bit(F.abs(before - amt - after) > F.lit(0.01), 1)
+    for i, t in enumerate(TX_TYPES):
+        marks = marks + _bit(F.col("tx_type") == t, i + 2)
     # what a row's own columns give is worked out first, so that few and narrow columns travel
     base = ledger.select(
-        "row_id", "step", "sender_id", "receiver_id", "tx_type", "amount", F.try_divide(amt, before + F.lit(1.0)).alias("_ratio"),
-        F.coalesce(after < F.lit(0.1) * before, F.lit(False)).alias("_drained"),
-        F.coalesce(F.abs(before - amt - after) > F.lit(0.01), F.lit(False)).alias("_mismatch"), *keep)
+        "row_id", "step", "sender_id", "receiver_id", "amount", F.try_divide(amt, before + F.lit(1.0)).alias("_ratio"), marks.alias("_marks"), *keep)
     f = _prior_count(base, "receiver_id")
     f = running_median(f, "sender_id", ["step", "row_id"], "amount", "historical_median", median_partitions,
                        recent=("step", velocity_span, "_recent"))
     f = f.withColumn("historical_median", F.coalesce("historical_median", F.lit(0.0)))
     cols = {
         "amount": amt,
-        **{f"tx_type_{t}": F.coalesce(F.col("tx_type") == t, F.lit(False)).cast("double")
-           for t in TX_TYPES},
+        **{f"tx_type_{t}": _marked(i + 2) for i, t in enumerate(TX_TYPES)},
         "balance_change_ratio": F.col("_ratio"),
-        "sender_drained": F.col("_drained").cast("double"),
-        "balance_mismatch": F.col("_mismatch").cast("double"),
+        "sender_drained": _marked(0),
+        "balance_mismatch": _marked(1),
         "receiver_prior_tx_count": F.col("receiver_id_prior").cast("double"),
         "sender_tx_velocity": F.col("_recent").cast("double"),
         "amount_vs_sender_median": F.try_divide(amt, F.col("historical_median") + F.lit(1.0)),

@@ -100,8 +100,10 @@ def running_median(df: DataFrame, group: str, order: list[str], value: str, name
         *columns, F.col(value).cast("double").alias("_value"), F.col(group).alias("_group"),
         F.spark_partition_id().cast("long").alias("_pid"))
     counted = f", {recent[2]} long" if recent else ""
+    # the group and a value that is a double are columns of the rows: written once
+    again = df.schema[value].dataType != T.DoubleType()
     schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(
-        f"_group {ranged.schema['_group'].dataType.simpleString()}, _value double, _pid long, _at long, {name} double{counted}").fields])
+        f"{'_value double, ' if again else ''}_pid long, _at long, {name} double{counted}").fields])
     names, width = schema.names, len(columns)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
@@ -131,7 +133,7 @@ def running_median(df: DataFrame, group: str, order: list[str], value: str, name
             for b in rows:
                 end = at + b.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns[:width], b.column(width + 1), b.column(width), pa.array(np.full(b.num_rows, pid), pa.int64()),
+                    [*b.columns[:width], *([b.column(width)] if again else []), pa.array(np.full(b.num_rows, pid), pa.int64()),
                      pa.array(np.arange(at, end), pa.int64()), pa.array(median[at:end], pa.float64(), from_pandas=True),
                      *([pa.array(near[at:end], pa.int64())] if recent else [])], names)
                 at = end
@@ -139,7 +141,8 @@ def running_median(df: DataFrame, group: str, order: list[str], value: str, name
     wanted = [width, width + 1, *([columns.index(recent[0])] if recent else [])]
     path = f"{checkpoint_dir(spark).rstrip('/')}/sorted-{uuid.uuid4().hex}"
     ranged.mapInArrow(chunk, schema).write.option("compression", "zstd").parquet(path)
-    done = spark.read.schema(schema).parquet(path)
+    done = spark.read.schema(schema).parquet(path).withColumn("_group", F.col(group))
+    done = done if again else done.withColumn("_value", F.col(value))
     # groups at the edges of chunks: at most two rows per chunk
     edges = done.groupBy("_pid").agg(F.min_by("_group", "_at").alias("first"), F.max_by("_group", "_at").alias("last"))
     in_order = Window.orderBy("_pid")

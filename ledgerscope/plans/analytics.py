@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.core import written
 from ledgerscope.operators import analyze as A
 from ledgerscope.operators import detectors as D
 from ledgerscope.operators import features as FE
@@ -414,6 +415,5 @@ FROM scored s JOIN (SELECT model, score AS t FROM (SELECT *, ROW_NUMBER() OVER (
     PARTITION BY model ORDER BY f1 DESC, score) AS r FROM curve) WHERE r = 1) b USING (model)
 GROUP BY s.model""", extra=FEATURES_SQL + ",\n" + SCORED_SQL))
 def q_confusion(spark, sf_dir):
-    checkpoint_dir(spark)
-    sc = _scored(spark, sf_dir).checkpoint()     # read for the thresholds and for the counts
+    sc = written(_scored(spark, sf_dir))         # read for the thresholds and for the counts
     return M.confusion(sc, M.metrics(sc))

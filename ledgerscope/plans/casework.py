@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.core import written
 from ledgerscope.operators import analyze as A
 from ledgerscope.operators import custody as K
 from ledgerscope.operators import features as FE
@@ -119,9 +120,7 @@ def q_feature_attribution(spark, sf_dir):
 
 @register("model_roundtrip")
 def q_model_roundtrip(spark, sf_dir):
-    sp = _split(spark, sf_dir)
-    checkpoint_dir(spark)
-    sp = sp.checkpoint()
+    sp = written(_split(spark, sf_dir))
     model = ML.train(sp, "logistic")
     path = scratch(spark, "model")
     ML.save(model, path)

@@ -105,3 +105,38 @@ def test_blocks_of_one_partition_and_recent_counts(spark):
         before = [x[3] for x in rows if x[0] == g and (x[1], x[2]) < (step, i) and x[3] is not None]
         near = sum(x[0] == g and step - 7 <= x[1] < step for x in rows)
         assert got[i] == (statistics.median(before) if before else None, near)
+
+
+def test_sorted_rows_are_written_without_what_they_hold_already(spark, ledger):
+    """The group and a value that is a double are columns of the rows; conditions travel as one number."""
+    import glob
+    import os
+    import pyarrow.parquet as pq
+    from ledgerscope.operators.features import features
+    from ledgerscope.session import checkpoint_dir
+    rows = [{"step": i, "tx_type": [None, "DEBIT", "other", "TRANSFER"][i % 4], "sender_id": f"S{i % 3}", "receiver_id": "R", "amount": 5.0,
+             "sender_balance_before": [None, 100.0, 5.0][i % 3], "sender_balance_after": [0.0, None, 0.0][i % 3]} for i in range(12)]
+    top = checkpoint_dir(spark).removeprefix("file:")
+    old = set(glob.glob(f"{top}/sorted-*"))
+    got = {r["row_id"]: r for r in features(ledger(rows)).collect()}
+    new, = set(glob.glob(f"{top}/sorted-*")) - old
+    names = {c for f in glob.glob(os.path.join(new, "*.parquet")) for c in pq.ParquetFile(f).schema_arrow.names}
+    assert "amount" in names and not names & {"_value", "_group", "tx_type", "_drained", "_mismatch"}
+    for i, r in enumerate(rows):
+        before, after = r["sender_balance_before"], r["sender_balance_after"]
+        known = before is not None and after is not None
+        want = (float(r["tx_type"] == "DEBIT"), float(r["tx_type"] == "TRANSFER"), 0.0, float(known and after < 0.1 * before),
+                float(known and abs(before - 5.0 - after) > 0.01))
+        x = got[i]
+        assert (x["tx_type_DEBIT"], x["tx_type_TRANSFER"], x["tx_type_PAYMENT"], x["sender_drained"], x["balance_mismatch"]) == want
+
+
+def test_written_rows_come_back_from_compressed_columns(spark):
+    from pyspark.sql import functions as F
+    from ledgerscope.functions.core import written
+    rows = spark.range(1000).select("id", F.lit("a model").alias("model"), F.struct((F.col("id") % 3).alias("x")).alias("s"),
+                                    F.when(F.col("id") > 3, F.lit(float("nan"))).alias("v"))
+    back = written(rows)
+    assert back.schema.simpleString() == rows.schema.simpleString()
+    assert all(f.endswith(".zstd.parquet") for f in back.inputFiles())
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
